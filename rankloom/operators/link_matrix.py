@@ -9,7 +9,7 @@ from rankloom.functions import rules
 from rankloom.functions.dates import year_of
 from rankloom.functions.ladders import RATING_BANDS, RATING_TOP, rating_band
 from rankloom.functions.numbers import half_up, ratio
-from rankloom.functions.text import anchor_text, breadcrumb_leaf, breadcrumb_root, first_filled, joined
+from rankloom.functions.text import breadcrumb_leaf, breadcrumb_root, first_filled, joined, strip
 from rankloom.operators.ranking import running_totals, yearly_grid
 
 BANDS = [label for _, label in RATING_BANDS] + [RATING_TOP]
@@ -80,10 +80,9 @@ def cumulative_by_year(links: DataFrame) -> DataFrame:
 
 
 def matrix_detail(links: DataFrame) -> Column:
-    anchor = first_filled(
-        F.trim(anchor_text(F.col("raw_json"), rules.ANCHOR_KEYS_MATRIX, rules.NO_ANCHOR, rules.NO_ANCHOR)),
-        default=F.lit(rules.NO_ANCHOR),
-    )
+    fields = F.from_json(F.col("raw_json"), "map<string,string>")
+    written = F.coalesce(*[F.element_at(fields, F.lit(key)) for key in rules.ANCHOR_KEYS_MATRIX])
+    anchor = first_filled(strip(written), default=F.lit(rules.NO_ANCHOR))
     return F.format_string(
         "[%s] %s  --[%s]-->  %s", F.col("competitor_domain"), F.col("ref_url"), anchor, F.col("target_url")
     )
