@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions.text import strip
@@ -68,3 +68,11 @@ def half_up(value: Column, digits: int) -> Column:
 def whole_even(value: Column) -> Column:
     """Text of a double without fraction, halves to the even neighbour."""
     return F.bround(value, 0).cast("bigint").cast("string")
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Round every double column for output; rules and scores always read the unrounded values."""
+    doubles = {f.name for f in df.schema.fields if f.dataType.simpleString() == "double"}
+    return df.select(
+        *[half_up(F.col(name), digits).alias(name) if name in doubles else F.col(name) for name in df.columns]
+    )
