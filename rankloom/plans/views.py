@@ -59,33 +59,43 @@ def line_order() -> Column:
     )
 
 
-def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One referring site per part: host by brand, path of one of the pages."""
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on a scan that has fewer splits than cores (one small file); larger scans stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def with_sites(rows: DataFrame, key: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Add the referring site of a part: host by brand, path of one of the pages.
+
+    Host and path are cut on the part and page side of the joins, once per part and page and not per row.
+    """
     c = F.col
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    n_pages = pages.agg(F.count(F.lit(1))).scalar()
-    part = table(spark, sf_dir, "part").withColumn("page_id", c("p_partkey") % n_pages)
+    url = c("url")
     host = _pick(HOSTS, F.substring("p_brand", 7, 3).cast("int") - 1)
-    page_host = hostname(c("url"))
-    return part.join(pages, "page_id").select(
-        "p_partkey",
-        "p_name",
-        "p_size",
-        "p_type",
-        "p_brand",
-        c("url").alias("page_url"),
-        path(c("url")).alias("page_path"),
-        F.when(host.isin(*EXACT_HOSTS), host)
-        .otherwise(F.concat(F.lit("s"), _text(c("p_partkey")), F.lit("."), F.when(host == "", page_host).otherwise(host)))
-        .alias("ref_domain"),
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", "p_type", "p_brand", host.alias("host"))
+    pages = table(spark, sf_dir, "pages").select(
+        "page_id", url.alias("page_url"), path(url).alias("page_path"), hostname(url).alias("page_host")
+    )
+    n_pages = pages.agg(F.count(F.lit(1))).scalar()
+    placed = rows.join(part, c(key) == c("p_partkey")).withColumn("page_id", c("p_partkey") % n_pages)
+    below = F.concat(F.lit("s"), _text(c("p_partkey")), F.lit("."), F.when(c("host") == "", c("page_host")).otherwise(c("host")))
+    return (
+        placed.join(pages, "page_id")
+        .withColumn("ref_domain", F.when(c("host").isin(*EXACT_HOSTS), c("host")).otherwise(below))
+        .drop("page_id", "host", "page_host")
     )
 
 
+def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One referring site per part."""
+    return with_sites(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key")), "key", spark, sf_dir).drop("key")
+
+
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Link rows with the columns of both vendors."""
     c = F.col
-    line = table(spark, sf_dir, "lineitem")
-    rows = line.join(sites(spark, sf_dir), c("l_partkey") == c("p_partkey"))
+    rows = with_sites(spread(table(spark, sf_dir, "lineitem")), "l_partkey", spark, sf_dir)
     comp_no = F.least(c("l_suppkey") % 7, c("l_partkey") % 7)
     folder = _pick(FOLDERS, (c("p_size") + c("l_linenumber")) % len(FOLDERS))
     place = (
@@ -179,12 +189,12 @@ def keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     country = table(spark, sf_dir, "customer").join(
         table(spark, sf_dir, "nation"), c("c_nationkey") == c("n_nationkey")
     ).select("c_custkey", "n_name")
-    rows = (
-        table(spark, sf_dir, "lineitem")
+    ranked = (
+        spread(table(spark, sf_dir, "lineitem"))
         .join(order, c("l_orderkey") == c("o_orderkey"))
         .join(country, c("o_custkey") == c("c_custkey"))
-        .join(sites(spark, sf_dir), c("l_partkey") == c("p_partkey"))
     )
+    rows = with_sites(ranked, "l_partkey", spark, sf_dir)
     intent = lambda *words: c("o_orderpriority").isin(*words)
     return rows.select(
         F.concat(F.lit("k"), _text(F.least(c("c_custkey") % 5, c("l_partkey") % 5))).alias("competitor_domain"),
@@ -410,7 +420,7 @@ def prospects(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word of every document."""
     c = F.col
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select(
         "doc_id", "source", F.explode(F.split(c("text"), r"[ \t\n\r]+")).alias("word")
     )
 

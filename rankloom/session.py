@@ -18,6 +18,9 @@ def build_session(app: str = "rankloom", master: str | None = None, shuffle_part
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        # Above 8000 bytes of bytecode HotSpot interprets a method; wide rule tables are then better off
+        # with Spark's split projections than with one huge generated loop.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
     )
     if master:
         builder = builder.master(master).config("spark.ui.enabled", "false")
