@@ -85,33 +85,32 @@ def plan_text(plan: Column, field: int, brand: str) -> Column:
     return picked.otherwise(None)
 
 
+def _word_table(patterns: Sequence[str]) -> Column:
+    """The patterns as one constant array."""
+    if len(patterns) > 63:
+        raise ValueError("at most 63 patterns fit into one mask")
+    return F.split(F.lit("\n".join(patterns)), "\n")
+
+
 def pattern_mask(text: Column, patterns: Sequence[str]) -> Column:
     """One bit per pattern found in ``text``.
 
     Masks of many rows combine with ``bit_or``, so the evidence of a domain with any number of rows is a
     single number and no text of a group is ever put together.
     """
-    if len(patterns) > 63:
-        raise ValueError("at most 63 patterns fit into one mask")
-    table = F.array(
-        *[F.struct(F.lit(p).alias("word"), F.lit(1 << i).cast("bigint").alias("bit")) for i, p in enumerate(patterns)]
-    )
-    return F.aggregate(
-        table,
-        F.lit(0).cast("bigint"),
-        lambda seen, p: seen.bitwiseOR(F.when(F.contains(text, p["word"]), p["bit"]).otherwise(F.lit(0).cast("bigint"))),
+    none, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    bits = F.transform(
+        _word_table(patterns),
+        lambda word, at: F.when(F.contains(text, word), F.call_function("shiftleft", one, at)).otherwise(none),
     )
+    return F.aggregate(bits, none, lambda seen, bit: seen.bitwiseOR(bit))
 
 
 def mask_words(mask: Column, patterns: Sequence[str], limit: int) -> Column:
     """The first ``limit`` patterns of a mask, in table order, as text."""
-    found = F.array_compact(
-        F.array(
-            *[
-                F.when(mask.bitwiseAND(F.lit(1 << i).cast("bigint")) != 0, F.lit(p))
-                for i, p in enumerate(patterns)
-            ]
-        )
+    one = F.lit(1).cast("bigint")
+    found = F.filter(
+        _word_table(patterns), lambda word, at: F.call_function("shiftright", mask, at).bitwiseAND(one) == one
     )
     return F.array_join(F.slice(found, 1, limit), ", ")
 

@@ -144,9 +144,9 @@ def machine_penalty() -> Column:
 
 def machine_score() -> Column:
     """Weighted mean of the known parts minus penalties: an unknown part also leaves the denominator."""
-    total, weights = F.lit(Decimal("0")), F.lit(Decimal("0"))
+    total, weights, parts = F.lit(Decimal("0")), F.lit(Decimal("0")), machine_parts()
     for name, weight in MACHINE_WEIGHTS:
-        part = machine_parts()[name]
+        part = parts[name]
         total = total + F.coalesce(part, F.lit(Decimal("0"))) * _weight(weight)
         weights = weights + F.when(part.isNotNull(), _weight(weight)).otherwise(_weight("0.00"))
     mean = total.cast("double") / weights.cast("double")
@@ -155,12 +155,13 @@ def machine_score() -> Column:
 
 def machine_breakdown() -> Column:
     """Known parts and the penalty as one line of text."""
+    parts = machine_parts()
     shown = [
         F.when(
-            machine_parts()[name].isNotNull(),
+            parts[name].isNotNull(),
             F.concat(
                 F.lit(f"{name}="),
-                F.bround(machine_parts()[name], 0).cast("bigint").cast("string"),
+                F.bround(parts[name], 0).cast("bigint").cast("string"),
                 F.lit(f"×{int(Decimal(weight) * 100)}%"),
             ),
         )

@@ -61,7 +61,7 @@ def hostname(url: Column) -> Column:
 
 def _without_last_slash(path_text: Column) -> Column:
     """One trailing slash removed unless the path is the root."""
-    return F.when(path_text == "/", path_text).otherwise(F.regexp_replace(path_text, "/$", ""))
+    return F.regexp_replace(path_text, "(.)/$", "$1")
 
 
 def canonical_url(url: Column) -> Column:

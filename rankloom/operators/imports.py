@@ -12,23 +12,24 @@ from rankloom.functions.numbers import ratio
 from rankloom.functions.urls import hostname
 
 
-def modal_value(rows: DataFrame, group: str, value: str, order: str = "src_ord") -> DataFrame:
-    """Most frequent non-empty value per group with its share; of equally frequent ones the first seen."""
+def _modal(rows: DataFrame, group: str, value: str, order: str) -> DataFrame:
     c = F.col
-    counted = (
-        rows.filter(c(value) != "")
-        .groupBy(group, value)
-        .agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"))
-    )
-    best = F.min(F.struct((-c("n")).alias("minus_n"), c("first"), c(value).alias("value")))
+    counted = rows.groupBy(group, value).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"))
+    filled = c(value) != ""
+    best = F.min(F.when(filled, F.struct((-c("n")).alias("minus_n"), c("first"), c(value).alias("value"))))
     return (
         counted.groupBy(group)
-        .agg(F.sum("n").alias("n_rows"), best.alias("best"))
+        .agg(F.sum(F.when(filled, c("n")).otherwise(0)).alias("n_rows"), best.alias("best"))
         .select(group, c("best.value").alias("modal_value"), (-c("best.minus_n")).alias("n_modal"), "n_rows")
         .withColumn("modal_share", ratio(c("n_modal"), c("n_rows")))
     )
 
 
+def modal_value(rows: DataFrame, group: str, value: str, order: str = "src_ord") -> DataFrame:
+    """Most frequent non-empty value per group with its share; of equally frequent ones the first seen."""
+    return _modal(rows, group, value, order).filter(F.col("modal_value").isNotNull())
+
+
 def cleaned_file_name(file_name: Column) -> Column:
     """Competitor guess from an export's file name, export words removed."""
     bare = F.lower(F.regexp_replace(file_name, r"\.[^.]*$", ""))
@@ -40,13 +41,9 @@ def cleaned_file_name(file_name: Column) -> Column:
 def competitor_of_files(rows: DataFrame, target: str = "target_url", least_share: float = 0.5) -> DataFrame:
     """Competitor of every file: the host most target URLs point to, else the file name."""
     hosts = rows.select("src_file", "src_ord", hostname(F.col(target)).alias("host"))
-    files = rows.select("src_file").distinct()
-    modal = modal_value(hosts, "src_file", "host")
-    return files.join(modal, "src_file", "left").select(
-        "src_file",
-        F.when(F.col("modal_share") >= least_share, F.col("modal_value"))
-        .otherwise(cleaned_file_name(F.col("src_file")))
-        .alias("competitor_domain"),
+    named = F.when(F.col("modal_share") >= least_share, F.col("modal_value"))
+    return _modal(hosts, "src_file", "host", "src_ord").select(
+        "src_file", F.coalesce(named, cleaned_file_name(F.col("src_file"))).alias("competitor_domain")
     )
 
 

@@ -44,14 +44,17 @@ def _authority_sum(test: Column) -> Column:
 
 
 def competitor_profile(links: DataFrame) -> DataFrame:
-    """Historic and live figures of every competitor.
+    """Historic and live figures of every competitor, from one pass over the links.
 
-    Liveness of a domain needs one row per competitor and domain; distinct target pages are counted in
-    their own narrow aggregate. Both are folded before they meet on the competitor.
+    The distinct counts are folded on (competitor, value) before they meet on the competitor, so a
+    competitor with a large part of the links is not counted in one task.
     """
     c = F.col
     live = ~c("is_lost")
-    per_domain = links.groupBy("competitor_domain", "ref_domain").agg(
+    sums = links.groupBy("competitor_domain").agg(
+        F.count_distinct("ref_domain").alias("total_domains"),
+        F.count_distinct(F.when(live, c("ref_domain"))).alias("live_domains"),
+        F.count_distinct(F.nullif("target_url", F.lit(""))).alias("targets"),
         F.count(F.lit(1)).alias("links"),
         _count(live).alias("live"),
         _count(c("is_new")).alias("new"),
@@ -63,18 +66,8 @@ def competitor_profile(links: DataFrame) -> DataFrame:
         _count(live & (c("page_ascore") >= rules.HIGH_PAGE_AUTHORITY)).alias("high"),
         _authority_sum(live).alias("authority"),
     )
-    sums = per_domain.groupBy("competitor_domain").agg(
-        F.count(F.lit(1)).alias("total_domains"),
-        _count(c("live") > 0).alias("live_domains"),
-        *[F.sum(n).alias(n) for n in ("links", "live", "new", "follow", "nofollow", "sitewide", "sponsored", "ugc", "high", "authority")],
-    )
-    targets = (
-        links.filter(c("target_url") != "")
-        .groupBy("competitor_domain")
-        .agg(F.count_distinct("target_url").alias("targets"))
-    )
     rate = lambda part: ratio(c(part), c("live"))
-    return sums.join(targets, "competitor_domain", "left").select(
+    return sums.select(
         "competitor_domain",
         "total_domains",
         c("links").alias("total_backlinks"),
@@ -83,7 +76,7 @@ def competitor_profile(links: DataFrame) -> DataFrame:
         c("live").alias("live_backlinks"),
         (c("links") - c("live")).alias("lost_backlinks"),
         c("new").alias("new_flagged_backlinks"),
-        F.coalesce("targets", F.lit(0)).cast("bigint").alias("unique_target_pages"),
+        c("targets").alias("unique_target_pages"),
         rate("follow").alias("follow_rate_live"),
         rate("nofollow").alias("nofollow_rate_live"),
         rate("sitewide").alias("sitewide_rate_live"),
@@ -126,32 +119,32 @@ COHORTS = ("backlinks", "live_backlinks", "domains", "live_domains")
 
 
 def cohorts(links: DataFrame) -> DataFrame:
-    """Links by the year they were first seen, domains by the year of their earliest link."""
+    """Links by the year they were first seen, domains by the year of their earliest link.
+
+    One pass: links are folded per competitor, domain and year; a domain then holds one small entry per
+    year plus the entry of the domain itself.
+    """
     c = F.col
-    zero = F.lit(0).cast("bigint")
-    base = links.select(
-        "competitor_domain",
-        "ref_domain",
-        F.nullif("first_seen", F.lit("")).alias("seen"),
-        (~c("is_lost")).alias("live"),
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    seen = F.nullif("first_seen", F.lit(""))
+    per_year = links.groupBy("competitor_domain", "ref_domain", year_of(seen).alias("year")).agg(
+        F.count(F.lit(1)).alias("n"), _count(~c("is_lost")).alias("n_live"), F.min(seen).alias("seen")
     )
-    per_year = base.groupBy("competitor_domain", "ref_domain", year_of(c("seen")).alias("year")).agg(
-        F.count(F.lit(1)).alias("n"), _count(c("live")).alias("n_live"), F.min("seen").alias("seen")
+    by_link = F.struct(
+        "year", c("n").alias(COHORTS[0]), c("n_live").alias(COHORTS[1]), zero.alias(COHORTS[2]), zero.alias(COHORTS[3])
     )
-    by_link = per_year.select(
-        "competitor_domain", "year", c("n").alias("backlinks"), c("n_live").alias("live_backlinks"),
-        zero.alias("domains"), zero.alias("live_domains"),
+    by_domain = F.struct(
+        year_of(c("first")).alias("year"),
+        zero.alias(COHORTS[0]),
+        zero.alias(COHORTS[1]),
+        one.alias(COHORTS[2]),
+        (c("live") > 0).cast("bigint").alias(COHORTS[3]),
     )
-    by_domain = (
-        per_year.groupBy("competitor_domain", "ref_domain")
-        .agg(year_of(F.min("seen")).alias("year"), (F.sum("n_live") > 0).alias("live"))
-        .select(
-            "competitor_domain", "year", zero.alias("backlinks"), zero.alias("live_backlinks"),
-            F.lit(1).cast("bigint").alias("domains"), c("live").cast("bigint").alias("live_domains"),
-        )
+    per_domain = per_year.groupBy("competitor_domain", "ref_domain").agg(
+        F.collect_list(by_link).alias("years"), F.min("seen").alias("first"), F.sum("n_live").alias("live")
     )
     return (
-        by_link.unionByName(by_domain)
+        per_domain.select("competitor_domain", F.inline(F.concat("years", F.array(by_domain))))
         .filter(c("year").isNotNull())
         .groupBy("competitor_domain", "year")
         .agg(*[F.sum(m).alias(m) for m in COHORTS])

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.session import cut_lineage
+from rankloom.session import store
 
 
 def _as_columns(order_by: Sequence[Column | str]) -> list[Column]:
@@ -48,12 +48,18 @@ def with_group_total(df: DataFrame, keys: Sequence[str], measure: str, total: st
 def yearly_grid(counts: DataFrame, group: str, year: str, measures: Sequence[str]) -> DataFrame:
     """Every group with every year that occurs anywhere, absent counts as 0.
 
-    The years are four-digit texts, so their set is small whatever the data; it is read as one array value.
+    Years are four-digit texts, so a group has few of them whatever the data: its counts are folded into one
+    map, and the set of all years is read as one array value instead of being joined to every group.
     """
+    c = F.col
     years = counts.agg(F.array_sort(F.collect_set(year))).scalar()
-    grid = counts.select(group).distinct().select(group, F.explode(years).alias(year))
-    return grid.join(counts, [group, year], "left").select(
-        group, year, *[F.coalesce(F.col(m), F.lit(0)).cast("bigint").alias(m) for m in measures]
+    known = counts.groupBy(group).agg(
+        F.map_from_entries(F.collect_list(F.struct(c(year), F.struct(*measures)))).alias("_known")
+    )
+    return known.select(group, F.explode(years).alias(year), "_known").select(
+        group,
+        year,
+        *[F.coalesce(c("_known")[c(year)][m], F.lit(0)).cast("bigint").alias(m) for m in measures],
     )
 
 
@@ -66,13 +72,13 @@ def running_totals(yearly: DataFrame, group: str, year: str, measures: Sequence[
 def number_rows(df: DataFrame, order_by: Sequence[Column | str], name: str, start: int = 1) -> DataFrame:
     """Number all rows 1, 2, 3 … in the given total order without a single-task sort.
 
-    Rows are range-partitioned and sorted in parallel, fixed in the shared checkpoint folder, counted per
-    partition, and shifted by the count of the partitions before them. The offsets table has one row per
+    Rows are range-partitioned and sorted in parallel, stored with their place, counted per partition
+    and shifted by the count of the partitions before them. The offsets table has one row per
     partition, which is what bounds its broadcast.
     """
     order = _as_columns(order_by)
     spread = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = cut_lineage(
+    placed = store(
         spread.withColumn("_part", F.spark_partition_id()).withColumn(
             "_pos", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1).cast("bigint"))
         )

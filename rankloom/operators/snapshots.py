@@ -72,7 +72,7 @@ def slug_overlap(pages: DataFrame, sites: DataFrame, links_per_site: int = 2) ->
     found = slug_keywords(pages, sites)
     pair = ["keyword", "domain"]
     samples = (
-        top_per_group(found.distinct(), pair, ["page_url"], links_per_site)
+        top_per_group(found, pair, ["page_url"], links_per_site)
         .groupBy(*pair)
         .agg(F.array_sort(F.collect_list(F.format_string("[%s] %s", c("domain"), c("page_url")))).alias("links"))
     )

@@ -25,6 +25,7 @@ from rankloom.operators import (
 )
 from rankloom.functions import rules
 from rankloom.plans import views
+from rankloom.session import store
 from rankloom.sources import documents, overview
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,8 +74,13 @@ def enrichment(spark: SparkSession, d: str) -> DataFrame:
     return action_queue.merge_enrichment(views.enrichment_rows(spark, d))
 
 
+def stored_b(spark: SparkSession, d: str) -> DataFrame:
+    """Vendor B facts as a stored table, for queries that read them more than once."""
+    return store(links_b(spark, d).drop("raw_json", "ref_url", "src_ord", "src_file"))
+
+
 def scored(spark: SparkSession, d: str) -> DataFrame:
-    return action_queue.scored_domains(links_b(spark, d), enrichment(spark, d), BRAND)
+    return action_queue.scored_domains(stored_b(spark, d), enrichment(spark, d), BRAND)
 
 
 def current(spark: SparkSession, d: str) -> DataFrame:
@@ -108,7 +114,8 @@ def links_by_year(spark, d):
 
 @query
 def cumulative_by_year(spark, d):
-    return link_matrix.cumulative_by_year(links_a(spark, d))
+    dated = links_a(spark, d).select("competitor_domain", "first_seen", "is_lost")
+    return link_matrix.cumulative_by_year(store(dated))
 
 
 @query
@@ -123,7 +130,7 @@ def overlap_matrix(spark, d):
 
 @query
 def overlap_details(spark, d):
-    return link_matrix.overlap_details(links_a(spark, d)).select(
+    return link_matrix.overlap_details(store(links_a(spark, d))).select(
         "alpha", "competitor_domain", "ref_domain", "ref_url", "target_url"
     )
 
@@ -215,12 +222,14 @@ def keyword_shares(spark, d):
 
 @query
 def keyword_country_top5(spark, d):
-    return keywords.top_countries(keyword_facts(spark, d), 5)
+    facts = keyword_facts(spark, d).select("competitor_domain", "country", "current_traffic")
+    return keywords.top_countries(store(facts), 5)
 
 
 @query
 def keyword_page_top10(spark, d):
-    return keywords.top_landing_pages(keyword_facts(spark, d), 10)
+    facts = keyword_facts(spark, d).select("competitor_domain", "url", "keyword", "current_traffic")
+    return keywords.top_landing_pages(store(facts), 10)
 
 
 @query
@@ -317,7 +326,7 @@ def dir_l1_rollup(spark, d):
 
 @query
 def traffic_pages(spark, d):
-    return pages.traffic_pages(merged_pages(spark, d)).select("domain", "final_url", "traffic", "keywords", "in_sitemap")
+    return pages.traffic_pages(store(merged_pages(spark, d))).select("domain", "final_url", "traffic", "keywords", "in_sitemap")
 
 
 @query
@@ -334,7 +343,7 @@ def url_tree_listing(spark, d):
 
 @query
 def url_tree_zombie_cap(spark, d):
-    return hierarchy.shown_nodes(site_tree(spark, d), 5).select("node_id", "parent_id", "depth", "traffic", "n_pages")
+    return hierarchy.shown_nodes(store(site_tree(spark, d)), 5).select("node_id", "parent_id", "depth", "traffic", "n_pages")
 
 
 @query
@@ -524,12 +533,13 @@ def cohorts_b(spark, d):
 
 @query
 def cumulative_cohorts_b(spark, d):
-    return link_intel.cumulative_cohorts(links_b(spark, d))
+    dated = links_b(spark, d).select("competitor_domain", "ref_domain", "first_seen", "is_lost")
+    return link_intel.cumulative_cohorts(store(dated))
 
 
 @query
 def domain_intel_b(spark, d):
-    return rounded(link_intel.domain_intel(links_b(spark, d)))
+    return rounded(link_intel.domain_intel(stored_b(spark, d)))
 
 
 @query
@@ -539,7 +549,7 @@ def domain_examples_topn(spark, d):
 
 @query
 def intel_payload(spark, d):
-    payload = link_intel.intel_payload(links_b(spark, d))
+    payload = link_intel.intel_payload(stored_b(spark, d))
     return payload.withColumns(
         {"competitors": F.array_join("competitors", ", "), "examples": F.array_join("examples", "\n")}
     )
@@ -547,7 +557,7 @@ def intel_payload(spark, d):
 
 @query
 def link_details_b(spark, d):
-    return link_intel.link_details(links_b(spark, d)).select(
+    return link_intel.link_details(stored_b(spark, d)).select(
         "competitor_domain", "ref_domain", "source_url", "alpha", "state", "follow", "link_type", "authority_band", "link_fingerprint"
     )
 
@@ -574,7 +584,7 @@ def action_path(spark, d):
 
 @query
 def action_queue_summary(spark, d):
-    measures = link_intel.domain_measures(links_b(spark, d)).select(
+    measures = link_intel.domain_measures(stored_b(spark, d)).select(
         "domain", "alpha", "per_competitor", "backlinks", "live_backlinks", "live_rate", "high_page_as_rate"
     )
     return rounded(action_queue.with_enrichment(measures, enrichment(spark, d)))
@@ -587,7 +597,7 @@ def action_queue_score(spark, d):
 
 @query
 def action_queue_full(spark, d):
-    return action_queue.action_queue(links_b(spark, d), enrichment(spark, d), BRAND)
+    return action_queue.action_queue(stored_b(spark, d), enrichment(spark, d), BRAND)
 
 
 @query

@@ -1,9 +1,10 @@
-"""Session settings and the shared folder used to cut lineage."""
+"""Session settings and the shared folder for stored intermediate tables."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +22,8 @@ def build_session(app: str = "rankloom", master: str | None = None, shuffle_part
         # Above 8000 bytes of bytecode HotSpot interprets a method; wide rule tables are then better off
         # with Spark's split projections than with one huge generated loop.
         .config("spark.sql.codegen.hugeMethodLimit", "8000")
+        # Recording a Python call site per expression costs more than building the plans.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master:
         builder = builder.master(master).config("spark.ui.enabled", "false")
@@ -48,7 +51,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return wanted
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back, so its row placement is fixed."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def store(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the shared checkpoint folder and read it back.
+
+    Used where a result is read more than once or where the placement of rows must not change. The table
+    outlives lost executors, and later reads prune columns and know its size.
+    """
+    spark = df.sparkSession
+    location = f"{ensure_checkpoint_dir(spark).rstrip('/')}/rankloom-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(location)
+    return spark.read.schema(df.schema).parquet(location)
