@@ -51,7 +51,9 @@ def write_payload(rows: DataFrame, path: str) -> None:
 
 
 def _write_csv(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    """CSV with every value quoted as it is: by default the writer would trim blanks and line ends."""
+    writer = rows.write.mode("overwrite").option("header", True).option("escape", '"').option("quoteAll", True)
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_action_queue(queue: DataFrame, path: str) -> None:

@@ -10,13 +10,15 @@ from collections import defaultdict
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.functions.text import BOM, first_filled
 
-BAD_BYTES = "�"
+# What a byte order mark of UTF-16 looks like when read as UTF-8.
+UTF16_START = "��"
 
 
 @dataclass(frozen=True)
@@ -43,9 +45,9 @@ def list_files(spark: SparkSession, folder: str, glob: str, recursive: bool = Fa
         .option("pathGlobFilter", glob)
         .option("recursiveFileLookup", str(recursive).lower())
         .load(folder)
-        .select("path")
+        .inputFiles()
     )
-    return sorted((row.path for row in found.collect()), key=lambda p: (p.rsplit("/", 1)[-1], p))
+    return sorted(map(unquote, found), key=lambda p: (p.rsplit("/", 1)[-1], p))
 
 
 def clean_header(name: str | None) -> str:
@@ -67,7 +69,7 @@ def _broken_utf8(spark: SparkSession, paths: Sequence[str]) -> set[str]:
     """Files holding bytes that are not UTF-8, found by one parallel scan."""
     rows = (
         spark.read.text(list(paths))
-        .filter(F.contains(F.col("value"), F.lit(BAD_BYTES)))
+        .filter(~F.is_valid_utf8(F.col("value")))
         .select(F.col("_metadata.file_name").alias("name"))
         .distinct()
         .collect()
@@ -82,7 +84,7 @@ def inspect(spark: SparkSession, paths: Sequence[str], latin1_fallback: bool = F
     for path in paths:
         first = spark.read.text(path).head(1)
         start = first[0].value if first else ""
-        if start.startswith(BAD_BYTES * 2):
+        if start.startswith(UTF16_START):
             encoding, separator = "UTF-16", "\t"
         elif path.rsplit("/", 1)[-1] in broken:
             encoding, separator = "ISO-8859-1", ","

@@ -119,7 +119,7 @@ def read_targets(spark: SparkSession, file: str) -> DataFrame:
 
 def read_template(spark: SparkSession, file: str) -> tuple[str, str]:
     """Subject (first line with text) and body of a mail template."""
-    text = spark.read.option("wholetext", True).text(file).head(1)[0].value
+    text = spark.read.text(file, wholetext=True).head(1)[0].value
     lines = text.splitlines(keepends=True)
     at = next((i for i, line in enumerate(lines) if line.strip()), None)
     return ("", "") if at is None else (lines[at].strip(), "".join(lines[at + 1 :]).lstrip())

@@ -30,7 +30,7 @@ def long_traffic(wide: DataFrame, date: str, columns: Mapping[str, str]) -> Data
         F.col(date).alias("date"),
         *[F.coalesce(whole(column), F.lit(0).cast("bigint")).alias(domain) for domain, column in columns.items()],
     )
-    return narrow.unpivot("date", list(columns), "domain", "traffic")
+    return narrow.unpivot("date", [F.col(f"`{domain}`") for domain in columns], "domain", "traffic")
 
 
 def read_traffic_overview(spark: SparkSession, file: str, separator: str = ",") -> DataFrame:
