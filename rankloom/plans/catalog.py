@@ -93,7 +93,7 @@ def current(spark: SparkSession, d: str) -> DataFrame:
 @query
 def first_wins_links(spark, d):
     return links_a(spark, d).select(
-        "competitor_domain", "ref_domain", "ref_url", "target_url", "domain_rating", "src_ord"
+        "competitor_domain", "ref_domain", "ref_url", "target_url", "domain_rating", "src_ord.o", "src_ord.l"
     )
 
 
@@ -445,7 +445,7 @@ def registrable_domain(spark, d):
 
 @query
 def link_fingerprint_dedupe(spark, d):
-    return links_b(spark, d).select("competitor_domain", "link_fingerprint", "source_url", "anchor", "src_ord")
+    return links_b(spark, d).select("competitor_domain", "link_fingerprint", "source_url", "anchor", "src_ord.o", "src_ord.l")
 
 
 @query

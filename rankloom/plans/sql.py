@@ -36,7 +36,7 @@ def oracle(name: str, body: str) -> None:
 
 oracle(
     "first_wins_links",
-    "SELECT competitor_domain, ref_domain, ref_url, target_url, domain_rating, src_ord FROM f_links_a",
+    "SELECT competitor_domain, ref_domain, ref_url, target_url, domain_rating, src_ord.o, src_ord.l FROM f_links_a",
 )
 
 _DR = {"0_20": "<= 20", "20_40": "BETWEEN 21 AND 40", "40_60": "BETWEEN 41 AND 60", "60_80": "BETWEEN 61 AND 80", "80_100": "> 80"}
@@ -492,7 +492,7 @@ oracle(
 )
 oracle(
     "link_fingerprint_dedupe",
-    "SELECT competitor_domain, link_fingerprint, source_url, anchor, src_ord FROM f_links_b",
+    "SELECT competitor_domain, link_fingerprint, source_url, anchor, src_ord.o, src_ord.l FROM f_links_b",
 )
 _number = "'^[+-]?(\\d+(_\\d+)*\\.?(\\d+(_\\d+)*)?|\\.\\d+(_\\d+)*)([eE][+-]?\\d+(_\\d+)*)?$'"
 

@@ -118,10 +118,8 @@ _FOLDER = f"({listed(views.FOLDERS)})[(p_size + l_linenumber) % {len(views.FOLDE
 _ANCHOR = f"({listed(views.ANCHORS)})[l_linenumber]"
 _TAIL = f"({listed(views.KEYWORD_TAILS)})[p_size % {len(views.KEYWORD_TAILS)} + 1]"
 _ORDER = (
-    "lpad(CAST(l_orderkey AS VARCHAR), 12, '0') || lpad(CAST(l_linenumber AS VARCHAR), 2, '0')"
-    " || lpad(CAST(l_partkey AS VARCHAR), 12, '0') || lpad(CAST(l_suppkey AS VARCHAR), 10, '0')"
-    " || strftime(l_shipdate, '%Y%m%d') || lpad(CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS VARCHAR), 12, '0')"
-    " || lpad(CAST(CAST(l_quantity AS BIGINT) AS VARCHAR), 3, '0')"
+    "struct_pack(o := l_orderkey, l := l_linenumber, p := l_partkey, s := l_suppkey, d := l_shipdate,"
+    " e := l_extendedprice, q := l_quantity)"
 )
 _COMP = "CAST(least(l_suppkey % 7, l_partkey % 7) AS VARCHAR)"
 _AUTHORITY = "floor(2 * l_quantity * (1 + l_partkey % 10) / 10)"

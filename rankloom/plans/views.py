@@ -44,18 +44,16 @@ def _text(value: Column) -> Column:
 
 
 def line_order() -> Column:
-    """Total order of the line items as one text of fixed-width numbers."""
+    """Total order of the line items."""
     c = F.col
-    wide = lambda value, width: F.lpad(_text(value), width, "0")
-    cents = lambda value: F.round(value * 100, 0).cast("bigint")
-    return F.concat(
-        wide(c("l_orderkey"), 12),
-        wide(c("l_linenumber"), 2),
-        wide(c("l_partkey"), 12),
-        wide(c("l_suppkey"), 10),
-        F.date_format("l_shipdate", "yyyyMMdd"),
-        wide(cents(c("l_extendedprice")), 12),
-        wide(c("l_quantity").cast("bigint"), 3),
+    return F.struct(
+        c("l_orderkey").alias("o"),
+        c("l_linenumber").alias("l"),
+        c("l_partkey").alias("p"),
+        c("l_suppkey").alias("s"),
+        c("l_shipdate").alias("d"),
+        c("l_extendedprice").alias("e"),
+        c("l_quantity").alias("q"),
     )
 
 

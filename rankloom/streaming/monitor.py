@@ -7,10 +7,10 @@ snapshot before it and overwrites its own folder, so the result is the same.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 from rankloom.operators import snapshots
 
