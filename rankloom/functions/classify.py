@@ -33,21 +33,32 @@ def _domain_rule(patterns: Sequence[str]) -> str:
     return "|".join(rules_found)
 
 
-def _first_category(text: Column, table: Mapping[str, Sequence[str]], to_rule) -> Column:
+def domain_type(domain: Column, table: Mapping[str, Sequence[str]]) -> Column:
+    """First category whose patterns match the domain, NULL when none does."""
     picked = F
     for category, patterns in table.items():
-        picked = picked.when(text.rlike(to_rule(patterns)), category)
+        picked = picked.when(domain.rlike(_domain_rule(patterns)), category)
     return picked.otherwise(None)
 
 
-def domain_type(domain: Column, table: Mapping[str, Sequence[str]]) -> Column:
-    """First category whose patterns match the domain, NULL when none does."""
-    return _first_category(domain, table, _domain_rule)
+def _contains_any(text: Column, words: Sequence[str]) -> Column:
+    return F.exists(_word_table(words), lambda word: F.contains(text, word))
 
 
 def text_type(text: Column, table: Mapping[str, Sequence[str]]) -> Column:
-    """First category with a pattern inside the lower-cased text, NULL when none."""
-    return _first_category(F.lower(text), table, _any_of)
+    """First category with a pattern inside the lower-cased text, NULL when none.
+
+    Plain substring search is several times faster than one alternation per category. The text is bound as
+    the element of a one-item array, so it is lower-cased once and not once per pattern.
+    """
+
+    def pick(bound: Column) -> Column:
+        picked = F
+        for category, patterns in table.items():
+            picked = picked.when(_contains_any(bound, patterns), category)
+        return picked.otherwise(None)
+
+    return F.element_at(F.transform(F.array(F.lower(text)), pick), 1)
 
 
 def action_v1(link_type: Column, brand: str) -> Column:
@@ -115,11 +126,19 @@ def mask_words(mask: Column, patterns: Sequence[str], limit: int) -> Column:
     return F.array_join(F.slice(found, 1, limit), ", ")
 
 
+def asset_path(lower_path: Column) -> Column:
+    """The lower-cased path ends in the extension of a static file; a name that is only an extension does not."""
+    extension = F.substring_index(lower_path, ".", -1)
+    return extension.isin(*rules.ASSET_EXTENSIONS) & lower_path.rlike(r"[^./][^/]*\.[^./]+$")
+
+
+def technical_path(lower_path: Column) -> Column:
+    return _contains_any(lower_path, rules.TECHNICAL_PATHS)
+
+
 def asset_url(url: Column) -> Column:
-    """The path ends in the extension of a static file."""
-    name = F.regexp_extract(F.lower(path(url)), r"([^/]*)$", 1)
-    return name.rlike(rf"[^.].*\.(?:{'|'.join(rules.ASSET_EXTENSIONS)})$")
+    return asset_path(F.lower(path(url)))
 
 
 def technical_url(url: Column) -> Column:
-    return F.lower(path(url)).rlike(_any_of(rules.TECHNICAL_PATHS))
+    return technical_path(F.lower(path(url)))

@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions import rules
-from rankloom.functions.classify import asset_url, pattern_mask, technical_url
+from rankloom.functions.classify import asset_path, pattern_mask, technical_path
 from rankloom.functions.dates import year_of
 from rankloom.functions.flags import follows
 from rankloom.functions.ladders import AUTHORITY_BANDS, LINK_KINDS, authority_band, level, link_kind
 from rankloom.functions.numbers import exact, half_up, ratio, whole_even
 from rankloom.functions.text import joined
+from rankloom.functions.urls import path
 from rankloom.operators.ranking import running_totals, top_per_group, yearly_grid
 
 EVIDENCE_WORDS: Mapping[str, Sequence[str]] = {
@@ -157,14 +158,17 @@ def cumulative_cohorts(links: DataFrame) -> DataFrame:
 
 
 def row_evidence(links: DataFrame) -> DataFrame:
-    """Per-link signals of the acquisition path, as flags and pattern masks."""
+    """Per-link signals of the acquisition path, as flags and pattern masks.
+
+    Text and path are columns of their own because each is read by several signals.
+    """
     c = F.col
     text = F.lower(F.concat_ws("\n", "source_title", "source_url", "anchor"))
-    return links.withColumn("_text", text).withColumns(
+    return links.withColumns({"_text": text, "_path": F.lower(path(c("source_url")))}).withColumns(
         {
             **{f"mask_{name}": pattern_mask(c("_text"), words) for name, words in EVIDENCE_WORDS.items()},
-            "asset": asset_url(c("source_url")),
-            "technical": technical_url(c("source_url")),
+            "asset": asset_path(c("_path")),
+            "technical": technical_path(c("_path")),
             "own_site": F.lower("ref_domain") == F.lower("competitor_domain"),
         }
     )
@@ -383,6 +387,11 @@ def intel_payload(links: DataFrame, examples: int = 5) -> DataFrame:
     )
 
 
+def ordered_facts(links: DataFrame) -> DataFrame:
+    """Link facts by competitor, referring domain and source URL, sorted in parallel ranges."""
+    return links.orderBy("competitor_domain", "ref_domain", "source_url", "link_fingerprint")
+
+
 def link_details(links: DataFrame) -> DataFrame:
     """Every link with its derived columns and the overlap of its domain."""
     alpha = (

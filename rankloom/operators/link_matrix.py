@@ -158,6 +158,11 @@ def overlap_matrix(links: DataFrame, threshold: int = 1) -> DataFrame:
     )
 
 
+def top_overlap(matrix: DataFrame, n: int) -> DataFrame:
+    """The best ``n`` rows of the overlap matrix; only they are kept while sorting."""
+    return matrix.limit(n)
+
+
 def overlap_details(links: DataFrame) -> DataFrame:
     """Every link with the overlap of its referring domain (1 when unknown)."""
     alpha = domain_overlap(links).select("ref_domain", "alpha")

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.functions import dates, flags, numbers, scores, text, urls
+from rankloom.functions import dates, flags, numbers, rules, scores, text, urls
+from rankloom.functions.classify import page_class
 from rankloom.functions.ladders import heat
 from rankloom.functions.numbers import half_up, ratio, rounded
 from rankloom.operators import (
@@ -23,10 +24,10 @@ from rankloom.operators import (
     pages,
     snapshots,
 )
-from rankloom.functions import rules
 from rankloom.plans import views
 from rankloom.session import store
-from rankloom.sources import documents, overview
+from rankloom.sinks import writers
+from rankloom.sources import documents, lists, overview, vendor_exports
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -56,8 +57,6 @@ def keyword_facts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def page_facts(spark: SparkSession, d: str) -> DataFrame:
-    from rankloom.functions.classify import page_class
-
     return views.page_metrics(spark, d).withColumn("page_category", page_class(F.col("page_url")))
 
 
@@ -128,6 +127,13 @@ def overlap_matrix(spark, d):
     return link_matrix.overlap_matrix(links_a(spark, d))
 
 
+@query
+def overlap_matrix_topk(spark, d):
+    return link_matrix.top_overlap(link_matrix.overlap_matrix(links_a(spark, d)), 100).select(
+        "ref_domain", "alpha", "total_links", "max_dr", "max_traffic", "is_spam", "is_dofollow"
+    )
+
+
 @query
 def overlap_details(spark, d):
     return link_matrix.overlap_details(store(links_a(spark, d))).select(
@@ -562,6 +568,21 @@ def link_details_b(spark, d):
     )
 
 
+@query
+def ordered_facts_b(spark, d):
+    return link_intel.ordered_facts(links_b(spark, d)).select(
+        "competitor_domain", "ref_domain", "source_url", "link_fingerprint", "first_seen", "is_lost"
+    )
+
+
+@query
+def link_detail_columns(spark, d):
+    """Links with their original columns read back from the raw row."""
+    return writers.with_raw_columns(
+        links_a(spark, d), ["Link anchor", "Anchor", "Missing"], ["competitor_domain", "ref_domain", "ref_url"]
+    )
+
+
 @query
 def diagnostic_levels(spark, d):
     return rounded(link_intel.diagnostics(link_intel.competitor_profile(links_b(spark, d))))
@@ -624,6 +645,26 @@ def import_competitors(spark, d):
     return imports.competitor_of_files(views.links(spark, d), least_share=0.3)
 
 
+@query
+def file_competitors(spark, d):
+    """Competitor and domain readings of export file names made from the parts."""
+    c = F.col
+    name = F.replace(F.initcap("p_name"), F.lit(" "), F.lit("."))
+    part = views.table(spark, d, "part").select("p_partkey", name.alias("name"))
+    made = lambda tail: F.concat(c("name"), F.lit(tail))
+    return part.select(
+        "p_partkey",
+        vendor_exports.links_competitor(made("-backlinks-2024.csv")).alias("links_named"),
+        vendor_exports.links_competitor(made("_all.csv")).alias("links_plain"),
+        vendor_exports.keywords_competitor(made("-organic-positions-us.csv")).alias("keywords_named"),
+        vendor_exports.pages_competitor(made("_top_pages.tsv")).alias("pages_named"),
+        vendor_exports.pages_competitor(made(".csv")).alias("pages_plain"),
+        lists.file_domain(F.concat(F.lit("www."), made("-subdomains-x.csv"))).alias("domain_named"),
+        lists.file_domain(made(".csv")).alias("domain_plain"),
+        imports.cleaned_file_name(F.concat(F.lit("backlinks_"), made("-export.csv"))).alias("cleaned"),
+    )
+
+
 @query
 def import_audit(spark, d):
     rows = views.links(spark, d).withColumn("rejected", F.col("source_title").contains("ring"))

@@ -108,6 +108,11 @@ _MATRIX = f"""SELECT ref_domain, count(DISTINCT competitor_domain) AS alpha, {to
         || (CASE WHEN starts_with(raw_json, '{{"Anchor"') AND anchor <> '' THEN anchor ELSE '无锚文本' END) || ']-->  ' || target_url AS detail FROM f_links_a)
     GROUP BY 1"""
 oracle("overlap_matrix", _MATRIX)
+oracle(
+    "overlap_matrix_topk",
+    f"""SELECT ref_domain, alpha, total_links, max_dr, max_traffic, is_spam, is_dofollow FROM ({_MATRIX})
+        ORDER BY is_spam, is_dofollow DESC, alpha DESC, max_dr DESC, max_traffic DESC, ref_domain LIMIT 100""",
+)
 oracle(
     "overlap_details",
     f"""SELECT alpha, competitor_domain, l.ref_domain, ref_url, target_url
@@ -633,6 +638,17 @@ oracle(
 )
 
 
+oracle(
+    "ordered_facts_b",
+    "SELECT competitor_domain, ref_domain, source_url, link_fingerprint, first_seen, is_lost FROM f_links_b",
+)
+oracle(
+    "link_detail_columns",
+    """SELECT competitor_domain, ref_domain, ref_url, CASE WHEN starts_with(raw_json, '{"Link') THEN anchor ELSE '' END AS "Link anchor",
+        CASE WHEN starts_with(raw_json, '{"Anchor') THEN anchor ELSE '' END AS "Anchor", '' AS "Missing" FROM f_links_a""",
+)
+
+
 def _level(x: str, table) -> str:
     return steps(x, "<", table[0], table[1])
 
@@ -796,6 +812,11 @@ oracle(
     "import_competitors",
     f"""SELECT src_file, CASE WHEN modal_share >= 0.3 THEN modal_value ELSE lower(replace(replace(src_file, 'backlinks-', ''), '.csv', '')) END AS competitor_domain FROM ({_MODAL})""",
 )
+oracle(
+    "file_competitors",
+    """SELECT p_partkey, low AS links_named, low AS links_plain, low AS keywords_named, low AS pages_named, split_part(low, '.', 1) AS pages_plain,
+        low AS domain_named, '' AS domain_plain, low AS cleaned FROM (SELECT p_partkey, replace(lower(p_name), ' ', '.') AS low FROM part)""",
+)
 oracle(
     "import_audit",
     f"""SELECT src_file, n_rows, n_rejected, n_inserted, n_rows - n_rejected - n_inserted AS n_duplicates,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 from pathlib import Path
@@ -56,7 +57,12 @@ def main(sf_dir: str, names: list[str]) -> int:
     from rankloom.plans.sql import ORACLES
     from rankloom.session import build_session
 
-    spark = build_session("check", "local[8]", 8)
+    if os.environ.get("PLAIN_SESSION"):
+        from pyspark.sql import SparkSession
+
+        spark = SparkSession.builder.master("local[8]").config("spark.sql.session.timeZone", "America/Los_Angeles").getOrCreate()
+    else:
+        spark = build_session("check", "local[8]", 8)
     spark.sparkContext.setLogLevel("ERROR")
     con, bad = connect(sf_dir), 0
     for name in names or list(QUERIES):
