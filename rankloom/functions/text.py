@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,6 +20,11 @@ def strip_bom(value: Column) -> Column:
     return strip(F.replace(value, F.lit(BOM), F.lit("")))
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def first_filled(*values: Column, default: Column | None = None) -> Column:
     """First value that is neither NULL nor empty (``a or b or default``)."""
     filled = [F.nullif(v, F.lit("")) for v in values]
@@ -63,17 +68,14 @@ def fill_template(body: str, name: Column, mark: str = "[Name]") -> Column:
     return F.replace(F.lit(body), F.lit(mark), name)
 
 
-def raw_value(raw_json: Column, keys: Sequence[str]) -> Column:
-    """First non-empty value among ``keys`` of a JSON row; NULL when none or when the JSON is bad."""
-    fields = F.from_json(raw_json, "map<string,string>")
-    return first_filled(*[F.element_at(fields, F.lit(k)) for k in keys])
-
-
 def anchor_text(raw_json: Column, keys: Sequence[str], no_anchor: str, unknown: str) -> Column:
     """Anchor of a raw row: text, ``no_anchor`` when it has none, ``unknown`` when the row cannot be read."""
-    fields = F.from_json(raw_json, "map<string,string>")
-    found = first_filled(*[F.element_at(fields, F.lit(k)) for k in keys], default=F.lit(no_anchor))
-    return F.when(fields.isNull(), F.lit(unknown)).otherwise(found)
+
+    def read(fields: Column) -> Column:
+        found = first_filled(*[F.element_at(fields, F.lit(k)) for k in keys], default=F.lit(no_anchor))
+        return F.when(fields.isNull(), F.lit(unknown)).otherwise(found)
+
+    return bind(F.from_json(raw_json, "map<string,string>"), read)
 
 
 def joined(values: Column, separator: str) -> Column:

@@ -9,7 +9,7 @@ from rankloom.functions import rules
 from rankloom.functions.dates import year_of
 from rankloom.functions.ladders import RATING_BANDS, RATING_TOP, rating_band
 from rankloom.functions.numbers import half_up, ratio
-from rankloom.functions.text import breadcrumb_leaf, breadcrumb_root, first_filled, joined, strip
+from rankloom.functions.text import bind, breadcrumb_leaf, breadcrumb_root, first_filled, joined, strip
 from rankloom.operators.ranking import running_totals, yearly_grid
 
 BANDS = [label for _, label in RATING_BANDS] + [RATING_TOP]
@@ -79,9 +79,11 @@ def cumulative_by_year(links: DataFrame) -> DataFrame:
     return running_totals(grid, "competitor_domain", "year", measures)
 
 
-def matrix_detail(links: DataFrame) -> Column:
-    fields = F.from_json(F.col("raw_json"), "map<string,string>")
-    written = F.coalesce(*[F.element_at(fields, F.lit(key)) for key in rules.ANCHOR_KEYS_MATRIX])
+def matrix_detail() -> Column:
+    written = bind(
+        F.from_json(F.col("raw_json"), "map<string,string>"),
+        lambda fields: F.coalesce(*[F.element_at(fields, F.lit(key)) for key in rules.ANCHOR_KEYS_MATRIX]),
+    )
     anchor = first_filled(strip(written), default=F.lit(rules.NO_ANCHOR))
     return F.format_string(
         "[%s] %s  --[%s]-->  %s", F.col("competitor_domain"), F.col("ref_url"), anchor, F.col("target_url")
@@ -91,8 +93,9 @@ def matrix_detail(links: DataFrame) -> Column:
 def per_competitor(links: DataFrame) -> DataFrame:
     """Links of one referring domain and competitor folded into one row.
 
-    For facts that are already unique on this pair no row moves: the pair is the key they were
-    de-duplicated on. Afterwards a domain has at most as many rows as there are competitors.
+    Facts are unique on this pair, so no row moves: the pair is the key they were de-duplicated on. A domain
+    has at most as many rows as there are competitors, and one link reference for each of them; all
+    references are rows of :func:`overlap_details`.
     """
     known_type = F.when((F.col("page_type") != "") & (F.col("page_type") != "Unknown"), F.col("page_type"))
     known_class = F.when(
@@ -107,7 +110,7 @@ def per_competitor(links: DataFrame) -> DataFrame:
         F.bool_and("is_spam").alias("all_spam"),
         F.min(breadcrumb_leaf(known_type)).alias("format"),
         F.min(breadcrumb_root(known_class)).alias("industry"),
-        F.collect_set(matrix_detail(links)).alias("details"),
+        F.min(matrix_detail()).alias("detail"),
     )
 
 
@@ -144,7 +147,7 @@ def overlap_matrix(links: DataFrame, threshold: int = 1) -> DataFrame:
             joined(F.collect_list("competitor_domain"), ", ").alias("shared_by"),
             F.bool_and("all_spam").alias("is_spam"),
             F.bool_or("dofollow").alias("is_dofollow"),
-            joined(F.flatten(F.collect_list("details")), "\n").alias("link_refs"),
+            joined(F.collect_list("detail"), "\n").alias("link_refs"),
         )
         .filter(c("alpha") >= threshold)
         .orderBy(

@@ -20,13 +20,9 @@ def queue_anchor(no_anchor: str) -> Column:
     return anchor_text(F.col("raw_json"), rules.ANCHOR_KEYS_QUEUE, no_anchor, rules.UNREADABLE_ANCHOR)
 
 
-def link_detail(no_anchor: str) -> Column:
+def link_detail(anchor: Column) -> Column:
     return F.format_string(
-        "[%s] %s ---> %s (锚文本: %s)",
-        F.col("competitor_domain"),
-        F.col("ref_url"),
-        F.col("target_url"),
-        queue_anchor(no_anchor),
+        "[%s] %s ---> %s (锚文本: %s)", F.col("competitor_domain"), F.col("ref_url"), F.col("target_url"), anchor
     )
 
 
@@ -36,16 +32,20 @@ def _first_hit(hit: Column, order: Column) -> Column:
 
 
 def domain_stats(links: DataFrame, url_types: Patterns, no_anchor: str) -> DataFrame:
-    """Queue measures per referring domain; a domain is spam as soon as one of its links is."""
-    per_pair = links.groupBy("ref_domain", "competitor_domain").agg(
+    """Queue measures per referring domain; a domain is spam as soon as one of its links is.
+
+    Facts hold one link per domain and competitor, so a domain lists one link for each competitor.
+    """
+    anchor = F.col("_anchor")
+    per_pair = links.withColumn("_anchor", queue_anchor(no_anchor)).groupBy("ref_domain", "competitor_domain").agg(
         F.sum("links_in_group").alias("links"),
         F.max("domain_rating").alias("rating"),
         F.max("page_traffic").alias("traffic"),
         F.bool_or("is_dofollow").alias("dofollow"),
         F.bool_or("is_spam").alias("spam"),
-        F.collect_set(link_detail(no_anchor)).alias("details"),
+        F.min(link_detail(anchor)).alias("detail"),
         _first_hit(text_type(F.col("ref_url"), url_types), F.col("src_ord")).alias("url_hit"),
-        _first_hit(text_type(queue_anchor(no_anchor), rules.ANCHOR_INTENTS), F.col("src_ord")).alias("anchor_hit"),
+        _first_hit(text_type(anchor, rules.ANCHOR_INTENTS), F.col("src_ord")).alias("anchor_hit"),
     )
     counts = F.format_string("%s:%d", F.col("competitor_domain"), F.col("links"))
     return (
@@ -58,7 +58,7 @@ def domain_stats(links: DataFrame, url_types: Patterns, no_anchor: str) -> DataF
             F.bool_or("dofollow").alias("any_dofollow"),
             F.bool_or("spam").alias("any_spam"),
             joined(F.collect_list(counts), ", ").alias("per_competitor"),
-            joined(F.flatten(F.collect_list("details")), "\n\n").alias("example_links"),
+            joined(F.collect_list("detail"), "\n\n").alias("example_links"),
             F.min("url_hit")["hit"].alias("url_type"),
             F.min("anchor_hit")["hit"].alias("anchor_intent"),
         )

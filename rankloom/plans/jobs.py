@@ -172,7 +172,7 @@ def link_intel_run(spark: SparkSession, exports: str, out: str) -> None:
     _tables(
         {
             "audit": imports.audit(rows, facts, headers_by_file(files)),
-            "skipped_files": vendor_exports.skipped_files(spark, files),
+            "skipped_files": vendor_exports.skipped_files(spark, files, rows),
             "profile": rounded(profile),
             "diagnostics": rounded(link_intel.diagnostics(profile)),
             "authority_bands": link_intel.authority_bands(facts),

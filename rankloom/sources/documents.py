@@ -43,20 +43,16 @@ def robots_sitemaps(robots: DataFrame) -> DataFrame:
 def expand_sitemaps(roots: DataFrame, documents: DataFrame, max_depth: int = 3) -> DataFrame:
     """Page URLs reachable from the root sitemaps through indexes, ``max_depth`` levels below the root.
 
-    The breadth-first walk is a fixed number of joins on the document URL; a sitemap met before on the same
-    site is not opened again.
+    The breadth-first walk is a fixed number of joins on the document URL. Every level is a distinct set per
+    site, so indexes that name each other add nothing to the result and the walk always ends.
     """
     found = sitemap_locations(documents)
     indexes = found.filter("is_index").select("sitemap_url", "loc")
     leaves = found.filter(~F.col("is_index")).select("sitemap_url", "loc")
-    level = roots.select("site", "sitemap_url").distinct()
-    visited = level
+    level = reached = roots.select("site", "sitemap_url").distinct()
     for _ in range(max_depth):
-        level = (
-            level.join(indexes, "sitemap_url")
-            .select("site", F.col("loc").alias("sitemap_url"))
-            .distinct()
-            .join(visited, ["site", "sitemap_url"], "left_anti")
-        )
-        visited = visited.unionByName(level)
-    return visited.join(leaves, "sitemap_url").select("site", F.col("loc").alias("page_url")).distinct()
+        level = level.join(indexes, "sitemap_url").select("site", F.col("loc").alias("sitemap_url")).distinct()
+        reached = reached.unionByName(level)
+    return (
+        reached.distinct().join(leaves, "sitemap_url").select("site", F.col("loc").alias("page_url")).distinct()
+    )

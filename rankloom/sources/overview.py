@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankloom.functions.text import BOM
+
 FIRST_DATA_ROW = 4
 LEAST_ROWS = 6
 METRIC = "Organic traffic"
@@ -34,21 +37,26 @@ def long_traffic(wide: DataFrame, date: str, columns: Mapping[str, str]) -> Data
 
 
 def read_traffic_overview(spark: SparkSession, file: str, separator: str = ",") -> DataFrame:
-    """Read one overview export; a file of five rows or fewer gives no rows."""
-    rows = (
-        spark.read.option("header", False)
-        .option("sep", separator)
-        .option("multiLine", True)
-        .option("escape", '"')
-        .csv(file)
-        .withColumn("_row", F.monotonically_increasing_id())
-    )
-    head = rows.orderBy("_row").limit(LEAST_ROWS).collect()
-    names = [n for n in rows.columns if n != "_row"]
-    columns = (
-        traffic_columns([head[0][n] for n in names], [head[1][n] for n in names]) if len(head) >= LEAST_ROWS else {}
-    )
+    """Read one overview export; a file of five lines or fewer gives no rows.
+
+    The file is read by lines, because blank lines count when the data rows are located. Only the first
+    lines reach the driver.
+    """
+    c = F.col
+    place = F.struct(c("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    lines = spark.read.text(file).select(F.replace("value", F.lit(BOM), F.lit("")).alias("line"), place.alias("place"))
+    head = lines.orderBy("place").limit(LEAST_ROWS).collect()
+    if len(head) < LEAST_ROWS:
+        return spark.createDataFrame([], "date string, domain string, traffic bigint")
+    domains, metrics = (next(csv.reader([row.line], delimiter=separator), []) for row in head[:2])
+    columns = traffic_columns(domains, metrics)
     if not columns:
         return spark.createDataFrame([], "date string, domain string, traffic bigint")
-    data = rows.filter(F.col("_row") >= head[FIRST_DATA_ROW]["_row"])
+    names = [f"c{i}" for i in range(max(len(domains), 1))]
+    cells = F.from_csv(
+        c("line"), F.lit(", ".join(f"{n} string" for n in names)), {"sep": separator, "quote": '"', "escape": '"'}
+    )
+    start = head[FIRST_DATA_ROW].place
+    first = F.struct(F.lit(start.block).cast("bigint").alias("block"), F.lit(start.row).cast("bigint").alias("row"))
+    data = lines.filter(c("place") >= first).select(cells.alias("cells")).select("cells.*")
     return long_traffic(data, names[0], {domain: names[index] for domain, index in columns.items()})

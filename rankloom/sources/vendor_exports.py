@@ -197,8 +197,9 @@ def read_vendor_b_links(spark: SparkSession, files: list[ExportFile], multi_line
     return rows.join(owners, "src_file").drop("raw_target_url")
 
 
-def skipped_files(spark: SparkSession, files: list[ExportFile]) -> DataFrame:
-    """Files that were not imported and why (the part of the audit without rows)."""
+def skipped_files(spark: SparkSession, files: list[ExportFile], read: DataFrame | None = None) -> DataFrame:
+    """Files that gave no rows and why (the part of the audit without counts); ``read`` holds the rows that were read."""
+    schema = "src_file string, status string, note string"
     rows = []
     for file in files:
         missing = sorted(set(rules.LINK_EXPORT_REQUIRED) - set(file.lower_headers()))
@@ -208,4 +209,8 @@ def skipped_files(spark: SparkSession, files: list[ExportFile]) -> DataFrame:
             rows.append((file.name, "ERROR", "cannot be read as a table"))
         elif missing:
             rows.append((file.name, "SKIPPED", "missing columns: " + ", ".join(missing)))
-    return spark.createDataFrame(rows, "src_file string, status string, note string")
+    skipped = spark.createDataFrame(rows, schema)
+    if read is None:
+        return skipped
+    accepted = spark.createDataFrame([(f.name, "EMPTY", "no rows") for f in files if has_required(f)], schema)
+    return skipped.unionByName(accepted.join(read.select("src_file").distinct(), "src_file", "left_anti"))

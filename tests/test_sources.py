@@ -113,6 +113,7 @@ B_ROWS = (
 def test_vendor_b_reader_and_audit(spark, tmp_path):
     put(tmp_path, "backlinks-one.csv", B_ROWS)
     put(tmp_path, "bad.csv", "Source url,Anchor\nhttps://x.com,y\n")
+    put(tmp_path, "bare.csv", "Source url,Target url\n")
     put(tmp_path, "latin.csv", "Source url,Target url,Anchor\nhttps://l.com/é,https://acme.com/,caf\xe9\n", "latin-1")
     files = vendor_exports.inspect_vendor_b(spark, str(tmp_path))
     assert {f.name: f.encoding for f in files}["latin.csv"] == "ISO-8859-1"
@@ -128,7 +129,9 @@ def test_vendor_b_reader_and_audit(spark, tmp_path):
     one = audit["backlinks-one.csv"]
     assert (one.n_rows, one.n_rejected, one.n_inserted, one.n_duplicates) == (4, 1, 2, 1)
     assert one.note.startswith("rejected 1; duplicates 1; missing columns: form, frame")
-    assert [tuple(r) for r in spark.read.parquet(f"{out}/skipped_files").collect()] == [("bad.csv", "SKIPPED", "missing columns: target url")]
+    assert sorted(tuple(r) for r in spark.read.parquet(f"{out}/skipped_files").collect()) == [
+        ("bad.csv", "SKIPPED", "missing columns: target url"), ("bare.csv", "EMPTY", "no rows"),
+    ]
     kept = spark.read.parquet(f"{out}/link_facts").filter("ref_domain = 'x.com'").first()
     assert (kept.page_ascore, kept.external_links, kept.first_seen, kept.is_nofollow) == (1234.5, 1000, "2024-03-05", True)
     assert spark.read.json(f"{out}/payload").count() == 3
@@ -164,7 +167,7 @@ def test_headers_are_matched_by_alias():
 
 
 def test_matrix_queue_and_traffic_run(spark, vendor_a, tmp_path_factory):
-    wide = [["", "acme.com/ (subdomains)", "acme.com (subdomains)", "beta.com (subdomains)", "beta.com (exact)"], ["", "Organic traffic", " Organic traffic ", "Organic traffic", "Organic traffic"], [""] * 5, [""] * 5,
+    wide = [["", "acme.com/ (subdomains)", "acme.com (subdomains)", "beta.com (subdomains)", "beta.com (exact)"], ["", "Organic traffic", " Organic traffic ", "Organic traffic", "Organic traffic"], [], [""] * 5,
             ["2024-01-01", "5", "7", "12.5", "9"], ["", "1", "1", "1", "1"], ["2024-01-02", "x", "8", "3", "9"]]
     put(vendor_a, "z-overview-competitors.csv", "\n".join(",".join(r) for r in wide) + "\n")
     out = str(tmp_path_factory.mktemp("out"))
