@@ -6,6 +6,7 @@ are read by one scan.
 
 from __future__ import annotations
 
+import csv
 from collections import defaultdict
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
@@ -77,6 +78,16 @@ def _broken_utf8(spark: SparkSession, paths: Sequence[str]) -> set[str]:
     return {row.name for row in rows}
 
 
+def _header(spark: SparkSession, path: str, start: str, encoding: str, separator: str) -> Sequence[str | None]:
+    """Header cells, cut from the first line where that line is plain text; a blank first line is no header."""
+    if not start.strip():
+        return ()
+    if encoding == "UTF-8" and start.count('"') % 2 == 0:
+        return next(csv.reader([start], delimiter=separator))
+    head = _csv(spark, encoding, separator, True).option("header", False).csv(path).head(1)
+    return tuple(head[0]) if head else ()
+
+
 def inspect(spark: SparkSession, paths: Sequence[str], latin1_fallback: bool = False) -> list[ExportFile]:
     """Encoding, separator and header of every file."""
     broken = _broken_utf8(spark, paths) if latin1_fallback and paths else set()
@@ -90,8 +101,7 @@ def inspect(spark: SparkSession, paths: Sequence[str], latin1_fallback: bool = F
             encoding, separator = "ISO-8859-1", ","
         else:
             encoding, separator = "UTF-8", "\t" if path.lower().endswith(".tsv") else ","
-        head = _csv(spark, encoding, separator, True).option("header", False).csv(path).head(1) if first else []
-        headers = tuple(clean_header(h) for h in head[0]) if head else ()
+        headers = tuple(clean_header(h) for h in _header(spark, path, start, encoding, separator))
         files.append(ExportFile(path, encoding, separator, headers if any(headers) else ()))
     return files
 
