@@ -73,7 +73,7 @@ def main(sf_dir: str, names: list[str]) -> int:
             if name not in ORACLES:
                 print(f"{name:28s} rows-only {result.num_rows}", flush=True)
                 continue
-            problem = difference(result, con.execute(ORACLES[name]).to_arrow_table())
+            problem = difference(result, con.sql(ORACLES[name]).to_arrow_table())
         except Exception as error:  # noqa: BLE001
             result, problem, middle = None, f"ERROR {str(error)[:900]}", time.time()
         bad += bool(problem)

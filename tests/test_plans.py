@@ -22,7 +22,7 @@ def test_every_query_has_a_twin():
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, database, name):
     result = QUERIES[name](spark, SMALL).toArrow()
-    assert difference(result, database.execute(ORACLES[name]).to_arrow_table()) == ""
+    assert difference(result, database.sql(ORACLES[name]).to_arrow_table()) == ""
 
 
 def plan_of(df):
