@@ -1,9 +1,9 @@
 """Near duplicates by word shingles: MinHash bands find candidates, odd sketches screen them, full sets decide.
 
 Texts with equal sets are one node. A band bucket is never expanded into its pairs: its members are compared with two
-hubs, the member that shares most buckets of the corpus and one picked by a hash per bucket. Only what the links found so
-far leave apart within a bucket is then compared, across components and behind the sketch, so the work follows the number
-of documents and not the square of a group.
+hubs, the member that shares most buckets of the corpus and one picked by a hash per bucket. Only texts that share a bucket
+and that the links found so far leave apart are then compared across components, behind a much finer sketch, so that the
+pairs confirmed on full sets are those near the threshold.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from rankloom.llm.components import connected
 from rankloom.llm.tables import pick, row_key, store
 
 SKETCH_BITS = 256
+FINE_BITS = 2048
 _LANES = [f"s{i}" for i in range(SKETCH_BITS // 64)]
 _SIGNATURE = "doc_id long, key_a long, key_b long, n_shingles long, node binary, bands array<long>, " + ", ".join(
     f"{lane} long" for lane in _LANES
@@ -36,7 +37,7 @@ class NearDuplicates:
     ``shingle`` words make a shingle; ``percent`` is the least 100 * intersection / union of a link. ``bands`` bands of
     ``rows`` MinHash values miss a pair at the threshold with probability ``(1 - (percent/100)**rows) ** bands`` (2e-7 here).
     ``sketch_floor`` is the estimated similarity below which a candidate is not confirmed on its full sets; it lies more
-    than four standard deviations under the threshold.
+    than four standard deviations under the threshold, as does ``fine_floor`` for sketches of ``fine_samples`` values.
     """
 
     shingle: int = 5
@@ -44,16 +45,13 @@ class NearDuplicates:
     bands: int = 28
     rows: int = 3
     sketch_floor: float = 0.4
+    fine_samples: int = 680
+    fine_floor: float = 0.67
 
     @property
     def samples(self) -> int:
         return self.bands * self.rows
 
-    @property
-    def most_apart(self) -> int:
-        """Differing sketch bits at the similarity ``sketch_floor``."""
-        return int(SKETCH_BITS / 2 * (1 - math.exp(-4 * self.samples * (1 - self.sketch_floor) / SKETCH_BITS)))
-
 
 def shingle_sets(block: bw.TextBlock, size: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of every text of a block; a text of fewer words has its whole sequence."""
@@ -83,11 +81,23 @@ def _min_hashes(shingles: np.ndarray, factors: np.ndarray, shifts: np.ndarray) -
     return least
 
 
+def _permutations(samples: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(75)
+    odd = rng.integers(1, 2**63, samples, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return odd, rng.integers(1, 2**63, samples, dtype=np.uint64)
+
+
+def _odd_sketch(least: np.ndarray, salt: np.ndarray, bits: int) -> np.ndarray:
+    """Fold the MinHash values of every row into parity bits: a row of 64-bit lanes each."""
+    n = least.shape[0]
+    places = (bw.mix(least ^ salt) % np.uint64(bits)).astype(np.int64) + np.arange(n)[:, None] * bits
+    odd = (np.bincount(places.ravel(), minlength=n * bits) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64).reshape(n, -1)
+
+
 def signatures(docs: DataFrame, how: NearDuplicates) -> DataFrame:
     """Per row: number of shingles, the digest of its set (``node``), band keys and the odd sketch in 64-bit lanes."""
-    rng = np.random.default_rng(75)
-    factors = rng.integers(1, 2**63, how.samples, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    shifts = rng.integers(1, 2**63, how.samples, dtype=np.uint64)
+    factors, shifts = _permutations(how.samples)
     salt = bw.mix(np.arange(1, how.samples + 1, dtype=np.uint64))
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,9 +109,7 @@ def signatures(docs: DataFrame, how: NearDuplicates) -> DataFrame:
                 for i, s in enumerate(sets):
                     if s.size:
                         least[i] = _min_hashes(s, factors, shifts)
-                flips = (bw.mix(least ^ salt) >> np.uint64(56)).astype(np.int64) + np.arange(len(sets))[:, None] * SKETCH_BITS
-                odd = (np.bincount(flips.ravel(), minlength=len(sets) * SKETCH_BITS) & 1).astype(np.uint8)
-                lanes = np.packbits(odd).view(np.int64).reshape(len(sets), -1)
+                lanes = _odd_sketch(least, salt, SKETCH_BITS)
                 grouped = least.reshape(len(sets), how.bands, how.rows)
                 keys = bw.mix((grouped * bw._PLACE[: how.rows]).sum(axis=2, dtype=np.uint64) + salt[: how.bands]).view(np.int64)
                 here = batch.slice(block.first, block.rows)
@@ -121,9 +129,25 @@ def signatures(docs: DataFrame, how: NearDuplicates) -> DataFrame:
     return docs.mapInArrow(per_batch, _SIGNATURE)
 
 
-def _apart(a: str, b: str) -> Column:
+def _lanes(bits: int) -> list[str]:
+    return [f"s{i}" for i in range(bits // 64)]
+
+
+def _apart(a: str, b: str, bits: int = SKETCH_BITS) -> Column:
     """Differing bits of two sketches."""
-    return sum((F.bit_count(F.col(f"{a}.{lane}").bitwiseXOR(F.col(f"{b}.{lane}"))) for lane in _LANES), F.lit(0))
+    return sum((F.bit_count(F.col(f"{a}.{lane}").bitwiseXOR(F.col(f"{b}.{lane}"))) for lane in _lanes(bits)), F.lit(0))
+
+
+def _most_apart(bits: int, samples: int, similarity: float) -> int:
+    """Differing bits to expect at a similarity: each sample that differs flips two bits."""
+    return int(bits / 2 * (1 - math.exp(-4 * samples * (1 - similarity) / bits)))
+
+
+def _possible(a: str, b: str, percent: int, bits: int, most_apart: int) -> Column:
+    """The sizes of the sets allow the threshold and the sketches are near enough."""
+    small = F.least(f"{a}.n_shingles", f"{b}.n_shingles")
+    large = F.greatest(f"{a}.n_shingles", f"{b}.n_shingles")
+    return (small * 100 >= large * percent) & (_apart(a, b, bits) <= most_apart)
 
 
 def _members(nodes: DataFrame) -> DataFrame:
@@ -149,35 +173,62 @@ def _hub_links(members: DataFrame, nodes: DataFrame, how: NearDuplicates) -> Dat
 def _screened(pairs: DataFrame, nodes: DataFrame, how: NearDuplicates) -> DataFrame:
     sketch = nodes.select("node", F.struct("n_shingles", *_LANES).alias("s"))
     both = pairs.join(sketch.toDF("a", "sa"), "a").join(sketch.toDF("b", "sb"), "b")
-    return both.withColumn("apart", _apart("sa", "sb")).filter(_possible("sa", "sb", how)).select("a", "b", "apart")
+    near = _possible("sa", "sb", how.percent, SKETCH_BITS, _most_apart(SKETCH_BITS, how.samples, how.sketch_floor))
+    return both.filter(near).select("a", "b", _apart("sa", "sb").alias("apart"))
 
 
-def _possible(a: str, b: str, how: NearDuplicates) -> Column:
-    """The sketches are near enough and the sizes of the sets allow the threshold."""
-    small = F.least(f"{a}.n_shingles", f"{b}.n_shingles")
-    large = F.greatest(f"{a}.n_shingles", f"{b}.n_shingles")
-    return (small * 100 >= large * how.percent) & (_apart(a, b) <= how.most_apart)
+def _open_groups(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, root, family): the nodes of buckets which the links found so far leave in several components.
 
-
-def _open_links(members: DataFrame, labels: DataFrame, nodes: DataFrame, how: NearDuplicates) -> DataFrame:
-    """(a, b, apart): pairs in a bucket that the links found so far leave in different components."""
+    A family is what shared open buckets hold together, so every undecided pair lies inside one family.
+    """
     rows = _labelled(members.select("key", "node"), "node", "root", labels)
-    several = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("key")
-    sketch = nodes.select("node", F.struct("n_shingles", *_LANES).alias("s"))
-    rows = store(rows.join(several, "key").join(sketch, "node"))
+    several = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("node").alias("u"))
+    rows = store(rows.join(several.filter("low != high").select("key", "u"), "key"))
+    families = connected(rows.select("u", F.col("node").alias("v"))).toDF("node", "family")
+    return store(rows.select("node", "root").distinct().join(families, "node"))
+
+
+def _fine_sketches(sets: DataFrame, samples: int) -> DataFrame:
+    """(node, n_shingles, fine): an odd sketch of many more samples than the bands use, from the full sets."""
+    factors, shifts = _permutations(samples)
+    salt = bw.mix(np.arange(1, samples + 1, dtype=np.uint64))
+
+    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in batch.column("shingles")]
+            least = np.stack([_min_hashes(s, factors, shifts) for s in sets]) if sets else np.zeros((0, samples), np.uint64)
+            lanes = _odd_sketch(least, salt, FINE_BITS)
+            sizes = pa.array([s.size for s in sets], pa.int64())
+            columns = [batch.column("node"), sizes, *(pa.array(lanes[:, i]) for i in range(FINE_BITS // 64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "n_shingles", *_lanes(FINE_BITS)])
+
+    schema = ", ".join(f"{lane} long not null" for lane in _lanes(FINE_BITS))
+    return sets.mapInArrow(per_batch, f"node binary, n_shingles long, {schema}")
+
+
+def _open_links(groups: DataFrame, sets: DataFrame, how: NearDuplicates) -> DataFrame:
+    """(a, b, apart): pairs of a family in different components that their fine sketches allow."""
+    fine = _fine_sketches(sets, how.fine_samples)
+    rows = groups.join(fine.select("node", F.struct("n_shingles", *_lanes(FINE_BITS)).alias("s")), "node")
+    rows = store(rows)
     other = rows.toDF(*(f"{c}_2" for c in rows.columns))
-    meet = (F.col("key") == F.col("key_2")) & (F.col("root") < F.col("root_2")) & _possible("s", "s_2", how)
-    found = rows.join(other, meet).select(F.col("node").alias("a"), F.col("node_2").alias("b"), _apart("s", "s_2").alias("apart"))
-    return found.distinct()
+    near = _possible("s", "s_2", how.percent, FINE_BITS, _most_apart(FINE_BITS, how.fine_samples, how.fine_floor))
+    meet = (F.col("family") == F.col("family_2")) & (F.col("root") < F.col("root_2")) & near
+    return rows.join(other, meet).select(F.col("node").alias("a"), F.col("node_2").alias("b"), _apart("s", "s_2", FINE_BITS).alias("apart"))
 
 
 def _labelled(df: DataFrame, node: str, root: str, labels: DataFrame) -> DataFrame:
     return df.join(labels.toDF(node, "_root"), node, "left").withColumn(root, F.coalesce("_root", node)).drop("_root")
 
 
-def _full_sets(docs: DataFrame, nodes: DataFrame, links: DataFrame, how: NearDuplicates) -> DataFrame:
-    """(node, shingles) of the nodes that have a candidate, made again from the text of one row of each."""
-    wanted = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "row"), "node")
+def _ends(links: DataFrame) -> DataFrame:
+    return links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+
+
+def _full_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, how: NearDuplicates) -> DataFrame:
+    """(node, shingles) of the ``wanted`` nodes, made again from the text of one row of each."""
+    wanted = wanted.select("node").join(nodes.select("node", "row"), "node")
     wanted = wanted.select("node", "row.*").distinct().toDF("node", "id_w", "key_a_w", "key_b_w")
     same = F.col("doc_id").eqNullSafe(F.col("id_w")) & (F.col("key_a") == F.col("key_a_w")) & (F.col("key_b") == F.col("key_b_w"))
     texts = docs.join(wanted, same).select("node", "text")
@@ -250,11 +301,12 @@ def near_duplicates(documents: DataFrame, how: NearDuplicates = NearDuplicates()
     links = store(_hub_links(members, nodes, how))
     labels = nodes.sparkSession.createDataFrame([], "node binary, root binary")
     if not links.isEmpty():
-        sets = store(_full_sets(docs, nodes, links, how))
+        sets = store(_full_sets(docs, nodes, _ends(links), how))
         labels = _joined(labels, links, sets, how)
-        more = store(_open_links(members, labels, nodes, how))
-        if not more.isEmpty():
-            labels = _joined(labels, more, store(_full_sets(docs, nodes, more, how)), how)
+    groups = _open_groups(members, labels)
+    if not groups.isEmpty():
+        sets = store(_full_sets(docs, nodes, groups, how))
+        labels = _joined(labels, store(_open_links(groups, sets, how)), sets, how)
     placed = _labelled(nodes.select("node", F.col("row.doc_id").alias("id")), "node", "root", labels)
     smallest = placed.groupBy("root").agg(F.min("id").alias("component_id"))
     placed = placed.join(smallest, "root").select(F.col("node").alias("n"), "component_id")

@@ -26,3 +26,76 @@ component AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
 FROM component LEFT JOIN sizes USING (doc_id)
 """
+
+EXACT_TOP_K = """
+WITH v AS (
+  SELECT vec_id, list_transform(min(embedding), lambda x: floor(64 * x::DOUBLE)::DOUBLE) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  GROUP BY vec_id),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM s QUALIFY rank <= 20
+"""
+
+SUBSTRING_DEDUP = rf"""
+WITH docs AS (SELECT DISTINCT doc_id, coalesce(text, '') AS t FROM documents),
+cut AS (SELECT doc_id, t, string_split(regexp_replace(t, '([.!?])[ \t]', '\1' || chr(10), 'g'), chr(10)) AS u FROM docs),
+place AS (SELECT doc_id, t, unnest(u) AS unit, generate_subscripts(u, 1) AS i FROM cut),
+placed AS (
+  SELECT doc_id, t, unit, coalesce(sum(length(unit) + 1) OVER (PARTITION BY doc_id, t ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begins
+  FROM place),
+worded AS (
+  SELECT doc_id, t, begins + length(unit) AS stop,
+    begins + length(unit) - length(regexp_replace(unit, '^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+', '')) AS start,
+    regexp_extract_all(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM placed),
+units AS (SELECT doc_id, t, start, stop, array_to_string(w, ' ') AS d FROM worded WHERE len(w) >= 6),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY doc_id, start) AS n FROM units),
+per_doc AS (
+  SELECT doc_id, t, count(*) AS n_units, count(*) FILTER (n > 1) AS n_removed,
+    coalesce(sum(stop - start) FILTER (n > 1), 0)::BIGINT AS removed_chars,
+    coalesce(string_agg(start || '-' || stop, ',' ORDER BY start) FILTER (n > 1), '') AS spans
+  FROM ranked GROUP BY doc_id, t)
+SELECT doc_id, coalesce(n_units, 0)::BIGINT AS n_units, coalesce(n_removed, 0)::BIGINT AS n_removed,
+  coalesce(removed_chars, 0)::BIGINT AS removed_chars, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN per_doc USING (doc_id, t)
+"""
+
+
+def license_scan_sql() -> str:
+    from rankloom.llm.license_scan import LicenseScan, template_grams
+
+    how = LicenseScan()
+    rows = ", ".join(f"({k}, '{label}', {base}, {n}, {t}, '{gram}')" for k, label, base, n, t, gram in template_grams(how))
+    return rf"""
+WITH templates(k, label, base, n, t, gram) AS (VALUES {rows}),
+words AS (
+  SELECT doc_id, coalesce(text, '') AS x, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM (SELECT DISTINCT doc_id, text FROM documents)),
+grams AS (
+  SELECT doc_id, x, k, unnest(range(0, len(w) - k + 1)) AS p,
+    unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS gram
+  FROM words, (SELECT DISTINCT k FROM templates) WHERE len(w) >= k),
+votes AS (
+  SELECT DISTINCT doc_id, x, label, base, n, p - t AS diagonal, t FROM grams JOIN templates USING (k, gram)),
+diagonals AS (SELECT DISTINCT doc_id, x, label, base, diagonal FROM votes),
+stepped AS (
+  SELECT *, CASE WHEN base OR coalesce(diagonal - lag(diagonal) OVER w > {how.drift}, true) THEN 1 ELSE 0 END AS new
+  FROM diagonals WINDOW w AS (PARTITION BY doc_id, x, label, base ORDER BY diagonal)),
+banded AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, x, label, base ORDER BY diagonal) AS band FROM stepped),
+spans AS (
+  SELECT doc_id, x, label, base, band, min(diagonal) AS start, count(DISTINCT t) / max(n) AS cover
+  FROM votes JOIN banded USING (doc_id, x, label, base, diagonal) GROUP BY ALL),
+good AS (SELECT * FROM spans WHERE cover >= CASE WHEN base THEN 1 ELSE {how.least_cover} END),
+per_doc AS (
+  SELECT doc_id, x, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels,
+    max(cover) AS score
+  FROM good GROUP BY doc_id, x)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM words LEFT JOIN per_doc USING (doc_id, x)
+"""
