@@ -19,6 +19,8 @@ from rankloom.llm.tables import pick, row_key, store
 KEY = ["doc_id", "key_a", "key_b"]
 #: A run of characters that a secret can be made of.
 RUN = r"[A-Za-z0-9+/_=-]{12,}"
+#: A candidate has a digit, or is written in capitals.
+_SIGN = "[0-9]|[A-Z]{12}"
 _BESIDE = 48
 
 # Words that stand beside secrets, words that stand beside harmless look-alikes, and words of the dictionary.
@@ -48,11 +50,11 @@ def _any_of(words: str) -> str:
 
 def candidates(documents: DataFrame) -> DataFrame:
     """One row per candidate: key of its text, ``value``, ``start`` (character offset), ``name`` (of an assignment), ``left`` and
-    ``right`` (the text beside it). A candidate has a digit. Null texts have none."""
+    ``right`` (the text beside it). Null texts have none."""
     docs = pick(documents, doc_id="doc_id", text="text").withColumn("doc_id", F.col("doc_id").cast("long"))
     docs = docs.select("doc_id", *row_key(F.col("text")), "text").filter(F.col("text").rlike(RUN))
     runs = docs.select(*KEY, F.regexp_extract_all("text", F.lit(RUN), F.lit(0)).alias("runs"), "text")
-    runs = runs.filter(F.exists("runs", lambda r: r.rlike("[0-9]")))
+    runs = runs.filter(F.exists("runs", lambda r: r.rlike(_SIGN)))
     between = F.transform(
         F.split("text", RUN, -1),
         lambda x: F.struct(F.length(x).alias("size"), F.right(x, F.lit(_BESIDE)).alias("tail"), F.left(x, F.lit(_BESIDE)).alias("head")),
@@ -65,12 +67,12 @@ def candidates(documents: DataFrame) -> DataFrame:
     )
     before = Window.partitionBy(*KEY).orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     start = F.sum(F.col("gap") + F.length("run")).over(before) - F.length("run")
-    rows = rows.distinct().withColumn("start", start).filter(F.col("run").rlike("[0-9]"))
+    rows = rows.distinct().withColumn("start", start).filter(F.col("run").rlike(_SIGN))
     name = F.regexp_extract("run", r"^([A-Za-z][A-Za-z_-]*)=(?=[^=])", 1)
     value = F.when(name != "", F.substr("run", F.length(name) + 2)).otherwise(F.col("run"))
     skip = F.when(name != "", F.length(name) + 1).otherwise(0)
     rows = rows.withColumn("name", name).withColumn("value", value).withColumn("start", (F.col("start") + skip).cast("long"))
-    return rows.filter((F.length("value") >= 12) & F.col("value").rlike("[0-9]")).select(*KEY, "start", "value", "name", "left", "right")
+    return rows.filter((F.length("value") >= 12) & F.col("value").rlike(_SIGN)).select(*KEY, "start", "value", "name", "left", "right")
 
 
 _KEY_BESIDE = f"({_any_of(KEY_WORDS)})[\\s\"':=]*$"
