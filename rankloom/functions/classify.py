@@ -98,8 +98,6 @@ def plan_text(plan: Column, field: int, brand: str) -> Column:
 
 def _word_table(patterns: Sequence[str]) -> Column:
     """The patterns as one constant array."""
-    if len(patterns) > 63:
-        raise ValueError("at most 63 patterns fit into one mask")
     return F.split(F.lit("\n".join(patterns)), "\n")
 
 
@@ -107,8 +105,10 @@ def pattern_mask(text: Column, patterns: Sequence[str]) -> Column:
     """One bit per pattern found in ``text``.
 
     Masks of many rows combine with ``bit_or``, so the evidence of a domain with any number of rows is a
-    single number and no text of a group is ever put together.
+    single number and no text of a group is ever put together. A longer table needs a mask for every 63 patterns.
     """
+    if len(patterns) > 63:
+        raise ValueError("at most 63 patterns fit into one mask")
     none, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
     bits = F.transform(
         _word_table(patterns),

@@ -51,9 +51,16 @@ def clamp(value: Column, low: float = 0.0, high: float = 100.0) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), value))
 
 
+#: Larger magnitudes count as this one in exact sums, so that one damaged value cannot end a run.
+LARGEST = 1e24
+
+
 def exact(value: Column, scale: int = 6) -> Column:
-    """Decimal view of a double, so that sums do not depend on the order of the rows."""
-    return value.cast(f"decimal({18 + scale},{scale})")
+    """Decimal view of a double, so that sums do not depend on the order of the rows; see ``LARGEST``."""
+    held = F.greatest(F.least(value.cast("double"), F.lit(LARGEST)), F.lit(-LARGEST))
+    plain = F.abs(value.cast("double")) < F.lit(1e17)
+    wide = f"decimal(38,{scale})"
+    return F.when(plain, value.cast(f"decimal({18 + scale},{scale})").cast(wide)).when(value.isNotNull(), held.cast(wide))
 
 
 def exact_sum(value: Column, scale: int = 6) -> Column:
@@ -61,8 +68,9 @@ def exact_sum(value: Column, scale: int = 6) -> Column:
 
 
 def half_up(value: Column, digits: int) -> Column:
-    """Round half up on the decimal value; the result is a double again."""
-    return F.round(value.cast("decimal(28,10)"), digits).cast("double")
+    """Round half up on the decimal value; the result is a double again. From 1e17 on a double has no fraction to round."""
+    number = value.cast("double")
+    return F.when(F.abs(number) < F.lit(1e17), F.round(value.cast("decimal(28,10)"), digits).cast("double")).otherwise(number)
 
 
 def whole_even(value: Column) -> Column:

@@ -175,7 +175,8 @@ def keyword_overlap(keywords: DataFrame) -> DataFrame:
     )
 
 
-def keyword_matrix(overlap: DataFrame, limit: int | None = 1500) -> DataFrame:
+def keyword_matrix(overlap: DataFrame, limit: int | None = None) -> DataFrame:
+    """All shared keywords, most competitors first; ``limit`` cuts the table for a sheet."""
     ordered = overlap.orderBy(F.desc("alpha"), F.desc("traffic"), F.asc("kd"), F.asc("keyword"))
     top = ordered.limit(limit) if limit else ordered
     return top.select("keyword", "alpha", "shared_by", "volume", "kd", "cpc", "traffic")
@@ -198,7 +199,8 @@ def keyword_scores(overlap: DataFrame) -> DataFrame:
     )
 
 
-def keyword_queue(overlap: DataFrame, limit: int | None = 2000) -> DataFrame:
+def keyword_queue(overlap: DataFrame, limit: int | None = None) -> DataFrame:
+    """All scored keywords, best first; ``limit`` cuts the table for a sheet."""
     ordered = keyword_scores(overlap).orderBy(F.desc("auto_score"), F.desc("traffic"), F.asc("keyword"))
     top = ordered.limit(limit) if limit else ordered
     blanks = ("ai_relevance", "ai_title", "ai_outline", "editor", "published_url")
@@ -262,7 +264,7 @@ def keyword_benchmarks(keywords: DataFrame) -> DataFrame:
 
 def benchmark_text() -> Column:
     return F.format_string(
-        "[%s] %s (Traffic: %s)", F.col("competitor"), F.col("url"), half_up(F.col("traffic"), 1).cast("string")
+        "[%s] %s (Traffic: %s)", F.col("competitor"), F.col("url"), exact(F.col("traffic"), 1).cast("string")
     )
 
 

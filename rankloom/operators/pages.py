@@ -66,8 +66,8 @@ def top_pages(pages: DataFrame, n: int = 10) -> DataFrame:
     )
 
 
-def page_opportunities(pages: DataFrame, limit: int | None = 500) -> DataFrame:
-    """Strongest pages of all competitors."""
+def page_opportunities(pages: DataFrame, limit: int | None = None) -> DataFrame:
+    """Pages of all competitors, strongest first; ``limit`` cuts the table for a sheet."""
     ordered = pages.orderBy(F.desc("current_traffic"), F.asc("competitor_domain"), F.asc("page_url"))
     top = ordered.limit(limit) if limit else ordered
     return top.select(
@@ -144,10 +144,10 @@ def directory_rollup(merged: DataFrame, by: Sequence[str] = ("domain",)) -> Data
     )
 
 
-def traffic_pages(merged: DataFrame, by: Sequence[str] = ("domain",), fallback: int = 1000) -> DataFrame:
-    """Pages with traffic, best first; a site without any gives its first ``fallback`` pages instead."""
+def traffic_pages(merged: DataFrame, by: Sequence[str] = ("domain",)) -> DataFrame:
+    """Pages with traffic, best first; a site without any gives all its pages instead."""
     visited = merged.filter(F.col("traffic") > 0)
     idle_sites = merged.join(visited.select(*by).distinct(), list(by), "left_anti")
-    return visited.unionByName(top_per_group(idle_sites, by, ["final_url"], fallback)).orderBy(
+    return visited.unionByName(idle_sites).orderBy(
         F.desc("traffic"), *by, "final_url"
     )

@@ -467,12 +467,12 @@ def lenient_numbers(spark, d):
         flags.loose_true(c("word")).alias("flag"),
         flags.strict_true(c("word")).alias("strict"),
     )
-    small = lambda name: F.when(F.abs(c(name)) < 1e9, c(name)).otherwise(0)
+    whole_sum = lambda name: F.sum(c(name).cast("decimal(28,0)")).cast("string")
     return words.groupBy("source").agg(
         F.count(F.lit(1)).alias("n_words"),
-        F.sum(small("as_int").cast("bigint")).alias("sum_int"),
-        half_up(numbers.exact_sum(small("as_double"), 4), 2).alias("sum_double"),
-        F.sum(small("as_grouped").cast("bigint")).alias("sum_grouped"),
+        whole_sum("as_int").alias("sum_int"),
+        numbers.exact_sum(c("as_double"), 0).cast("string").alias("sum_double"),
+        whole_sum("as_grouped").alias("sum_grouped"),
         F.count("as_metric").alias("n_metric"),
         F.count_if(c("flag")).alias("n_flag"),
         F.count_if(c("strict")).alias("n_strict"),
@@ -642,7 +642,7 @@ def modal_target(spark, d):
 
 @query
 def import_competitors(spark, d):
-    return imports.competitor_of_files(views.links(spark, d), least_share=0.3)
+    return imports.competitor_of_files(views.links(spark, d))
 
 
 @query

@@ -56,10 +56,11 @@ def link_matrix_run(spark: SparkSession, exports: str, out: str, brief_keyword:
         },
         out,
     )
-    writers.write_payload(link_matrix.content_briefs(matrix, brief_keyword), f"{out}/briefs")
+    stored = spark.read.parquet(f"{out}/overlap_matrix")
+    writers.write_payload(link_matrix.content_briefs(stored, brief_keyword), f"{out}/briefs")
     wide = list_files(spark, exports, "*overview-competitors*.csv")
     if wide:
-        overview.read_traffic_overview(spark, wide[0]).write.mode("overwrite").parquet(f"{out}/traffic")
+        overview.read_traffic_overviews(spark, wide).write.mode("overwrite").parquet(f"{out}/traffic")
 
 
 def link_queue_run(spark: SparkSession, facts: str, out: str, brand: str) -> None:

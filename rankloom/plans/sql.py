@@ -309,7 +309,7 @@ oracle("keyword_overlap", f"SELECT * REPLACE ({rounded('cpc')} AS cpc) FROM ({_K
 oracle(
     "keyword_matrix",
     f"""SELECT keyword, alpha, shared_by, volume, kd, {rounded('cpc')} AS cpc, traffic FROM ({_KW_OVERLAP})
-        ORDER BY alpha DESC, traffic DESC, kd, keyword LIMIT 1500""",
+        ORDER BY alpha DESC, traffic DESC, kd, keyword""",
 )
 _KW_POINTS = f"""{steps('kd', '<=', scores.KEYWORD_DIFFICULTY_STEPS, 0)} * 0.40 + {steps('alpha', '>=', scores.KEYWORD_OVERLAP_STEPS, 15)} * 0.30
     + {steps('volume', '>=', scores.KEYWORD_VOLUME_STEPS, 10)} * 0.30 + CASE WHEN cpc >= 2 THEN 15 WHEN cpc >= 1 THEN 10 WHEN cpc >= 0.5 THEN 5 ELSE 0 END"""
@@ -322,7 +322,7 @@ oracle("keyword_score", f"SELECT {_KW_COLUMNS} FROM ({_KW_SCORED})")
 oracle(
     "keyword_queue",
     f"""SELECT {_KW_COLUMNS}, shared_by, {_blank(['ai_relevance', 'ai_title', 'ai_outline', 'editor', 'published_url'])}, '未开始 (Not Started)' AS status
-        FROM ({_KW_SCORED}) ORDER BY auto_score DESC, traffic DESC, keyword LIMIT 2000""",
+        FROM ({_KW_SCORED}) ORDER BY auto_score DESC, traffic DESC, keyword""",
 )
 _CAP_COMP = "upper(substr(competitor_domain, 1, 1)) || lower(substr(competitor_domain, 2))"
 _TITLE = (
@@ -367,7 +367,7 @@ oracle(
 )
 oracle(
     "keyword_benchmarks",
-    f"""SELECT keyword, url, competitor, traffic, '[' || competitor || '] ' || url || ' (Traffic: ' || CAST(CAST(traffic AS DECIMAL(18,1)) AS VARCHAR) || ')' AS benchmark FROM (
+    f"""SELECT keyword, url, competitor, traffic, '[' || competitor || '] ' || url || ' (Traffic: ' || CAST(CAST(traffic AS DECIMAL(38,1)) AS VARCHAR) || ')' AS benchmark FROM (
         SELECT keyword, url, {_CAP_COMP.replace('competitor_domain', 'first_comp')} AS competitor, traffic FROM (
             SELECT keyword, url, arg_min(competitor_domain, src_ord) AS first_comp, CAST(sum(current_traffic) AS DOUBLE) AS traffic
             FROM f_keywords WHERE NOT is_branded AND current_traffic > 0 AND url <> '' GROUP BY 1, 2))""",
@@ -401,7 +401,7 @@ oracle(
 oracle(
     "page_opportunities",
     """SELECT competitor_domain, page_category, page_url, top_keyword, top_keyword_volume, top_keyword_position, current_ref_domains, current_keywords,
-        current_traffic, current_traffic_value FROM f_pages ORDER BY current_traffic DESC, competitor_domain, page_url LIMIT 500""",
+        current_traffic, current_traffic_value FROM f_pages ORDER BY current_traffic DESC, competitor_domain, page_url""",
 )
 oracle("sitemap_metrics_outer", "SELECT * FROM f_merged")
 oracle(
@@ -416,7 +416,7 @@ oracle(
     "traffic_pages",
     """SELECT domain, final_url, traffic, keywords, in_sitemap FROM (
         SELECT *, max(traffic) OVER (PARTITION BY domain) AS best, row_number() OVER (PARTITION BY domain ORDER BY final_url) AS place FROM f_merged)
-        WHERE traffic > 0 OR (best = 0 AND place <= 1000)""",
+        WHERE traffic > 0 OR best = 0""",
 )
 _HEAT = "CASE WHEN traffic >= 1000 THEN '🔥🔥🔥' WHEN traffic >= 100 THEN '🔥' WHEN traffic >= 10 THEN '🌟' WHEN traffic > 0 THEN '⭐' ELSE '' END"
 oracle(
@@ -506,16 +506,16 @@ def _double(x: str) -> str:
     return f"(CASE WHEN regexp_matches({x}, {_number}) AND isfinite(TRY_CAST(replace({x}, '_', '') AS DOUBLE)) THEN TRY_CAST(replace({x}, '_', '') AS DOUBLE) END)"
 
 
-def _small(x: str) -> str:
-    return f"(CASE WHEN abs({x}) < 1e9 THEN {x} ELSE 0 END)"
+def _whole_sum(x: str) -> str:
+    return f"CAST(sum(CAST(coalesce(TRY_CAST(trunc({x}) AS BIGINT), 0) AS DECIMAL(38,0))) AS VARCHAR)"
 
 
 _nocomma = "replace(word, ',', '')"
 oracle(
     "lenient_numbers",
-    f"""SELECT source, count(*) AS n_words, {total(f"CAST(trunc({_small('coalesce(n, 0)')}) AS BIGINT)")} AS sum_int,
-        {rounded(f"sum(CAST({_small('coalesce(n, 0)')} AS DECIMAL(22,4)))", 2)} AS sum_double,
-        {total(f"CAST(trunc({_small('coalesce(g, 0)')}) AS BIGINT)")} AS sum_grouped, count(m) AS n_metric,
+    f"""SELECT source, count(*) AS n_words, {_whole_sum('n')} AS sum_int,
+        CAST(sum(CAST(greatest(least(coalesce(n, 0), 1e24), -1e24) AS DECIMAL(38,0))) AS VARCHAR) AS sum_double,
+        {_whole_sum('g')} AS sum_grouped, count(m) AS n_metric,
         {count_where("lower(word) IN ('true', '1', 'yes', 'y', 't')")} AS n_flag, {count_where("upper(word) = 'TRUE'")} AS n_strict
     FROM (SELECT *, {_double('word')} AS n, {_double(_nocomma)} AS g, {_double("replace(replace(word, ',', ''), '%', '')")} AS m
         FROM (SELECT source, unnest(string_split_regex(text, '[ \\t\\n\\r]+')) AS word FROM documents)) GROUP BY 1""",
@@ -810,7 +810,7 @@ _MODAL = f"""SELECT src_file, host AS modal_value, n AS n_modal, CAST(whole AS B
 oracle("modal_target", _round_columns(_MODAL, ("modal_share",)))
 oracle(
     "import_competitors",
-    f"""SELECT src_file, CASE WHEN modal_share >= 0.3 THEN modal_value ELSE lower(replace(replace(src_file, 'backlinks-', ''), '.csv', '')) END AS competitor_domain FROM ({_MODAL})""",
+    f"""SELECT src_file, CASE WHEN modal_share >= 0.5 THEN modal_value ELSE lower(replace(replace(src_file, 'backlinks-', ''), '.csv', '')) END AS competitor_domain FROM ({_MODAL})""",
 )
 oracle(
     "file_competitors",

@@ -57,12 +57,6 @@ def line_order() -> Column:
     )
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on a scan that has fewer splits than cores (one small file); larger scans stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def with_sites(rows: DataFrame, key: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     """Add the referring site of a part: host by brand, path of one of the pages.
 
@@ -93,7 +87,7 @@ def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Link rows with the columns of both vendors."""
     c = F.col
-    rows = with_sites(spread(table(spark, sf_dir, "lineitem")), "l_partkey", spark, sf_dir)
+    rows = with_sites(table(spark, sf_dir, "lineitem"), "l_partkey", spark, sf_dir)
     comp_no = F.least(c("l_suppkey") % 7, c("l_partkey") % 7)
     folder = _pick(FOLDERS, (c("p_size") + c("l_linenumber")) % len(FOLDERS))
     place = (
@@ -188,7 +182,7 @@ def keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "nation"), c("c_nationkey") == c("n_nationkey")
     ).select("c_custkey", "n_name")
     ranked = (
-        spread(table(spark, sf_dir, "lineitem"))
+        table(spark, sf_dir, "lineitem")
         .join(order, c("l_orderkey") == c("o_orderkey"))
         .join(country, c("o_custkey") == c("c_custkey"))
     )
@@ -418,7 +412,7 @@ def prospects(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word of every document."""
     c = F.col
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select(
+    return table(spark, sf_dir, "documents").select(
         "doc_id", "source", F.explode(F.split(c("text"), r"[ \t\n\r]+")).alias("word")
     )
 

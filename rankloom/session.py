@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,10 +31,9 @@ def build_session(app: str = "rankloom", master: str | None = None, shuffle_part
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The reliable checkpoint folder of the session.
+    """The reliable checkpoint folder of the session, which every executor can reach.
 
-    On a cluster the folder must come from the session; a temporary one is made only for local runs,
-    because a machine-local folder is lost with its executor.
+    Without the setting it is a folder in the warehouse, never one that only this machine sees.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -44,9 +41,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     wanted = spark.conf.get(CHECKPOINT_KEY, None) or sc.getConf().get(CHECKPOINT_KEY)
     if not wanted:
-        if not sc.master.startswith("local"):
-            raise ValueError(f"set {CHECKPOINT_KEY} to a folder every executor can reach")
-        wanted = tempfile.mkdtemp(prefix=f"rankloom-{os.getpid()}-")
+        wanted = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     sc.setCheckpointDir(wanted)
     return wanted
 

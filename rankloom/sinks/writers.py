@@ -61,10 +61,12 @@ def write_action_queue(queue: DataFrame, path: str) -> None:
 
 
 def write_batches(batches: DataFrame, path: str) -> None:
-    """One folder per batch, one domain per line."""
-    batches.select("batch_no", "domain").repartition("batch_no").sortWithinPartitions("batch_no", "domain").write.mode(
-        "overwrite"
-    ).partitionBy("batch_no").text(path)
+    """The open domains in queue order with their batch: one master table, cut into files along the order.
+
+    A batch is the rows with its ``batch_no``; they stand together, in the order in which they are to be worked on.
+    """
+    ordered = batches.select("row_no", "batch_no", "domain").repartitionByRange("row_no").sortWithinPartitions("row_no")
+    _write_csv(ordered, path)
 
 
 def with_raw_columns(rows: DataFrame, headers: Sequence[str], lead: Sequence[str | Column], raw: str = "raw_json") -> DataFrame:

@@ -7,6 +7,7 @@ are read by one scan.
 from __future__ import annotations
 
 import csv
+import re
 from collections import defaultdict
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
@@ -66,16 +67,21 @@ def _csv(spark: SparkSession, encoding: str, separator: str, multi_line: bool):
     )
 
 
+def _place(path: str) -> str:
+    """One spelling of a path: local files come as file:/x and as file:///x."""
+    return re.sub(r"^file:/+", "file:/", unquote(path))
+
+
 def _broken_utf8(spark: SparkSession, paths: Sequence[str]) -> set[str]:
     """Files holding bytes that are not UTF-8, found by one parallel scan."""
     rows = (
         spark.read.text(list(paths))
         .filter(~F.is_valid_utf8(F.col("value")))
-        .select(F.col("_metadata.file_name").alias("name"))
+        .select(F.col("_metadata.file_path").alias("path"))
         .distinct()
         .collect()
     )
-    return {row.name for row in rows}
+    return {_place(row.path) for row in rows}
 
 
 def _header(spark: SparkSession, path: str, start: str, encoding: str, separator: str) -> Sequence[str | None]:
@@ -97,7 +103,7 @@ def inspect(spark: SparkSession, paths: Sequence[str], latin1_fallback: bool = F
         start = first[0].value if first else ""
         if start.startswith(UTF16_START):
             encoding, separator = "UTF-16", "\t"
-        elif path.rsplit("/", 1)[-1] in broken:
+        elif _place(path) in broken:
             encoding, separator = "ISO-8859-1", ","
         else:
             encoding, separator = "UTF-8", "\t" if path.lower().endswith(".tsv") else ","
@@ -162,6 +168,7 @@ def read_exports(
                 "src_ord",
                 F.struct(
                     F.col("_metadata.file_name").alias("file"),
+                    F.col("_metadata.file_path").alias("path"),
                     F.col("_metadata.file_block_start").alias("block"),
                     F.monotonically_increasing_id().alias("row"),
                 ),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,40 +15,45 @@ from rankloom.functions.urls import any_www_host, hostname, sitemap_url
 from rankloom.sources.exports import Fields, inspect, list_files, read_exports
 
 
-def normal_header(name: str) -> str:
-    """Header for alias lookup: lower-cased, separators collapsed to one blank."""
-    text = (name or "").replace(BOM, "").strip().lower()
-    return re.sub(r"[\s_\-()/]+", " ", text).strip()
+def header_words(name: str) -> tuple[str, ...]:
+    """The words of a header in lower case; blanks, underscores, hyphens, slashes and brackets part them."""
+    return tuple(w for w in re.split(r"[\s_\-()/]+", (name or "").replace(BOM, " ").lower()) if w)
 
 
-def pick_header(headers: Sequence[str], aliases: Sequence[str]) -> str | None:
-    """Header equal to an alias, else one that starts or ends with an alias as a whole word."""
-    normal = {normal_header(h): h for h in headers}
-    wanted = [normal_header(a) for a in aliases]
-    for alias in wanted:
-        if alias in normal:
-            return normal[alias]
-    for name, original in normal.items():
-        if any(name.endswith(f" {a}") or name.startswith(f"{a} ") for a in wanted):
-            return original
-    return None
+def rank_header(header: Sequence[str], aliases: Sequence[Sequence[str]]) -> int | None:
+    """How well the words of a header fit: the number of the alias they equal, after all of those a header that begins or
+    ends with the words of an alias, None for any other."""
+    for rank, alias in enumerate(aliases):
+        if header == alias:
+            return rank
+    touches = (header[: len(a)] == a or header[-len(a) :] == a for a in aliases if a)
+    return len(aliases) if any(touches) else None
 
 
-def _metrics(rows: DataFrame, f: Fields) -> DataFrame:
-    headers = list(f.raw)
-    domain = pick_header(headers, rules.DOMAIN_HEADERS)
+def settle_headers(headers: Sequence[str], wanted: Mapping[str, Sequence[str]]) -> dict[str, str]:
+    """The best-ranked header of every measure that has one; of equally good ones the first, of equal names the last."""
+    words = {header_words(h): h for h in headers}
+    found = {}
+    for measure, names in wanted.items():
+        aliases = [header_words(n) for n in names]
+        ranks = [(rank, place, h) for place, (w, h) in enumerate(words.items()) if (rank := rank_header(w, aliases)) is not None]
+        if ranks:
+            found[measure] = min(ranks)[2]
+    return found
 
-    def metric(aliases: Sequence[str]) -> Column:
-        header = pick_header(headers, aliases)
-        return metric_double(F.col(f.raw[header])) if header else F.lit(None).cast("double")
 
-    host = hostname(F.col(f.raw[domain])) if domain else F.lit("")
+def _metrics(rows: DataFrame, f: Fields) -> DataFrame:
+    metrics = {
+        "authority_score": rules.AUTHORITY_HEADERS,
+        "monthly_visits": rules.VISITS_HEADERS,
+        "organic_traffic": rules.TRAFFIC_HEADERS,
+        "organic_keywords": rules.KEYWORDS_HEADERS,
+    }
+    found = settle_headers(list(f.raw), {"domain": rules.DOMAIN_HEADERS, **metrics})
+    cell = lambda name: F.col(f.raw[found[name]]) if name in found else F.lit(None).cast("string")
     return rows.select(
-        host.alias("domain"),
-        metric(rules.AUTHORITY_HEADERS).alias("authority_score"),
-        metric(rules.VISITS_HEADERS).alias("monthly_visits"),
-        metric(rules.TRAFFIC_HEADERS).alias("organic_traffic"),
-        metric(rules.KEYWORDS_HEADERS).alias("organic_keywords"),
+        F.coalesce(hostname(cell("domain")), F.lit("")).alias("domain"),
+        *[metric_double(cell(name)).alias(name) for name in metrics],
         F.col("src_file").alias("source_file"),
     ).filter(F.col("domain") != "")
 
@@ -59,22 +64,26 @@ def read_enrichment(spark: SparkSession, folder: str) -> DataFrame | None:
     return read_exports(spark, [f for f in files if len(f.headers) > 1], _metrics)
 
 
+#: What names a page measure: (measure, test on the lower-cased header, rank). The best rank counts, then the last header
+#: of a name that says "current", and the first of a plain one.
+_PAGE_MEASURES = (
+    ("url", r"url", 0),
+    ("traffic", r"(?=.*current).*traffic.*", 0),
+    ("traffic", r"traffic", 1),
+    ("keywords", r"(?=.*current)(?!.*traffic).*keywords.*", 0),
+    ("keywords", r"keywords", 1),
+    ("top_keyword", r"(current )?top keyword", 0),
+)
+
+
 def _page_fields(headers: Sequence[str]) -> dict[str, str]:
-    found: dict[str, str] = {}
-    for header in headers:
-        name = header.lower()
-        if name == "url":
-            found["url"] = header
-        for measure in ("traffic", "keywords"):
-            if measure in name and "current" in name:
-                found[measure] = header
-                break
-            if name == measure and measure not in found:
-                found[measure] = header
-                break
-        if name in ("current top keyword", "top keyword"):
-            found["top_keyword"] = header
-    return found
+    fits = [
+        (measure, rank, -place if rank == 0 else place, header)
+        for place, header in enumerate(headers)
+        for measure, test, rank in _PAGE_MEASURES
+        if re.fullmatch(test, header.lower())
+    ]
+    return {measure: header for measure, _, _, header in sorted(fits, reverse=True)}
 
 
 def file_domain(file_name: Column) -> Column:
@@ -95,18 +104,20 @@ def _page_metrics(rows: DataFrame, f: Fields) -> DataFrame:
         (F.col(f.raw[fields["top_keyword"]]) if "top_keyword" in fields else F.lit("")).alias("top_keyword"),
         "src_file",
         "src_ord",
+        F.col("_metadata.file_path").alias("src_path"),
     ).filter(F.col("metrics_url").isNotNull())
 
 
 def read_page_metrics(spark: SparkSession, folder: str) -> DataFrame | None:
-    """Page metrics of all CSV files below ``folder``; the domain comes from the file name or its first URL."""
+    """Page metrics of all CSV files below ``folder``; the domain comes from the file name or the file's first URL."""
     files = inspect(spark, list_files(spark, folder, "*.csv", recursive=True), latin1_fallback=True)
     rows = read_exports(spark, [f for f in files if len(f.headers) > 1], _page_metrics)
     if rows is None:
         return None
-    first = rows.groupBy("src_file").agg(F.min_by("metrics_url", "src_ord").alias("first_url"))
+    # One row per file; files of one name in different folders are different files.
+    first = rows.groupBy("src_path").agg(F.min_by("metrics_url", "src_ord").alias("first_url"))
     domain = F.coalesce(F.nullif("named_domain", F.lit("")), any_www_host(F.col("first_url")))
-    return rows.join(first, "src_file").select(
+    return rows.join(first, "src_path").select(
         domain.alias("domain"), "metrics_url", "traffic", "keywords", "top_keyword", "src_file", "src_ord"
     )
 

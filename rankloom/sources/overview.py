@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import csv
+import re
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,19 +13,17 @@ from pyspark.sql import functions as F
 from rankloom.functions.text import BOM
 
 FIRST_DATA_ROW = 4
-LEAST_ROWS = 6
 METRIC = "Organic traffic"
 SCOPE = "subdomains"
 
 
 def traffic_columns(domains: Sequence[str | None], metrics: Sequence[str | None]) -> dict[str, int]:
     """Column index per domain; the first matching column of a domain counts."""
-    found: dict[str, int] = {}
-    for index, (domain, metric) in enumerate(zip(domains, metrics)):
-        if domain and SCOPE in domain and (metric or "").strip() == METRIC:
-            name = domain.replace(f"/ ({SCOPE})", "").replace(f" ({SCOPE})", "").strip()
-            found.setdefault(name, index)
-    return found
+    labels = [(re.sub(rf"/? \({SCOPE}\)", "", d or "").strip(), SCOPE in (d or ""), (m or "").strip()) for d, m in zip(domains, metrics)]
+    usable = [(name, index) for index, (name, scoped, metric) in enumerate(labels) if scoped and metric == METRIC]
+    # Read from the right, so that the leftmost column of a domain is the one that stays.
+    leftmost = dict(reversed(usable))
+    return {name: leftmost[name] for name in dict.fromkeys(name for name, _ in usable)}
 
 
 def long_traffic(wide: DataFrame, date: str, columns: Mapping[str, str]) -> DataFrame:
@@ -37,7 +37,7 @@ def long_traffic(wide: DataFrame, date: str, columns: Mapping[str, str]) -> Data
 
 
 def read_traffic_overview(spark: SparkSession, file: str, separator: str = ",") -> DataFrame:
-    """Read one overview export; a file of five lines or fewer gives no rows.
+    """Read one overview export: two header lines, two that are passed over, then the data.
 
     The file is read by lines, because blank lines count when the data rows are located. Only the first
     lines reach the driver.
@@ -45,8 +45,8 @@ def read_traffic_overview(spark: SparkSession, file: str, separator: str = ",")
     c = F.col
     place = F.struct(c("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
     lines = spark.read.text(file).select(F.replace("value", F.lit(BOM), F.lit("")).alias("line"), place.alias("place"))
-    head = lines.orderBy("place").limit(LEAST_ROWS).collect()
-    if len(head) < LEAST_ROWS:
+    head = lines.orderBy("place").limit(FIRST_DATA_ROW + 1).collect()
+    if len(head) <= FIRST_DATA_ROW:
         return spark.createDataFrame([], "date string, domain string, traffic bigint")
     domains, metrics = (next(csv.reader([row.line], delimiter=separator), []) for row in head[:2])
     columns = traffic_columns(domains, metrics)
@@ -60,3 +60,11 @@ def read_traffic_overview(spark: SparkSession, file: str, separator: str = ",")
     first = F.struct(F.lit(start.block).cast("bigint").alias("block"), F.lit(start.row).cast("bigint").alias("row"))
     data = lines.filter(c("place") >= first).select(cells.alias("cells")).select("cells.*")
     return long_traffic(data, names[0], {domain: names[index] for domain, index in columns.items()})
+
+
+def read_traffic_overviews(spark: SparkSession, files: Sequence[str], separator: str = ",") -> DataFrame:
+    """All overview exports together: of several files with a day of a domain the first counts."""
+    parts = [read_traffic_overview(spark, f, separator).withColumn("file_no", F.lit(i)) for i, f in enumerate(files)]
+    both = reduce(DataFrame.unionByName, parts)
+    first = both.groupBy("date", "domain").agg(F.min(F.struct("file_no", "traffic")).alias("first"))
+    return first.select("date", "domain", F.col("first.traffic").alias("traffic"))

@@ -108,7 +108,7 @@ def _empty_keyword_rows(spark: SparkSession, files: list[ExportFile]) -> DataFra
         F.lit("").alias("url"),
         F.lit("{}").alias("raw_json"),
         "src_file",
-        F.struct(F.col("src_file").alias("file"), zero.alias("block"), zero.alias("row")).alias("src_ord"),
+        F.struct(F.col("src_file").alias("file"), F.lit("").alias("path"), zero.alias("block"), zero.alias("row")).alias("src_ord"),
     )
 
 

@@ -193,3 +193,15 @@ def test_assets(one):
 def test_registered_rules_fit_masks():
     for words in (rules.SELF_SERVE, rules.DIRECTORY_PATHS, rules.OFFICIAL_ENTRY, rules.STRATEGIC, rules.EDITORIAL):
         assert len(words) <= 63 and all(w == w.lower() for w in words)
+
+
+def test_one_damaged_value_does_not_end_a_sum(spark):
+    rows = spark.createDataFrame([(1.25,), (1e19,), (1e300,), (-1e300,)], "x double")
+    total = rows.agg(numbers.exact_sum(F.col("x")).alias("t"), F.max(numbers.half_up(F.col("x"), 2)).alias("m")).first()
+    assert float(total.t) == 1e19 + 1.25 and total.m == 1e300
+
+
+def test_word_tables_of_any_length(spark):
+    words = [f"w{i:03d}x" for i in range(100)]
+    rows = spark.createDataFrame([("a W099x b",), ("none",)], "t string")
+    assert [r.k for r in rows.select(text_type(F.col("t"), {"hit": words}).alias("k")).collect()] == ["hit", None]

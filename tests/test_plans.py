@@ -30,8 +30,9 @@ def plan_of(df):
 
 
 @pytest.mark.parametrize("name", ["keyword_matrix", "keyword_queue", "page_opportunities"])
-def test_limited_reports_keep_only_their_rows(spark, name):
-    assert "TakeOrderedAndProject" in plan_of(QUERIES[name](spark, SMALL))
+def test_reports_are_whole_by_default(spark, name):
+    plan = plan_of(QUERIES[name](spark, SMALL))
+    assert "TakeOrderedAndProject" not in plan and "GlobalLimit" not in plan
 
 
 @pytest.mark.parametrize("name", ["first_wins_links", "keyword_terms_top10", "domain_examples_topn", "page_top10", "slug_overlap"])

@@ -148,7 +148,7 @@ def test_action_queue_run(spark, tmp_path):
     assert queue["y.org"].traffic_status == "未补充" and queue["y.org"].domain_authority_score is None
     sheet = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(f"{out}/queue/queue_csv")
     assert len(sheet.columns) == 27 and sheet.columns[0] == "Priority" and sheet.count() == 2
-    assert [r.value for r in spark.read.text(f"{out}/queue/open_domains").collect()] == ["y.org"]
+    assert [tuple(r) for r in spark.read.option("header", True).csv(f"{out}/queue/open_domains").collect()] == [("1", "1", "y.org")]
     jobs.action_queue_run(spark, f"{out}/intel/link_facts", None, f"{out}/bare", "Acme")
     assert spark.read.parquet(f"{out}/bare/priority_counts").agg(F.sum("n_enriched")).first()[0] == 0
 
@@ -160,10 +160,31 @@ def test_stored_facts_are_checked(spark, tmp_path):
 
 
 def test_headers_are_matched_by_alias():
-    assert lists.normal_header("﻿ Authority_Score (AS) ") == "authority score as"
-    assert lists.pick_header(["Foo", "Organic-Traffic"], ["organic traffic"]) == "Organic-Traffic"
-    assert lists.pick_header(["Authority Score (AS)"], ["as", "authority score"]) == "Authority Score (AS)"
-    assert lists.pick_header(["basic"], ["as"]) is None
+    assert lists.header_words("\ufeff Authority_Score (AS) ") == ("authority", "score", "as")
+    pick = lambda headers, aliases: lists.settle_headers(headers, {"m": aliases}).get("m")
+    assert pick(["Foo", "Organic-Traffic"], ["organic traffic"]) == "Organic-Traffic"
+    assert pick(["Authority Score (AS)"], ["as", "authority score"]) == "Authority Score (AS)"
+    assert pick(["score", "AS"], ["as", "score"]) == "AS"
+    assert pick(["basic"], ["as"]) is None
+
+
+def test_page_headers_settle_by_rank():
+    fields = lists._page_fields(["URL", "Traffic", "Current traffic", "Current # of keywords", "Keywords", "Current top keyword"])
+    assert fields == {"url": "URL", "traffic": "Current traffic", "keywords": "Current # of keywords", "top_keyword": "Current top keyword"}
+
+
+def test_page_metrics_of_files_with_one_name(spark, tmp_path):
+    put(tmp_path / "a", "export.csv", "URL,Traffic\nhttps://a.com/x,1\n")
+    put(tmp_path / "b", "export.csv", "URL,Traffic\nhttps://b.com/x,2\n")
+    rows = lists.read_page_metrics(spark, str(tmp_path)).collect()
+    assert sorted((r.domain, r.metrics_url) for r in rows) == [("a.com", "https://a.com/x"), ("b.com", "https://b.com/x")]
+
+
+def test_batches_keep_queue_order(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 1, "z.com"), (2, 1, "a.com"), (3, 2, "m.com")], "row_no long, batch_no long, domain string")
+    writers.write_batches(rows.orderBy("domain"), str(tmp_path / "b"))
+    lines = "".join(p.read_text().split("\n", 1)[1] for p in sorted((tmp_path / "b").glob("part-*")))
+    assert [line.split(",")[2].strip('"') for line in lines.split()] == ["z.com", "a.com", "m.com"]
 
 
 def test_matrix_queue_and_traffic_run(spark, vendor_a, tmp_path_factory):
@@ -181,9 +202,9 @@ def test_matrix_queue_and_traffic_run(spark, vendor_a, tmp_path_factory):
     assert spark.read.parquet(f"{out}/queues/queue_v2").count() == 2
 
 
-def test_short_overview_gives_nothing(spark, tmp_path):
+def test_short_overview_gives_its_day(spark, tmp_path):
     path = put(tmp_path, "o-overview-competitors.csv", ",a.com (subdomains)\n,Organic traffic\n,\n,\n2024-01-01,5\n")
-    assert overview.read_traffic_overview(spark, path).count() == 0
+    assert [tuple(r) for r in overview.read_traffic_overview(spark, path).collect()] == [("2024-01-01", "a.com", 5)]
 
 
 def test_keyword_runs(spark, tmp_path):
