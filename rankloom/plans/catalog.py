@@ -308,7 +308,7 @@ def page_top10(spark, d):
 
 @query
 def page_opportunities(spark, d):
-    return pages.page_opportunities(page_facts(spark, d), 500)
+    return pages.page_opportunities(page_facts(spark, d))
 
 
 @query
