@@ -36,17 +36,19 @@ class NearDuplicates:
 
     ``shingle`` words make a shingle; ``percent`` is the least 100 * intersection / union of a link. ``bands`` bands of
     ``rows`` MinHash values miss a pair at the threshold with probability ``(1 - (percent/100)**rows) ** bands`` (2e-7 here).
-    ``sketch_floor`` is the estimated similarity below which a candidate is not confirmed on its full sets; it lies more
-    than four standard deviations under the threshold, as does ``fine_floor`` for sketches of ``fine_samples`` values.
+    Links with a hub are tried from an estimated similarity of ``sketch_floor`` on; they only save work. What they leave open
+    is tried from ``fine_floor`` on, estimated from ``fine_samples`` values: more than four standard deviations under the
+    threshold. ``block`` nodes of a family meet the whole family in one task.
     """
 
     shingle: int = 5
     percent: int = 75
     bands: int = 28
     rows: int = 3
-    sketch_floor: float = 0.4
+    sketch_floor: float = 0.6
     fine_samples: int = 680
     fine_floor: float = 0.67
+    block: int = 512
 
     @property
     def samples(self) -> int:
@@ -212,9 +214,14 @@ def _open_links(groups: DataFrame, sets: DataFrame, how: NearDuplicates) -> Data
     fine = _fine_sketches(sets, how.fine_samples)
     rows = groups.join(fine.select("node", F.struct("n_shingles", *_lanes(FINE_BITS)).alias("s")), "node")
     rows = store(rows)
-    other = rows.toDF(*(f"{c}_2" for c in rows.columns))
+    # A large family is cut into blocks, each of which meets the whole family, so that no task gets all its pairs.
+    sizes = rows.groupBy("family").agg(F.ceil(F.count("*") / F.lit(how.block)).alias("blocks"))
+    rows = rows.join(sizes, "family")
+    other = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
+    other = other.toDF(*(f"{c}_2" for c in other.columns))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     near = _possible("s", "s_2", how.percent, FINE_BITS, _most_apart(FINE_BITS, how.fine_samples, how.fine_floor))
-    meet = (F.col("family") == F.col("family_2")) & (F.col("root") < F.col("root_2")) & near
+    meet = (F.col("family") == F.col("family_2")) & (F.col("block") == F.col("block_2")) & (F.col("root") < F.col("root_2")) & near
     return rows.join(other, meet).select(F.col("node").alias("a"), F.col("node_2").alias("b"), _apart("s", "s_2", FINE_BITS).alias("apart"))
 
 
@@ -259,18 +266,23 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "set_a", "set_b").mapInArrow(per_batch, "a binary, b binary")
 
 
-def _joined(labels: DataFrame, links: DataFrame, sets: DataFrame, how: NearDuplicates) -> DataFrame:
-    """Confirm candidate links until none leads from one component to another; the new (node, root).
+def _joined(labels: DataFrame, links: DataFrame, sets: DataFrame, how: NearDuplicates, waves: tuple) -> DataFrame:
+    """Confirm candidate links between components, wave by wave; the new (node, root).
 
-    Each node first tries its nearest candidate by sketch, then up to eight, then all that are left: what already hangs
-    together is not confirmed again, and no candidate is left out.
+    In a wave each node tries up to so many of its nearest candidates by sketch; a wave of None tries all that are left. What
+    already hangs together is not confirmed again, and no pair is tried twice.
     """
-    for tries in (1, 8, None):
+    tried = None
+    for tries in waves:
+        if tried is not None:
+            links = links.join(tried, ["a", "b"], "left_anti")
         apart = _labelled(_labelled(links, "a", "root_a", labels), "b", "root_b", labels).filter("root_a != root_b")
         if tries:
             lot = F.pmod(F.xxhash64("b"), F.lit(tries))
             apart = apart.groupBy("a", lot.alias("lot")).agg(F.min(F.struct("apart", "b")).alias("n")).select("a", "n.b")
-        good = store(_confirmed(apart.select("a", "b"), sets, how.percent))
+        now = store(apart.select("a", "b"))
+        tried = now if tried is None else tried.union(now)
+        good = store(_confirmed(now, sets, how.percent))
         if good.isEmpty():
             continue
         ends = _labelled(_labelled(good, "a", "u", labels), "b", "v", labels)
@@ -302,11 +314,11 @@ def near_duplicates(documents: DataFrame, how: NearDuplicates = NearDuplicates()
     labels = nodes.sparkSession.createDataFrame([], "node binary, root binary")
     if not links.isEmpty():
         sets = store(_full_sets(docs, nodes, _ends(links), how))
-        labels = _joined(labels, links, sets, how)
+        labels = _joined(labels, links, sets, how, (1, 8))
     groups = _open_groups(members, labels)
     if not groups.isEmpty():
         sets = store(_full_sets(docs, nodes, groups, how))
-        labels = _joined(labels, store(_open_links(groups, sets, how)), sets, how)
+        labels = _joined(labels, store(_open_links(groups, sets, how)), sets, how, (1, 8, None))
     placed = _labelled(nodes.select("node", F.col("row.doc_id").alias("id")), "node", "root", labels)
     smallest = placed.groupBy("root").agg(F.min("id").alias("component_id"))
     placed = placed.join(smallest, "root").select(F.col("node").alias("n"), "component_id")
