@@ -2,8 +2,8 @@
 
 Texts with equal sets are one node. A band bucket is never expanded into its pairs: its members are compared with two
 hubs, the member that shares most buckets of the corpus and one picked by a hash per bucket. Only texts that share a bucket
-and that the links found so far leave apart are then compared across components, behind a much finer sketch, so that the
-pairs confirmed on full sets are those near the threshold.
+and that the links found so far leave apart are then compared across components, behind a much finer sketch and the parity
+bitmap of the set itself, which never rejects a link, so that the pairs confirmed on full sets are those near the threshold.
 """
 
 from __future__ import annotations
@@ -131,13 +131,20 @@ def signatures(docs: DataFrame, how: NearDuplicates) -> DataFrame:
     return docs.mapInArrow(per_batch, _SIGNATURE)
 
 
-def _lanes(bits: int) -> list[str]:
-    return [f"s{i}" for i in range(bits // 64)]
+def _lanes(bits: int, name: str = "s") -> list[str]:
+    return [f"{name}{i}" for i in range(bits // 64)]
 
 
-def _apart(a: str, b: str, bits: int = SKETCH_BITS) -> Column:
+def _apart(a: str, b: str, bits: int = SKETCH_BITS, name: str = "s") -> Column:
     """Differing bits of two sketches."""
-    return sum((F.bit_count(F.col(f"{a}.{lane}").bitwiseXOR(F.col(f"{b}.{lane}"))) for lane in _lanes(bits)), F.lit(0))
+    return sum((F.bit_count(F.col(f"{a}.{lane}").bitwiseXOR(F.col(f"{b}.{lane}"))) for lane in _lanes(bits, name)), F.lit(0))
+
+
+def _not_excluded(a: str, b: str, percent: int) -> Column:
+    """No link fails this: a shingle of one set alone flips one parity bit, so the sets differ in at least as many shingles
+    as bits, and a link of ``percent`` allows ``(100 - percent) / (100 + percent)`` of both sizes together."""
+    allowed = (F.col(f"{a}.n_shingles") + F.col(f"{b}.n_shingles")) * (100 - percent)
+    return _apart(a, b, FINE_BITS, "p") * (100 + percent) <= allowed
 
 
 def _most_apart(bits: int, samples: int, similarity: float) -> int:
@@ -191,8 +198,14 @@ def _open_groups(members: DataFrame, labels: DataFrame) -> DataFrame:
     return store(rows.select("node", "root").distinct().join(families, "node"))
 
 
+def _set_parity(shingles: np.ndarray) -> np.ndarray:
+    """The shingles themselves folded into parity bits, as 64-bit lanes."""
+    places = (bw.mix(shingles) % np.uint64(FINE_BITS)).astype(np.int64)
+    return np.packbits((np.bincount(places, minlength=FINE_BITS) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _fine_sketches(sets: DataFrame, samples: int) -> DataFrame:
-    """(node, n_shingles, fine): an odd sketch of many more samples than the bands use, from the full sets."""
+    """(node, n_shingles, s..., p...): an odd sketch of many more samples than the bands use, and the parity bits of the set."""
     factors, shifts = _permutations(samples)
     salt = bw.mix(np.arange(1, samples + 1, dtype=np.uint64))
 
@@ -201,18 +214,21 @@ def _fine_sketches(sets: DataFrame, samples: int) -> DataFrame:
             sets = [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in batch.column("shingles")]
             least = np.stack([_min_hashes(s, factors, shifts) for s in sets]) if sets else np.zeros((0, samples), np.uint64)
             lanes = _odd_sketch(least, salt, FINE_BITS)
+            parity = np.stack([_set_parity(s) for s in sets]) if sets else np.zeros((0, FINE_BITS // 64), np.int64)
             sizes = pa.array([s.size for s in sets], pa.int64())
-            columns = [batch.column("node"), sizes, *(pa.array(lanes[:, i]) for i in range(FINE_BITS // 64))]
-            yield pa.RecordBatch.from_arrays(columns, names=["node", "n_shingles", *_lanes(FINE_BITS)])
+            columns = [batch.column("node"), sizes, *(pa.array(x[:, i]) for x in (lanes, parity) for i in range(x.shape[1]))]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "n_shingles", *fine])
 
-    schema = ", ".join(f"{lane} long not null" for lane in _lanes(FINE_BITS))
+    fine = [*_lanes(FINE_BITS), *_lanes(FINE_BITS, "p")]
+    schema = ", ".join(f"{lane} long not null" for lane in fine)
     return sets.mapInArrow(per_batch, f"node binary, n_shingles long, {schema}")
 
 
 def _open_links(groups: DataFrame, sets: DataFrame, how: NearDuplicates) -> DataFrame:
     """(a, b, apart): pairs of a family in different components that their fine sketches allow."""
     fine = _fine_sketches(sets, how.fine_samples)
-    rows = groups.join(fine.select("node", F.struct("n_shingles", *_lanes(FINE_BITS)).alias("s")), "node")
+    sketch = F.struct("n_shingles", *_lanes(FINE_BITS), *_lanes(FINE_BITS, "p"))
+    rows = groups.join(fine.select("node", sketch.alias("s")), "node")
     rows = store(rows)
     # A large family is cut into blocks, each of which meets the whole family, so that no task gets all its pairs.
     sizes = rows.groupBy("family").agg(F.ceil(F.count("*") / F.lit(how.block)).alias("blocks"))
@@ -220,7 +236,8 @@ def _open_links(groups: DataFrame, sets: DataFrame, how: NearDuplicates) -> Data
     other = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
     other = other.toDF(*(f"{c}_2" for c in other.columns))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    near = _possible("s", "s_2", how.percent, FINE_BITS, _most_apart(FINE_BITS, how.fine_samples, how.fine_floor))
+    near = _not_excluded("s", "s_2", how.percent)
+    near &= _possible("s", "s_2", how.percent, FINE_BITS, _most_apart(FINE_BITS, how.fine_samples, how.fine_floor))
     meet = (F.col("family") == F.col("family_2")) & (F.col("block") == F.col("block_2")) & (F.col("root") < F.col("root_2")) & near
     return rows.join(other, meet).select(F.col("node").alias("a"), F.col("node_2").alias("b"), _apart("s", "s_2", FINE_BITS).alias("apart"))
 
@@ -318,7 +335,7 @@ def near_duplicates(documents: DataFrame, how: NearDuplicates = NearDuplicates()
     groups = _open_groups(members, labels)
     if not groups.isEmpty():
         sets = store(_full_sets(docs, nodes, groups, how))
-        labels = _joined(labels, store(_open_links(groups, sets, how)), sets, how, (1, 8, None))
+        labels = _joined(labels, store(_open_links(groups, sets, how)), sets, how, (None,))
     placed = _labelled(nodes.select("node", F.col("row.doc_id").alias("id")), "node", "root", labels)
     smallest = placed.groupBy("root").agg(F.min("id").alias("component_id"))
     placed = placed.join(smallest, "root").select(F.col("node").alias("n"), "component_id")
