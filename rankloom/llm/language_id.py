@@ -109,12 +109,28 @@ def _machines(langs: list[str]) -> list[tuple[str, str, str]]:
     return out
 
 
+def _sample(usable: DataFrame, texts: dict[str, int], how: LanguageModel) -> DataFrame:
+    """The ``sample`` different texts of each language with the smallest digests.
+
+    ``texts`` holds about how many there are. Only digests under a bound that lets about four times the sample through
+    are ranked, so what a language sends to the task that ranks it does not grow with the table.
+    """
+    share = F.col("digest").cast("double") / 2.0**64 + 0.5
+    bounds = [(lang, min(1.0, 4.0 * how.sample / max(n, 1))) for lang, n in texts.items()]
+    bounds = usable.sparkSession.createDataFrame(bounds, "lang string, bound double")
+    low = usable.join(F.broadcast(bounds), "lang").filter(share <= F.col("bound"))
+    low = low.groupBy("lang", "digest").agg(F.min("text").alias("text"))
+    ranked = Window.partitionBy("lang").orderBy("digest")
+    return low.withColumn("n", F.row_number().over(ranked)).filter(F.col("n") <= how.sample)
+
+
 def train(labelled: DataFrame, how: LanguageModel = LanguageModel()) -> dict:
     """Machines from (text, lang). The driver gets the list of languages and one row of weights per machine."""
     usable = labelled.filter("lang is not null and text is not null").filter(F.col("text").rlike(r"\p{L}"))
-    ranked = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    chosen = usable.withColumn("n", F.row_number().over(ranked)).filter(F.col("n") <= how.sample).select("text", "lang")
-    langs = sorted(r.lang for r in usable.select("lang").distinct().collect())
+    usable = usable.withColumn("digest", F.xxhash64("text"))
+    counted = usable.groupBy("lang").agg(F.approx_count_distinct("digest").alias("texts")).collect()
+    langs = sorted(r.lang for r in counted)
+    chosen = _sample(usable, {r.lang: r.texts for r in counted}, how).select("text", "lang")
     machines = _machines(langs)
     if not machines:
         return {"langs": langs, "machines": []}
