@@ -5,15 +5,16 @@ import re
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from rankloom.llm import edit_counts as ec
 from rankloom.llm import pieces
-from rankloom.llm.language_id import LanguageModel, language_id
+from rankloom.llm.language_id import LanguageModel, _sample, language_id
 from rankloom.llm.license_scan import license_scan
 from rankloom.llm.mixing import Mixing, mix, rake
-from rankloom.llm.near_duplicates import near_duplicates
+from rankloom.llm.near_duplicates import _set_parity, near_duplicates
 from rankloom.llm.queries import BYTE_RANKS, PIECE_MODEL
 from rankloom.llm.secret_scan import findings, redacted, secret_scan
 from rankloom.llm.substring_dedup import repeated_spans, without_spans
@@ -244,3 +245,21 @@ def test_secret_scan_plan_has_no_python(spark):
 def test_columns_are_found_by_their_exact_names(spark):
     docs = table(spark, ["a b c d e f", "b c"]).withColumnRenamed("source", "TEXT").withColumn("node", F.lit(1))
     assert near_duplicates(docs).count() == 2 and license_scan(docs).count() == 2
+
+
+def test_parity_bits_never_exceed_the_difference():
+    rng = np.random.default_rng(3)
+    for size in (1, 30, 400, 9000):
+        a = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[a.size // 8 :], rng.integers(0, 2**63, size // 8, dtype=np.uint64)]))
+        bits = int(np.unpackbits((_set_parity(a) ^ _set_parity(b)).view(np.uint8)).sum())
+        assert bits <= np.setxor1d(a, b).size
+        assert not (_set_parity(a) ^ _set_parity(a)).any()
+
+
+def test_languages_are_learned_from_each_text_once(spark):
+    rows = [("the same text", "en")] * 300 + [(f"text number {i}", "en") for i in range(200)] + [("un texte", "fr")]
+    usable = spark.createDataFrame(rows, "text string, lang string").selectExpr("*", "xxhash64(text) as digest")
+    drawn = _sample(usable, {"en": 201, "fr": 1}, LanguageModel(sample=20)).collect()
+    assert sorted(r.lang for r in drawn) == ["en"] * 20 + ["fr"]
+    assert len({r.text for r in drawn}) == 21
