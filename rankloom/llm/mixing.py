@@ -1,7 +1,8 @@
 """Mixing sources to target weights: iterative proportional fitting of token weights, then a draw of documents.
 
 Tokens are summed per cell of (source, language, topic). The cell weights are raked to the targets of each margin in turn
-until the margins agree; a document's chance follows the weight of its cell.
+until the margins agree; a document's chance follows the weight of its cell. No cell gives more than it has: a cell that
+would need a chance above 1 is held there and the others are raked to give the rest.
 """
 
 from __future__ import annotations
@@ -15,6 +16,10 @@ from pyspark.sql import functions as F
 from rankloom.llm.tables import pick
 
 OTHER = "(other)"
+#: Raking ends when no factor changes by more in a round.
+ENOUGH = 1e-12
+#: Margins closer than this to their targets have them.
+NEAR = 1e-6
 
 # Topics by signs in the text; the first that applies counts.
 TOPIC_SIGNS = (
@@ -26,10 +31,13 @@ TOPIC_SIGNS = (
 
 @dataclass(frozen=True)
 class Mixing:
-    """``share`` of all tokens are drawn. Targets of a margin not given are its token shares to the power ``flatten``, scaled
+    """``share`` of all tokens are drawn, or as much less as the targets need: a value cannot give more than it has, so a target
+    can ask for a smaller draw. Below ``least_share`` the draw is not lowered (a few tiny values would take nearly all of it);
+    what is short then is taken whole and the others give the rest. Targets of a margin not given are its token shares to the power ``flatten``, scaled
     to 1. ``names`` values of a margin at most have targets of their own, those with most tokens; the others are one value."""
 
     share: float = 0.5
+    least_share: float = 0.1
     flatten: float = 0.5
     names: int = 64
     rounds: int = 50
@@ -52,18 +60,34 @@ def count_words() -> Column:
     return F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def rake(cells: list[tuple[tuple[str, ...], float]], targets: list[dict[str, float]], rounds: int) -> dict[tuple[str, ...], float]:
-    """Factors of the cells, so that weighted tokens have the target shares of every margin (as far as they agree)."""
-    weight = {key: tokens for key, tokens in cells if tokens > 0}
-    start = dict(weight)
+def rake(
+    cells: list[tuple[tuple[str, ...], float]], targets: list[dict[str, float]], rounds: int, most: float = float("inf")
+) -> dict[tuple[str, ...], float]:
+    """Factors of the cells, so that weighted tokens have the target shares of every margin (as far as they agree).
+
+    A factor above ``most`` counts as ``most``; the cells below it are raked to give what is then missing.
+    """
+    tokens = {key: n for key, n in sorted(cells) if n > 0}
+    factor = dict.fromkeys(tokens, 1.0)
     for _ in range(rounds):
+        gap = 0.0
         for i, wanted in enumerate(targets):
-            sums: dict[str, float] = {}
-            for key in sorted(weight):
-                sums[key[i]] = sums.get(key[i], 0.0) + weight[key]
-            for key in weight:
-                weight[key] *= wanted[key[i]] / sums[key[i]] if sums[key[i]] > 0 else 0.0
-    return {key: weight[key] / start[key] for key in weight}
+            held: dict[str, float] = {}
+            free: dict[str, float] = {}
+            for key, n in tokens.items():
+                side = held if factor[key] >= most else free
+                side[key[i]] = side.get(key[i], 0.0) + n * min(factor[key], most)
+            steps = {}
+            for v in held.keys() | free.keys():
+                want, full, rest = wanted.get(v, 0.0), held.get(v, 0.0), free.get(v, 0.0)
+                # Only free cells follow a common factor; where none is left or the held ones give too much, all go down.
+                steps[v] = (want - full) / rest if rest > 0 and want > full else want / (full + rest) if full + rest > 0 else 0.0
+                gap = max(gap, abs(steps[v] - 1))
+            for key in tokens:
+                factor[key] *= steps[key[i]]
+        if gap < ENOUGH:
+            break
+    return factor
 
 
 def _targets(shares: dict[str, float], how: Mixing, margin: str) -> dict[str, float]:
@@ -73,10 +97,77 @@ def _targets(shares: dict[str, float], how: Mixing, margin: str) -> dict[str, fl
     return {v: x / total if total else 0.0 for v, x in raw.items()}
 
 
+def attainable(target: dict[str, float], most: dict[str, float], total: float) -> dict[str, float]:
+    """``total`` parted as the targets say, but to no value more than its ``most``; what that leaves goes to the others."""
+    full: set[str] = set()
+    while True:
+        free = [v for v in sorted(target) if target[v] > 0 and v not in full]
+        weight = sum(target[v] for v in free)
+        level = (total - sum(most[v] for v in sorted(full))) / weight if weight else 0.0
+        more = {v for v in free if target[v] * level >= most[v]}
+        if not more:
+            return {v: most[v] if v in full else target[v] * level for v in target}
+        full |= more
+
+
+def calibrate(cells: list[tuple[tuple[str, ...], float]], how: Mixing) -> tuple[dict[tuple[str, ...], float], float]:
+    """The weight of every cell with tokens, and the share of all tokens that is drawn; no weight times that share exceeds 1."""
+    cells = sorted((k, t) for k, t in cells if t > 0)
+    whole = sum(t for _, t in cells)
+    sides = range(len(MARGINS))
+    targets = []
+    for i in sides:
+        shares: dict[str, float] = {}
+        for key, tokens in cells:
+            shares[key[i]] = shares.get(key[i], 0.0) + tokens / whole
+        targets.append(_targets(shares, how, MARGINS[i]))
+    weights = {k: 0.0 for k, _ in cells}
+    # What a target of 0 shuts out can give nothing.
+    usable = [(k, t / whole) for k, t in cells if all(targets[i][k[i]] > 0 for i in sides)]
+    have: list[dict[str, float]] = [{} for _ in sides]
+    for key, tokens in usable:
+        for i in sides:
+            have[i][key[i]] = have[i].get(key[i], 0.0) + tokens
+    enough = [have[i].get(v, 0.0) / t for i in sides for v, t in targets[i].items() if t > 0]
+    share = min(1.0, how.share, max(min(enough, default=0.0), how.least_share))
+    if not usable or share <= 0:
+        return weights, max(share, 0.0)
+    share = min(share, sum(t for _, t in usable))
+    made = _raked_to(share, usable, targets, have, how.rounds)
+    if _missed(usable, made, share, targets, have) > NEAR and share > how.least_share:
+        # The margins cannot be had together from what is there: the draw for which no unbounded factor exceeds 1 has them.
+        loose = rake(usable, [attainable(t, dict.fromkeys(t, float("inf")), 1.0) for t in targets], how.rounds)
+        share = min(share, max(how.least_share, 1.0 / max(loose.values())))
+        made = _raked_to(share, usable, targets, have, how.rounds)
+    return weights | made, share
+
+
+def _wanted(share: float, targets: list[dict[str, float]], have: list[dict[str, float]]) -> list[dict[str, float]]:
+    return [attainable(t, {v: h.get(v, 0.0) / share for v in t}, 1.0) for t, h in zip(targets, have, strict=True)]
+
+
+def _raked_to(share: float, usable: list, targets: list, have: list, rounds: int) -> dict[tuple[str, ...], float]:
+    made = rake(usable, _wanted(share, targets, have), rounds, 1.0 / share)
+    return {k: min(w, 1.0 / share) for k, w in made.items()}
+
+
+def _missed(usable: list, made: dict, share: float, targets: list, have: list) -> float:
+    """How far the margins are from the shares that they can have."""
+    apart = 0.0
+    for i, wanted in enumerate(_wanted(share, targets, have)):
+        sums = dict.fromkeys(wanted, 0.0)
+        for key, tokens in usable:
+            sums[key[i]] += tokens * made[key]
+        apart = max([apart, *(abs(sums[v] - wanted[v]) for v in wanted)])
+    return apart
+
+
 def mix(documents: DataFrame, how: Mixing = Mixing()) -> DataFrame:
     """One row per row: doc_id, source, lang, topic, n_tokens, weight, probability, kept.
 
-    ``probability`` is min(1, share * weight), ``weight`` the raked share of a cell over its share now; ``kept`` holds a digest
+    ``weight`` is the raked share of a cell over its share now, ``probability`` the weight times the share that is drawn (see
+    ``Mixing``). The weights are raked so that no probability exceeds 1: what a cell cannot give, others of its margins give
+    (``margins`` shows the target shares and those reached). ``kept`` holds a digest
     of the doc_id against it, so the draw is the same in every run. Null sources and languages are values of their own
     (``(none)``), a null text has no tokens; documents without tokens weigh nothing on the margins and stay with the chance
     ``share``. Rows with the same doc_id share their draw; a null doc_id draws by its text. An empty table gives no rows.
@@ -103,23 +194,36 @@ def mix(documents: DataFrame, how: Mixing = Mixing()) -> DataFrame:
     cell = [F.when(F.col(m).isin(kept.get(m, [])), F.col(m)).otherwise(F.lit(OTHER)).alias(f"cell_{m}") for m in MARGINS]
     found = cells.select(*cell, "tokens").groupBy(*(f"cell_{m}" for m in MARGINS)).agg(F.sum("tokens").cast("double").alias("tokens"))
     table = sorted((tuple(r[:3]), r.tokens) for r in found.collect())
-    whole = sum(t for _, t in table)
-    weights: dict[tuple[str, ...], float] = {}
-    if whole:
-        targets = []
-        for i, margin in enumerate(MARGINS):
-            shares: dict[str, float] = {}
-            for key, tokens in table:
-                shares[key[i]] = shares.get(key[i], 0.0) + tokens / whole
-            targets.append(_targets({v: s for v, s in shares.items() if s > 0}, how, margin))
-        weights = rake([(k, t / whole) for k, t in table], targets, how.rounds)
+    weights, share = calibrate(table, how)
     spark = documents.sparkSession
     made = spark.createDataFrame([(*k, w) for k, w in sorted(weights.items())], "s string, l string, t string, weight double")
     # The weights have at most (names + 1)**3 rows.
     same = [F.col(f"cell_{m}") == F.col(c) for m, c in zip(MARGINS, "slt", strict=True)]
     out = rows.select("*", *cell).join(F.broadcast(made), same, "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
     draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(how.seed), "name")), 1, 12), 16, 10).cast("double") / F.lit(float(2**48))
-    out = out.withColumn("probability", F.least(F.lit(1.0), F.col("weight") * how.share))
+    out = out.withColumn("probability", F.least(F.lit(1.0), F.col("weight") * F.lit(share)))
     return out.withColumn("kept", draw < F.col("probability")).select(
         "doc_id", *MARGINS, "n_tokens", "weight", "probability", "kept"
     )
+
+
+def margins(mixed: DataFrame, how: Mixing = Mixing()) -> DataFrame:
+    """margin, value, tokens, target, achieved, drawn: the shares that the targets ask for, that the probabilities of a result
+    of ``mix`` give and that its kept rows have."""
+    out = []
+    for margin in MARGINS:
+        sums = mixed.groupBy(F.col(margin).alias("value")).agg(
+            F.sum("n_tokens").cast("double").alias("tokens"),
+            F.sum(F.col("n_tokens") * F.col("probability")).alias("achieved"),
+            F.sum(F.when(F.col("kept"), F.col("n_tokens")).otherwise(0)).cast("double").alias("drawn"),
+        ).filter("tokens > 0")
+        given = how.targets.get(margin)
+        if given:
+            named = mixed.sparkSession.createDataFrame([(v, float(x)) for v, x in given.items()], "value string, target double")
+            sums = sums.join(named, "value", "left").fillna(0.0, ["target"])
+        else:
+            sums = sums.withColumn("target", F.pow("tokens", F.lit(how.flatten)))
+        wholes = sums.agg(*(F.sum(c).alias(f"all_{c}") for c in ("target", "achieved", "drawn")))
+        shares = [(F.col(c) / F.nullif(F.col(f"all_{c}"), F.lit(0.0))).alias(c) for c in ("target", "achieved", "drawn")]
+        out.append(sums.crossJoin(wholes).select(F.lit(margin).alias("margin"), "value", F.col("tokens").cast("long"), *shares))
+    return out[0].union(out[1]).union(out[2])
