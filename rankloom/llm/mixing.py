@@ -13,9 +13,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.tables import pick
+from rankloom.llm.tables import pick, store
 
-OTHER = "(other)"
 #: Raking ends when no factor changes by more in a round.
 ENOUGH = 1e-12
 #: Margins closer than this to their targets have them.
@@ -34,12 +33,12 @@ class Mixing:
     """``share`` of all tokens are drawn, or as much less as the targets need: a value cannot give more than it has, so a target
     can ask for a smaller draw. Below ``least_share`` the draw is not lowered (a few tiny values would take nearly all of it);
     what is short then is taken whole and the others give the rest. Targets of a margin not given are its token shares to the power ``flatten``, scaled
-    to 1. ``names`` values of a margin at most have targets of their own, those with most tokens; the others are one value."""
+    to 1. Up to ``cells`` cells are raked by the driver, more as tables; every value has its own target either way."""
 
     share: float = 0.5
     least_share: float = 0.1
     flatten: float = 0.5
-    names: int = 64
+    cells: int = 1 << 16
     rounds: int = 50
     seed: str = "mix"
     targets: Mapping[str, Mapping[str, float]] = field(default_factory=dict)
@@ -80,8 +79,11 @@ def rake(
             steps = {}
             for v in held.keys() | free.keys():
                 want, full, rest = wanted.get(v, 0.0), held.get(v, 0.0), free.get(v, 0.0)
-                # Only free cells follow a common factor; where none is left or the held ones give too much, all go down.
-                steps[v] = (want - full) / rest if rest > 0 and want > full else want / (full + rest) if full + rest > 0 else 0.0
+                # Only free cells follow a common factor; where the held ones give nearly all or too much, all go by the ratio.
+                if rest > 0 and want - full > NEAR * want:
+                    steps[v] = (want - full) / rest
+                else:
+                    steps[v] = want / (full + rest) if full + rest > 0 else 0.0
                 gap = max(gap, abs(steps[v] - 1))
             for key in tokens:
                 factor[key] *= steps[key[i]]
@@ -134,11 +136,15 @@ def calibrate(cells: list[tuple[tuple[str, ...], float]], how: Mixing) -> tuple[
         return weights, max(share, 0.0)
     share = min(share, sum(t for _, t in usable))
     made = _raked_to(share, usable, targets, have, how.rounds)
-    if _missed(usable, made, share, targets, have) > NEAR and share > how.least_share:
-        # The margins cannot be had together from what is there: the draw for which no unbounded factor exceeds 1 has them.
+    missed = _missed(usable, made, share, targets, have)
+    if missed > NEAR and share > how.least_share:
+        # The margins cannot be had together from what is there: the draw for which no unbounded factor exceeds 1 has them,
+        # unless the targets contradict each other whatever is drawn.
         loose = rake(usable, [attainable(t, dict.fromkeys(t, float("inf")), 1.0) for t in targets], how.rounds)
-        share = min(share, max(how.least_share, 1.0 / max(loose.values())))
-        made = _raked_to(share, usable, targets, have, how.rounds)
+        lower = min(share, max(how.least_share, 1.0 / max(loose.values())))
+        other = _raked_to(lower, usable, targets, have, how.rounds)
+        if _missed(usable, other, lower, targets, have) < missed / 2:
+            made, share = other, lower
     return weights | made, share
 
 
@@ -162,6 +168,113 @@ def _missed(usable: list, made: dict, share: float, targets: list, have: list) -
     return apart
 
 
+def _numbers(df: DataFrame, **aggregates: Column) -> list[float]:
+    """The one row of some sums; what has no rows is 0."""
+    return [float(x or 0.0) for x in df.agg(*(c.alias(n) for n, c in aggregates.items())).first()]
+
+
+def _target_table(cells: DataFrame, how: Mixing, margin: str) -> DataFrame:
+    """value and target: ``_targets`` as a table."""
+    sums = cells.groupBy(F.col(margin).alias("value")).agg(F.sum("tokens").cast("double").alias("tokens"))
+    given = how.targets.get(margin)
+    if given:
+        named = cells.sparkSession.createDataFrame([(v, float(x)) for v, x in given.items()], "value string, raw double")
+        sums = sums.join(named, "value", "left").fillna(0.0, ["raw"])
+    else:
+        (whole,) = _numbers(sums, whole=F.sum("tokens"))
+        sums = sums.withColumn("raw", F.pow(F.col("tokens") / whole, F.lit(how.flatten)))
+    sums = store(sums.select("value", "raw"))
+    (total,) = _numbers(sums, total=F.sum("raw"))
+    return sums.select("value", (F.col("raw") / total if total else F.lit(0.0)).alias("target"))
+
+
+def _wanted_table(values: DataFrame, share: float | None) -> DataFrame:
+    """value and want: ``attainable`` as a table; without a share nothing is short."""
+    if share is None:
+        (weight,) = _numbers(values, weight=F.sum("target"))
+        return values.select("value", (F.col("target") / weight).alias("want"))
+    most, level, before = F.col("have") / share, 0.0, -1.0
+    short = F.lit(False)
+    while level != before:
+        full, weight = _numbers(values, full=F.sum(F.when(short, most)), weight=F.sum(F.when(~short, F.col("target"))))
+        before, level = level, ((1.0 - full) / weight if weight > 0 else float("inf"))
+        if level == float("inf"):
+            break
+        level = max(level, before)
+        short = F.col("target") * level >= most
+    return values.select("value", (F.when(short, most).otherwise(F.col("target") * level) if weight > 0 else most).alias("want"))
+
+
+def _rake_table(usable: DataFrame, wanted: list[DataFrame], rounds: int, most: float) -> DataFrame:
+    """``rake`` as joins and sums: the usable cells with ``factor``. The factors of a margin's values are a table."""
+    factors = [w.select("value", "want", F.lit(1.0).alias("f")) for w in wanted]
+
+    def multiplied() -> DataFrame:
+        out = usable
+        for margin, f in zip(MARGINS, factors, strict=True):
+            out = out.join(f.select(F.col("value").alias(margin), F.col("f").alias(f"f_{margin}")), margin)
+        return out.withColumn("factor", F.col("f_source") * F.col("f_lang") * F.col("f_topic"))
+
+    for _ in range(rounds):
+        gap = 0.0
+        for i, margin in enumerate(MARGINS):
+            held = F.col("factor") >= most
+            sums = multiplied().groupBy(F.col(margin).alias("value")).agg(
+                F.coalesce(F.sum(F.when(held, F.col("x") * most)), F.lit(0.0)).alias("full"),
+                F.coalesce(F.sum(F.when(~held, F.col("x") * F.col("factor"))), F.lit(0.0)).alias("rest"),
+            )
+            both = F.col("full") + F.col("rest")
+            step = F.when((F.col("rest") > 0) & (F.col("want") - F.col("full") > NEAR * F.col("want")), (F.col("want") - F.col("full")) / F.col("rest"))
+            step = F.coalesce(step, F.when(both > 0, F.col("want") / both), F.lit(0.0))
+            moved = factors[i].join(sums, "value").withColumn("step", step)
+            factors[i] = store(moved.select("value", "want", (F.col("f") * F.col("step")).alias("f"), "step"))
+            (far,) = _numbers(factors[i], far=F.max(F.abs(F.col("step") - 1)))
+            gap = max(gap, far)
+        if gap < ENOUGH:
+            break
+    return store(multiplied().select(*MARGINS, "x", "factor"))
+
+
+def calibrate_table(cells: DataFrame, how: Mixing) -> tuple[DataFrame, float]:
+    """``calibrate`` for any number of cells: the table of weights, and the share that is drawn."""
+    (whole,) = _numbers(cells, whole=F.sum("tokens"))
+    targets = [store(_target_table(cells, how, m)) for m in MARGINS]
+    usable = cells.withColumn("x", F.col("tokens") / whole)
+    for margin, target in zip(MARGINS, targets, strict=True):
+        usable = usable.join(target.filter("target > 0").select(F.col("value").alias(margin)), margin, "left_semi")
+    usable = store(usable.select(*MARGINS, "x"))
+    values = []
+    for margin, target in zip(MARGINS, targets, strict=True):
+        have = usable.groupBy(F.col(margin).alias("value")).agg(F.sum("x").alias("have"))
+        values.append(store(target.filter("target > 0").join(have, "value", "left").fillna(0.0, ["have"])))
+    enough = [_numbers(v, least=F.min(F.col("have") / F.col("target")))[0] for v in values]
+    share = min(1.0, how.share, max(min(enough), how.least_share))
+    (open_share,) = _numbers(usable, x=F.sum("x"))
+    if not open_share or share <= 0:
+        return cells.select(*MARGINS, F.lit(0.0).alias("weight")), max(share, 0.0)
+    share = min(share, open_share)
+
+    def raked(to: float) -> tuple[DataFrame, float]:
+        wanted = [store(_wanted_table(v, to)) for v in values]
+        found = _rake_table(usable, wanted, how.rounds, 1.0 / to).withColumn("weight", F.least("factor", F.lit(1.0 / to)))
+        missed = 0.0
+        for margin, want in zip(MARGINS, wanted, strict=True):
+            sums = found.groupBy(F.col(margin).alias("value")).agg(F.sum(F.col("x") * F.col("weight")).alias("got"))
+            off = want.join(sums, "value", "left").select(F.abs(F.coalesce("got", F.lit(0.0)) - F.col("want")).alias("off"))
+            missed = max(missed, *_numbers(off, far=F.max("off")))
+        return found, missed
+
+    made, missed = raked(share)
+    if missed > NEAR and share > how.least_share:
+        loose = _rake_table(usable, [store(_wanted_table(v, None)) for v in values], how.rounds, float("inf"))
+        lower = min(share, max(how.least_share, 1.0 / _numbers(loose, top=F.max("factor"))[0]))
+        other, still = raked(lower)
+        if still < missed / 2:
+            made, share = other, lower
+    weights = cells.select(*MARGINS).join(made.select(*MARGINS, "weight"), list(MARGINS), "left")
+    return weights.withColumn("weight", F.coalesce("weight", F.lit(0.0))), share
+
+
 def mix(documents: DataFrame, how: Mixing = Mixing()) -> DataFrame:
     """One row per row: doc_id, source, lang, topic, n_tokens, weight, probability, kept.
 
@@ -171,7 +284,7 @@ def mix(documents: DataFrame, how: Mixing = Mixing()) -> DataFrame:
     of the doc_id against it, so the draw is the same in every run. Null sources and languages are values of their own
     (``(none)``), a null text has no tokens; documents without tokens weigh nothing on the margins and stay with the chance
     ``share``. Rows with the same doc_id share their draw; a null doc_id draws by its text. An empty table gives no rows.
-    The driver holds the cells: at most ``(names + 1)**3`` whatever the data.
+    The driver holds ``cells`` cells at most; with more, the raking is joins and sums over the table of cells.
     """
     docs = pick(documents, doc_id="doc_id", text="text", source="source", lang="lang").withColumn("doc_id", F.col("doc_id").cast("long"))
     none = F.lit("(none)")
@@ -183,23 +296,18 @@ def mix(documents: DataFrame, how: Mixing = Mixing()) -> DataFrame:
         count_words().alias("n_tokens"),
         F.coalesce(F.col("doc_id").cast("string"), F.md5("text"), F.lit("")).alias("name"),
     )
-    kept: dict[str, list[str]] = {}
-    tops = []
-    cells = rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens"))
-    for margin in MARGINS:
-        sums = cells.groupBy(margin).agg(F.sum("tokens").alias("tokens")).orderBy(F.desc("tokens"), margin).limit(how.names)
-        tops.append(sums.select(F.lit(margin).alias("margin"), F.col(margin).alias("value")))
-    for row in tops[0].union(tops[1]).union(tops[2]).collect():
-        kept.setdefault(row.margin, []).append(row.value)
-    cell = [F.when(F.col(m).isin(kept.get(m, [])), F.col(m)).otherwise(F.lit(OTHER)).alias(f"cell_{m}") for m in MARGINS]
-    found = cells.select(*cell, "tokens").groupBy(*(f"cell_{m}" for m in MARGINS)).agg(F.sum("tokens").cast("double").alias("tokens"))
-    table = sorted((tuple(r[:3]), r.tokens) for r in found.collect())
-    weights, share = calibrate(table, how)
-    spark = documents.sparkSession
-    made = spark.createDataFrame([(*k, w) for k, w in sorted(weights.items())], "s string, l string, t string, weight double")
-    # The weights have at most (names + 1)**3 rows.
-    same = [F.col(f"cell_{m}") == F.col(c) for m, c in zip(MARGINS, "slt", strict=True)]
-    out = rows.select("*", *cell).join(F.broadcast(made), same, "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
+    cells = store(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")).filter("tokens > 0"))
+    table = [(tuple(r[:3]), float(r.tokens)) for r in cells.limit(how.cells + 1).collect()]
+    if len(table) <= how.cells:
+        weights, share = calibrate(table, how)
+        made = documents.sparkSession.createDataFrame(
+            [(*k, w) for k, w in sorted(weights.items())], "source string, lang string, topic string, weight double"
+        )
+        # At most ``cells`` rows.
+        made = F.broadcast(made)
+    else:
+        made, share = calibrate_table(cells, how)
+    out = rows.join(made, list(MARGINS), "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
     draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(how.seed), "name")), 1, 12), 16, 10).cast("double") / F.lit(float(2**48))
     out = out.withColumn("probability", F.least(F.lit(1.0), F.col("weight") * F.lit(share)))
     return out.withColumn("kept", draw < F.col("probability")).select(

@@ -53,3 +53,27 @@ def test_a_tiny_value_does_not_take_the_draw_away():
     weights, share = calibrate(cells, Mixing(targets={"source": {"a": 0.5, "b": 0.5}}))
     assert share == 0.1 and weights[cells[0][0]] == pytest.approx(10.0)
     assert sum(t * weights[k] * share for k, t in cells) == pytest.approx(100.0)
+
+
+def test_every_source_has_its_own_target(spark):
+    rows = [(i, "two words " * (1 + i % 3), "en" if i // 100 % 3 else "de", f"s{i % 100}") for i in range(600)]
+    rows += [(600 + i, "two words", "en" if i else "de", "rare") for i in range(3)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    how = Mixing(targets={"source": {"rare": 0.01, **{f"s{i}": 0.0099 for i in range(100)}}})
+    out = mix(docs, how)
+    got = {r.value: (r.target, r.achieved) for r in margins(out, how).filter("margin = 'source'").collect()}
+    assert len(got) == 101 and all(reached == pytest.approx(target, abs=1e-6) for target, reached in got.values())
+    assert all(r.probability > 0 for r in out.filter("source = 'rare'").collect())
+
+
+@pytest.mark.parametrize("given", [{}, {"lang": {"en": 0.5, "de": 0.5}}, {"source": {"a": 0.7, "c": 0.3}}])
+def test_tables_of_cells_are_raked_as_in_the_driver(spark, given):
+    rows = [(i, "two words " * (1 + i % 5) + ("| a |" if i % 7 == 0 else ""), ["en", "de", "fr"][i % 11 % 3], "abc"[i * i % 3]) for i in range(120)]
+    docs = spark.createDataFrame([*rows, (120, None, "en", "z"), (121, "x y", None, "a")], SCHEMA)
+    seen = []
+    for cells in (1 << 16, 0):
+        out = mix(docs, Mixing(targets=given, rounds=4, cells=cells)).collect()
+        seen.append({r.doc_id: (r.weight, r.probability, r.kept) for r in out})
+    assert seen[0].keys() == seen[1].keys() and len(seen[0]) == 122
+    for key, row in seen[0].items():
+        assert seen[1][key] == pytest.approx(row, rel=1e-6, abs=1e-9)
