@@ -26,10 +26,28 @@ _BESIDE = 48
 # Words that stand beside secrets, words that stand beside harmless look-alikes, and words of the dictionary.
 KEY_WORDS = "password passwd pwd secret token apikey api_key api-key auth credential bearer private access"
 PLAIN_WORDS = "commit sha md5 hash checksum uuid guid isbn example sample card phone call order invoice tracking version"
+#: Names that end in ``key`` and name no secret.
+OPEN_KEYS = "public primary foreign sort cache partition unique index object license"
 DICTIONARY = (
     "the and ing ion ent for this that with from test user data file path name image index page http www com html json "
     "example sample demo default change me your here key value number version build release abc qwerty admin root 123456"
 )
+# What the keys and tokens of public services look like.
+VENDOR_KEYS = (
+    "(AKIA|ASIA)[0-9A-Z]{16}",
+    "gh[pousr]_[A-Za-z0-9]{20,}",
+    "github_pat_[A-Za-z0-9_]{20,}",
+    "glpat-[A-Za-z0-9_-]{16,}",
+    "(sk|rk)_(live|test)_[A-Za-z0-9]{10,}",
+    "sk-[A-Za-z0-9_-]{20,}",
+    "xox[abprs]-[0-9A-Za-z-]{10,}",
+    "AIza[0-9A-Za-z_-]{30,}",
+    "npm_[A-Za-z0-9]{30,}",
+    "hf_[A-Za-z0-9]{20,}",
+)
+#: The line before the body of a private key, and what parts the lines of a body.
+_KEY_BEGIN = r"PRIVATE KEY( BLOCK)?-----(\s|\\[rn]?)*$"
+_KEY_LINE = r"^(\s|\\[rn]?){1,2}$"
 REPLACEMENT = "[secret]"
 
 
@@ -50,32 +68,39 @@ def _any_of(words: str) -> str:
 
 def candidates(documents: DataFrame) -> DataFrame:
     """One row per candidate: key of its text, ``value``, ``start`` (character offset), ``name`` (of an assignment), ``left`` and
-    ``right`` (the text beside it). Null texts have none."""
+    ``right`` (the text beside it), ``in_key`` (a line of a private key's body or a part of a signed web token). Null texts have
+    none."""
     docs = pick(documents, doc_id="doc_id", text="text").withColumn("doc_id", F.col("doc_id").cast("long"))
     docs = docs.select("doc_id", *row_key(F.col("text")), "text").filter(F.col("text").rlike(RUN))
     runs = docs.select(*KEY, F.regexp_extract_all("text", F.lit(RUN), F.lit(0)).alias("runs"), "text")
     runs = runs.filter(F.exists("runs", lambda r: r.rlike(_SIGN)))
     between = F.transform(
         F.split("text", RUN, -1),
-        lambda x: F.struct(F.length(x).alias("size"), F.right(x, F.lit(_BESIDE)).alias("tail"), F.left(x, F.lit(_BESIDE)).alias("head")),
+        lambda x: F.struct(F.length(x).alias("size"), F.right(x, F.lit(_BESIDE)).alias("tail"), F.left(x, F.lit(_BESIDE)).alias("head"), F.when(x.rlike(_KEY_BEGIN), True).when(~x.rlike(_KEY_LINE), False).alias("opens")),
     )
-    both = runs.select(*KEY, "runs", between.alias("between"))
-    rows = both.select(*KEY, F.slice("between", 1, F.size("runs")).alias("between"), "runs", F.slice("between", 2, F.size("runs")).alias("after"))
-    one = F.posexplode(F.arrays_zip("between", "runs", "after")).alias("at", "x")
+    prev = F.concat(F.array(F.lit("")), F.slice("runs", F.lit(1), F.size("runs") - 1))
+    both = runs.select(*KEY, "runs", between.alias("between"), prev.alias("prev"))
+    rows = both.select(*KEY, F.slice("between", 1, F.size("runs")).alias("between"), "runs", F.slice("between", 2, F.size("runs")).alias("after"), "prev")
+    one = F.posexplode(F.arrays_zip("between", "runs", "after", "prev")).alias("at", "x")
     rows = rows.select(*KEY, one).select(
-        *KEY, "at", F.col("x.runs").alias("run"), F.col("x.between.size").alias("gap"), F.col("x.between.tail").alias("left"), F.col("x.after.head").alias("right")
+        *KEY, "at", F.col("x.runs").alias("run"), F.col("x.between.size").alias("gap"),         F.right(F.concat("x.prev", "x.between.tail"), F.lit(_BESIDE)).alias("left"), F.col("x.after.head").alias("right"), F.col("x.between.opens").alias("opens"),
+        ((F.col("x.between.size") == 1) & F.endswith("x.between.tail", F.lit(".")) & F.col("x.prev").rlike("(^|=)eyJ")).alias("signed"),
     )
     before = Window.partitionBy(*KEY).orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     start = F.sum(F.col("gap") + F.length("run")).over(before) - F.length("run")
-    rows = rows.distinct().withColumn("start", start).filter(F.col("run").rlike(_SIGN))
-    name = F.regexp_extract("run", r"^([A-Za-z][A-Za-z_-]*)=(?=[^=])", 1)
+    in_key = F.col("signed") | F.coalesce(F.last("opens", True).over(before), F.lit(False))
+    rows = rows.distinct().withColumn("start", start).withColumn("in_key", in_key).filter(F.col("run").rlike(_SIGN))
+    name = F.regexp_extract("run", r"^([A-Za-z][A-Za-z0-9_-]*)=(?=[^=])", 1)
     value = F.when(name != "", F.substr("run", F.length(name) + 2)).otherwise(F.col("run"))
     skip = F.when(name != "", F.length(name) + 1).otherwise(0)
     rows = rows.withColumn("name", name).withColumn("value", value).withColumn("start", (F.col("start") + skip).cast("long"))
-    return rows.filter((F.length("value") >= 12) & F.col("value").rlike(_SIGN)).select(*KEY, "start", "value", "name", "left", "right")
+    return rows.filter((F.length("value") >= 12) & F.col("value").rlike(_SIGN)).select(*KEY, "start", "value", "name", "left", "right", "in_key")
 
 
-_KEY_BESIDE = f"({_any_of(KEY_WORDS)})[\\s\"':=]*$"
+_KEY_BESIDE = f"({_any_of(KEY_WORDS)}|(?<!{_any_of(OPEN_KEYS)})[_-]key|(secret|private|access|api|auth|sign|signing|master)key)[\\s\"':=]*$"
+_PASSWORD = "(password|passwd|passphrase|pwd)[\"']?\\s*[:=]\\s*[\"']?$"
+#: The case of letters changes twice in a row, as in random values.
+_TURNS = "[a-z][A-Z]+[a-z]|[A-Z][a-z]+[A-Z]"
 
 
 def _said() -> Column:
@@ -106,15 +131,34 @@ def features() -> dict[str, Column]:
         "f_key_word": flag(said.rlike(_KEY_BESIDE)),
         "f_plain_word": flag(said.rlike(f"\\b({_any_of(PLAIN_WORDS)})\\b")),
         "f_assigned": flag((F.col("name") != "") | F.col("left").rlike("[=:]\\s*[\"']?$")),
+        "f_format": flag(_settled_format()),
         "f_quoted": flag(F.col("left").rlike("[\"']$") & F.col("right").rlike("^[\"']")),
     }
 
 
+def _settled_format() -> Column:
+    """The value itself, or the block that it is part of, has the format of a secret."""
+    vendor = F.col("value").rlike(f"^({'|'.join(VENDOR_KEYS)})$") | F.col("value").rlike("^eyJ[A-Za-z0-9_-]{10,}$")
+    return vendor | (F.col("in_key") & (F.length("value") >= 16))
+
+
 def known_format() -> Column:
-    """The label of a finding whose format settles it: an access key id, or a long random value given to a name for secrets."""
-    key_id = F.col("value").rlike("^AKIA[0-9A-Z]{16}$")
-    given = _said().rlike(_KEY_BESIDE) & (F.length("value") >= 16) & F.col("value").rlike("[A-Za-z]")
-    return (key_id | given).cast("double")
+    """The label of a candidate whose format settles it, null for all others.
+
+    1: keys and tokens of public services, signed web tokens, bodies of private keys, long random values beside a word or name
+    for secrets, and shorter ones given to a name for passwords. 0, unless such a word stands beside: values without a letter,
+    UUIDs, values beside words for harmless look-alikes, paths, and plain words.
+    """
+    said, value = _said(), F.col("value")
+    beside = said.rlike(_KEY_BESIDE)
+    random = value.rlike("[A-Za-z]") & value.rlike(f"{_SIGN}|{_TURNS}")
+    given = beside & (F.length("value") >= 16) & random
+    password = F.concat(said, F.when(F.col("name") != "", F.lit("=")).otherwise("")).rlike(_PASSWORD + "|" + _PASSWORD[:-1] + "\\s$") & random
+    path = value.contains("/") & (F.col("left").rlike(r"[/\\.:]$") | F.col("right").rlike(r"^[/\\]|^\.[a-z]") | value.rlike("^/"))
+    plain = ~value.rlike(f"{_SIGN}|{_TURNS}") | ~value.rlike("[A-Za-z]")
+    uuid = value.rlike("(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$")
+    harmless = said.rlike(f"\\b({_any_of(PLAIN_WORDS)})\\b")
+    return F.when(_settled_format() | given | password, 1.0).when(~beside & (plain | uuid | harmless | path), 0.0)
 
 
 def train(labelled: DataFrame, how: SecretScan = SecretScan()) -> RandomForestClassificationModel | None:
@@ -136,21 +180,23 @@ def train(labelled: DataFrame, how: SecretScan = SecretScan()) -> RandomForestCl
 
 
 def classify(found: DataFrame, model: RandomForestClassificationModel | None) -> DataFrame:
-    """Candidates with ``chance`` of being a secret; without a model the known formats decide."""
+    """Candidates with ``chance`` of being a secret: 1 where the format settles that, else what the forest says; without a model
+    the known formats decide alone."""
     if model is None:
-        return found.withColumn("chance", known_format())
+        return found.withColumn("chance", F.coalesce(known_format(), F.lit(0.0)))
     names = list(features())
     seen = VectorAssembler(inputCols=names, outputCol="_seen").transform(found.withColumns(features()))
     scored = model.setFeaturesCol("_seen").transform(seen)
-    return scored.withColumn("chance", F.element_at(vector_to_array("probability"), 2)).select(*found.columns, "chance")
+    chance = F.when(known_format() == 1, 1.0).otherwise(F.element_at(vector_to_array("probability"), 2))
+    return scored.withColumn("chance", chance).select(*found.columns, "chance")
 
 
 def findings(documents: DataFrame, how: SecretScan = SecretScan()) -> DataFrame:
     """Classified candidates of all texts. Labelled findings are the candidates outside the held-out fold (crc32 of the doc_id
-    mod 4 is 2, never learned from), labelled by known formats."""
+    mod 4 is 2, never learned from) which known formats settle; the others are not learned from."""
     found = store(candidates(documents))
     fold = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
-    model = train(found.filter(~fold).withColumn("label", known_format()), how)
+    model = train(found.filter(~fold).withColumn("label", known_format()).filter("label is not null"), how)
     return classify(found, model).withColumn("is_secret", F.col("chance") >= how.least)
 
 
