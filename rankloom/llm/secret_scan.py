@@ -19,8 +19,9 @@ from rankloom.llm.tables import pick, row_key, store
 KEY = ["doc_id", "key_a", "key_b"]
 #: A run of characters that a secret can be made of.
 RUN = r"[A-Za-z0-9+/_=-]{12,}"
-#: A candidate has a digit, or is written in capitals.
-_SIGN = "[0-9]|[A-Z]{12}"
+#: A candidate has a digit, is written in capitals, has letters whose case changes twice in a row, as in random values, or
+#: stands behind an assignment or a word for secrets.
+_SIGN = "[0-9]|[A-Z]{12}|[a-z][A-Z]+[a-z]|[A-Z][a-z]+[A-Z]"
 _BESIDE = 48
 
 # Words that stand beside secrets, words that stand beside harmless look-alikes, and words of the dictionary.
@@ -66,6 +67,11 @@ def _any_of(words: str) -> str:
     return "|".join(words.split())
 
 
+_KEY_NAME = f"({_any_of(KEY_WORDS)}|(?<!{_any_of(OPEN_KEYS)})[_-]key|(secret|private|access|api|auth|sign|signing|master)key)[\\s\"':=]*"
+_KEY_BESIDE = _KEY_NAME + "$"
+_ASSIGNED = "[=:]\\s*[\"']?"
+
+
 def candidates(documents: DataFrame) -> DataFrame:
     """One row per candidate: key of its text, ``value``, ``start`` (character offset), ``name`` (of an assignment), ``left`` and
     ``right`` (the text beside it), ``in_key`` (a line of a private key's body or a part of a signed web token). Null texts have
@@ -73,7 +79,7 @@ def candidates(documents: DataFrame) -> DataFrame:
     docs = pick(documents, doc_id="doc_id", text="text").withColumn("doc_id", F.col("doc_id").cast("long"))
     docs = docs.select("doc_id", *row_key(F.col("text")), "text").filter(F.col("text").rlike(RUN))
     runs = docs.select(*KEY, F.regexp_extract_all("text", F.lit(RUN), F.lit(0)).alias("runs"), "text")
-    runs = runs.filter(F.exists("runs", lambda r: r.rlike(_SIGN)))
+    runs = runs.filter(F.exists("runs", lambda r: r.rlike(_SIGN)) | F.col("text").rlike(f"(?i)({_KEY_NAME}|{_ASSIGNED}){RUN}"))
     between = F.transform(
         F.split("text", RUN, -1),
         lambda x: F.struct(F.length(x).alias("size"), F.right(x, F.lit(_BESIDE)).alias("tail"), F.left(x, F.lit(_BESIDE)).alias("head"), F.when(x.rlike(_KEY_BEGIN), True).when(~x.rlike(_KEY_LINE), False).alias("opens")),
@@ -89,18 +95,16 @@ def candidates(documents: DataFrame) -> DataFrame:
     before = Window.partitionBy(*KEY).orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     start = F.sum(F.col("gap") + F.length("run")).over(before) - F.length("run")
     in_key = F.col("signed") | F.coalesce(F.last("opens", True).over(before), F.lit(False))
-    rows = rows.distinct().withColumn("start", start).withColumn("in_key", in_key).filter(F.col("run").rlike(_SIGN))
+    rows = rows.distinct().withColumn("start", start).withColumn("in_key", in_key)
     name = F.regexp_extract("run", r"^([A-Za-z][A-Za-z0-9_-]*)=(?=[^=])", 1)
     value = F.when(name != "", F.substr("run", F.length(name) + 2)).otherwise(F.col("run"))
     skip = F.when(name != "", F.length(name) + 1).otherwise(0)
     rows = rows.withColumn("name", name).withColumn("value", value).withColumn("start", (F.col("start") + skip).cast("long"))
-    return rows.filter((F.length("value") >= 12) & F.col("value").rlike(_SIGN)).select(*KEY, "start", "value", "name", "left", "right", "in_key")
+    given = (F.col("name") != "") | F.col("left").rlike(f"{_ASSIGNED}$") | _said().rlike(_KEY_BESIDE)
+    return rows.filter((F.length("value") >= 12) & (F.col("value").rlike(_SIGN) | given)).select(*KEY, "start", "value", "name", "left", "right", "in_key")
 
 
-_KEY_BESIDE = f"({_any_of(KEY_WORDS)}|(?<!{_any_of(OPEN_KEYS)})[_-]key|(secret|private|access|api|auth|sign|signing|master)key)[\\s\"':=]*$"
 _PASSWORD = "(password|passwd|passphrase|pwd)[\"']?\\s*[:=]\\s*[\"']?$"
-#: The case of letters changes twice in a row, as in random values.
-_TURNS = "[a-z][A-Z]+[a-z]|[A-Z][a-z]+[A-Z]"
 
 
 def _said() -> Column:
@@ -130,7 +134,7 @@ def features() -> dict[str, Column]:
         "f_path": flag(F.col("value").contains("/") | F.col("left").rlike(r"[/\\.]$") | F.col("right").rlike(r"^[/\\]|^\.[a-z]")),
         "f_key_word": flag(said.rlike(_KEY_BESIDE)),
         "f_plain_word": flag(said.rlike(f"\\b({_any_of(PLAIN_WORDS)})\\b")),
-        "f_assigned": flag((F.col("name") != "") | F.col("left").rlike("[=:]\\s*[\"']?$")),
+        "f_assigned": flag((F.col("name") != "") | F.col("left").rlike(f"{_ASSIGNED}$")),
         "f_format": flag(_settled_format()),
         "f_quoted": flag(F.col("left").rlike("[\"']$") & F.col("right").rlike("^[\"']")),
     }
@@ -147,15 +151,15 @@ def known_format() -> Column:
 
     1: keys and tokens of public services, signed web tokens, bodies of private keys, long random values beside a word or name
     for secrets, and shorter ones given to a name for passwords. 0, unless such a word stands beside: values without a letter,
-    UUIDs, values beside words for harmless look-alikes, paths, and plain words.
+    UUIDs, values beside words for harmless look-alikes, paths, plain words, also in CamelCase.
     """
     said, value = _said(), F.col("value")
     beside = said.rlike(_KEY_BESIDE)
-    random = value.rlike("[A-Za-z]") & value.rlike(f"{_SIGN}|{_TURNS}")
+    random = value.rlike("[A-Za-z]") & value.rlike(_SIGN)
     given = beside & (F.length("value") >= 16) & random
     password = F.concat(said, F.when(F.col("name") != "", F.lit("=")).otherwise("")).rlike(_PASSWORD + "|" + _PASSWORD[:-1] + "\\s$") & random
     path = value.contains("/") & (F.col("left").rlike(r"[/\\.:]$") | F.col("right").rlike(r"^[/\\]|^\.[a-z]") | value.rlike("^/"))
-    plain = ~value.rlike(f"{_SIGN}|{_TURNS}") | ~value.rlike("[A-Za-z]")
+    plain = ~value.rlike(_SIGN) | ~value.rlike("[A-Za-z]") | value.rlike("^[A-Z]?[a-z]{2,}([A-Z][a-z]{2,})+$")
     uuid = value.rlike("(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$")
     harmless = said.rlike(f"\\b({_any_of(PLAIN_WORDS)})\\b")
     return F.when(_settled_format() | given | password, 1.0).when(~beside & (plain | uuid | harmless | path), 0.0)

@@ -5,7 +5,7 @@ import string
 
 import pytest
 
-from rankloom.llm.secret_scan import findings, redacted
+from rankloom.llm.secret_scan import candidates, findings, redacted
 
 SCHEMA = "doc_id long, text string"
 
@@ -47,3 +47,15 @@ def test_each_format_is_found(scanned, name):
 
 def test_harmless_values_stay(scanned):
     assert all(scanned[1][i] == t for i, t in enumerate(scanned[0]) if i >= len(SECRETS))
+
+
+def test_values_without_digits_are_candidates(spark):
+    token = "qWeRtYuIopAsDfGhJk"
+    texts = ["my password: CorrectHorseBatteryStaple yes", f"see {token} there", f"api_key = {token[::-1]}", "secret: correcthorsebatterystaple"]
+    texts += ["a plain internationalisation of it", "Note: internationalisation", "the class StreamingQueryListener of it"] * 4
+    docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    seen = {r.doc_id: r.value for r in candidates(docs).collect()}
+    assert {i: seen.get(i) for i in range(5)} == {0: "CorrectHorseBatteryStaple", 1: token, 2: token[::-1], 3: "correcthorsebatterystaple", 4: None}
+    clean = {r.doc_id: r.text for r in redacted(docs, findings(docs)).collect()}
+    assert clean[0] == "my password: [secret] yes" and clean[2] == "api_key = [secret]"
+    assert all(clean[i] == t for i, t in enumerate(texts) if i >= 4)
