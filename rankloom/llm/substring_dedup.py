@@ -25,11 +25,38 @@ _PLACES = [p | 1 for p in (0x9E6C63D0876A9A99, 0xC2B2AE3D27D4EB4F)]
 
 @dataclass(frozen=True)
 class SubstringDedup:
-    """``least_words``: shorter units are no passages and always stay."""
+    """``least_words``: shorter units are no passages and always stay. In scripts without blanks two characters count as a word."""
 
     least_words: int = 6
 
 
+#: Sentence ends and other marks of full width, and letters of scripts that are written without blanks (Thai to
+#: Tibetan, Burmese, Khmer, kana, Chinese characters); first and last code points.
+_WIDE_ENDS = (0x3002, 0xFF01, 0xFF0E, 0xFF1F, 0xFF61)
+_WIDE_MARKS = ((0x3000, 0x3004), (0x3008, 0x3020), (0xFF01, 0xFF0F), (0xFF1A, 0xFF20), (0xFF5F, 0xFF65))
+_UNSPACED = ((0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
+
+
+def _wide(block: bw.TextBlock) -> tuple[bw.TextBlock, np.ndarray, np.ndarray]:
+    """The block with marks of full width as separators, the last bytes of sentence ends among them, and the first bytes of
+    letters of scripts without blanks."""
+    data = block.data
+    lead = np.flatnonzero(data >= 0xE0)
+    if not lead.size:
+        return block, lead, lead
+    low = lambda i: data[lead + i].astype(np.int64) & 0x3F
+    code = ((data[lead].astype(np.int64) & 0x0F) << 12) | (low(1) << 6) | low(2)
+    # Four bytes: the first three give all but the last six bits.
+    code = np.where(data[lead] >= 0xF0, (((data[lead].astype(np.int64) & 0x07) << 12) | (low(1) << 6) | low(2)) << 6, code)
+    within = lambda spans: np.logical_or.reduce([(code >= a) & (code <= b) for a, b in spans])
+    marks = lead[within(_WIDE_MARKS)]
+    if marks.size:
+        data = data.copy()
+        for i in range(3):
+            data[marks + i] = 0x01
+    return bw.TextBlock(block.first, data, block.offsets), lead[np.isin(code, _WIDE_ENDS)] + 2, lead[within(_UNSPACED)]
+
+
 def _cuts(block: bw.TextBlock) -> np.ndarray:
     """True at the bytes that part units: a line feed, or a blank after a full stop, exclamation or question mark."""
     data = block.data
@@ -52,15 +79,17 @@ def _unit_digests(hashes: np.ndarray, first: np.ndarray, size: np.ndarray) -> li
 
 
 def units(documents: DataFrame, how: SubstringDedup) -> DataFrame:
-    """One row per unit of ``least_words`` words or more (its digest and character span), and one row per text with its
+    """One row per unit of ``least_words`` words or more, or of twice as many letters of scripts without blanks (its digest and character span), and one row per text with its
     number of such units (``start`` null)."""
     schema = "doc_id long, key_a long, key_b long, n_units long, start long, stop long, d1 long, d2 long"
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in bw.blocks(batch.column("text")):
-                words = bw.find_words(block, bw.ALNUM)
+                plain, ends, unspaced = _wide(block)
+                words = bw.find_words(plain, bw.ALNUM)
                 cut = _cuts(block)
+                cut[ends] = True
                 part = np.cumsum(cut)
                 of_word = part[words.starts]
                 new = np.ones(words.starts.size, dtype=bool)
@@ -74,7 +103,9 @@ def units(documents: DataFrame, how: SubstringDedup) -> DataFrame:
                 stop = np.minimum(where[of_word[first]], block.offsets[row + 1])
                 chars = np.concatenate(([0], np.cumsum((block.data & 0xC0) != 0x80)))
                 begin = chars[block.offsets[row]]
-                long = size >= how.least_words
+                of_unit = np.cumsum(new) - 1
+                letters = np.bincount(of_unit[np.searchsorted(words.starts, unspaced, side="right") - 1], minlength=first.size)
+                long = (size >= how.least_words) | (letters >= 2 * how.least_words)
                 count = np.bincount(row[long], minlength=block.rows)
                 rows = np.concatenate((np.arange(block.rows), row[long]))
                 none = np.arange(rows.size) < block.rows
