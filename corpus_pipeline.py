@@ -15,6 +15,10 @@ from rankloom.llm.pieces import encode
 from rankloom.llm.queries import PIECE_MODEL
 from rankloom.llm.tables import load, pick, row_key, shared_folder
 
+#: A prediction from this score on takes the place of another label; one under the other score, which no label
+#: confirms, is no language that was learned. Of 2,499 held-out documents of sf0.1 the smallest score is 0.552.
+CLEAR = 0.95
+LOW = 0.5
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -23,12 +27,15 @@ def _plain(docs: DataFrame) -> DataFrame:
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: null texts and texts without a letter go. A null lang is filled with the prediction."""
+    """Documents with a language: null texts, texts without a letter and unconfirmed texts with a low score go. A null lang is
+    filled with the prediction, and one that a clear prediction contradicts is replaced by it."""
     docs = _plain(docs)
     labelled = docs.filter(~lid.held_out()).select("text", "lang")
     found = lid.identify(docs, lid.train(labelled), ("doc_id", "text", "lang", "source", "n_chars"))
-    kept = found.filter(F.col("lang_pred") != lid.UNKNOWN)
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+    confirmed = F.col("lang").eqNullSafe(F.col("lang_pred"))
+    kept = found.filter((F.col("lang_pred") != lid.UNKNOWN) & (confirmed | (F.col("score") >= LOW)))
+    lang = F.when(F.col("lang").isNull() | (F.col("score") >= CLEAR), F.col("lang_pred")).otherwise(F.col("lang"))
+    return kept.withColumn("lang", lang).select(*COLUMNS)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
