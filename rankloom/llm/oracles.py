@@ -99,3 +99,64 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base,
   coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
 FROM words LEFT JOIN per_doc USING (doc_id, x)
 """
+
+
+#: Of the byte-wise CRC-32: ``tab`` is its table, ``crc('x')`` the checksum of the decimal form of x.
+_CRC_TABLE = """
+bits(i, k, c) AS (
+  SELECT i, 0, i FROM range(256) t(i)
+  UNION ALL
+  SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+crc_table AS MATERIALIZED (SELECT list(c ORDER BY i) AS tab FROM bits WHERE k = 8)"""
+
+
+def _crc(number: str) -> str:
+    codes = f"list_transform(string_split({number}::VARCHAR, ''), lambda x: ord(x)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def _fold_sql(name: str, depth: int) -> str:
+    """``{name}0`` (tree, pos, n, d) folded by 8, level by level, and the siblings of every node."""
+    out = []
+    for k in range(depth):
+        run = "PARTITION BY tree, pos // 8 ORDER BY pos ROWS BETWEEN"
+        out.append(f"""
+{name}{k + 1} AS MATERIALIZED (
+  SELECT tree, pos // 8 AS pos, (max(n) + 7) // 8 AS n, CASE WHEN max(n) = 1 THEN min(d) ELSE sha256(string_agg(d, '' ORDER BY pos)) END AS d
+  FROM {name}{k} GROUP BY tree, pos // 8),
+{name}_side{k} AS MATERIALIZED (
+  SELECT tree, pos, n, coalesce(string_agg(d, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+    coalesce(string_agg(d, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM {name}{k})""")
+    return ",".join(out)
+
+
+def _climb_sql(name: str, tree: str, depth: int) -> str:
+    """``{name}0`` (row, tree, pos, d, proof) led up to the root of its tree."""
+    return ",".join(f"""
+{name}{k + 1} AS (
+  SELECT row, f.tree, f.pos // 8 AS pos, CASE WHEN n > 1 THEN sha256(l || d || r) ELSE d END AS d, CASE WHEN n > 1 THEN proof || l || r ELSE proof END AS proof
+  FROM {name}{k} f JOIN {tree}_side{k} s ON f.tree = s.tree AND f.pos = s.pos)""" for k in range(depth))
+
+
+def manifest_sql(depth: int = 8) -> str:
+    field = lambda c: f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
+    digest = lambda text: "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH RECURSIVE {_CRC_TABLE},
+leaves AS MATERIALIZED (
+  SELECT doc_id, lang, {digest('text')} AS leaf, CASE WHEN {_crc('doc_id')} % 3 = 0 THEN {digest(lowered)} END AS changed
+  FROM documents, crc_table),
+placed AS MATERIALIZED (
+  SELECT *, row_number() OVER () AS row, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n
+  FROM leaves),
+t0 AS MATERIALIZED (SELECT tree, pos, n, leaf AS d FROM placed),{_fold_sql('t', depth)},
+u0 AS MATERIALIZED (SELECT 0 AS tree, tree AS pos, count(*) OVER () AS n, d FROM t{depth}),{_fold_sql('u', depth)},
+f0 AS (SELECT row, tree, pos, coalesce(changed, leaf) AS d, '' AS proof FROM placed),{_climb_sql('f', 't', depth)},
+g0 AS (SELECT row, 0 AS tree, tree AS pos, d, proof FROM f{depth}),{_climb_sql('g', 'u', depth)}
+SELECT doc_id, leaf, t{depth}.d AS subroot, u{depth}.d AS root, sha256(proof) AS proof_sha256, g{depth}.d AS folded_root,
+  g{depth}.d = u{depth}.d AS verified
+FROM placed JOIN g{depth} USING (row) JOIN t{depth} ON placed.tree = t{depth}.tree CROSS JOIN u{depth}
+"""

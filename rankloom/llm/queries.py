@@ -11,6 +11,7 @@ from rankloom.llm import oracles
 from rankloom.llm.edit_counts import edit_counts
 from rankloom.llm.language_id import language_id
 from rankloom.llm.license_scan import license_scan
+from rankloom.llm.manifest import manifest
 from rankloom.llm.mixing import mix
 from rankloom.llm.near_duplicates import near_duplicates
 from rankloom.llm.neighbours import nearest
@@ -80,6 +81,11 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = manifest(load(spark, sf_dir, "documents"))
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 QUERIES = {
     "op1_exact_top_k": op1_exact_top_k,
     "op2_secret_scan": op2_secret_scan,
@@ -91,6 +97,7 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_pieces": op9_pieces,
     "op10_near_dedup": op10_near_dedup,
+    "op13_manifest": op13_manifest,
 }
 
 ORACLES = {
@@ -98,4 +105,5 @@ ORACLES = {
     "op3_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op8_license_scan": oracles.license_scan_sql(),
     "op10_near_dedup": oracles.NEAR_DEDUP,
+    "op13_manifest": oracles.manifest_sql(),
 }
