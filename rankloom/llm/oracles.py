@@ -160,3 +160,33 @@ SELECT doc_id, leaf, t{depth}.d AS subroot, u{depth}.d AS root, sha256(proof) AS
   g{depth}.d = u{depth}.d AS verified
 FROM placed JOIN g{depth} USING (row) JOIN t{depth} ON placed.tree = t{depth}.tree CROSS JOIN u{depth}
 """
+
+
+PREFIX_TRIE = f"""
+WITH RECURSIVE {_CRC_TABLE},
+turns AS (
+  SELECT c, r, t, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, r, t) AS p
+  FROM (SELECT conv_id AS c, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations WHERE conv_id IS NOT NULL)),
+convs AS (SELECT c, {_crc('c')} % 6 AS h FROM (SELECT DISTINCT c FROM turns), crc_table),
+rebuilt AS (
+  SELECT v.c, 0 AS part, p, r, t FROM convs v JOIN turns b ON b.c = v.c - v.c % 100 AND p <= h
+  UNION ALL SELECT c, 1, p, r, t FROM convs JOIN turns USING (c) WHERE p > h),
+steps AS (
+  SELECT c, length(t) AS chars, sha256(length(r) || ':' || r || t) AS step, row_number() OVER (PARTITION BY c ORDER BY part, p) AS d,
+    count(*) OVER (PARTITION BY c) AS n_turns
+  FROM rebuilt),
+members AS (
+  SELECT c, d, string_agg(step, '') OVER (PARTITION BY c ORDER BY d) AS path, chars, d = n_turns AS is_end FROM steps
+  UNION ALL SELECT c, 0, '', 0, c NOT IN (SELECT c FROM rebuilt) FROM convs),
+nodes AS (
+  SELECT d, path, min(c) AS c, count(*) AS n, max(chars) AS chars, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (is_end), '') AS ends
+  FROM members GROUP BY d, path),
+children AS (SELECT d - 1 AS d, left(path, 64 * (d - 1)) AS path, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+counted AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN children USING (d, path)),
+below AS (
+  SELECT m.d, m.path, count(*) FILTER (y.n_children = 0) AS n_leaves, sum((y.n - 1) * y.chars)::BIGINT AS saved
+  FROM counted y JOIN members m ON m.c = y.c AND m.d <= y.d GROUP BY m.d, m.path)
+SELECT x.c AS conv_id, x.d::BIGINT AS depth, up.c AS parent_conv_id, x.n AS n_convs, x.n_children, n_leaves, saved AS saved_tokens,
+  sha256(x.ends) AS ends_sha256
+FROM counted x JOIN below USING (d, path) LEFT JOIN nodes up ON up.d = x.d - 1 AND up.path = left(x.path, 64 * (x.d - 1))
+"""

@@ -16,6 +16,7 @@ from rankloom.llm.mixing import mix
 from rankloom.llm.near_duplicates import near_duplicates
 from rankloom.llm.neighbours import nearest
 from rankloom.llm.pieces import decode_ids, encode
+from rankloom.llm.prefix_trie import prefix_trie
 from rankloom.llm.secret_scan import secret_scan
 from rankloom.llm.substring_dedup import repeated_spans
 from rankloom.llm.tables import load
@@ -81,6 +82,10 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(load(spark, sf_dir, "conversations"))
+
+
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = manifest(load(spark, sf_dir, "documents"))
     return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
@@ -97,6 +102,7 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_pieces": op9_pieces,
     "op10_near_dedup": op10_near_dedup,
+    "op11_prefix_trie": op11_prefix_trie,
     "op13_manifest": op13_manifest,
 }
 
@@ -105,5 +111,6 @@ ORACLES = {
     "op3_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op8_license_scan": oracles.license_scan_sql(),
     "op10_near_dedup": oracles.NEAR_DEDUP,
+    "op11_prefix_trie": oracles.PREFIX_TRIE,
     "op13_manifest": oracles.manifest_sql(),
 }

@@ -42,15 +42,19 @@ def _bits(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
 
 
-def ordered(rows: DataFrame, key: str, order: list[Column], digests: tuple[str, ...] = (), sums: tuple[str, ...] = ()) -> DataFrame:
+def ordered(
+    rows: DataFrame, key: str, order: list[Column], digests: tuple[str, ...] = (), sums: tuple[str, ...] = (), drop: tuple[str, ...] = ()
+) -> DataFrame:
     """``rows`` with ``pos`` (place within the key, from 0) and ``last`` (no row of the key follows).
 
     Each column of ``digests`` (long) becomes the digest of the key's rows up to this one, and ``<name>_before`` that of the
     rows before it; equal runs of values have equal digests. Each column of ``sums`` (long) becomes its running sum. A null
-    key is a key. ``rows`` should be a stored table: the range sort reads it twice. The result is stored.
+    key is a key. ``rows`` should be cheap to read, for the range sort reads them twice. The columns ``drop`` serve the order alone
+    and are left out of the result, which lies in the shared folder.
     """
+    fields = [f for f in rows.schema.fields if f.name not in drop]
     extra = [T.StructField(f"{d}_before", T.LongType()) for d in digests]
-    plain = T.StructType([*rows.schema.fields, *extra])
+    plain = T.StructType([*fields, *extra])
     marks = [T.StructField("pos", T.LongType()), T.StructField("last", T.BooleanType())]
     own = [T.StructField("_part", T.IntegerType()), *(T.StructField(n, T.BooleanType()) for n in ("_open", "_head", "_tail"))]
     local = T.StructType([*plain.fields, *marks, *own])
@@ -103,7 +107,7 @@ def ordered(rows: DataFrame, key: str, order: list[Column], digests: tuple[str,
             waiting["_tail"][-1] = True
             yield pa.RecordBatch.from_arrays([pa.array(waiting[c]) if isinstance(waiting[c], np.ndarray) else waiting[c] for c in names], names=names)
 
-    dealt = rows.repartitionByRange(key, *order).sortWithinPartitions(key, *order)
+    dealt = rows.repartitionByRange(key, *order).sortWithinPartitions(key, *order).drop(*drop)
     made = store(dealt.mapInArrow(along, local))
     ends = made.filter("_head or _tail").select("_part", key, "pos", "_head", "_tail", *digests, *sums).collect()
     before, goes_on = _carried(ends, key, digests, sums)

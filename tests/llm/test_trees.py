@@ -99,3 +99,73 @@ def test_places_of_a_key_that_lies_in_many_partitions(spark):
             wanted.append((key, o, total, *signed, i, i == len(own) - 1))
     got = [(r.k, r.o, r.v, r.d_before, r.d, r.pos, r.last) for r in found]
     assert sorted(got, key=str) == sorted(wanted, key=str)
+
+
+TURNS = "conv_id long, turn long, role string, text string, depth int, A string"
+
+
+def brute_trie(rows):
+    own = {}
+    for c, turn, role, text, *_ in rows:
+        if c is not None:
+            own.setdefault(c, []).append((turn is not None, turn or 0, role or "", text or ""))
+    own = {c: [t[2:] for t in sorted(v)] for c, v in own.items()}
+    members, ends, saved, texts = {}, {}, {}, {(): ""}
+    for c, turns in own.items():
+        h, base = zlib.crc32(str(c).encode()) % 6, c - (abs(c) % 100 if c >= 0 else -(abs(c) % 100))
+        path = tuple(own.get(base, [])[:h] + turns[h:])
+        ends.setdefault(path, []).append(c)
+        for d in range(len(path) + 1):
+            members.setdefault(path[:d], []).append(c)
+    out = []
+    for node, who in members.items():
+        below = [x for x in members if x[: len(node)] == node]
+        kids = lambda x: sum(1 for y in members if len(y) == len(x) + 1 and y[:-1] == x)
+        saved = sum((len(members[x]) - 1) * (len(x[-1][1]) if x else 0) for x in below)
+        leaves = sum(1 for x in below if not kids(x))
+        digest = sha256(",".join(map(str, sorted(ends.get(node, [])))).encode()).hexdigest()
+        out.append((min(who), len(node), min(members[node[:-1]]) if node else None, len(who), kids(node), leaves, saved, digest))
+    return sorted(out, key=str)
+
+
+def conversations(seed):
+    rng, rows = random.Random(seed), []
+    say = lambda: rng.choice(["", None, "hi", "ça va", "no"] if rng.random() < 0.8 else [f"t{rng.random()}"])
+    for c in [*range(-130, -90), *range(-3, 60), 100, 101, *range(205, 240), *range(400, 460)]:
+        for turn in range(rng.choice([1, 1, 2, 3, 7, 9])):
+            rows.append((c, rng.choice([turn, turn, None, 2]), rng.choice(["user", "assistant", None]), say(), 1, "x"))
+    rows += [(c, t, "user", "same", 1, "x") for c in (300, 301, 302, 303, 304, 305, 306) for t in range(12)]
+    rows += [(c, t, "user", "long", 1, "x") for c in (500, 501) for t in range(60)] + rows[:5] + [(None, 1, "user", "nobody", 1, "x")]
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_prefix_trie_equals_plain_python(spark, seed):
+    from rankloom.llm.prefix_trie import PrefixTrie, prefix_trie
+
+    rows = conversations(seed)
+    how = PrefixTrie() if seed == 1 else PrefixTrie(rows=1, blocks=1)
+    found = prefix_trie(spark.createDataFrame(rows, TURNS), how).collect()
+    assert sorted((tuple(r) for r in found), key=str) == brute_trie(rows)
+
+
+def test_prefixes_that_the_sketch_takes_for_shared_are_still_exact(spark, monkeypatch):
+    """Every counter says two or more, or every second one, which also breaks a tail in the middle."""
+    from rankloom.llm import prefix_trie as pt
+
+    rows = conversations(3)[::3]
+    for byte in (255, 0xAA):
+        monkeypatch.setattr(pt, "several", lambda paths, how, real=pt.several, byte=byte: bytes(x | byte for x in real(paths, how)))
+        found = pt.prefix_trie(spark.createDataFrame(rows, TURNS), pt.PrefixTrie(rows=1, blocks=1)).collect()
+        monkeypatch.undo()
+        assert sorted((tuple(r) for r in found), key=str) == brute_trie(rows)
+
+
+def test_no_conversation_gives_no_node_and_one_without_turns_is_a_root(spark):
+    from rankloom.llm.prefix_trie import prefix_trie
+
+    assert prefix_trie(spark.createDataFrame([], TURNS)).collect() == []
+    c = next(i for i in range(1, 90) if zlib.crc32(str(i).encode()) % 6 > 0)
+    rows = [(c, 0, "user", "gone", 1, "x")]
+    assert [tuple(r) for r in prefix_trie(spark.createDataFrame(rows, TURNS)).collect()] == brute_trie(rows)
