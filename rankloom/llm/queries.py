@@ -15,6 +15,7 @@ from rankloom.llm.manifest import manifest
 from rankloom.llm.mixing import mix
 from rankloom.llm.near_duplicates import near_duplicates
 from rankloom.llm.neighbours import nearest
+from rankloom.llm.personal_data import personal_data
 from rankloom.llm.pieces import decode_ids, encode
 from rankloom.llm.prefix_trie import prefix_trie
 from rankloom.llm.secret_scan import secret_scan
@@ -86,6 +87,11 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(load(spark, sf_dir, "conversations"))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data(load(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = manifest(load(spark, sf_dir, "documents"))
     return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
@@ -103,6 +109,7 @@ QUERIES = {
     "op9_pieces": op9_pieces,
     "op10_near_dedup": op10_near_dedup,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_personal_data": op12_personal_data,
     "op13_manifest": op13_manifest,
 }
 
