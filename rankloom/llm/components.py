@@ -9,22 +9,24 @@ from rankloom.llm.tables import store
 
 
 def connected(links: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``links`` (u, v): the root is the smallest node of its component.
+    """(node, root) for every node of ``links`` (u, v), stored: the root is the smallest node of its component.
 
-    Alternates two rewrites of the links until nothing changes: every node passes its smallest neighbour to its larger
-    neighbours, then to its smaller ones. The number of rounds grows with the logarithm of the longest path. Each round
-    is written to the shared folder. A node with very many links is one join key, which Spark splits.
+    Alternates two rewrites of the links until all are stars: every node passes its smallest neighbour to its larger
+    neighbours, then to its smaller ones. The number of rounds grows with the logarithm of the longest path; links that are
+    stars already take none. Each round is written to the shared folder. Smallest neighbours are aggregated before they
+    are shuffled and joined back, so a node with very many links is a join key, which Spark splits.
     """
     now = store(_ordered(links.select("u", "v")))
-    state = _state(now)
-    while True:
+    while not _stars(now):
         now = store(_ordered(_to_smaller(_to_larger(now))))
-        after = _state(now)
-        if after == state:
-            return now.select(F.col("v").alias("node"), F.col("u").alias("root")).union(
-                now.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct()
-            )
-        state = after
+    return store(now.select(F.col("v").alias("node"), F.col("u").alias("root")).union(now.select("u", "u").distinct()))
+
+
+def _stars(links: DataFrame) -> bool:
+    """Whether no larger end has two links or is a smaller end too."""
+    ends = links.select(F.col("v").alias("x"), F.lit(0).alias("low"), F.lit(1).alias("n")).union(links.select("u", F.lit(1), F.lit(0)).distinct())
+    seen = ends.groupBy("x").agg(F.max("low").alias("low"), F.sum("n").alias("n"))
+    return seen.filter((F.col("n") > 1) | ((F.col("low") == 1) & (F.col("n") > 0))).isEmpty()
 
 
 def _ordered(links: DataFrame) -> DataFrame:
@@ -32,10 +34,6 @@ def _ordered(links: DataFrame) -> DataFrame:
     return links.filter("u != v").select(low, high).distinct()
 
 
-def _state(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
-
-
 def _to_larger(links: DataFrame) -> DataFrame:
     both = links.union(links.select(F.col("v"), F.col("u"))).toDF("u", "v")
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

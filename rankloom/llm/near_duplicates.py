@@ -1,9 +1,10 @@
-"""Near duplicates by word shingles: MinHash bands find candidates, odd sketches screen them, full sets decide.
+"""Near duplicates by word shingles: MinHash bands find candidates, odd sketches order and screen them, full sets decide.
 
 Texts with equal sets are one node. A band bucket is never expanded into its pairs: its members are compared with two
-hubs, the member that shares most buckets of the corpus and one picked by a hash per bucket. Only texts that share a bucket
-and that the links found so far leave apart are then compared across components, behind a much finer sketch and the parity
-bitmap of the set itself, which never rejects a link, so that the pairs confirmed on full sets are those near the threshold.
+hubs, the member that shares most buckets of the corpus and one picked by a hash per bucket, and each node tries the hub that
+their odd sketches hold for the nearest. Only where a bucket's texts still lie in several components do those outside its
+largest one meet the others, behind the parity bitmap of the whole set, which never rejects a link; of each two components the
+nearest pair is tried first, and the other pairs only where that one fails.
 """
 
 from __future__ import annotations
@@ -18,15 +19,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.llm import bitmaps as bm
 from rankloom.llm import bytewords as bw
 from rankloom.llm.components import connected
 from rankloom.llm.tables import pick, row_key, store
 
 SKETCH_BITS = 256
-FINE_BITS = 2048
+PARITY_BITS = 2048
 _LANES = [f"s{i}" for i in range(SKETCH_BITS // 64)]
-_SIGNATURE = "doc_id long, key_a long, key_b long, n_shingles long, node binary, bands array<long>, " + ", ".join(
-    f"{lane} long" for lane in _LANES
+_PARITY = [f"p{i}" for i in range(PARITY_BITS // 64)]
+_SIGNATURE = "doc_id long, key_a long, key_b long, n_shingles long, set_a long, set_b long, bands array<long>, " + ", ".join(
+    f"{lane} long" for lane in (*_LANES, *_PARITY)
 )
 
 
@@ -36,9 +39,8 @@ class NearDuplicates:
 
     ``shingle`` words make a shingle; ``percent`` is the least 100 * intersection / union of a link. ``bands`` bands of
     ``rows`` MinHash values miss a pair at the threshold with probability ``(1 - (percent/100)**rows) ** bands`` (2e-7 here).
-    Links with a hub are tried from an estimated similarity of ``sketch_floor`` on; they only save work. What they leave open
-    is tried from ``fine_floor`` on, estimated from ``fine_samples`` values: more than four standard deviations under the
-    threshold. ``block`` nodes of a family meet the whole family in one task.
+    Links with a hub are tried from an estimated similarity of ``sketch_floor`` on; they only save work, for what they leave
+    open is compared without an estimate. ``block`` nodes of a bucket meet the whole bucket in one task.
     """
 
     shingle: int = 5
@@ -46,8 +48,6 @@ class NearDuplicates:
     bands: int = 28
     rows: int = 3
     sketch_floor: float = 0.6
-    fine_samples: int = 680
-    fine_floor: float = 0.67
     block: int = 512
 
     @property
@@ -71,8 +71,15 @@ def shingle_sets(block: bw.TextBlock, size: int) -> Iterator[np.ndarray]:
             yield np.zeros(0, dtype=np.uint64)
 
 
-def _node(shingles: np.ndarray) -> bytes:
-    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+def _set_digest(shingles: np.ndarray) -> tuple[int, int]:
+    digest = hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+
+
+def _set_parity(shingles: np.ndarray) -> np.ndarray:
+    """The shingles themselves folded into parity bits, as 64-bit lanes."""
+    places = (bw.mix(shingles) % np.uint64(PARITY_BITS)).astype(np.int64)
+    return np.packbits((np.bincount(places, minlength=PARITY_BITS) & 1).astype(np.uint8)).view(np.int64)
 
 
 def _min_hashes(shingles: np.ndarray, factors: np.ndarray, shifts: np.ndarray) -> np.ndarray:
@@ -98,7 +105,7 @@ def _odd_sketch(least: np.ndarray, salt: np.ndarray, bits: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, how: NearDuplicates) -> DataFrame:
-    """Per row: number of shingles, the digest of its set (``node``), band keys and the odd sketch in 64-bit lanes."""
+    """Per row: number of shingles, the digest of its set, band keys, and in 64-bit lanes the odd sketch and the set's parity."""
     factors, shifts = _permutations(how.samples)
     salt = bw.mix(np.arange(1, how.samples + 1, dtype=np.uint64))
 
@@ -114,6 +121,8 @@ def signatures(docs: DataFrame, how: NearDuplicates) -> DataFrame:
                 lanes = _odd_sketch(least, salt, SKETCH_BITS)
                 grouped = least.reshape(len(sets), how.bands, how.rows)
                 keys = bw.mix((grouped * bw._PLACE[: how.rows]).sum(axis=2, dtype=np.uint64) + salt[: how.bands]).view(np.int64)
+                parity = np.stack([_set_parity(s) for s in sets])
+                digests = [_set_digest(s) if s.size else (None, None) for s in sets]
                 here = batch.slice(block.first, block.rows)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -121,30 +130,31 @@ def signatures(docs: DataFrame, how: NearDuplicates) -> DataFrame:
                         here.column("key_a"),
                         here.column("key_b"),
                         pa.array(sizes, pa.int64()),
-                        pa.array([_node(s) if s.size else None for s in sets], pa.binary()),
+                        *(pa.array([d[i] for d in digests], pa.int64()) for i in (0, 1)),
                         pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * how.bands, keys.ravel()),
-                        *(pa.array(lanes[:, i]) for i in range(len(_LANES))),
+                        *(pa.array(x[:, i]) for x in (lanes, parity) for i in range(x.shape[1])),
                     ],
-                    names=["doc_id", "key_a", "key_b", "n_shingles", "node", "bands", *_LANES],
+                    names=["doc_id", "key_a", "key_b", "n_shingles", "set_a", "set_b", "bands", *_LANES, *_PARITY],
                 )
 
     return docs.mapInArrow(per_batch, _SIGNATURE)
 
 
-def _lanes(bits: int, name: str = "s") -> list[str]:
-    return [f"{name}{i}" for i in range(bits // 64)]
+def _apart(a: str, b: str, lanes: list[str]) -> Column:
+    """Differing bits of two bitmaps."""
+    return sum((F.bit_count(F.col(f"{a}.{lane}").bitwiseXOR(F.col(f"{b}.{lane}"))) for lane in lanes), F.lit(0))
 
 
-def _apart(a: str, b: str, bits: int = SKETCH_BITS, name: str = "s") -> Column:
-    """Differing bits of two sketches."""
-    return sum((F.bit_count(F.col(f"{a}.{lane}").bitwiseXOR(F.col(f"{b}.{lane}"))) for lane in _lanes(bits, name)), F.lit(0))
+def _sizes_allow(a: str, b: str, percent: int) -> Column:
+    small = F.least(f"{a}.n_shingles", f"{b}.n_shingles")
+    return small * 100 >= F.greatest(f"{a}.n_shingles", f"{b}.n_shingles") * percent
 
 
 def _not_excluded(a: str, b: str, percent: int) -> Column:
     """No link fails this: a shingle of one set alone flips one parity bit, so the sets differ in at least as many shingles
     as bits, and a link of ``percent`` allows ``(100 - percent) / (100 + percent)`` of both sizes together."""
     allowed = (F.col(f"{a}.n_shingles") + F.col(f"{b}.n_shingles")) * (100 - percent)
-    return _apart(a, b, FINE_BITS, "p") * (100 + percent) <= allowed
+    return _apart(a, b, _PARITY) * (100 + percent) <= allowed
 
 
 def _most_apart(bits: int, samples: int, similarity: float) -> int:
@@ -152,13 +162,6 @@ def _most_apart(bits: int, samples: int, similarity: float) -> int:
     return int(bits / 2 * (1 - math.exp(-4 * samples * (1 - similarity) / bits)))
 
 
-def _possible(a: str, b: str, percent: int, bits: int, most_apart: int) -> Column:
-    """The sizes of the sets allow the threshold and the sketches are near enough."""
-    small = F.least(f"{a}.n_shingles", f"{b}.n_shingles")
-    large = F.greatest(f"{a}.n_shingles", f"{b}.n_shingles")
-    return (small * 100 >= large * percent) & (_apart(a, b, bits) <= most_apart)
-
-
 def _members(nodes: DataFrame) -> DataFrame:
     """(key, node, size): the nodes of every band bucket of two nodes or more."""
     rows = nodes.select(F.explode("bands").alias("key"), "node")
@@ -167,108 +170,87 @@ def _members(nodes: DataFrame) -> DataFrame:
 
 
 def _hub_links(members: DataFrame, nodes: DataFrame, how: NearDuplicates) -> DataFrame:
-    """(a, b): each node with the two hubs of each of its buckets, as far as the sketches allow a link."""
+    """(a, b): each node with the nearest of the two hubs of each of its buckets, as far as the odd sketches allow a link."""
     weight = members.groupBy("node").agg(F.sum("size").alias("weight"))
     picked = members.join(weight, "node")
     hubs = picked.groupBy("key").agg(
         F.max(F.struct("weight", "node")).alias("common"),
         F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node")).alias("random"),
     )
-    hubs = hubs.select("key", F.explode(F.array("common.node", "random.node")).alias("b")).distinct()
+    hubs = hubs.select("key", F.explode(F.array_distinct(F.array("common.node", "random.node"))).alias("b"))
     pairs = members.select("key", F.col("node").alias("a")).join(hubs, "key").filter("a != b").select("a", "b").distinct()
-    return _screened(pairs, nodes, how)
-
-
-def _screened(pairs: DataFrame, nodes: DataFrame, how: NearDuplicates) -> DataFrame:
     sketch = nodes.select("node", F.struct("n_shingles", *_LANES).alias("s"))
     both = pairs.join(sketch.toDF("a", "sa"), "a").join(sketch.toDF("b", "sb"), "b")
-    near = _possible("sa", "sb", how.percent, SKETCH_BITS, _most_apart(SKETCH_BITS, how.samples, how.sketch_floor))
-    return both.filter(near).select("a", "b", _apart("sa", "sb").alias("apart"))
-
-
-def _open_groups(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(node, root, family): the nodes of buckets which the links found so far leave in several components.
-
-    A family is what shared open buckets hold together, so every undecided pair lies inside one family.
-    """
-    rows = _labelled(members.select("key", "node"), "node", "root", labels)
-    several = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("node").alias("u"))
-    rows = store(rows.join(several.filter("low != high").select("key", "u"), "key"))
-    families = connected(rows.select("u", F.col("node").alias("v"))).toDF("node", "family")
-    return store(rows.select("node", "root").distinct().join(families, "node"))
-
-
-def _set_parity(shingles: np.ndarray) -> np.ndarray:
-    """The shingles themselves folded into parity bits, as 64-bit lanes."""
-    places = (bw.mix(shingles) % np.uint64(FINE_BITS)).astype(np.int64)
-    return np.packbits((np.bincount(places, minlength=FINE_BITS) & 1).astype(np.uint8)).view(np.int64)
-
-
-def _fine_sketches(sets: DataFrame, samples: int) -> DataFrame:
-    """(node, n_shingles, s..., p...): an odd sketch of many more samples than the bands use, and the parity bits of the set."""
-    factors, shifts = _permutations(samples)
-    salt = bw.mix(np.arange(1, samples + 1, dtype=np.uint64))
-
-    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in batch.column("shingles")]
-            least = np.stack([_min_hashes(s, factors, shifts) for s in sets]) if sets else np.zeros((0, samples), np.uint64)
-            lanes = _odd_sketch(least, salt, FINE_BITS)
-            parity = np.stack([_set_parity(s) for s in sets]) if sets else np.zeros((0, FINE_BITS // 64), np.int64)
-            sizes = pa.array([s.size for s in sets], pa.int64())
-            columns = [batch.column("node"), sizes, *(pa.array(x[:, i]) for x in (lanes, parity) for i in range(x.shape[1]))]
-            yield pa.RecordBatch.from_arrays(columns, names=["node", "n_shingles", *fine])
-
-    fine = [*_lanes(FINE_BITS), *_lanes(FINE_BITS, "p")]
-    schema = ", ".join(f"{lane} long not null" for lane in fine)
-    return sets.mapInArrow(per_batch, f"node binary, n_shingles long, {schema}")
-
-
-def _open_links(groups: DataFrame, sets: DataFrame, how: NearDuplicates) -> DataFrame:
-    """(a, b, apart): pairs of a family in different components that their fine sketches allow."""
-    fine = _fine_sketches(sets, how.fine_samples)
-    sketch = F.struct("n_shingles", *_lanes(FINE_BITS), *_lanes(FINE_BITS, "p"))
-    rows = groups.join(fine.select("node", sketch.alias("s")), "node")
-    rows = store(rows)
-    # A large family is cut into blocks, each of which meets the whole family, so that no task gets all its pairs.
-    sizes = rows.groupBy("family").agg(F.ceil(F.count("*") / F.lit(how.block)).alias("blocks"))
-    rows = rows.join(sizes, "family")
-    other = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
-    other = other.toDF(*(f"{c}_2" for c in other.columns))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    near = _not_excluded("s", "s_2", how.percent)
-    near &= _possible("s", "s_2", how.percent, FINE_BITS, _most_apart(FINE_BITS, how.fine_samples, how.fine_floor))
-    meet = (F.col("family") == F.col("family_2")) & (F.col("block") == F.col("block_2")) & (F.col("root") < F.col("root_2")) & near
-    return rows.join(other, meet).select(F.col("node").alias("a"), F.col("node_2").alias("b"), _apart("s", "s_2", FINE_BITS).alias("apart"))
+    apart = _apart("sa", "sb", _LANES)
+    near = _sizes_allow("sa", "sb", how.percent) & (apart <= _most_apart(SKETCH_BITS, how.samples, how.sketch_floor))
+    best = both.filter(near).groupBy("a").agg(F.min(F.struct(apart.alias("apart"), "b")).alias("n"))
+    return best.select("a", "n.b")
 
 
 def _labelled(df: DataFrame, node: str, root: str, labels: DataFrame) -> DataFrame:
     return df.join(labels.toDF(node, "_root"), node, "left").withColumn(root, F.coalesce("_root", node)).drop("_root")
 
 
-def _ends(links: DataFrame) -> DataFrame:
-    return links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+def _open_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, how: NearDuplicates) -> DataFrame:
+    """(a, b, root_a, root_b, apart): pairs of a bucket in different components whose parity bits allow a link.
+
+    In a bucket the nodes outside its largest component, cut into blocks, meet all nodes of the bucket; a bucket whose nodes hang
+    together is closed.
+    """
+    sizes = labels.groupBy("root").agg(F.count("*").alias("weight"))
+    labels = labels.join(sizes, "root").select("node", "root", "weight")
+    rows = members.select("key", "node").join(labels, "node", "left")
+    rows = rows.select("key", "node", F.coalesce("root", "node").alias("root"), F.coalesce("weight", F.lit(1).cast("long")).alias("weight"))
+    rows = store(rows)
+    buckets = rows.groupBy("key").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.struct("weight", "root")).alias("top"), F.count("*").alias("size")
+    )
+    buckets = buckets.filter("low != high").select("key", F.col("top.root").alias("top"), F.ceil(F.col("size") / how.block).alias("blocks"))
+    rows = rows.join(buckets, "key").select("key", "node", "root", "top", "blocks")
+    rows = store(rows.join(nodes.select("node", F.struct("n_shingles", *_PARITY).alias("s")), "node"))
+    few = rows.filter("root != top").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).drop("top", "blocks")
+    every = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
+    every = every.toDF(*(f"{c}_2" for c in every.columns))
+    meet = (F.col("key") == F.col("key_2")) & (F.col("block") == F.col("block_2"))
+    meet &= (F.col("root") != F.col("root_2")) & ((F.col("root_2") == F.col("top_2")) | (F.col("root") < F.col("root_2")))
+    meet &= _sizes_allow("s", "s_2", how.percent) & _not_excluded("s", "s_2", how.percent)
+    per_mille = (_apart("s", "s_2", _PARITY) * 1000 / (F.col("s.n_shingles") + F.col("s_2.n_shingles"))).cast("long")
+    found = few.join(every, meet).select(
+        F.least("node", "node_2").alias("a"), F.greatest("node", "node_2").alias("b"),
+        F.when(F.col("node") < F.col("node_2"), F.col("root")).otherwise(F.col("root_2")).alias("root_a"),
+        F.when(F.col("node") < F.col("node_2"), F.col("root_2")).otherwise(F.col("root")).alias("root_b"),
+        per_mille.alias("apart"),
+    )
+    return found.distinct()
 
 
 def _full_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, how: NearDuplicates) -> DataFrame:
-    """(node, shingles) of the ``wanted`` nodes, made again from the text of one row of each."""
-    wanted = wanted.select("node").join(nodes.select("node", "row"), "node")
-    wanted = wanted.select("node", "row.*").distinct().toDF("node", "id_w", "key_a_w", "key_b_w")
-    same = F.col("doc_id").eqNullSafe(F.col("id_w")) & (F.col("key_a") == F.col("key_a_w")) & (F.col("key_b") == F.col("key_b_w"))
-    texts = docs.join(wanted, same).select("node", "text")
+    """(node, shingles) of the nodes in ``wanted``, made again from the text of one row of each.
+
+    A bitmap of the wanted rows lets few others through, so that only their sets, and no text, are shuffled.
+    """
+    wanted = store(wanted.distinct().join(nodes.select("node", "row"), "node").select("node", "row.*"))
+    row = F.xxhash64("key_a", "doc_id", "key_b").alias("row")
+    bits = docs.sparkSession.sparkContext.broadcast(bm.bitmap(wanted.select(row)))
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = bm.known(bits.value)
         for batch in batches:
+            batch = batch.filter(pa.array(known[bm.slots(batch.column("row").to_numpy())]))
             for block in bw.blocks(batch.column("text")):
                 sets = [s.tobytes() for s in shingle_sets(block, how.shingle)]
-                names = batch.column("node").slice(block.first, block.rows)
-                yield pa.RecordBatch.from_arrays([names, pa.array(sets, pa.binary())], names=["node", "shingles"])
+                here = batch.slice(block.first, block.rows)
+                keys = [here.column(c) for c in ("doc_id", "key_a", "key_b")]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(sets, pa.binary())], names=["id", "a", "b", "shingles"])
 
-    return texts.mapInArrow(per_batch, "node binary, shingles binary").dropDuplicates(["node"])
+    made = docs.select("doc_id", "key_a", "key_b", "text", row).mapInArrow(per_batch, "id long, a long, b long, shingles binary")
+    same = (F.col("a") == F.col("key_a")) & (F.col("b") == F.col("key_b")) & F.col("id").eqNullSafe(F.col("doc_id"))
+    return store(made.join(wanted, same).select("node", "shingles").dropDuplicates(["node"]))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
+    """The rows of ``pairs`` (a, b and further longs) whose full sets reach the threshold, stored."""
+    names = pairs.columns
     both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,36 +260,29 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
                 common = np.intersect1d(x, y, assume_unique=True).size
                 keep.append(100 * common >= percent * (x.size + y.size - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(names).filter(pa.array(keep, pa.bool_()))
+
+    return store(both.select(*names, "set_a", "set_b").mapInArrow(per_batch, ", ".join(f"{c} long" for c in names)))
 
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(per_batch, "a binary, b binary")
 
+def _ends(links: DataFrame) -> DataFrame:
+    return links.select(F.col("a").alias("node")).union(links.select("b"))
 
-def _joined(labels: DataFrame, links: DataFrame, sets: DataFrame, how: NearDuplicates, waves: tuple) -> DataFrame:
-    """Confirm candidate links between components, wave by wave; the new (node, root).
 
-    In a wave each node tries up to so many of its nearest candidates by sketch; a wave of None tries all that are left. What
-    already hangs together is not confirmed again, and no pair is tried twice.
-    """
-    tried = None
-    for tries in waves:
-        if tried is not None:
-            links = links.join(tried, ["a", "b"], "left_anti")
-        apart = _labelled(_labelled(links, "a", "root_a", labels), "b", "root_b", labels).filter("root_a != root_b")
-        if tries:
-            lot = F.pmod(F.xxhash64("b"), F.lit(tries))
-            apart = apart.groupBy("a", lot.alias("lot")).agg(F.min(F.struct("apart", "b")).alias("n")).select("a", "n.b")
-        now = store(apart.select("a", "b"))
-        tried = now if tried is None else tried.union(now)
-        good = store(_confirmed(now, sets, how.percent))
-        if good.isEmpty():
-            continue
-        ends = _labelled(_labelled(good, "a", "u", labels), "b", "v", labels)
-        merged = connected(ends.select("u", "v"))
-        moved = labels.select("node", F.col("root").alias("old")).union(merged.select("node", F.col("node").alias("old"))).distinct()
-        labels = store(moved.join(merged.toDF("old", "new"), "old", "left").select("node", F.coalesce("new", "old").alias("root")))
-        labels = store(labels.groupBy("node").agg(F.min("root").alias("root")))
-    return labels
+def _joined(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, root) over the components that the stored ``pairs`` connect: first the nearest pair of each two components, then
+    all pairs of components that are still apart."""
+    two = [F.least("root_a", "root_b").alias("u"), F.greatest("root_a", "root_b").alias("v")]
+    nearest = pairs.groupBy(*two).agg(F.min(F.struct("apart", "a", "b")).alias("n")).select("n.a", "n.b", "u", "v")
+    nearest = store(nearest)
+    good = _confirmed(nearest, sets, percent)
+    labels = connected(good)
+    rest = pairs.join(nearest.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", *two)
+    rest = _labelled(_labelled(rest, "u", "x", labels), "v", "y", labels).filter("x != y").select("a", "b", "u", "v")
+    rest = store(rest)
+    if rest.isEmpty():
+        return labels
+    return connected(good.union(_confirmed(rest, sets, percent)))
 
 
 def near_duplicates(documents: DataFrame, how: NearDuplicates = NearDuplicates()) -> DataFrame:
@@ -323,24 +298,28 @@ def near_duplicates(documents: DataFrame, how: NearDuplicates = NearDuplicates()
     docs = pick(documents, doc_id="doc_id", text="text").withColumn("doc_id", F.col("doc_id").cast("long"))
     docs = docs.select("doc_id", "text", *row_key(F.col("text")))
     made = store(signatures(docs, how))
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key_a", "key_b", "n_shingles", "bands", *_LANES))
-    nodes = made.filter("node is not null").groupBy("node").agg(best.alias("m")).select("node", "m.*")
-    nodes = store(nodes.select("node", F.struct("doc_id", "key_a", "key_b").alias("row"), "n_shingles", "bands", *_LANES))
+    lanes = [*_LANES, *_PARITY]
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key_a", "key_b", "n_shingles", "bands", *lanes))
+    nodes = made.filter("set_a is not null").groupBy("set_a", "set_b").agg(best.alias("m")).select("set_a", "set_b", "m.*")
+    row = F.struct("doc_id", "key_a", "key_b").alias("row")
+    # The numbers are fixed by being stored; only their order among each other is used.
+    nodes = store(nodes.select(F.monotonically_increasing_id().alias("node"), "set_a", "set_b", row, "n_shingles", "bands", *lanes))
     members = store(_members(nodes))
     links = store(_hub_links(members, nodes, how))
-    labels = nodes.sparkSession.createDataFrame([], "node binary, root binary")
-    if not links.isEmpty():
-        sets = store(_full_sets(docs, nodes, _ends(links), how))
-        labels = _joined(labels, links, sets, how, (1, 8))
-    groups = _open_groups(members, labels)
-    if not groups.isEmpty():
-        sets = store(_full_sets(docs, nodes, groups, how))
-        labels = _joined(labels, store(_open_links(groups, sets, how)), sets, how, (None,))
-    placed = _labelled(nodes.select("node", F.col("row.doc_id").alias("id")), "node", "root", labels)
+    links = _confirmed(links, _full_sets(docs, nodes, _ends(links), how), how.percent)
+    labels = connected(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    placed = nodes.select("set_a", "set_b", "node", F.col("row.doc_id").alias("id"))
+    placed = _labelled(placed, "node", "root", labels)
+    pairs = store(_open_pairs(members, labels, nodes, how))
+    if not pairs.isEmpty():
+        roots = _joined(pairs, _full_sets(docs, nodes, _ends(pairs), how), how.percent)
+        placed = _labelled(placed.withColumnRenamed("root", "first"), "first", "root", roots)
+    placed = store(placed.select("set_a", "set_b", "id", "root"))
     smallest = placed.groupBy("root").agg(F.min("id").alias("component_id"))
-    placed = placed.join(smallest, "root").select(F.col("node").alias("n"), "component_id")
-    found = made.select("doc_id", "key_a", "key_b", "n_shingles", "node").join(placed, F.col("node") == F.col("n"), "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    placed = placed.join(smallest, "root").select(F.col("set_a").alias("x"), F.col("set_b").alias("y"), "component_id")
+    found = made.select("doc_id", "key_a", "key_b", "n_shingles", "set_a", "set_b")
+    found = found.join(placed, (F.col("set_a") == F.col("x")) & (F.col("set_b") == F.col("y")), "left")
+    component = F.when(F.col("set_a").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return found.select("doc_id", "key_a", "key_b", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
     )

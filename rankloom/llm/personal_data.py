@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.llm import bitmaps as bm
 from rankloom.llm import bytewords as bw
 from rankloom.llm.tables import pick, row_key, store
 
@@ -32,8 +33,6 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _WORD = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+")
 _ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
-_SLOTS = 1 << 24
-_BLOCK = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -160,44 +159,20 @@ def scan(docs: DataFrame, how: PersonalData) -> DataFrame:
     return docs.mapInArrow(per_batch, f"{schema}, entity array<long>, context array<long>, word array<long>, named array<long>")
 
 
-def _bitmap(words: DataFrame) -> bytes:
-    """A bit for the low bits of every hash of ``words`` (word): 2 MB, however many words there are."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks: dict[int, np.ndarray] = {}
-        for batch in batches:
-            slots = batch.column("slot").to_numpy()
-            for k in np.unique(slots // _BLOCK).tolist():
-                blocks.setdefault(k, np.zeros(_BLOCK, bool))[slots[slots // _BLOCK == k] % _BLOCK] = True
-        bits = [np.packbits(v).tobytes() for v in blocks.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int64()), pa.array(bits, pa.binary())], names=["block", "bits"])
-
-    slots = words.select(F.pmod("word", F.lit(_SLOTS)).alias("slot")).distinct()
-    made = slots.repartition((F.col("slot") / _BLOCK).cast("int")).mapInArrow(pack, "block long, bits binary")
-    out = [bytes(_BLOCK // 8)] * (_SLOTS // _BLOCK)
-    for row in made.collect():  # at most 256 rows of 8 KB
-        out[row.block] = bytes(row.bits)
-    return b"".join(out)
-
-
 def _chosen(block: bw.TextBlock, known: np.ndarray, how: PersonalData) -> tuple[bw.Words, np.ndarray, np.ndarray]:
     """The words of a block, their hashes, and the places of those long enough whose bit is set."""
     words = bw.find_words(block, bw.ALNUM)
     hashes = bw.word_hashes(words)
-    hit = known[(hashes % np.uint64(_SLOTS)).astype(np.int64)] & (words.ends - words.starts >= how.letters)
+    hit = known[bm.slots(hashes)] & (words.ends - words.starts >= how.letters)
     return words, hashes.view(np.int64), np.flatnonzero(hit)
 
 
-def _known(bits: bytes) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(bits, dtype=np.uint8)).astype(bool)
-
-
 def occurrences(docs: DataFrame, words: DataFrame, how: PersonalData) -> DataFrame:
     """(word, n): how often each of ``words`` stands in the texts."""
-    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(words))
+    bits = docs.sparkSession.sparkContext.broadcast(bm.bitmap(words.select("word")))
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _known(bits.value)
+        known = bm.known(bits.value)
         for batch in batches:
             for block in bw.blocks(batch.column("text")):
                 _, hashes, at = _chosen(block, known, how)
@@ -228,10 +203,10 @@ def revealing_terms(docs: DataFrame, scanned: DataFrame, how: PersonalData) -> D
 
 def term_spans(docs: DataFrame, terms: DataFrame, how: PersonalData) -> DataFrame:
     """(key_a, key_b, terms): per text with such terms their spans (start, stop, share) by start, outside its entities."""
-    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(terms))
+    bits = docs.sparkSession.sparkContext.broadcast(bm.bitmap(terms.select("word")))
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _known(bits.value)
+        known = bm.known(bits.value)
         for batch in batches:
             for block in bw.blocks(batch.column("text")):
                 words, hashes, at = _chosen(block, known, how)
