@@ -1,8 +1,8 @@
 """Near duplicates by word shingles: MinHash bands find candidates, odd sketches order and screen them, full sets decide.
 
 Texts with equal sets are one node. A band bucket is never expanded into its pairs: its members are compared with two
-hubs, the member that shares most buckets of the corpus and one picked by a hash per bucket, and each node tries the hub that
-their odd sketches hold for the nearest. Only where a bucket's texts still lie in several components do those outside its
+hubs, the member that shares most buckets of the corpus and one picked by a hash per bucket; odd sketches tell which hub is
+nearest to a node, and which pair to two components. Only where a bucket's texts still lie in several components do those outside its
 largest one meet the others, behind the parity bitmap of the whole set, which never rejects a link; of each two components the
 nearest pair is tried first, and the other pairs only where that one fails.
 """
@@ -170,7 +170,7 @@ def _members(nodes: DataFrame) -> DataFrame:
 
 
 def _hub_links(members: DataFrame, nodes: DataFrame, how: NearDuplicates) -> DataFrame:
-    """(a, b): each node with the nearest of the two hubs of each of its buckets, as far as the odd sketches allow a link."""
+    """(a, b, apart): each node with the two hubs of each of its buckets, as far as the odd sketches allow a link."""
     weight = members.groupBy("node").agg(F.sum("size").alias("weight"))
     picked = members.join(weight, "node")
     hubs = picked.groupBy("key").agg(
@@ -183,8 +183,7 @@ def _hub_links(members: DataFrame, nodes: DataFrame, how: NearDuplicates) -> Dat
     both = pairs.join(sketch.toDF("a", "sa"), "a").join(sketch.toDF("b", "sb"), "b")
     apart = _apart("sa", "sb", _LANES)
     near = _sizes_allow("sa", "sb", how.percent) & (apart <= _most_apart(SKETCH_BITS, how.samples, how.sketch_floor))
-    best = both.filter(near).groupBy("a").agg(F.min(F.struct(apart.alias("apart"), "b")).alias("n"))
-    return best.select("a", "n.b")
+    return both.filter(near).select("a", "b", apart.cast("long").alias("apart"))
 
 
 def _labelled(df: DataFrame, node: str, root: str, labels: DataFrame) -> DataFrame:
@@ -199,9 +198,7 @@ def _open_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, how: Ne
     """
     sizes = labels.groupBy("root").agg(F.count("*").alias("weight"))
     labels = labels.join(sizes, "root").select("node", "root", "weight")
-    rows = members.select("key", "node").join(labels, "node", "left")
-    rows = rows.select("key", "node", F.coalesce("root", "node").alias("root"), F.coalesce("weight", F.lit(1).cast("long")).alias("weight"))
-    rows = store(rows)
+    rows = store(members.select("key", "node").join(labels, "node"))
     buckets = rows.groupBy("key").agg(
         F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.struct("weight", "root")).alias("top"), F.count("*").alias("size")
     )
@@ -269,15 +266,34 @@ def _ends(links: DataFrame) -> DataFrame:
     return links.select(F.col("a").alias("node")).union(links.select("b"))
 
 
+def _components() -> list[Column]:
+    return [F.least("root_a", "root_b").alias("u"), F.greatest("root_a", "root_b").alias("v")]
+
+
+def _nearest(pairs: DataFrame) -> DataFrame:
+    """(a, b, u, v): the nearest of the ``pairs`` (a, b, root_a, root_b, apart) of each two components u and v."""
+    return store(pairs.groupBy(*_components()).agg(F.min(F.struct("apart", "a", "b")).alias("n")).select("n.a", "n.b", "u", "v"))
+
+
+def _by_hubs(links: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, root) of all nodes, joined through hubs: each node tries its nearest hub, then each two components the nearest
+    pair of a node and a hub between them."""
+    first = links.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("n")).select("a", "n.b")
+    good = _confirmed(first, sets, percent)
+    labels = connected(good.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    apart = _labelled(_labelled(links, "a", "root_a", labels), "b", "root_b", labels).filter("root_a != root_b")
+    roots = connected(_confirmed(_nearest(apart), sets, percent))
+    placed = _labelled(nodes.select("node"), "node", "first", labels)
+    return store(_labelled(placed, "first", "root", roots).select("node", "root"))
+
+
 def _joined(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(node, root) over the components that the stored ``pairs`` connect: first the nearest pair of each two components, then
     all pairs of components that are still apart."""
-    two = [F.least("root_a", "root_b").alias("u"), F.greatest("root_a", "root_b").alias("v")]
-    nearest = pairs.groupBy(*two).agg(F.min(F.struct("apart", "a", "b")).alias("n")).select("n.a", "n.b", "u", "v")
-    nearest = store(nearest)
+    nearest = _nearest(pairs)
     good = _confirmed(nearest, sets, percent)
     labels = connected(good)
-    rest = pairs.join(nearest.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", *two)
+    rest = pairs.join(nearest.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", *_components())
     rest = _labelled(_labelled(rest, "u", "x", labels), "v", "y", labels).filter("x != y").select("a", "b", "u", "v")
     rest = store(rest)
     if rest.isEmpty():
@@ -306,10 +322,8 @@ def near_duplicates(documents: DataFrame, how: NearDuplicates = NearDuplicates()
     nodes = store(nodes.select(F.monotonically_increasing_id().alias("node"), "set_a", "set_b", row, "n_shingles", "bands", *lanes))
     members = store(_members(nodes))
     links = store(_hub_links(members, nodes, how))
-    links = _confirmed(links, _full_sets(docs, nodes, _ends(links), how), how.percent)
-    labels = connected(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    placed = nodes.select("set_a", "set_b", "node", F.col("row.doc_id").alias("id"))
-    placed = _labelled(placed, "node", "root", labels)
+    labels = _by_hubs(links, nodes, _full_sets(docs, nodes, _ends(links), how), how.percent)
+    placed = nodes.select("set_a", "set_b", "node", F.col("row.doc_id").alias("id")).join(labels, "node")
     pairs = store(_open_pairs(members, labels, nodes, how))
     if not pairs.isEmpty():
         roots = _joined(pairs, _full_sets(docs, nodes, _ends(pairs), how), how.percent)
