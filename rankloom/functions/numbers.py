@@ -51,20 +51,24 @@ def clamp(value: Column, low: float = 0.0, high: float = 100.0) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), value))
 
 
-#: Larger magnitudes count as this one in exact sums, so that one damaged value cannot end a run.
-LARGEST = 1e24
+#: Whole digits that a value may have in an exact sum; a decimal's other digits are room for the sum itself.
+WHOLE_DIGITS = 24
 
 
 def exact(value: Column, scale: int = 6) -> Column:
-    """Decimal view of a double, so that sums do not depend on the order of the rows; see ``LARGEST``."""
-    held = F.greatest(F.least(value.cast("double"), F.lit(LARGEST)), F.lit(-LARGEST))
-    plain = F.abs(value.cast("double")) < F.lit(1e17)
-    wide = f"decimal(38,{scale})"
-    return F.when(plain, value.cast(f"decimal({18 + scale},{scale})").cast(wide)).when(value.isNotNull(), held.cast(wide))
+    """Decimal view of a double, so that sums do not depend on the order of the rows. NULL from 1e24 on: such a value is left out
+    of the sum and counted by :func:`unsummed`."""
+    return value.cast("double").try_cast(f"decimal({WHOLE_DIGITS + scale},{scale})").cast(f"decimal(38,{scale})")
 
 
 def exact_sum(value: Column, scale: int = 6) -> Column:
-    return F.sum(exact(value, scale))
+    """Sum of the values that :func:`exact` holds; NULL where the sum itself has too many digits."""
+    return F.try_sum(exact(value, scale))
+
+
+def unsummed(value: Column, scale: int = 6) -> Column:
+    """How many values are too large for :func:`exact_sum`."""
+    return F.count_if(value.isNotNull() & exact(value, scale).isNull())
 
 
 def half_up(value: Column, digits: int) -> Column:

@@ -472,6 +472,7 @@ def lenient_numbers(spark, d):
         F.count(F.lit(1)).alias("n_words"),
         whole_sum("as_int").alias("sum_int"),
         numbers.exact_sum(c("as_double"), 0).cast("string").alias("sum_double"),
+        numbers.unsummed(c("as_double"), 0).alias("n_unsummed"),
         whole_sum("as_grouped").alias("sum_grouped"),
         F.count("as_metric").alias("n_metric"),
         F.count_if(c("flag")).alias("n_flag"),

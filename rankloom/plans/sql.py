@@ -514,7 +514,8 @@ _nocomma = "replace(word, ',', '')"
 oracle(
     "lenient_numbers",
     f"""SELECT source, count(*) AS n_words, {_whole_sum('n')} AS sum_int,
-        CAST(sum(CAST(greatest(least(coalesce(n, 0), 1e24), -1e24) AS DECIMAL(38,0))) AS VARCHAR) AS sum_double,
+        CAST(sum(CAST(TRY_CAST(coalesce(n, 0) AS DECIMAL(24,0)) AS DECIMAL(38,0))) AS VARCHAR) AS sum_double,
+        {count_where("TRY_CAST(coalesce(n, 0) AS DECIMAL(24,0)) IS NULL")} AS n_unsummed,
         {_whole_sum('g')} AS sum_grouped, count(m) AS n_metric,
         {count_where("lower(word) IN ('true', '1', 'yes', 'y', 't')")} AS n_flag, {count_where("upper(word) = 'TRUE'")} AS n_strict
     FROM (SELECT *, {_double('word')} AS n, {_double(_nocomma)} AS g, {_double("replace(replace(word, ',', ''), '%', '')")} AS m

@@ -201,6 +201,12 @@ def test_one_damaged_value_does_not_end_a_sum(spark):
     assert float(total.t) == 1e19 + 1.25 and total.m == 1e300
 
 
+def test_values_that_no_sum_holds_are_left_out_and_counted(spark):
+    rows = spark.createDataFrame([(3e25,), (1.0,), (None,), (-9e23,), (float("nan"),)], "x double")
+    total = rows.agg(numbers.exact_sum(F.col("x")).alias("t"), numbers.unsummed(F.col("x")).alias("n")).first()
+    assert total.t == 1 - 9 * 10**23 and total.n == 2
+
+
 def test_word_tables_of_any_length(spark):
     words = [f"w{i:03d}x" for i in range(100)]
     rows = spark.createDataFrame([("a W099x b",), ("none",)], "t string")
