@@ -1,7 +1,7 @@
 """Export files: encoding and header are settled per file on the driver, the rows are read by Spark.
 
-Only the first line of a file ever reaches the driver. Files with the same encoding, separator and header
-are read by one scan.
+Only the first line of a file ever reaches the driver, that of all files by one job. Files with the same encoding,
+separator and header are read by one scan, so neither jobs nor plans grow with the number of files.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.text import BOM, first_filled
 
-# What a byte order mark of UTF-16 looks like when read as UTF-8.
-UTF16_START = "��"
+# Byte order marks of UTF-16 and how the text after them is decoded.
+UTF16_MARKS = {b"\xff\xfe": "utf-16-le", b"\xfe\xff": "utf-16-be"}
 
 
 @dataclass(frozen=True)
@@ -67,47 +67,58 @@ def _csv(spark: SparkSession, encoding: str, separator: str, multi_line: bool):
     )
 
 
-def _place(path: str) -> str:
-    """One spelling of a path: local files come as file:/x and as file:///x."""
-    return re.sub(r"^file:/+", "file:/", unquote(path))
+def file_place(path: str) -> str:
+    """One spelling of a path: local files come as /x, as file:/x and as file:///x."""
+    return re.sub(r"^file:/+", "/", unquote(path))
 
 
-def _broken_utf8(spark: SparkSession, paths: Sequence[str]) -> set[str]:
-    """Files holding bytes that are not UTF-8, found by one parallel scan."""
-    rows = (
-        spark.read.text(list(paths))
-        .filter(~F.is_valid_utf8(F.col("value")))
-        .select(F.col("_metadata.file_path").alias("path"))
-        .distinct()
-        .collect()
+@dataclass(frozen=True)
+class _Start:
+    """How a file begins: the bytes of its first line, and whether all its lines are UTF-8."""
+
+    line: bytes
+    utf8: bool
+
+
+def _starts(spark: SparkSession, paths: Sequence[str]) -> dict[str, _Start]:
+    """The start of every file that has a line, by one job for all of them; lines are folded in the tasks that read them."""
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    lines = spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias("path"), place.alias("place"), "value")
+    found = lines.groupBy("path").agg(
+        F.min_by(F.col("value").cast("binary"), "place").alias("line"), F.bool_and(F.is_valid_utf8("value")).alias("utf8")
     )
-    return {_place(row.path) for row in rows}
+    return {file_place(r.path): _Start(bytes(r.line), r.utf8) for r in found.collect()}
 
 
 def _header(spark: SparkSession, path: str, start: str, encoding: str, separator: str) -> Sequence[str | None]:
-    """Header cells, cut from the first line where that line is plain text; a blank first line is no header."""
+    """Header cells, cut from the first line; only a header with a line break inside quotes is read by a job of its own."""
     if not start.strip():
         return ()
-    if encoding == "UTF-8" and start.count('"') % 2 == 0:
+    if start.count('"') % 2 == 0:
         return next(csv.reader([start], delimiter=separator))
     head = _csv(spark, encoding, separator, True).option("header", False).csv(path).head(1)
     return tuple(head[0]) if head else ()
 
 
 def inspect(spark: SparkSession, paths: Sequence[str], latin1_fallback: bool = False) -> list[ExportFile]:
-    """Encoding, separator and header of every file."""
-    broken = _broken_utf8(spark, paths) if latin1_fallback and paths else set()
+    """Encoding, separator and header of every file; a blank first line is no header.
+
+    A byte order mark says UTF-16 with tabs. With ``latin1_fallback`` a file that is not UTF-8 throughout is Latin-1 with commas.
+    """
+    starts = _starts(spark, paths) if paths else {}
     files = []
     for path in paths:
-        first = spark.read.text(path).head(1)
-        start = first[0].value if first else ""
-        if start.startswith(UTF16_START):
-            encoding, separator = "UTF-16", "\t"
-        elif _place(path) in broken:
-            encoding, separator = "ISO-8859-1", ","
+        start = starts.get(file_place(path), _Start(b"", True))
+        wide = UTF16_MARKS.get(start.line[:2])
+        if wide:
+            # The line ends before a byte of the line break: a big-endian line has the break's first byte still.
+            encoding, separator, line = "UTF-16", "\t", start.line[2 : len(start.line) // 2 * 2].decode(wide, "replace")
+        elif latin1_fallback and not start.utf8:
+            encoding, separator, line = "ISO-8859-1", ",", start.line.decode("latin-1")
         else:
             encoding, separator = "UTF-8", "\t" if path.lower().endswith(".tsv") else ","
-        headers = tuple(clean_header(h) for h in _header(spark, path, start, encoding, separator))
+            line = start.line.decode("utf-8", "replace")
+        headers = tuple(clean_header(h) for h in _header(spark, path, line, encoding, separator))
         files.append(ExportFile(path, encoding, separator, headers if any(headers) else ()))
     return files
 

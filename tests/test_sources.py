@@ -300,3 +300,50 @@ def test_facts_can_be_laid_out_by_competitor(spark, tmp_path):
     writers.write_facts(rows, str(tmp_path / "facts"), ["competitor_domain"])
     assert spark.read.parquet(str(tmp_path / "facts")).filter("competitor_domain = 'a'").count() == 1
     assert (tmp_path / "facts" / "competitor_domain=a").exists()
+
+
+def jobs_of(spark, group, run):
+    spark.sparkContext.setJobGroup(group, group)
+    result = run()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return result, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_jobs_do_not_grow_with_the_number_of_files(spark, tmp_path):
+    counts = []
+    for n in (3, 30, 60, 120):
+        folder = tmp_path / str(n)
+        for i in range(n):
+            wide = i % 3 == 2
+            put(folder, f"f{i:03d}-backlinks.csv", "Source URL\tDR\nhttps://x.com/1\t5\n" if wide else f"Source URL,DR\nhttps://x{i}.com/é,{i}\n", ["utf-8", "latin-1", "utf-16"][i % 3])
+        paths = exports.list_files(spark, str(folder), "*.csv")
+        files, inspected = jobs_of(spark, f"inspect-{n}", lambda paths=paths: exports.inspect(spark, paths, latin1_fallback=True))
+        rows, read = jobs_of(spark, f"read-{n}", lambda folder=folder: vendor_exports.read_vendor_a_links(spark, str(folder)))
+        counts.append((inspected, read))
+        assert {f.encoding for f in files} == {"UTF-8", "ISO-8859-1", "UTF-16"}
+        assert all(f.headers == ("Source URL", "DR") for f in files) and rows.count() == n
+    # From 33 paths on Spark lists them by a job of its own, once per scan.
+    assert counts[0] == counts[1] and counts[2] == counts[3] and counts[2][0] <= counts[0][0] + 1
+
+
+def test_headers_of_all_encodings(spark, tmp_path):
+    text = "Source URL\tÄnchor\nhttps://x.com/1\tä\n"
+    put(tmp_path, "a.csv", "﻿" + text, "utf-16-le")
+    put(tmp_path, "b.csv", "﻿" + text.replace("\n", "\r\n"), "utf-16-be")
+    put(tmp_path, "c.csv", '"Source\nURL",B\n1,2\n')
+    put(tmp_path, "d.csv", "\n1,2\n")
+    put(tmp_path, "e.csv", "")
+    files = exports.inspect(spark, exports.list_files(spark, str(tmp_path), "*.csv"))
+    assert [f.headers for f in files] == [("Source URL", "Änchor"), ("Source URL", "Änchor"), ("Source\nURL", "B"), (), ()]
+
+
+def test_jobs_of_overviews_do_not_grow_with_the_files(spark, tmp_path):
+    counts = []
+    for n in (1, 40):
+        folder = tmp_path / str(n)
+        for i in range(n):
+            put(folder, f"o{i:02d}.csv", f",a.com/ (subdomains)\n,Organic traffic\n,x\n,x\n2024-01-{i % 28 + 1:02d},{i}\n")
+        found, made = jobs_of(spark, f"overview-{n}", lambda folder=folder: overview.read_traffic_overviews(spark, exports.list_files(spark, str(folder), "*.csv")).collect())
+        assert {(r.date, r.traffic) for r in found} == {(f"2024-01-{i + 1:02d}", i) for i in range(min(n, 28))}
+        counts.append(made)
+    assert counts[0] == counts[1]
