@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions import rules
 from rankloom.functions.numbers import ratio
-from rankloom.functions.urls import hostname
+from rankloom.functions.urls import canonical_url, hostname
 
 
 def _modal(rows: DataFrame, group: str, value: str, order: str) -> DataFrame:
@@ -47,6 +47,19 @@ def competitor_of_files(rows: DataFrame, target: str = "target_url", least_share
     )
 
 
+def judged(rows: DataFrame, source: Column) -> DataFrame:
+    """Add ``reject_reason`` (NULL: accepted) and ``rejected``: a link needs a source URL, and that URL a host."""
+    url = canonical_url(source)
+    reason = F.when(url == "", "no source URL").when(hostname(url) == "", "no host in the source URL")
+    return rows.withColumn("reject_reason", reason).withColumn("rejected", F.col("reject_reason").isNotNull())
+
+
+def rejects(rows: DataFrame, source: str) -> DataFrame:
+    """Rejected rows per file, reason and text of the source; ``rows`` come from :func:`judged`."""
+    found = rows.filter("rejected").groupBy("src_file", F.col("reject_reason").alias("reason"), F.col(source).alias("written"))
+    return found.agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def audit(
     rows: DataFrame,
     kept: DataFrame,

@@ -37,21 +37,28 @@ def page_facts(pages: DataFrame) -> DataFrame:
 
 
 def registrable_domains(rows: DataFrame, host: str, suffixes: DataFrame, name: str = "registrable_domain") -> DataFrame:
-    """Add the domain one label below the longest public suffix of the host; without a match the host itself.
+    """Add the domain one label below the public suffix of the host; without a match the host itself.
 
-    ``suffixes`` has one column ``suffix``. Distinct hosts are cut into their endings and joined with it, so
-    the work grows with the number of hosts and neither side has to fit into memory.
+    ``suffixes`` has one column ``suffix`` of rules: ``co.uk``, with a wildcard for one label ``*.ck``, or an exception to one
+    ``!www.ck``, whose own suffix is what follows its first label. An exception counts before all others, else the longest
+    suffix. Distinct hosts are cut into their endings and joined with the rules, so the work grows with the number of hosts and
+    neither side has to fit into memory.
     """
     c = F.col
+    rule = c("suffix")
+    kind = F.when(rule.startswith("!"), 1).when(rule.startswith("*."), -1).otherwise(0)
+    rules = suffixes.select(kind.alias("shift"), F.regexp_replace(rule, r"^(!|\*\.)", "").alias("suffix")).distinct()
     labels = F.split(c("_host"), r"\.")
     hosts = rows.select(c(host).alias("_host")).filter(c("_host") != "").distinct()
     endings = hosts.select(
         "_host", labels.alias("labels"), F.explode(F.sequence(F.lit(1), F.size(labels))).alias("at")
-    ).select("_host", "at", "labels", F.array_join(F.slice("labels", c("at"), F.size("labels")), ".").alias("suffix"))
+    ).select("_host", "at", F.array_join(F.slice("labels", c("at"), F.size("labels")), ".").alias("suffix"))
+    # Where the suffix of each matching rule begins.
+    begins = endings.join(rules, "suffix").select("_host", "shift", (c("at") + c("shift")).alias("at")).filter(c("at") > 0)
+    best = F.coalesce(F.min(F.when(c("shift") == 1, c("at"))), F.min("at"))
     longest = (
-        endings.join(suffixes.select("suffix").distinct(), "suffix", "left_semi")
-        .groupBy("_host")
-        .agg(F.min("at").alias("at"))
+        begins.groupBy("_host")
+        .agg(best.alias("at"))
         .filter(c("at") > 1)
         .select("_host", F.array_join(F.slice(labels, c("at") - 1, F.size(labels)), ".").alias("_found"))
     )

@@ -449,6 +449,19 @@ def registrable_domain(spark, d):
     return link_facts.registrable_domains(hosts, "host", suffixes)
 
 
+@query
+def registrable_rules(spark, d):
+    """Rules with wildcards and exceptions, made from the hosts: the last label is a suffix, those of even pages also any label
+    before it, and some endings of two labels are exceptions."""
+    hosts = views.table(spark, d, "pages").select("page_id", urls.hostname(F.col("url")).alias("host"))
+    last = F.regexp_extract("host", r"([^.]+)$", 1)
+    two = F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)
+    wild = hosts.filter("page_id % 2 = 0").select(F.concat(F.lit("*."), last).alias("suffix"))
+    except_ = hosts.filter("page_id % 5 = 0").select(F.concat(F.lit("!"), two).alias("suffix"))
+    rules_ = hosts.select(last.alias("suffix")).union(wild).union(except_).distinct()
+    return link_facts.registrable_domains(hosts, "host", rules_)
+
+
 @query
 def link_fingerprint_dedupe(spark, d):
     return links_b(spark, d).select("competitor_domain", "link_fingerprint", "source_url", "anchor", "src_ord.o", "src_ord.l")
@@ -668,9 +681,16 @@ def file_competitors(spark, d):
 
 @query
 def import_audit(spark, d):
-    rows = views.links(spark, d).withColumn("rejected", F.col("source_title").contains("ring"))
+    rows = imports.judged(views.written_links(spark, d), F.col("written_source"))
     kept = link_facts.vendor_b_facts(rows.filter(~F.col("rejected")))
-    return imports.audit(rows, kept, {"backlinks-A.csv": ["Anchor"]}, recommended=("anchor", "ugc"))
+    return imports.audit(rows, kept, {"backlinks-A.csv": ["Anchor", "UGC", "First seen"]})
+
+
+@query
+def import_rejects(spark, d):
+    """Rejected rows of every file by reason and by what was written."""
+    rows = imports.judged(views.written_links(spark, d), F.col("written_source"))
+    return imports.rejects(rows, "written_source")
 
 
 @query
@@ -704,6 +724,13 @@ def sitemap_expand(spark, d):
     return documents.expand_sitemaps(roots, views.sitemap_documents(spark, d))
 
 
+@query
+def sitemap_frontier(spark, d):
+    """What a walk that stops at the roots leaves open."""
+    roots = views.robots(spark, d).select("site", F.concat("site", F.lit("/sitemap.xml")).alias("sitemap_url"))
+    return documents.walk_sitemaps(roots, views.sitemap_documents(spark, d), 0).frontier
+
+
 @query
 def mail_merge(spark, d):
     return mailing.mail_merge(views.prospects(spark, d), MAIL_SUBJECT, MAIL_BODY)

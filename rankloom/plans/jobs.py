@@ -1,6 +1,7 @@
 """Whole runs: exports in, stored facts and result tables out.
 
-Facts are written once and every report reads the stored table, so a report scans only its own columns.
+Facts are written once and every report reads the stored table, so a report scans only its own columns. With
+``multi_line=False`` (no line breaks inside cells) large exports are split over tasks.
 """
 
 from __future__ import annotations
@@ -38,9 +39,9 @@ def _tables(results: dict[str, DataFrame], out: str) -> None:
         table.write.mode("overwrite").parquet(f"{out}/{name}")
 
 
-def link_matrix_run(spark: SparkSession, exports: str, out: str, brief_keyword: str = "") -> None:
+def link_matrix_run(spark: SparkSession, exports: str, out: str, brief_keyword: str = "", multi_line: bool = True) -> None:
     """Vendor A link exports -> facts, overlap matrix, profiles, trends, briefs, traffic overview."""
-    rows = vendor_exports.read_vendor_a_links(spark, exports)
+    rows = vendor_exports.read_vendor_a_links(spark, exports, multi_line)
     if rows is None:
         raise ValueError(f"no link exports in {exports}")
     facts = _stored(link_facts.vendor_a_facts(rows), f"{out}/link_facts")
@@ -69,9 +70,9 @@ def link_queue_run(spark: SparkSession, facts: str, out: str, brand: str) -> Non
     _tables({"queue_v1": link_queue.queue_v1(links, brand), "queue_v2": link_queue.queue_v2(links)}, out)
 
 
-def keyword_run(spark: SparkSession, exports: str, out: str) -> None:
+def keyword_run(spark: SparkSession, exports: str, out: str, multi_line: bool = True) -> None:
     """Keyword exports -> facts, profiles, rankings, overlap matrix and queue."""
-    rows = vendor_exports.read_keywords(spark, exports)
+    rows = vendor_exports.read_keywords(spark, exports, multi_line)
     if rows is None:
         raise ValueError(f"no keyword exports in {exports}")
     facts = _stored(link_facts.keyword_facts(rows), f"{out}/keyword_facts")
@@ -99,9 +100,9 @@ def keyword_task_run(spark: SparkSession, facts: str, out: str, brand: str, disc
     _tables({"tasks": tasks, "benchmarks": keywords.ranked_benchmarks(benchmarks)}, out)
 
 
-def page_run(spark: SparkSession, exports: str, out: str) -> None:
+def page_run(spark: SparkSession, exports: str, out: str, multi_line: bool = True) -> None:
     """Top-page exports -> facts, profiles, page classes and rankings."""
-    rows = vendor_exports.read_top_pages(spark, exports)
+    rows = vendor_exports.read_top_pages(spark, exports, multi_line)
     if rows is None:
         raise ValueError(f"no page exports in {exports}")
     facts = _stored(link_facts.page_facts(rows), f"{out}/page_facts")
@@ -159,20 +160,24 @@ def monitor_run(spark: SparkSession, crawl: DataFrame, sites: DataFrame, history
     writers.write_run_summary(snapshots.run_summary(snapshot, sites, F.lit(seen_at)), f"{out}/summary")
 
 
-def link_intel_run(spark: SparkSession, exports: str, out: str) -> None:
-    """Vendor B link exports -> facts, import audit, profiles, cohorts, domain intelligence."""
+def link_intel_run(
+    spark: SparkSession, exports: str, out: str, multi_line: bool = True, suffixes: DataFrame | None = None
+) -> None:
+    """Vendor B link exports -> facts, import audit, rejected rows, profiles, cohorts, domain intelligence."""
     files = vendor_exports.inspect_vendor_b(spark, exports)
-    read = vendor_exports.read_vendor_b_links(spark, files)
+    read = vendor_exports.read_vendor_b_links(spark, files, multi_line, suffixes)
     if read is None:
         raise ValueError(f"no link exports in {exports}")
     rows = store(read)
     facts = _stored(
-        link_facts.vendor_b_facts(rows.filter(~F.col("rejected")).drop("rejected")), f"{out}/link_facts"
+        link_facts.vendor_b_facts(rows.filter(~F.col("rejected")).drop("rejected", "reject_reason", "raw_source_url")),
+        f"{out}/link_facts",
     )
     profile = link_intel.competitor_profile(facts)
     _tables(
         {
             "audit": imports.audit(rows, facts, headers_by_file(files)),
+            "rejects": imports.rejects(rows, "raw_source_url"),
             "skipped_files": vendor_exports.skipped_files(spark, files, rows),
             "profile": rounded(profile),
             "diagnostics": rounded(link_intel.diagnostics(profile)),

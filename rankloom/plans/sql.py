@@ -491,6 +491,16 @@ oracle(
         {page_url(_messy)} AS page_url_messy, 'https://' || {hostname('url')} || '/sitemap.xml' AS sitemap_url,
         {first_directory('url')} AS directory FROM pages""",
 )
+oracle(
+    "registrable_rules",
+    f"""WITH h AS (SELECT page_id, {hostname('url')} AS host FROM pages),
+        cut AS (SELECT *, string_split(host, '.') AS l FROM h),
+        wild AS (SELECT DISTINCT l[-1] AS last FROM cut WHERE page_id % 2 = 0),
+        ex AS (SELECT DISTINCT l[-2] || '.' || l[-1] AS two FROM cut WHERE page_id % 5 = 0 AND len(l) >= 2),
+        n AS (SELECT *, CASE WHEN len(l) >= 2 AND l[-2] || '.' || l[-1] IN (SELECT two FROM ex) THEN 1
+            WHEN l[-1] IN (SELECT last FROM wild) AND len(l) >= 2 THEN 2 ELSE 1 END AS suffix_labels FROM cut)
+        SELECT page_id, host, CASE WHEN len(l) > suffix_labels THEN array_to_string(l[-(suffix_labels + 1):], '.') ELSE host END AS registrable_domain FROM n""",
+)
 oracle(
     "registrable_domain",
     f"""SELECT page_id, {hostname('url')} AS host, regexp_extract({hostname('url')}, '([^.]+\\.[^.]+\\.[^.]+)$', 1) AS registrable_domain FROM pages""",
@@ -818,16 +828,24 @@ oracle(
     """SELECT p_partkey, low AS links_named, low AS links_plain, low AS keywords_named, low AS pages_named, split_part(low, '.', 1) AS pages_plain,
         low AS domain_named, '' AS domain_plain, low AS cleaned FROM (SELECT p_partkey, replace(lower(p_name), ' ', '.') AS low FROM part)""",
 )
+_rejected = "domain_rating % 3 = 0 AND links_in_group IN (4, 5, 6, 7)"
+_lacking = ", ".join(sorted(set(rules.LINK_EXPORT_RECOMMENDED) - {"anchor", "ugc", "first seen"}))
 oracle(
     "import_audit",
     f"""SELECT src_file, n_rows, n_rejected, n_inserted, n_rows - n_rejected - n_inserted AS n_duplicates,
         CASE WHEN note = '' THEN 'OK' ELSE note END AS note FROM (
         SELECT *, concat_ws('; ', CASE WHEN n_rejected > 0 THEN 'rejected ' || n_rejected END,
             CASE WHEN n_rows - n_rejected - n_inserted > 0 THEN 'duplicates ' || (n_rows - n_rejected - n_inserted) END,
-            CASE WHEN src_file = 'backlinks-A.csv' THEN 'missing columns: ugc' END) AS note
-        FROM (SELECT src_file, count(*) AS n_rows, {count_where("contains(source_title, 'ring')")} AS n_rejected FROM v_links GROUP BY 1)
+            CASE WHEN src_file = 'backlinks-A.csv' THEN 'missing columns: {_lacking}' END) AS note
+        FROM (SELECT src_file, count(*) AS n_rows, {count_where(_rejected)} AS n_rejected FROM v_links GROUP BY 1)
         JOIN (SELECT src_file, count(*) AS n_inserted FROM (SELECT src_file, row_number() OVER (PARTITION BY competitor_domain, link_fingerprint ORDER BY src_ord) AS place
-            FROM v_fingerprints WHERE NOT contains(source_title, 'ring')) WHERE place = 1 GROUP BY 1) USING (src_file))""",
+            FROM v_fingerprints WHERE NOT ({_rejected})) WHERE place = 1 GROUP BY 1) USING (src_file))""",
+)
+oracle(
+    "import_rejects",
+    f"""SELECT src_file, CASE WHEN links_in_group >= 6 THEN 'no source URL' ELSE 'no host in the source URL' END AS reason,
+        CASE links_in_group WHEN 7 THEN '' WHEN 6 THEN '  ' WHEN 5 THEN 'https:///lost/' ELSE '/only/a/path' END AS written, count(*) AS n_rows
+        FROM v_links WHERE {_rejected} GROUP BY ALL""",
 )
 oracle(
     "traffic_unpivot",
@@ -852,6 +870,7 @@ oracle(
         UNION ALL SELECT site, site || '/main.xml' FROM v_robots WHERE NOT silent
         UNION ALL SELECT site, site || p || '.xml' FROM v_robots WHERE NOT silent) GROUP BY 1, 2""",
 )
+oracle("sitemap_frontier", "SELECT DISTINCT base AS site, base || '/' || lang || '.xml' AS sitemap_url FROM v_site_pages")
 oracle("sitemap_expand", "SELECT DISTINCT base AS site, url AS page_url FROM v_site_pages")
 oracle(
     "mail_merge",

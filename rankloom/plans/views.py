@@ -180,6 +180,21 @@ def enrichment_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.unionByName(second)
 
 
+def written_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Link rows with the source as an export might write it: some empty, blank, without host or without scheme."""
+    c = F.col
+    line = lambda n: (c("links_in_group") == n) & (c("domain_rating") % 3 == 0)
+    written = (
+        F.when(line(7), F.lit(""))
+        .when(line(6), F.lit("  "))
+        .when(line(5), F.lit("https:///lost/"))
+        .when(line(4), F.lit("/only/a/path"))
+        .when(line(3), F.substring(c("source_url"), 9, 1_000_000))
+        .otherwise(c("source_url"))
+    )
+    return links(spark, sf_dir).withColumn("written_source", written)
+
+
 def keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword rows: every line item is a ranking of one competitor in one country."""
     c = F.col

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions.text import strip
+from rankloom.session import store
 
 LOC = r"(?is)<(?:[a-z0-9]+:)?loc>(.*?)</(?:[a-z0-9]+:)?loc>"
 HREF = r"(?i)\shref=\"([^\"]*)\""
@@ -40,19 +43,38 @@ def robots_sitemaps(robots: DataFrame) -> DataFrame:
     return robots.select("site", F.explode(F.when(F.size(named) > 0, named).otherwise(usual)).alias("sitemap_url"))
 
 
-def expand_sitemaps(roots: DataFrame, documents: DataFrame, max_depth: int = 3) -> DataFrame:
-    """Page URLs reachable from the root sitemaps through indexes, ``max_depth`` levels below the root.
+@dataclass(frozen=True)
+class SitemapWalk:
+    """``sitemaps`` (site, sitemap_url, depth) that were reached, ``pages`` (site, page_url) that they list, and ``frontier``
+    (site, sitemap_url): what indexes at the greatest depth name and was not followed."""
+
+    sitemaps: DataFrame
+    pages: DataFrame
+    frontier: DataFrame
+
+
+def walk_sitemaps(roots: DataFrame, documents: DataFrame, max_depth: int | None = None) -> SitemapWalk:
+    """Follow the indexes from the root sitemaps, ``max_depth`` levels below the root or to the end.
 
-    The breadth-first walk is a fixed number of joins on the document URL. Every level is a distinct set per
-    site, so indexes that name each other add nothing to the result and the walk always ends.
+    Bodies are parsed once, into a stored table of (sitemap, location). Each level is joined with it and keeps what its site has
+    not visited yet, so indexes that name each other end the walk; a level is stored, and no plan grows with the depth.
     """
-    found = sitemap_locations(documents)
+    found = store(sitemap_locations(documents))
     indexes = found.filter("is_index").select("sitemap_url", "loc")
-    leaves = found.filter(~F.col("is_index")).select("sitemap_url", "loc")
-    level = reached = roots.select("site", "sitemap_url").distinct()
-    for _ in range(max_depth):
-        level = level.join(indexes, "sitemap_url").select("site", F.col("loc").alias("sitemap_url")).distinct()
-        reached = reached.unionByName(level)
-    return (
-        reached.distinct().join(leaves, "sitemap_url").select("site", F.col("loc").alias("page_url")).distinct()
-    )
+    level = store(roots.select("site", "sitemap_url").distinct().withColumn("depth", F.lit(0)))
+    visited, depth = level, 0
+    while True:
+        depth += 1
+        named = level.join(indexes, "sitemap_url").select("site", F.col("loc").alias("sitemap_url")).distinct()
+        level = store(named.join(visited, ["site", "sitemap_url"], "left_anti").withColumn("depth", F.lit(depth)))
+        if (max_depth is not None and depth > max_depth) or level.isEmpty():
+            break
+        visited = store(visited.unionByName(level))
+    leaves = found.filter(~F.col("is_index")).select("sitemap_url", F.col("loc").alias("page_url"))
+    pages = visited.join(leaves, "sitemap_url").select("site", "page_url").distinct()
+    return SitemapWalk(visited, pages, level.select("site", "sitemap_url"))
+
+
+def expand_sitemaps(roots: DataFrame, documents: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """Page URLs reachable from the root sitemaps; see :func:`walk_sitemaps`."""
+    return walk_sitemaps(roots, documents, max_depth).pages

@@ -12,7 +12,8 @@ from rankloom.functions.flags import dofollow, loose_true, lost, strict_true
 from rankloom.functions.numbers import grouped_double, grouped_int, lenient_double, lenient_int
 from rankloom.functions.text import strip
 from rankloom.functions.urls import canonical_url, hostname, path, site_host
-from rankloom.operators.imports import competitor_of_files
+from rankloom.operators.imports import competitor_of_files, judged
+from rankloom.operators.link_facts import registrable_domains
 from rankloom.sources.exports import ExportFile, Fields, inspect, list_files, read_exports
 
 OVERVIEW_MARK = "overview-competitors"
@@ -154,7 +155,7 @@ def read_top_pages(spark: SparkSession, folder: str, multi_line: bool = True) ->
 def _vendor_b_links(rows: DataFrame, f: Fields) -> DataFrame:
     source = canonical_url(f.text("source url"))
     flag = lambda *names: loose_true(f.text(*names))
-    return rows.select(
+    return judged(rows, f.text("source url")).select(
         hostname(source).alias("ref_domain"),
         strip(f.text("source title")).alias("source_title"),
         source.alias("source_url"),
@@ -172,7 +173,10 @@ def _vendor_b_links(rows: DataFrame, f: Fields) -> DataFrame:
         f.json().alias("raw_json"),
         "src_file",
         "src_ord",
-    ).withColumn("rejected", (F.col("source_url") == "") | (F.col("ref_domain") == ""))
+        f.text("source url").alias("raw_source_url"),
+        "reject_reason",
+        "rejected",
+    )
 
 
 def inspect_vendor_b(spark: SparkSession, folder: str) -> list[ExportFile]:
@@ -184,15 +188,21 @@ def has_required(file: ExportFile) -> bool:
     return len(file.headers) > 1 and not set(rules.LINK_EXPORT_REQUIRED) - set(file.lower_headers())
 
 
-def read_vendor_b_links(spark: SparkSession, files: list[ExportFile], multi_line: bool = True) -> DataFrame | None:
+def read_vendor_b_links(
+    spark: SparkSession, files: list[ExportFile], multi_line: bool = True, suffixes: DataFrame | None = None
+) -> DataFrame | None:
     """Link rows of vendor B with the competitor of each file; rejected rows stay in, marked.
 
+    With a table of public ``suffixes`` the referring domain is the registrable one, else the host.
+
     Files without the required columns are left out. The competitor of a file is decided from all of its
     rows and joined back on the file name.
     """
     rows = read_exports(spark, [f for f in files if has_required(f)], _vendor_b_links, multi_line)
     if rows is None:
         return None
+    if suffixes is not None:
+        rows = registrable_domains(rows, "ref_domain", suffixes, "_domain").withColumn("ref_domain", F.col("_domain")).drop("_domain")
     owners = competitor_of_files(rows.select("src_file", "src_ord", F.col("raw_target_url").alias("target_url")))
     return rows.join(owners, "src_file").drop("raw_target_url")
 
