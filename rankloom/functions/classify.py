@@ -101,29 +101,41 @@ def _word_table(patterns: Sequence[str]) -> Column:
     return F.split(F.lit("\n".join(patterns)), "\n")
 
 
-def pattern_mask(text: Column, patterns: Sequence[str]) -> Column:
-    """One bit per pattern found in ``text``.
+#: Patterns of one mask: the bits of a long without its sign.
+MASK_BITS = 63
 
-    Masks of many rows combine with ``bit_or``, so the evidence of a domain with any number of rows is a
-    single number and no text of a group is ever put together. A longer table needs a mask for every 63 patterns.
+
+def mask_parts(patterns: Sequence[str]) -> list[Sequence[str]]:
+    """The patterns of each mask of a table; one mask holds 63, a longer table has several."""
+    return [patterns[i : i + MASK_BITS] for i in range(0, len(patterns), MASK_BITS)]
+
+
+def _mask(text: Column, patterns: Sequence[str]) -> Column:
+    none = F.lit(0).cast("bigint")
+    bits = [F.when(F.contains(text, F.lit(p)), F.lit(1 << i).cast("bigint")).otherwise(none) for i, p in enumerate(patterns)]
+    while len(bits) > 1:  # a balanced tree: a chain of 63 would be as deep
+        bits = [x[0].bitwiseOR(x[1]) if len(x) == 2 else x[0] for x in (bits[i : i + 2] for i in range(0, len(bits), 2))]
+    return bits[0]
+
+
+def pattern_masks(text: Column, patterns: Sequence[str]) -> list[Column]:
+    """One bit per pattern found in ``text``, in as many masks as the table needs.
+
+    Masks of many rows combine with ``bit_or``, so the evidence of a domain with any number of rows is a few numbers and no
+    text of a group is ever put together. Each pattern is an expression of its own, which Spark compiles.
     """
-    if len(patterns) > 63:
-        raise ValueError("at most 63 patterns fit into one mask")
-    none, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
-    bits = F.transform(
-        _word_table(patterns),
-        lambda word, at: F.when(F.contains(text, word), F.call_function("shiftleft", one, at)).otherwise(none),
-    )
-    return F.aggregate(bits, none, lambda seen, bit: seen.bitwiseOR(bit))
+    return [_mask(text, part) for part in mask_parts(patterns)]
 
 
-def mask_words(mask: Column, patterns: Sequence[str], limit: int) -> Column:
-    """The first ``limit`` patterns of a mask, in table order, as text."""
+def mask_words(masks: Sequence[Column], patterns: Sequence[str], limit: int) -> Column:
+    """The first ``limit`` patterns of a table's masks, in table order, as text."""
     one = F.lit(1).cast("bigint")
-    found = F.filter(
-        _word_table(patterns), lambda word, at: F.call_function("shiftright", mask, at).bitwiseAND(one) == one
-    )
-    return F.array_join(F.slice(found, 1, limit), ", ")
+
+    def seen(mask: Column, part: Sequence[str]) -> Column:
+        return F.filter(_word_table(part), lambda word, at: F.call_function("shiftright", mask, at).bitwiseAND(one) == one)
+
+    found = [seen(mask, part) for mask, part in zip(masks, mask_parts(patterns), strict=True)]
+    return F.array_join(F.slice(F.concat(*found), 1, limit), ", ")
 
 
 def asset_path(lower_path: Column) -> Column:

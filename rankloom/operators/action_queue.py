@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions import rules
-from rankloom.functions.classify import mask_words, pattern_mask, under_domain
+from rankloom.functions.classify import mask_words, pattern_masks, under_domain
 from rankloom.functions.ladders import enrichment_status, priority_label, priority_rank
 from rankloom.functions.numbers import rounded
 from rankloom.functions.scores import machine_breakdown, machine_score
-from rankloom.operators.link_intel import EVIDENCE_WORDS, domain_examples, domain_measures, domain_rollup
+from rankloom.operators.link_intel import EVIDENCE_WORDS, domain_examples, domain_measures, domain_rollup, mask_columns
 from rankloom.operators.ranking import with_batches
 
 METRICS = ("authority_score", "monthly_visits", "organic_traffic", "organic_keywords")
@@ -51,7 +53,7 @@ def drop_detection(links: DataFrame) -> DataFrame:
 
 
 def _words(name: str, limit: int) -> Column:
-    return mask_words(F.col(f"mask_{name}"), EVIDENCE_WORDS[name], limit)
+    return mask_words([F.col(m) for m in mask_columns(name)], EVIDENCE_WORDS[name], limit)
 
 
 def _labelled(label: str, words: Column) -> Column:
@@ -64,18 +66,19 @@ def classified(measures: DataFrame, brand: str = "our product") -> DataFrame:
     domain = c("domain")
     with_domain = measures.withColumns(
         {
-            f"mask_{name}": c(f"mask_{name}").bitwiseOR(pattern_mask(domain, words))
+            column: c(column).bitwiseOR(mask)
             for name, words in EVIDENCE_WORDS.items()
+            for column, mask in zip(mask_columns(name), pattern_masks(domain, words))
         }
     ).withColumns(
         {
-            "hint_words": mask_words(pattern_mask(domain, rules.DIRECTORY_DOMAINS), rules.DIRECTORY_DOMAINS, 4),
+            "hint_words": mask_words(pattern_masks(domain, rules.DIRECTORY_DOMAINS), rules.DIRECTORY_DOMAINS, 4),
             "is_app": under_domain(domain, rules.APP_DOMAINS),
             "is_media": under_domain(domain, rules.MEDIA_DOMAINS),
             "is_edu_gov": domain.rlike(rules.STRATEGIC_TLD),
         }
     )
-    has = lambda name: c(f"mask_{name}") != 0
+    has = lambda name: reduce(Column.__or__, [c(m) != 0 for m in mask_columns(name)])
     strategic_domain = c("is_app") | c("is_media") | c("is_edu_gov")
     path = (
         F.when(c("is_drop"), "drop")
@@ -116,7 +119,7 @@ def classified(measures: DataFrame, brand: str = "our product") -> DataFrame:
     return (
         with_domain.withColumn("path", path)
         .withColumns({**texts, "confidence": confidence, "evidence": pick(evidence)})
-        .drop("hint_words", "is_app", "is_media", "is_edu_gov", *[f"mask_{name}" for name in EVIDENCE_WORDS])
+        .drop("hint_words", "is_app", "is_media", "is_edu_gov", *[m for name in EVIDENCE_WORDS for m in mask_columns(name)])
     )
 
 

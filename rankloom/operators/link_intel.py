@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions import rules
-from rankloom.functions.classify import asset_path, pattern_mask, technical_path
+from rankloom.functions.classify import asset_path, mask_parts, pattern_masks, technical_path
 from rankloom.functions.dates import year_of
 from rankloom.functions.flags import follows
 from rankloom.functions.ladders import AUTHORITY_BANDS, LINK_KINDS, authority_band, level, link_kind
@@ -157,6 +157,11 @@ def cumulative_cohorts(links: DataFrame) -> DataFrame:
     return running_totals(grid, "competitor_domain", "year", COHORTS)
 
 
+def mask_columns(name: str) -> list[str]:
+    """The columns that hold the masks of a word list."""
+    return [f"mask_{name}" if i == 0 else f"mask_{name}_{i}" for i in range(len(mask_parts(EVIDENCE_WORDS[name])))]
+
+
 def row_evidence(links: DataFrame) -> DataFrame:
     """Per-link signals of the acquisition path, as flags and pattern masks.
 
@@ -166,7 +171,7 @@ def row_evidence(links: DataFrame) -> DataFrame:
     text = F.lower(F.concat_ws("\n", "source_title", "source_url", "anchor"))
     return links.withColumns({"_text": text, "_path": F.lower(path(c("source_url")))}).withColumns(
         {
-            **{f"mask_{name}": pattern_mask(c("_text"), words) for name, words in EVIDENCE_WORDS.items()},
+            **{column: mask for name, words in EVIDENCE_WORDS.items() for column, mask in zip(mask_columns(name), pattern_masks(c("_text"), words))},
             "asset": asset_path(c("_path")),
             "technical": technical_path(c("_path")),
             "own_site": F.lower("ref_domain") == F.lower("competitor_domain"),
@@ -200,7 +205,7 @@ def domain_rollup(links: DataFrame) -> DataFrame:
         "own": _count(c("own_site")),
         **{name: _count(kind == label) for label, name in TYPE_COLUMNS.items()},
     }
-    masks = [f"mask_{name}" for name in EVIDENCE_WORDS]
+    masks = [column for name in EVIDENCE_WORDS for column in mask_columns(name)]
     per_pair = (
         row_evidence(links)
         .withColumn("domain", F.lower(F.trim("ref_domain")))
@@ -289,7 +294,7 @@ def domain_measures(links: DataFrame) -> DataFrame:
         "assets",
         "technicals",
         "own",
-        *[f"mask_{name}" for name in EVIDENCE_WORDS],
+        *[m for name in EVIDENCE_WORDS for m in mask_columns(name)],
     )
 
 

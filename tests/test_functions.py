@@ -10,7 +10,7 @@ from rankloom.functions.classify import (
     mask_words,
     page_class,
     page_plan,
-    pattern_mask,
+    pattern_masks,
     text_type,
 )
 from rankloom.functions import rules
@@ -178,10 +178,10 @@ def test_page_plans(spark):
 
 def test_masks(one):
     words = rules.OFFICIAL_ENTRY
-    assert one(lambda c: mask_words(pattern_mask(c, words), words, 8), ["/contact-us", "", "suggest-a-tool"]) == [
+    assert one(lambda c: mask_words(pattern_masks(c, words), words, 8), ["/contact-us", "", "suggest-a-tool"]) == [
         "contact, contact-us", "", "suggest-a-tool",
     ]
-    assert one(lambda c: mask_words(pattern_mask(c, words), words, 2), ["contactus partners apply"]) == ["contact, contactus"]
+    assert one(lambda c: mask_words(pattern_masks(c, words), words, 2), ["contactus partners apply"]) == ["contact, contactus"]
 
 
 def test_assets(one):
@@ -190,6 +190,12 @@ def test_assets(one):
     ]
 
 
+def test_masks_of_a_list_of_any_length(one):
+    words = [f"w{i:03d}" for i in range(200)]
+    found = one(lambda c: mask_words(pattern_masks(c, words), words, 5), ["w199 w000 w062w063w064", "w125 w126 w188 w189", "none"])
+    assert found == ["w000, w062, w063, w064, w199", "w125, w126, w188, w189", ""]
+
+
 def test_registered_rules_fit_masks():
     for words in (rules.SELF_SERVE, rules.DIRECTORY_PATHS, rules.OFFICIAL_ENTRY, rules.STRATEGIC, rules.EDITORIAL):
         assert len(words) <= 63 and all(w == w.lower() for w in words)
