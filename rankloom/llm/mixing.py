@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.tables import pick, store
+from rankloom.llm.tables import pick, row_key, store
 
 #: Raking ends when no factor changes by more in a round.
 ENOUGH = 1e-12
@@ -276,7 +276,7 @@ def calibrate_table(cells: DataFrame, how: Mixing) -> tuple[DataFrame, float]:
 
 
 def mix(documents: DataFrame, how: Mixing = Mixing()) -> DataFrame:
-    """One row per row: doc_id, source, lang, topic, n_tokens, weight, probability, kept.
+    """One row per row: doc_id, source, lang, topic, n_tokens, weight, probability, kept, key_a, key_b (digests of the text).
 
     ``weight`` is the raked share of a cell over its share now, ``probability`` the weight times the share that is drawn (see
     ``Mixing``). The weights are raked so that no probability exceeds 1: what a cell cannot give, others of its margins give
@@ -295,6 +295,7 @@ def mix(documents: DataFrame, how: Mixing = Mixing()) -> DataFrame:
         topic().alias("topic"),
         count_words().alias("n_tokens"),
         F.coalesce(F.col("doc_id").cast("string"), F.md5("text"), F.lit("")).alias("name"),
+        *row_key(F.col("text")),
     )
     cells = store(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")).filter("tokens > 0"))
     table = [(tuple(r[:3]), float(r.tokens)) for r in cells.limit(how.cells + 1).collect()]
@@ -311,7 +312,7 @@ def mix(documents: DataFrame, how: Mixing = Mixing()) -> DataFrame:
     draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(how.seed), "name")), 1, 12), 16, 10).cast("double") / F.lit(float(2**48))
     out = out.withColumn("probability", F.least(F.lit(1.0), F.col("weight") * F.lit(share)))
     return out.withColumn("kept", draw < F.col("probability")).select(
-        "doc_id", *MARGINS, "n_tokens", "weight", "probability", "kept"
+        "doc_id", *MARGINS, "n_tokens", "weight", "probability", "kept", "key_a", "key_b"
     )
 
 

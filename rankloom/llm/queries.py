@@ -59,7 +59,7 @@ def op6_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = mix(load(spark, sf_dir, "documents"))
+    found = mix(load(spark, sf_dir, "documents")).drop("key_a", "key_b")
     return found.withColumn("weight", F.round("weight", 9)).withColumn("probability", F.round("probability", 9))
 
 

@@ -50,3 +50,25 @@ def test_the_pipeline_equals_plain_python(spark, rows, tmp_path):
     library = sentencepiece.SentencePieceProcessor(model_file=PIECE_MODEL)
     wanted = {i: library.encode(t) for i, t, lang, source in docs if draw(i) < weights[source, lang, "prose"] * share}
     assert {r.doc_id: r.ids for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == wanted and len(wanted) > 20
+
+
+def test_rows_that_are_not_drawn_go(spark):
+    """Rows without an id, with one id, and with one id and text in several cells: the stage keeps what the draw keeps."""
+    from rankloom.llm.mixing import mix
+
+    rows = [(None, f"text number {i} with words", "en", "s", 1) for i in range(40)]
+    rows += [(7, f"other text {i} of one id", "en", "s", 1) for i in range(20)]
+    rows += [(8, "one text", lang, source, 1) for lang in ("en", "de", None) for source in ("s", "t", None)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    kept = [(r.doc_id, r.key_a, r.source, r.lang) for r in mix(docs).filter("kept").collect()]
+    found = corpus_pipeline.mixed(spark, docs, "")
+    assert found.count() == len(kept) < len(rows)
+
+
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES])
+def test_stages_of_empty_and_odd_tables(spark, stage):
+    assert stage(spark, spark.createDataFrame([], SCHEMA), "").collect() == []
+    rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0), (2, "a b c d e f g", None, None, None), (2, "word " * 9000, "en", "s", 1)]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], f"{SCHEMA}, Text string, KEY_A int".replace("Text string", "key string"))
+    found = stage(spark, docs, "")
+    assert len(found.collect()) <= len(rows) and "KEY_A" not in found.columns
