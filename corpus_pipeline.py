@@ -54,10 +54,15 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that are drawn for the target mixture of sources, languages and topics."""
+    """The documents that are drawn for the target mixture of sources, languages and topics, each row by its own id, text and
+    cell: rows without an id are drawn by their text."""
     docs = _plain(docs)
-    drawn = mix(docs).filter("kept").select(F.col("doc_id").alias("id")).distinct()
-    return docs.join(drawn, docs["doc_id"].eqNullSafe(drawn["id"]), "left_semi").select(*COLUMNS)
+    drawn = mix(docs).filter("kept").select("doc_id", "key_a", "key_b", "source", "lang").distinct().toDF("id", "a", "b", "from", "in")
+    keyed = docs.withColumns(dict(zip(("_a", "_b"), row_key(F.col("text")), strict=True)))
+    none = F.lit("(none)")
+    same = keyed["doc_id"].eqNullSafe(drawn["id"]) & (keyed["_a"] == drawn["a"]) & (keyed["_b"] == drawn["b"])
+    same &= (F.coalesce("source", none) == drawn["from"]) & (F.coalesce("lang", none) == drawn["in"])
+    return keyed.join(drawn, same, "left_semi").select(*COLUMNS)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
