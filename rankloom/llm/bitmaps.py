@@ -25,7 +25,7 @@ def bitmap(hashes: DataFrame) -> bytes:
         bits = [np.packbits(v).tobytes() for v in blocks.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int64()), pa.array(bits, pa.binary())], names=["block", "bits"])
 
-    slots = hashes.toDF("hash").select(F.pmod("hash", F.lit(SLOTS)).alias("slot")).distinct()
+    slots = hashes.toDF("hash").select(F.pmod("hash", F.lit(SLOTS)).alias("slot"))
     made = slots.repartition((F.col("slot") / _BLOCK).cast("int")).mapInArrow(pack, "block long, bits binary")
     out = [bytes(_BLOCK // 8)] * (SLOTS // _BLOCK)
     for row in made.collect():  # at most 256 rows of 8 KB

@@ -9,7 +9,8 @@ from rankloom.llm.tables import store
 
 
 def connected(links: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``links`` (u, v), stored: the root is the smallest node of its component.
+    """(node, root) for every node of ``links`` (u, v) that is not its own root, stored: the root is the smallest node of its
+    component.
 
     Alternates two rewrites of the links until all are stars: every node passes its smallest neighbour to its larger
     neighbours, then to its smaller ones. The number of rounds grows with the logarithm of the longest path; links that are
@@ -19,12 +20,12 @@ def connected(links: DataFrame) -> DataFrame:
     now = store(_ordered(links.select("u", "v")))
     while not _stars(now):
         now = store(_ordered(_to_smaller(_to_larger(now))))
-    return store(now.select(F.col("v").alias("node"), F.col("u").alias("root")).union(now.select("u", "u").distinct()))
+    return now.select(F.col("v").alias("node"), F.col("u").alias("root"))
 
 
 def _stars(links: DataFrame) -> bool:
     """Whether no larger end has two links or is a smaller end too."""
-    ends = links.select(F.col("v").alias("x"), F.lit(0).alias("low"), F.lit(1).alias("n")).union(links.select("u", F.lit(1), F.lit(0)).distinct())
+    ends = links.select(F.col("v").alias("x"), F.lit(0).alias("low"), F.lit(1).alias("n")).union(links.select("u", F.lit(1), F.lit(0)))
     seen = ends.groupBy("x").agg(F.max("low").alias("low"), F.sum("n").alias("n"))
     return seen.filter((F.col("n") > 1) | ((F.col("low") == 1) & (F.col("n") > 0))).isEmpty()
 
