@@ -66,12 +66,16 @@ FROM docs LEFT JOIN per_doc USING (doc_id, t)
 
 
 def license_scan_sql() -> str:
-    from rankloom.llm.license_scan import LicenseScan, template_grams
+    from rankloom.llm.license_scan import LicenseScan, template_grams, template_words
 
     how = LicenseScan()
     rows = ", ".join(f"({k}, '{label}', {base}, {n}, {t}, '{gram}')" for k, label, base, n, t, gram in template_grams(how))
+    known = ", ".join(
+        f"('{label}', {n}, {marks}, {'NULL' if t is None else t}, '{word}', {told})" for label, n, marks, t, word, told in template_words()
+    )
     return rf"""
 WITH templates(k, label, base, n, t, gram) AS (VALUES {rows}),
+notice_words(label, n, n_marks, t, word, told) AS (VALUES {known}),
 words AS (
   SELECT doc_id, coalesce(text, '') AS x, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
   FROM (SELECT DISTINCT doc_id, text FROM documents)),
@@ -87,9 +91,23 @@ stepped AS (
   FROM diagonals WINDOW w AS (PARTITION BY doc_id, x, label, base ORDER BY diagonal)),
 banded AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, x, label, base ORDER BY diagonal) AS band FROM stepped),
 spans AS (
-  SELECT doc_id, x, label, base, band, min(diagonal) AS start, count(DISTINCT t) / max(n) AS cover
+  SELECT doc_id, x, label, base, band, min(diagonal) AS low, max(diagonal) AS high, count(DISTINCT t) AS covered, max(n) AS n
   FROM votes JOIN banded USING (doc_id, x, label, base, diagonal) GROUP BY ALL),
-good AS (SELECT * FROM spans WHERE cover >= CASE WHEN base THEN 1 ELSE {how.least_cover} END),
+near AS (
+  SELECT s.doc_id, s.x, s.label, band, low, high, unnest(range(greatest(low - 40, 0), least(high + 80, len(w)))) AS p,
+    w[greatest(low - 40, 0) + 1:least(high + 80, len(w))] AS v, greatest(low - 40, 0) AS v0
+  FROM spans s JOIN words USING (doc_id, x) WHERE NOT base AND covered >= {how.least_votes}),
+held AS (
+  SELECT doc_id, x, label, band, low, max(k.n) + max(high - low) AS n, max(n_marks) AS n_marks, count(DISTINCT t) AS found,
+    count(DISTINCT t) FILTER (told) AS marks, count(*) FILTER (t IS NULL) AS rivals
+  FROM near JOIN notice_words k USING (label)
+  WHERE v[p - v0 + 1] = word AND CASE WHEN t IS NULL THEN p BETWEEN low AND high + k.n - 1
+    ELSE p - t BETWEEN low - {how.drift} AND high + {how.drift} END
+  GROUP BY ALL),
+good AS (
+  SELECT doc_id, x, label, base, low AS start, 1.0::DOUBLE AS cover FROM spans WHERE base AND covered = n
+  UNION ALL SELECT doc_id, x, label, false, low, found / n FROM held
+  WHERE marks = n_marks AND rivals = 0 AND found / n >= {how.least_words}),
 per_doc AS (
   SELECT doc_id, x, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
     string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels,

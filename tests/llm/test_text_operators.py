@@ -134,6 +134,25 @@ def test_license_findings(spark):
     assert (rows[3].labels, rows[3].score, rows[4].n_words, rows[5].n_base, rows[6].labels) == ("", 0.0, 0, 2, "")
 
 
+def test_license_spans_are_verified_word_by_word(spark):
+    cases = [
+        ("Licensed under the very Apache License, Version 2.0", "apache-2.0"),
+        ("Licensed under the Apache Software License, Version 2.0", "apache-2.0"),
+        ("Licensed under the GNU General Public License, Version 2", "gpl"),
+        ("Licensed under the new GNU General Public License, Version 3", "gpl,gpl-3.0"),
+        ("Licensed under the GNU Lesser General Public License, Version 3", "gpl,lgpl"),
+        ("Licensed under the GNU Lesser open General Public License", "gpl,lgpl"),
+        ("Licensed under the CC BY-NC 4.0", "cc-by,cc-by-nc"),
+        ("Licensed under CC BY-NC-SA 4.0", "cc-by"),
+        ("Licensed under CC BY 4.0", "cc-by"),
+        ("Permission is hereby granted, free of charge, to any person", ""),
+        ("This source code form is subject to the terms of the Public License v. 2.0", ""),
+        ("Licensed under the Apache License, Version 2.0. " * 300, "apache-2.0"),
+    ]
+    rows = {r.doc_id: r.labels for r in license_scan(table(spark, [t for t, _ in cases])).collect()}
+    assert [rows[i] for i in range(len(cases))] == [labels for _, labels in cases]
+
+
 def test_language_held_out_accuracy(spark):
     kinds = {"en": "the of and ing tion er th wh", "de": "der und sch ung ei zu ver ch", "fr": "le de que eau oux ment ai", "es": "el que ción ado ar os ll"}
     rng = random.Random(1)
