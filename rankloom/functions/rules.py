@@ -227,6 +227,7 @@ UNREADABLE_ANCHOR = "未知"
 DEFAULT_FORMAT = "Blog/Article"
 DEFAULT_INDUSTRY = "General B2B"
 NOT_STARTED = "未开始 (Not Started)"
+HANDOFF_STATES_B = {"review": "待审阅", "status": "未开始"}
 BRIEF_TEXT = (
     "你是一个资深的跨境电商 B2B 营销专家。现在我要向一个【渠道调性：{industry}，文章类型偏好：{format}】的权威网站投稿。"
     "该网站权重 DR 为 {rating}。我的核心关键词是【{keyword}】。请严格根据以上特征，生成一篇字数2000字，带有对比表格，"

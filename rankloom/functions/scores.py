@@ -173,6 +173,12 @@ def machine_breakdown() -> Column:
     )
 
 
+def written_score(text: Column) -> Column:
+    """A score that somebody wrote into a hand-off column; null while it is blank or no number."""
+    number = F.trim(text).try_cast("double")
+    return F.when(~F.isnan(number) & (F.abs(number) < float("inf")), number)
+
+
 def blend_two(machine: Column, manual: Column) -> Column:
     """0.85 machine + 0.15 manual, a missing manual score counts as 0."""
     return half_up(machine * 0.85 + F.coalesce(manual, F.lit(0.0)) * 0.15, 4)

@@ -11,8 +11,9 @@ from rankloom.functions import rules
 from rankloom.functions.classify import mask_words, pattern_masks, under_domain
 from rankloom.functions.ladders import enrichment_status, priority_label, priority_rank
 from rankloom.functions.numbers import rounded
-from rankloom.functions.scores import machine_breakdown, machine_score
+from rankloom.functions.scores import blend_or_machine, machine_breakdown, machine_score, written_score
 from rankloom.operators.link_intel import EVIDENCE_WORDS, domain_examples, domain_measures, domain_rollup, mask_columns
+from rankloom.operators.link_queue import with_handoff
 from rankloom.operators.ranking import with_batches
 
 METRICS = ("authority_score", "monthly_visits", "organic_traffic", "organic_keywords")
@@ -181,6 +182,18 @@ QUEUE_COLUMNS = (
 )
 
 
+HANDOFF_BLANKS = (
+    "ai_priority", "ai_relevance", "ai_method", "ai_conclusion", "ai_pitch", "email", "entry_url", "live_url",
+    "verified_on", "notes",
+)
+
+
+def final_score(queue: DataFrame) -> DataFrame:
+    """Add ``final_score``: the machine's score, blended with the relevance once one is written."""
+    relevance = written_score(F.col("ai_relevance"))
+    return queue.withColumn("final_score", blend_or_machine(F.col("machine_score"), relevance))
+
+
 def queue_order() -> list[Column]:
     c = F.col
     return [
@@ -194,10 +207,11 @@ def queue_order() -> list[Column]:
 
 
 def action_queue(links: DataFrame, enrichment: DataFrame, brand: str = "our product", samples: int = 10) -> DataFrame:
-    """The ranked action queue with sample links."""
+    """The ranked action queue with sample links, hand-off columns and final score."""
     queue = scored_domains(links, enrichment, brand).select(*QUEUE_COLUMNS)
     texts = domain_examples(links, samples, "Page AS", "\n\n").select("domain", F.col("examples").alias("sample_links"))
-    return rounded(queue.join(texts, "domain", "left")).orderBy(*queue_order())
+    ranked = rounded(queue.join(texts, "domain", "left")).orderBy(*queue_order())
+    return final_score(with_handoff(ranked, HANDOFF_BLANKS, rules.HANDOFF_STATES_B))
 
 
 def unenriched(scored: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from rankloom.functions.ladders import at_least, difficulty_band, rank_band
 from rankloom.functions.numbers import exact, exact_sum, half_up, ratio
 from rankloom.functions.scores import keyword_score, new_site_keyword_score
 from rankloom.functions.text import capitalised, joined, slug, title_case
+from rankloom.operators.link_queue import final_v2, with_handoff
 from rankloom.operators.ranking import number_rows, top_per_group
 
 INTENTS = ("navigational", "informational", "commercial", "transactional")
@@ -204,9 +205,10 @@ def keyword_queue(overlap: DataFrame, limit: int | None = None) -> DataFrame:
     ordered = keyword_scores(overlap).orderBy(F.desc("auto_score"), F.desc("traffic"), F.asc("keyword"))
     top = ordered.limit(limit) if limit else ordered
     blanks = ("ai_relevance", "ai_title", "ai_outline", "editor", "published_url")
-    return top.select(
+    rows = top.select(
         "priority", "keyword", "auto_score", "action", "alpha", "volume", "kd", "cpc", "traffic", "shared_by"
-    ).withColumns({**{b: F.lit("") for b in blanks}, "status": F.lit(rules.NOT_STARTED)})
+    )
+    return final_v2(with_handoff(rows, blanks, {"status": rules.NOT_STARTED}))
 
 
 def keyword_view(keywords: DataFrame) -> DataFrame:

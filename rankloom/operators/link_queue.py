@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rankloom.functions import rules
 from rankloom.functions.classify import action_v1, domain_type, text_type
 from rankloom.functions.ladders import at_least
-from rankloom.functions.scores import link_score_v1, link_score_v2
+from rankloom.functions.scores import blend_three, blend_two, link_score_v1, link_score_v2, written_score
 from rankloom.functions.text import anchor_text, joined
 
 Patterns = Mapping[str, Sequence[str]]
@@ -169,6 +169,30 @@ def with_handoff(queue: DataFrame, blanks: Sequence[str], status: Mapping[str, s
     return queue.withColumns({**{b: F.lit("") for b in blanks}, **{k: F.lit(v) for k, v in status.items()}})
 
 
+def answered(queue: DataFrame, answers: DataFrame, key: str) -> DataFrame:
+    """The queue with what people and tools wrote into its hand-off columns, and no final score any more.
+
+    ``answers`` has ``key`` and any of the queue's other columns, one row per key; null there leaves the queue's value.
+    """
+    given = [c for c in answers.columns if c != key]
+    told = answers.select(F.col(key).alias("_key"), *(F.col(c).alias(f"_{c}") for c in given))
+    merged = queue.join(told, F.col(key) == F.col("_key"), "left")
+    merged = merged.withColumns({c: F.coalesce(F.col(f"_{c}").cast(queue.schema[c].dataType), F.col(c)) for c in given})
+    return merged.drop("_key", "final_score", *(f"_{c}" for c in given))
+
+
+def final_v1(queue: DataFrame) -> DataFrame:
+    """Add ``final_score``: the machine's score with the written relevance and difficulty."""
+    c = F.col
+    relevance, difficulty = written_score(c("ai_relevance")), written_score(c("human_difficulty"))
+    return queue.withColumn("final_score", blend_three(c("auto_score"), relevance, difficulty))
+
+
+def final_v2(queue: DataFrame) -> DataFrame:
+    """Add ``final_score``: the machine's score with the written relevance."""
+    return queue.withColumn("final_score", blend_two(F.col("auto_score"), written_score(F.col("ai_relevance"))))
+
+
 def queue_v1(links: DataFrame, brand: str = "our product") -> DataFrame:
     """First execution queue, best opportunities first."""
     stats = domain_stats(links, rules.URL_TYPES_V1, rules.NO_ANCHOR_V1)
@@ -189,11 +213,12 @@ def queue_v1(links: DataFrame, brand: str = "our product") -> DataFrame:
         "any_spam",
         "example_links",
     )
-    return with_handoff(
+    handed = with_handoff(
         ranked,
         ["ai_relevance", "ai_content", "ai_difficulty", "human_difficulty", "email", "contact_url"],
         {"status": rules.NOT_STARTED},
     )
+    return final_v1(handed)
 
 
 def queue_v2(links: DataFrame) -> DataFrame:
@@ -215,8 +240,9 @@ def queue_v2(links: DataFrame) -> DataFrame:
         "any_spam",
         "example_links",
     )
-    return with_handoff(
+    handed = with_handoff(
         ranked,
         ["ai_relevance", "ai_content", "ai_difficulty", "email", "entry_url"],
         {"review": "Pending", "status": rules.NOT_STARTED},
     )
+    return final_v2(handed)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from rankloom.functions import rules, scores
+from rankloom.operators import action_queue
 from rankloom.plans import catalog
 from rankloom.plans.sql_views import (
     big,
@@ -212,7 +213,8 @@ oracle(
     "queue_v1",
     f"""SELECT {_PRIORITY1} AS priority, ref_domain, auto_score, link_type,
         CASE {_action1} ELSE {quoted(rules.DEFAULT_ACTION_V1)} END AS action, alpha, links_text, max_dr, max_traffic, any_dofollow, any_spam, example_links,
-        {_blank(['ai_relevance', 'ai_content', 'ai_difficulty', 'human_difficulty', 'email', 'contact_url'])}, '未开始 (Not Started)' AS status
+        {_blank(['ai_relevance', 'ai_content', 'ai_difficulty', 'human_difficulty', 'email', 'contact_url'])}, '未开始 (Not Started)' AS status,
+        {rounded('auto_score * 0.8', 4)} AS final_score
     FROM ({_scored(_TYPED1, _SCORE1)})""",
 )
 _TIERED = f"""SELECT *, CASE WHEN any_spam OR (max_dr < 10 AND max_traffic = 0) THEN 'trash'
@@ -230,7 +232,8 @@ oracle("tier_v2", f"SELECT ref_domain, tier, {_TIER_COLUMNS} FROM ({_TIERED})")
 oracle(
     "queue_v2",
     f"""SELECT {_TIER_COLUMNS}, ref_domain, auto_score, alpha, links_text, max_dr, max_traffic, any_dofollow, any_spam, example_links,
-        {_blank(['ai_relevance', 'ai_content', 'ai_difficulty', 'email', 'entry_url'])}, 'Pending' AS review, '未开始 (Not Started)' AS status
+        {_blank(['ai_relevance', 'ai_content', 'ai_difficulty', 'email', 'entry_url'])}, 'Pending' AS review, '未开始 (Not Started)' AS status,
+        {rounded('auto_score * 0.85', 4)} AS final_score
     FROM ({_TIERED})""",
 )
 _manual = "(CASE WHEN max_dr >= 30 THEN CAST(max_dr % 50 AS DOUBLE) END)"
@@ -321,7 +324,8 @@ _KW_COLUMNS = f"keyword, alpha, volume, kd, {rounded('cpc')} AS cpc, traffic, au
 oracle("keyword_score", f"SELECT {_KW_COLUMNS} FROM ({_KW_SCORED})")
 oracle(
     "keyword_queue",
-    f"""SELECT {_KW_COLUMNS}, shared_by, {_blank(['ai_relevance', 'ai_title', 'ai_outline', 'editor', 'published_url'])}, '未开始 (Not Started)' AS status
+    f"""SELECT {_KW_COLUMNS}, shared_by, {_blank(['ai_relevance', 'ai_title', 'ai_outline', 'editor', 'published_url'])}, '未开始 (Not Started)' AS status,
+        {rounded('auto_score * 0.85', 4)} AS final_score
         FROM ({_KW_SCORED}) ORDER BY auto_score DESC, traffic DESC, keyword""",
 )
 _CAP_COMP = "upper(substr(competitor_domain, 1, 1)) || lower(substr(competitor_domain, 2))"
@@ -796,7 +800,8 @@ oracle(
         confidence, machine_method, action_suggested, evidence, alpha, competitors, '总计:' || backlinks || ' | ' || per_competitor AS total_links, backlinks,
         live_backlinks, live_rate, source_pages, target_pages, domain_authority_score, max_page_as, avg_page_as, live_avg_page_as, high_page_as_rate,
         organic_traffic, monthly_visits, organic_keywords, traffic_status, traffic_source, follow_rate, live_follow_rate, sitewide_rate, sponsored_rate,
-        ugc_rate, avg_external_links, earliest_first_seen, latest_last_seen, sample_links
+        ugc_rate, avg_external_links, earliest_first_seen, latest_last_seen, sample_links, machine_score AS final_score,
+        {_blank(action_queue.HANDOFF_BLANKS)}, {', '.join(f"{quoted(v)} AS {k}" for k, v in rules.HANDOFF_STATES_B.items())}
     FROM ({_SCORED_B}) LEFT JOIN (SELECT domain, string_agg(example, chr(10) || chr(10) ORDER BY place) AS sample_links
         FROM ({_examples('Page AS')}) WHERE place <= 10 GROUP BY 1) USING (domain)""",
         _QUEUE_RATES,

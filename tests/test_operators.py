@@ -469,3 +469,24 @@ def test_mail_merge(spark):
     people = spark.createDataFrame([("www.big.com", " "), (None, "a@b"), ("x.tv", "me@x.tv")], "domain string, email string")
     got = rows_of(mailing.mail_merge(people, "S", "Hi [Name], bye [Name]"))
     assert got == [("www.big.com", "", "S", "Hi Big, bye Big"), ("x.tv", "me@x.tv", "S", "Hi X, bye X")]
+
+
+def test_final_scores_follow_the_written_cells(spark):
+    rows = [("a.com", 50.0, "80", " 40 "), ("b.com", 50.0, "", ""), ("c.com", 50.0, "soon", "NaN")]
+    queue = spark.createDataFrame(rows, "ref_domain string, auto_score double, ai_relevance string, human_difficulty string")
+    assert {r.ref_domain: r.final_score for r in link_queue.final_v1(queue).collect()} == {"a.com": 54.0, "b.com": 40.0, "c.com": 40.0}
+    assert {r.ref_domain: r.final_score for r in link_queue.final_v2(queue).collect()} == {"a.com": 54.5, "b.com": 42.5, "c.com": 42.5}
+    by_machine = action_queue.final_score(queue.withColumnRenamed("auto_score", "machine_score"))
+    assert {r.ref_domain: r.final_score for r in by_machine.collect()} == {"a.com": 53.0, "b.com": 50.0, "c.com": 50.0}
+
+
+def test_answers_replace_blanks_and_move_the_final_score(spark):
+    queue = link_queue.final_v2(
+        spark.createDataFrame(
+            [("a.com", 50.0, "", "Pending"), ("b.com", 60.0, "", "Pending")],
+            "ref_domain string, auto_score double, ai_relevance string, review string",
+        )
+    )
+    answers = spark.createDataFrame([("a.com", 90, None), ("x.com", 10, "Done")], "ref_domain string, ai_relevance int, review string")
+    filled = link_queue.final_v2(link_queue.answered(queue, answers, "ref_domain"))
+    assert {tuple(r) for r in filled.collect()} == {("a.com", 50.0, "90", "Pending", 56.0), ("b.com", 60.0, "", "Pending", 51.0)}
