@@ -26,7 +26,7 @@ from rankloom.operators import (
 from rankloom.session import store
 from rankloom.sinks import writers
 from rankloom.sources import documents, lists, overview, vendor_exports
-from rankloom.sources.exports import headers_by_file, list_files
+from rankloom.sources.exports import all_headers, headers_by_file, list_files
 
 
 def _stored(facts: DataFrame, path: str) -> DataFrame:
@@ -57,6 +57,8 @@ def link_matrix_run(spark: SparkSession, exports: str, out: str, brief_keyword:
         },
         out,
     )
+    headers = vendor_exports.export_headers(spark, exports)
+    writers.write_details(detail_tables(facts, headers), f"{out}/detail_columns")
     stored = spark.read.parquet(f"{out}/overlap_matrix")
     writers.write_payload(link_matrix.content_briefs(stored, brief_keyword), f"{out}/briefs")
     wide = list_files(spark, exports, "*overview-competitors*.csv")
@@ -115,6 +117,7 @@ def page_run(spark: SparkSession, exports: str, out: str, multi_line: bool = Tru
         },
         out,
     )
+    writers.write_details(page_details(facts, vendor_exports.export_headers(spark, exports)), f"{out}/detail_columns")
 
 
 def site_run(spark: SparkSession, metrics: str, fetched: DataFrame, roots: DataFrame, out: str) -> None:
@@ -190,6 +193,9 @@ def link_intel_run(
         },
         out,
     )
+    headers = all_headers([file for file in files if vendor_exports.has_required(file)])
+    details = link_details_raw_b(spark.read.parquet(f"{out}/details"), headers)
+    writers.write_details(details, f"{out}/detail_columns")
     writers.write_payload(link_intel.intel_payload(facts), f"{out}/payload")
 
 
@@ -223,3 +229,14 @@ def detail_tables(facts: DataFrame, headers: list[str]) -> DataFrame:
     return writers.with_raw_columns(link_matrix.overlap_details(facts), headers, ["alpha", "competitor_domain"])
 
 
+def link_details_raw_b(details: DataFrame, headers: list[str]) -> DataFrame:
+    """Vendor B links (``link_intel.link_details``) with their derived and every original column."""
+    lead = ["competitor_domain", "ref_domain", "alpha", "state", "follow", "link_type", "authority_band"]
+    return writers.with_raw_columns(details, headers, lead)
+
+
+def page_details(facts: DataFrame, headers: list[str]) -> DataFrame:
+    """Top pages with their class, their type as written and every original column."""
+    return writers.with_raw_columns(facts, headers, ["competitor_domain", "page_url", "page_category", "page_type"])
+
+

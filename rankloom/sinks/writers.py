@@ -69,14 +69,25 @@ def write_batches(batches: DataFrame, path: str) -> None:
     _write_csv(ordered, path)
 
 
+def _apart(names: Sequence[str], taken: Sequence[str]) -> list[str]:
+    """``names`` as column titles: one that differs only in case from an earlier title gets a number."""
+    seen, out = {t.lower() for t in taken}, []
+    for name in names:
+        title, n = name, 2
+        while title.lower() in seen:
+            title, n = f"{name} ({n})", n + 1
+        seen.add(title.lower())
+        out.append(title)
+    return out
+
+
 def with_raw_columns(rows: DataFrame, headers: Sequence[str], lead: Sequence[str | Column], raw: str = "raw_json") -> DataFrame:
     """Derived columns followed by every original header; what a row does not have is empty."""
     fields = F.from_json(F.col(raw), "map<string,string>")
     listed = rows.select(*lead, fields.alias("_fields"))
-    return listed.select(
-        *[c for c in listed.columns if c != "_fields"],
-        *[F.coalesce(F.element_at("_fields", F.lit(h)), F.lit("")).alias(h) for h in headers],
-    )
+    derived = [c for c in listed.columns if c != "_fields"]
+    titles = zip(headers, _apart(headers, derived), strict=True)
+    return listed.select(*derived, *[F.coalesce(F.element_at("_fields", F.lit(h)), F.lit("")).alias(t) for h, t in titles])
 
 
 def write_details(rows: DataFrame, path: str) -> None:

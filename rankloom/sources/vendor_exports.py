@@ -14,7 +14,7 @@ from rankloom.functions.text import strip
 from rankloom.functions.urls import canonical_url, hostname, path, site_host
 from rankloom.operators.imports import competitor_of_files, judged
 from rankloom.operators.link_facts import registrable_domains
-from rankloom.sources.exports import ExportFile, Fields, inspect, list_files, read_exports
+from rankloom.sources.exports import ExportFile, Fields, all_headers, inspect, list_files, read_exports
 
 OVERVIEW_MARK = "overview-competitors"
 
@@ -147,6 +147,12 @@ def _pages(rows: DataFrame, f: Fields) -> DataFrame:
     )
 
 
+def export_headers(spark: SparkSession, folder: str) -> list[str]:
+    """All headers of the exports in ``folder``, in order of first appearance, without those of traffic overviews."""
+    paths = [p for p in list_files(spark, folder, "*.*sv") if OVERVIEW_MARK not in p.lower()]
+    return all_headers(inspect(spark, paths))
+
+
 def read_top_pages(spark: SparkSession, folder: str, multi_line: bool = True) -> DataFrame | None:
     """Top-page rows; files without header are skipped."""
     return read_exports(spark, inspect(spark, list_files(spark, folder, "*.*sv")), _pages, multi_line)

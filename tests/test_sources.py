@@ -135,6 +135,10 @@ def test_vendor_b_reader_and_audit(spark, tmp_path):
     kept = spark.read.parquet(f"{out}/link_facts").filter("ref_domain = 'x.com'").first()
     assert (kept.page_ascore, kept.external_links, kept.first_seen, kept.is_nofollow) == (1234.5, 1000, "2024-03-05", True)
     assert spark.read.json(f"{out}/payload").count() == 3
+    details = spark.read.option("header", True).option("multiLine", True).csv(f"{out}/detail_columns")
+    assert details.columns[:7] == ["competitor_domain", "ref_domain", "alpha", "state", "follow", "link_type", "authority_band"]
+    assert details.count() == spark.read.parquet(f"{out}/link_facts").count()
+    assert "1,234.5" in {r["Page ascore"] for r in details.filter("ref_domain = 'x.com'").collect()}
 
 
 def test_action_queue_run(spark, tmp_path):
@@ -198,6 +202,8 @@ def test_matrix_queue_and_traffic_run(spark, vendor_a, tmp_path_factory):
     matrix = {r.ref_domain: r for r in spark.read.parquet(f"{out}/overlap_matrix").collect()}
     assert matrix["x.com"].alpha == 2 and matrix["x.com"].max_dr == 70
     assert spark.read.json(f"{out}/briefs").count() == 2
+    details = spark.read.option("header", True).option("multiLine", True).csv(f"{out}/detail_columns")
+    assert details.count() == 3 and "Source URL" in details.columns
     jobs.link_queue_run(spark, f"{out}/link_facts", f"{out}/queues", "Acme")
     assert spark.read.parquet(f"{out}/queues/queue_v2").count() == 2
 
@@ -225,6 +231,16 @@ def test_page_run(spark, tmp_path):
     classes = {r.page_category: r.traffic_share for r in spark.read.parquet(f"{tmp_path}/out/classes").collect()}
     assert classes == {"Comparison Pages": 0.75, "Homepage": 0.25}
     assert spark.read.parquet(f"{tmp_path}/out/profile").first().ref_domains_per_page == 2.5
+    details = spark.read.option("header", True).csv(f"{tmp_path}/out/detail_columns")
+    assert details.columns == ["competitor_domain", "page_url", "page_category", "page_type", "URL", "Current traffic", "Current referring domains"]
+    assert sorted((r["URL"], r["Current traffic"]) for r in details.collect()) == [("https://a.com/", "10"), ("https://a.com/vs/b", "30")]
+
+
+def test_original_columns_never_clash(spark):
+    rows = spark.createDataFrame([("a", '{"Alpha": "1", "alpha": "2", "x y": "3"}')], "alpha string, raw_json string")
+    wide = writers.with_raw_columns(rows, ["Alpha", "alpha", "x y", "X Y"], ["alpha"])
+    assert wide.columns == ["alpha", "Alpha (2)", "alpha (3)", "x y", "X Y (2)"]
+    assert tuple(wide.first()) == ("a", "1", "2", "3", "")
 
 
 def test_site_run(spark, tmp_path):
