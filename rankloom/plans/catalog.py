@@ -24,7 +24,7 @@ from rankloom.operators import (
     pages,
     snapshots,
 )
-from rankloom.plans import views
+from rankloom.plans import jobs, views
 from rankloom.session import store
 from rankloom.sinks import writers
 from rankloom.sources import documents, lists, overview, vendor_exports
@@ -582,6 +582,13 @@ def link_details_b(spark, d):
     )
 
 
+@query
+def link_details_raw_b(spark, d):
+    """Vendor B links with derived columns and the original ones read back from the raw row."""
+    facts = store(links_b(spark, d).drop("ref_url", "src_ord", "src_file"))
+    return jobs.link_details_raw_b(link_intel.link_details(facts), ["Link anchor", "Anchor", "Missing"])
+
+
 @query
 def ordered_facts_b(spark, d):
     return link_intel.ordered_facts(links_b(spark, d)).select(

@@ -653,6 +653,14 @@ oracle(
 )
 
 
+oracle(
+    "link_details_raw_b",
+    """SELECT competitor_domain, l.ref_domain, alpha, CASE WHEN is_lost THEN 'LOST' ELSE 'LIVE' END AS state,
+        CASE WHEN is_follow THEN 'Follow' ELSE 'Attributed' END AS follow, kind AS link_type, band AS authority_band,
+        CASE WHEN starts_with(raw_json, '{"Link') THEN anchor ELSE '' END AS "Link anchor",
+        CASE WHEN starts_with(raw_json, '{"Anchor') THEN anchor ELSE '' END AS "Anchor", '' AS "Missing"
+    FROM f_links_b l JOIN (SELECT ref_domain, count(DISTINCT competitor_domain) AS alpha FROM f_links_b GROUP BY 1) a ON a.ref_domain = l.ref_domain""",
+)
 oracle(
     "ordered_facts_b",
     "SELECT competitor_domain, ref_domain, source_url, link_fingerprint, first_seen, is_lost FROM f_links_b",
