@@ -1,47 +1,61 @@
-"""Token counts that follow edits: a tree of pre-token counts per text, of which an edit renews only the part it touches."""
+"""Token counts that follow edits: a kept tree of pre-token counts per text, of which an edit renews only the part it touches.
+
+``plant`` makes a table of trees, ``edited`` applies edits to such a table and gives the table of the renewed trees, which takes
+further edits. A tree has one leaf per pre-token (its characters and tokens); leaves stand in blocks, and over the blocks stands a
+segment tree of sums. An edit puts new leaves into the blocks it touches and renews the sums on their paths to the root.
+"""
 
 from __future__ import annotations
 
 import base64
-from bisect import bisect_left, bisect_right
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from functools import partial
 
-import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from rankloom.llm.tables import pick, row_key
+from rankloom.llm.tables import pick, row_key, store
 
 Edit = tuple[int, int, str]
+#: Pre-tokens whose counts a task keeps.
 KEPT = 500_000
+#: Leaves of a block when a tree is planted; a block that grows to ``CROWDED`` makes the tree of its text be dealt anew.
+BLOCK = 64
+CROWDED = 4 * BLOCK
+#: Characters of the texts whose trees go out in one batch.
+BATCH_CHARS = 1_000_000
 
 #: Pre-tokens as the byte-level BPE vocabularies in use split them (fixed value, part of the tokenizer).
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: What the registered query edits: addresses and long runs of digits give way to a mark.
+#: What the registered query edits, one round per rule: addresses and long runs of digits give way to a mark.
 REDACTIONS = ((r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+", "<address>"), (r"(?<!\d)\d{9,}(?!\d)", "<number>"))
 
+TREE = "sizes array<int>, chars array<int>, counts array<int>, char_sums array<long>, token_sums array<long>"
+KEYED = "doc_id long, key_a long, key_b long, text string"
+_KEYS = ["doc_id", "key_a", "key_b"]
+_TALLY = ["n_edits", "n_renewed"]
+
 
 class Counter:
-    """Token counts of pre-tokens; keeps those it has seen, up to a fixed number."""
+    """Token counts of pre-tokens by the lines of a vocabulary file; keeps those it has seen, up to a fixed number."""
 
-    def __init__(self, ranks_path: str):
+    def __init__(self, vocabulary: bytes):
         import tiktoken
 
-        with open(ranks_path, "rb") as lines:
-            ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
+        ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, vocabulary.splitlines()) if word}
         self.coder = tiktoken.Encoding("counts", pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens={})
         self.split = regex.compile(PRE_TOKEN).findall
         self.match = regex.compile(PRE_TOKEN).match
         self.kept: dict[str, int] = {}
 
-    def count(self, pre_tokens: list[str]) -> np.ndarray:
+    def count(self, pre_tokens: list[str]) -> list[int]:
         kept = self.kept
         try:
-            return np.array(list(map(kept.__getitem__, pre_tokens)), dtype=np.int64)
+            return list(map(kept.__getitem__, pre_tokens))
         except KeyError:
             fresh = set(pre_tokens).difference(kept)
             if len(kept) + len(fresh) > KEPT:
@@ -49,34 +63,106 @@ class Counter:
                 fresh = set(pre_tokens)
             for word in fresh:
                 kept[word] = len(self.coder.encode_ordinary(word))
-            return np.array(list(map(kept.__getitem__, pre_tokens)), dtype=np.int64)
+            return list(map(kept.__getitem__, pre_tokens))
+
+
+def _sums(leaves: list[int]) -> list[list[int]]:
+    levels = [leaves]
+    while len(levels[-1]) > 1:
+        below = levels[-1]
+        levels.append([sum(below[i : i + 2]) for i in range(0, len(below), 2)])
+    return levels
+
+
+def _levels(flat: Sequence[int], width: int) -> list[list[int]]:
+    """The levels of sums, lowest first, from their one list."""
+    levels, at = [list(flat[:width])], width
+    while width > 1:
+        width = (width + 1) // 2
+        levels.append(list(flat[at : at + width]))
+        at += width
+    return levels
 
 
 class CountTree:
-    """A segment tree over the pre-tokens of one text: ``levels[0]`` are the leaves, the last level is the sum.
+    """The leaves of one text in blocks, and the sums of characters and tokens over the blocks, lowest level first."""
 
-    The first leaf stands for what is put in front of the text, so pre-token ``i`` is leaf ``i + 1``.
-    """
+    def __init__(self, blocks: list[tuple[list[int], list[int]]], char_sums: list[list[int]], token_sums: list[list[int]]):
+        self.blocks, self.char_sums, self.token_sums = blocks, char_sums, token_sums
+
+    @classmethod
+    def planted(cls, chars: list[int], counts: list[int]) -> CountTree:
+        places = range(0, max(len(chars), 1), BLOCK)
+        blocks = [(chars[i : i + BLOCK], counts[i : i + BLOCK]) for i in places]
+        return cls(blocks, _sums([sum(c) for c, _ in blocks]), _sums([sum(n) for _, n in blocks]))
+
+    @classmethod
+    def of(cls, text: str, counter: Counter) -> CountTree:
+        words = counter.split(text)
+        return cls.planted(list(map(len, words)), counter.count(words))
 
-    def __init__(self, leaves: np.ndarray):
-        self.levels = [np.concatenate(([0], leaves))]
-        while self.levels[-1].size > 1:
-            below = self.levels[-1]
-            self.levels.append(np.add.reduceat(below, np.arange(0, below.size, 2)))
+    @classmethod
+    def read(cls, row: dict) -> CountTree:
+        blocks, at = [], 0
+        for size in row["sizes"]:
+            blocks.append((row["chars"][at : at + size], row["counts"][at : at + size]))
+            at += size
+        return cls(blocks, _levels(row["char_sums"], len(blocks)), _levels(row["token_sums"], len(blocks)))
+
+    def row(self) -> dict:
+        return {
+            "sizes": [len(c) for c, _ in self.blocks],
+            "chars": [x for c, _ in self.blocks for x in c],
+            "counts": [x for _, n in self.blocks for x in n],
+            "char_sums": [x for level in self.char_sums for x in level],
+            "token_sums": [x for level in self.token_sums for x in level],
+        }
 
     @property
     def total(self) -> int:
-        return int(self.levels[-1][0])
+        return self.token_sums[-1][0]
+
+    def place(self, char: int) -> tuple[int, int, int]:
+        """(block, leaf in it, characters before it) behind the last leaf that ends at ``char`` or before."""
+        node, past = 0, 0
+        for level in self.char_sums[-2::-1]:
+            node *= 2
+            if node + 1 < len(level) and past + level[node] <= char:
+                past += level[node]
+                node += 1
+        leaf = 0
+        for size in self.blocks[node][0]:
+            if past + size > char:
+                break
+            past += size
+            leaf += 1
+        return node, leaf, past
 
-    def replace(self, first: int, last: int, total: int) -> None:
-        """The leaves first..last (inclusive) now hold ``total`` tokens together; their path of sums is renewed."""
-        leaves = self.levels[0]
-        leaves[first : last + 1] = 0
-        leaves[first] = total
-        for below, above in zip(self.levels, self.levels[1:]):
-            first, last = first // 2, last // 2
-            part = below[2 * first : 2 * last + 2]
-            above[first : last + 1] = np.add.reduceat(part, np.arange(0, part.size, 2))
+    def replace(self, splices: list[tuple[tuple[int, int], tuple[int, int], list[int], list[int]]]) -> None:
+        """Each splice (from, to, chars, counts) puts new leaves in place of those between two places; splices stand in order."""
+        touched: set[int] = set()
+        for (first, i), (last, j), chars, counts in reversed(splices):
+            for side, fresh in ((0, chars), (1, counts)):
+                if first == last:
+                    self.blocks[first][side][i:j] = fresh
+                else:
+                    self.blocks[first][side][i:] = fresh
+                    for between in range(first + 1, last):
+                        self.blocks[between][side].clear()
+                    del self.blocks[last][side][:j]
+            touched.update(range(first, last + 1))
+        if any(len(self.blocks[b][0]) >= CROWDED for b in touched):
+            row = self.row()
+            self.__dict__.update(CountTree.planted(row["chars"], row["counts"]).__dict__)
+            return
+        for side, sums in ((0, self.char_sums), (1, self.token_sums)):
+            for b in touched:
+                sums[0][b] = sum(self.blocks[b][side])
+            nodes = touched
+            for below, above in zip(sums, sums[1:]):
+                nodes = {n // 2 for n in nodes}
+                for n in nodes:
+                    above[n] = sum(below[2 * n : 2 * n + 2])
 
 
 def apply_edits(text: str, edits: list[Edit]) -> str:
@@ -88,25 +174,19 @@ def apply_edits(text: str, edits: list[Edit]) -> str:
     return "".join([*out, text[at:]])
 
 
-def recount(text: str, edits: list[Edit], counter: Counter) -> tuple[int, int, int]:
-    """(tokens before, tokens after, pre-tokens encoded anew).
+def follow(tree: CountTree, text: str, edits: list[Edit], counter: Counter) -> tuple[str, int]:
+    """Brings the tree of ``text`` in line with the edits: the edited text, and the number of pre-tokens encoded anew.
 
     Splitting has no memory beyond the place it is at and looks one character past a pre-token, so the pre-tokens that end
     two characters before an edit stay. From there the edited text is split anew until, behind the edit, a split falls on an
     old one; all after it is unchanged. Edits within the part split anew are taken along.
     """
-    words = counter.split(text)
-    tree = CountTree(counter.count(words))
-    before = tree.total
-    if not edits:
-        return before, before, 0
-    ends = np.cumsum([len(w) for w in words]).tolist()
     edited = apply_edits(text, edits)
-    renewed, shift, i = 0, 0, 0
+    splices, renewed, shift, i = [], 0, 0, 0
     while i < len(edits):
         start, stop, new = edits[i]
-        first = bisect_right(ends, start - 2)
-        at = (ends[first - 1] if first else 0) + shift
+        *first, past = tree.place(start - 2)
+        at = past + shift
         shift += len(new) - (stop - start)
         fresh: list[str] = []
         while True:
@@ -117,23 +197,20 @@ def recount(text: str, edits: list[Edit], counter: Counter) -> tuple[int, int, i
                 shift += len(new) - (stop - start)
                 old = at - shift
             if old >= stop:
-                last = bisect_left(ends, old) if old else -1
-                if old == 0 or (last < len(ends) and ends[last] == old):
+                *last, past = tree.place(old)
+                if past == old:
                     break
             found = counter.match(edited, at)
             if found is None:
-                last = len(ends) - 1
+                *last, _ = tree.place(len(text))
                 break
             fresh.append(found[0])
             at = found.end()
-        total = int(counter.count(fresh).sum()) if fresh else 0
-        if last >= first:
-            tree.replace(first + 1, last + 1, total)
-        elif fresh:
-            tree.replace(first, first, total + int(tree.levels[0][first]))
+        splices.append((tuple(first), tuple(last), list(map(len, fresh)), counter.count(fresh)))
         renewed += len(fresh)
         i += 1
-    return before, tree.total, renewed
+    tree.replace(splices)
+    return edited, renewed
 
 
 def redactions(text: str, rules: tuple[tuple[str, str], ...] = REDACTIONS) -> list[Edit]:
@@ -146,35 +223,129 @@ def redactions(text: str, rules: tuple[tuple[str, str], ...] = REDACTIONS) -> li
     return out
 
 
-def edit_counts(documents: DataFrame, ranks_path: str, edits_of: Callable[[str], list[Edit]] = redactions) -> DataFrame:
-    """One row per row: doc_id, n_tokens (whole text), n_edits, n_tokens_after, n_renewed (pre-tokens encoded anew).
+def _usable(edits: list[dict] | None, size: int) -> list[Edit]:
+    """Edits of a table as they are applied: sorted, inside the text; of two that overlap the earlier one counts."""
+    out: list[Edit] = []
+    for start, stop, new in sorted((e["start"], e["stop"], e["new"] or "") for e in edits or ()):
+        if 0 <= start <= stop <= size and (not out or start >= out[-1][1]):
+            out.append((start, stop, new))
+    return out
 
-    ``edits_of`` gives the sorted edits of a text. A null or empty text has no tokens and no edits. Repeated rows each give a
-    row; an empty table gives no rows; further columns are ignored. The vocabulary file is sent to the executors.
-    """
+
+def _vocabulary(df: DataFrame, ranks_path: str):
+    """The vocabulary file, sent to the executors; its size is that of the vocabulary."""
     with open(ranks_path, "rb") as file:
-        ranks = documents.sparkSession.sparkContext.broadcast(file.read())
-    schema = "doc_id long, n_tokens long, n_edits long, n_tokens_after long, n_renewed long"
+        return df.sparkSession.sparkContext.broadcast(file.read())
+
+
+def plant(documents: DataFrame, ranks_path: str) -> DataFrame:
+    """One row per row: doc_id, key_a, key_b (digests of the text), text, and its tree: ``sizes`` (leaves of each block), ``chars``
+    and ``counts`` (of each leaf), ``char_sums`` and ``token_sums`` (levels over the blocks, lowest first; the last is the whole).
+
+    A null text stays null and has the tree of an empty one, which has no leaf. Repeated rows each have a tree; ids may be null; an
+    empty table gives no rows; further columns are ignored.
+    """
+    vocabulary = _vocabulary(documents, ranks_path)
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tempfile
+        counter = Counter(vocabulary.value)
+        for batch in batches:
+            rows, first, size = [], 0, 0
+            for i, text in enumerate(batch.column("text")):
+                said = text.as_py() or ""
+                rows.append(CountTree.of(said, counter).row())
+                size += len(said)
+                if size >= BATCH_CHARS or i + 1 == batch.num_rows:
+                    yield _with(batch.slice(first, len(rows)), _tree_columns(rows))
+                    rows, first, size = [], i + 1, 0
 
-        with tempfile.NamedTemporaryFile() as copy:
-            copy.write(ranks.value)
-            copy.flush()
-            counter = Counter(copy.name)
+    docs = pick(documents, doc_id="doc_id", text="text").select(F.col("doc_id").cast("long"), *row_key(F.col("text")), "text")
+    return docs.mapInArrow(per_batch, f"{KEYED}, {TREE}")
+
+
+_ARROW = {"sizes": pa.int32(), "chars": pa.int32(), "counts": pa.int32(), "char_sums": pa.int64(), "token_sums": pa.int64()}
+
+
+def _tree_columns(rows: list[dict]) -> dict[str, pa.Array]:
+    return {name: pa.array([r[name] for r in rows], pa.list_(kind)) for name, kind in _ARROW.items()}
+
+
+def _with(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    """The batch with these columns, new ones at the end."""
+    return pa.RecordBatch.from_pydict(dict(zip(batch.schema.names, batch.columns, strict=True)) | columns)
+
+
+def _followed(batch: pa.RecordBatch, edits: dict[int, list[Edit]], counter: Counter) -> pa.RecordBatch:
+    """The rows of the batch that have edits, with their renewed trees."""
+    texts, rows, renewed = [], [], []
+    for i, found in edits.items():
+        tree = CountTree.read({name: batch.column(name)[i].as_py() for name in _ARROW})
+        text, n = follow(tree, batch.column("text")[i].as_py() or "", found, counter)
+        texts.append(text)
+        rows.append(tree.row())
+        renewed.append(n)
+    tallies = {"n_edits": pa.array(map(len, edits.values()), pa.int64()), "n_renewed": pa.array(renewed, pa.int64())}
+    return _with(batch.take(pa.array(edits)), {"text": pa.array(texts, pa.string())} | _tree_columns(rows) | tallies)
+
+
+def edited(trees: DataFrame, ranks_path: str, edits: DataFrame | Callable[[str], list[Edit]]) -> DataFrame:
+    """The trees of the edited texts, with ``n_edits`` (applied) and ``n_renewed`` (pre-tokens encoded anew) of this round.
+
+    ``edits`` is a table (doc_id, key_a, key_b, start, stop, new) joined by the keys of ``trees``, or a function that gives the
+    edits of a text. The keys stay those of the text that was planted, so that further tables of edits find their trees. Edits
+    outside the text or without a start or stop are left out, of two that overlap the earlier one counts; a null ``new`` is
+    empty. A null text takes an edit at 0 as an empty one. Trees without edits, and further columns of ``trees``, go through as
+    they are; an empty table gives no rows.
+    """
+    vocabulary = _vocabulary(trees, ranks_path)
+    trees = trees.drop(*_TALLY)
+    names = trees.columns
+    schema = StructType([*trees.schema.fields, *(StructField(t, LongType()) for t in _TALLY)])
+    by_text = edits if callable(edits) else None
+    if by_text is None:
+        one = F.struct(F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), F.col("new").cast("string").alias("new"))
+        usable = pick(edits, **{c: c for c in (*_KEYS, "start", "stop", "new")}).filter("start is not null and stop is not null")
+        per_text = usable.groupBy(*(F.col(k).alias(f"_of_{k}") for k in _KEYS)).agg(F.collect_list(one).alias("_edits"))
+        same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in _KEYS]
+        trees = trees.join(per_text, same, "left").select(*names, "_edits")
+
+    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = Counter(vocabulary.value)
         for batch in batches:
-            rows = []
-            for text in pc.fill_null(batch.column("text"), ""):
-                text = text.as_py()
-                edits = edits_of(text)
-                before, after, renewed = recount(text, edits, counter)
-                rows.append((before, len(edits), after, renewed))
-            columns = np.array(rows, dtype=np.int64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(columns[:, i]) for i in range(4))],
-                names=["doc_id", "n_tokens", "n_edits", "n_tokens_after", "n_renewed"],
-            )
-
-    docs = pick(documents, doc_id="doc_id", text="text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return docs.mapInArrow(per_batch, schema)
+            plain, still, found, size = batch.select(names), [], {}, 0
+            for i, text in enumerate(batch.column("text")):
+                said = text.as_py() or ""
+                here = by_text(said) if by_text else _usable(batch.column("_edits")[i].as_py(), len(said))
+                still.append(not here)
+                if here:
+                    found[i] = here
+                    size += len(said)
+                if size >= BATCH_CHARS:
+                    yield _followed(plain, found, counter)
+                    found, size = {}, 0
+            if found:
+                yield _followed(plain, found, counter)
+            rest = plain.filter(pa.array(still, pa.bool_()))
+            yield _with(rest, {t: pa.array([0] * rest.num_rows, pa.int64()) for t in _TALLY})
+
+    return trees.mapInArrow(per_batch, schema)
+
+
+def total() -> Column:
+    """The tokens of a text: the sum at the root of its tree."""
+    return F.element_at("token_sums", -1)
+
+
+def edit_counts(documents: DataFrame, ranks_path: str, rules: tuple[tuple[str, str], ...] = REDACTIONS) -> DataFrame:
+    """One row per row: doc_id, n_tokens (whole text), n_edits, n_tokens_after, n_renewed (pre-tokens encoded anew).
+
+    The trees of all texts are stored; each rule (pattern, replacement) is a round of edits to the trees that the round before
+    left. A null or empty text has no tokens and no edits. Repeated rows each give a row; an empty table gives no rows; further
+    columns are ignored.
+    """
+    trees = store(plant(documents, ranks_path), compression="zstd").withColumn("n_tokens", total())
+    for i, rule in enumerate(rules):
+        rounds = {t: f"{t}_{i}" for t in _TALLY}
+        trees = edited(trees, ranks_path, partial(redactions, rules=(rule,))).withColumnsRenamed(rounds)
+    n_edits, n_renewed = (sum((F.col(f"{t}_{i}") for i in range(len(rules))), F.lit(0).cast("long")) for t in _TALLY)
+    return trees.select("doc_id", "n_tokens", n_edits.alias("n_edits"), total().alias("n_tokens_after"), n_renewed.alias("n_renewed"))

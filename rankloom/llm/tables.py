@@ -37,12 +37,12 @@ def shared_folder(spark: SparkSession) -> str:
     return (named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch").rstrip("/")
 
 
-def store(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
+def store(df: DataFrame, **options: str) -> DataFrame:
+    """Write ``df`` as a table in the shared folder, with these options of the writer, and read it back.
 
     The lineage ends there: a lost executor costs no earlier work, and every later read sees the same rows.
     """
     spark = df.sparkSession
     place = f"{shared_folder(spark)}/llm-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(place)
+    df.write.options(**options).parquet(place)
     return spark.read.schema(df.schema).parquet(place)

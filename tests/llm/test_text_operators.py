@@ -3,7 +3,7 @@
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -18,6 +18,7 @@ from rankloom.llm.near_duplicates import _set_parity, near_duplicates
 from rankloom.llm.queries import BYTE_RANKS, PIECE_MODEL
 from rankloom.llm.secret_scan import findings, redacted, secret_scan
 from rankloom.llm.substring_dedup import repeated_spans, without_spans
+from rankloom.llm.tables import store
 
 WORDS = "the of and to in for with on at by from data work text line page old new red blue green long short high low".split()
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key_a string, n_words int"
@@ -170,23 +171,74 @@ def test_language_held_out_accuracy(spark):
     assert all(rows[i].lang_pred == "und" and rows[i].score == 0 for i in (240, 241, 242)) and all(0 <= r.score <= 1 for r in rows.values())
 
 
-def test_edits_equal_full_encoding():
-    rng, counter = random.Random(3), ec.Counter(BYTE_RANKS)
-    letters = "ab 's\n\t .,1é  x　😀'll"
-    whole = lambda t: len(counter.coder.encode_ordinary(t))
-    for _ in range(3000):
-        text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 25)))
-        places = sorted(rng.sample(range(len(text) + 1), min(len(text) + 1, 2 * rng.randint(0, 3))))
-        edits = [(a, b, "".join(rng.choice(letters) for _ in range(rng.randint(0, 4)))) for a, b in zip(places[::2], places[1::2])]
-        before, after, _ = ec.recount(text, edits, counter)
-        assert (before, after) == (whole(text), whole(ec.apply_edits(text, edits))), (text, edits)
+@pytest.fixture(scope="module")
+def counter():
+    with open(BYTE_RANKS, "rb") as file:
+        return ec.Counter(file.read())
+
 
+def random_edits(rng, text, letters):
+    places = sorted(rng.sample(range(len(text) + 1), min(len(text) + 1, 2 * rng.randint(0, 3))))
+    return [(a, b, "".join(rng.choice(letters) for _ in range(rng.randint(0, 4)))) for a, b in zip(places[::2], places[1::2])]
 
-def test_edits_renew_a_small_part():
-    counter = ec.Counter(BYTE_RANKS)
+
+@pytest.mark.parametrize(("block", "crowded"), [(64, 256), (2, 6), (1, 1000)])
+def test_rounds_of_edits_equal_full_encoding(monkeypatch, counter, block, crowded):
+    monkeypatch.setattr(ec, "BLOCK", block)
+    monkeypatch.setattr(ec, "CROWDED", crowded)
+    rng = random.Random(3)
+    letters = "ab 's\n\t .,1é  x　😀'll"
+    for _ in range(1000):
+        text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 40)))
+        tree = ec.CountTree.of(text, counter)
+        for _ in range(4):
+            edits = random_edits(rng, text, letters)
+            after, _ = ec.follow(tree, text, edits, counter)
+            assert after == ec.apply_edits(text, edits)
+            words = counter.split(after)
+            row = tree.row()
+            assert (row["chars"], row["counts"]) == (list(map(len, words)), counter.count(words)), (text, edits)
+            assert tree.total == len(counter.coder.encode_ordinary(after))
+            assert tree.token_sums == ec._sums([sum(n) for _, n in tree.blocks]) and tree.char_sums == ec._sums([sum(c) for c, _ in tree.blocks])
+            text, tree = after, ec.CountTree.read(row)
+
+
+def test_edits_renew_a_small_part(counter):
     text = "plain words and more of them " * 500 + "mail me@there.org now" + " and on it goes" * 500
-    before, after, renewed = ec.recount(text, ec.redactions(text), counter)
-    assert renewed < 12 and after == len(counter.coder.encode_ordinary(ec.apply_edits(text, ec.redactions(text))))
+    tree = ec.CountTree.of(text, counter)
+    after, renewed = ec.follow(tree, text, ec.redactions(text), counter)
+    assert renewed < 12 and tree.total == len(counter.coder.encode_ordinary(after))
+
+
+def test_tables_of_edits_follow_stored_trees(spark, odd_rows, counter):
+    rng = random.Random(4)
+    trees = store(ec.plant(odd_rows, BYTE_RANKS))
+    texts = {(r.doc_id, r.key_a, r.key_b): r.text or "" for r in trees.collect()}
+    copies = Counter((r.doc_id, r.key_a, r.key_b) for r in trees.collect())
+    for _ in range(2):
+        edits = {k: random_edits(rng, t, "ab 1.") for k, t in texts.items()}
+        edits[max(texts, key=lambda k: len(texts[k]))] = [(9, 9, " of many words" * 200), (70, 90, ""), (250_000, 260_000, "x")]
+        rows = [(*k, *e) for k, found in edits.items() for e in found] + [(*next(iter(texts)), None, 3, "y"), (*next(iter(texts)), 10**7, 10**8, "z")]
+        table = spark.createDataFrame(rows, "doc_id long, key_a long, key_b long, start long, stop long, new string")
+        trees = store(ec.edited(trees, BYTE_RANKS, table))
+        texts = {k: ec.apply_edits(t, edits[k]) for k, t in texts.items()}
+        found = trees.withColumn("n_tokens", ec.total()).collect()
+        assert Counter((r.doc_id, r.key_a, r.key_b) for r in found) == copies
+        for r in found:
+            k = (r.doc_id, r.key_a, r.key_b)
+            assert (r.text or "", r.n_edits, r.n_tokens) == (texts[k], len(edits[k]), len(counter.coder.encode_ordinary(texts[k])))
+
+
+def test_edit_counts_equal_full_encoding(spark, counter):
+    texts = ["mail a.b@c.org and call 0123456789 now", "nothing here", "", None, "x@y.zz" + " 999999999" * 400]
+    whole = lambda t: len(counter.coder.encode_ordinary(t))
+    rows = {r.doc_id: r for r in ec.edit_counts(table(spark, texts), BYTE_RANKS).collect()}
+    for i, text in enumerate(texts):
+        after, n = text or "", 0
+        for rule in ec.REDACTIONS:
+            edits = ec.redactions(after, (rule,))
+            after, n = ec.apply_edits(after, edits), n + len(edits)
+        assert (rows[i].n_tokens, rows[i].n_edits, rows[i].n_tokens_after) == (whole(text or ""), n, whole(after))
 
 
 def test_pieces_equal_the_library(spark):
