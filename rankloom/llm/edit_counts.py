@@ -8,9 +8,11 @@ segment tree of sums. An edit puts new leaves into the blocks it touches and ren
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Callable, Iterator, Sequence
 from functools import partial
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -21,17 +23,18 @@ from rankloom.llm.tables import pick, row_key, store
 
 Edit = tuple[int, int, str]
 #: Pre-tokens whose counts a task keeps.
-KEPT = 500_000
+KEPT = 200_000
 #: Leaves of a block when a tree is planted; a block that grows to ``CROWDED`` makes the tree of its text be dealt anew.
 BLOCK = 64
 CROWDED = 4 * BLOCK
-#: Characters of the texts whose trees go out in one batch.
+#: Rows that are worked on together, and the characters of their texts from which on they go out.
+BATCH_ROWS = 512
 BATCH_CHARS = 1_000_000
 
 #: Pre-tokens as the byte-level BPE vocabularies in use split them (fixed value, part of the tokenizer).
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: What the registered query edits, one round per rule: addresses and long runs of digits give way to a mark.
+#: What the registered query edits: addresses and long runs of digits give way to a mark.
 REDACTIONS = ((r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+", "<address>"), (r"(?<!\d)\d{9,}(?!\d)", "<number>"))
 
 TREE = "sizes array<int>, chars array<int>, counts array<int>, char_sums array<long>, token_sums array<long>"
@@ -250,14 +253,14 @@ def plant(documents: DataFrame, ranks_path: str) -> DataFrame:
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(vocabulary.value)
         for batch in batches:
-            rows, first, size = [], 0, 0
+            rows, first, size = _Rows(), 0, 0
             for i, text in enumerate(batch.column("text")):
                 said = text.as_py() or ""
-                rows.append(CountTree.of(said, counter).row())
+                rows.add(CountTree.of(said, counter))
                 size += len(said)
                 if size >= BATCH_CHARS or i + 1 == batch.num_rows:
-                    yield _with(batch.slice(first, len(rows)), _tree_columns(rows))
-                    rows, first, size = [], i + 1, 0
+                    yield _with(batch.slice(first, i + 1 - first), rows.columns())
+                    rows, first, size = _Rows(), i + 1, 0
 
     docs = pick(documents, doc_id="doc_id", text="text").select(F.col("doc_id").cast("long"), *row_key(F.col("text")), "text")
     return docs.mapInArrow(per_batch, f"{KEYED}, {TREE}")
@@ -266,8 +269,30 @@ def plant(documents: DataFrame, ranks_path: str) -> DataFrame:
 _ARROW = {"sizes": pa.int32(), "chars": pa.int32(), "counts": pa.int32(), "char_sums": pa.int64(), "token_sums": pa.int64()}
 
 
-def _tree_columns(rows: list[dict]) -> dict[str, pa.Array]:
-    return {name: pa.array([r[name] for r in rows], pa.list_(kind)) for name, kind in _ARROW.items()}
+class _Rows:
+    """Trees as flat columns."""
+
+    def __init__(self):
+        self.flat = {name: array("i" if kind == pa.int32() else "q") for name, kind in _ARROW.items()}
+        self.ends = {name: array("i", [0]) for name in _ARROW}
+
+    def add(self, tree: CountTree) -> None:
+        flat = self.flat
+        for chars, counts in tree.blocks:
+            flat["sizes"].append(len(chars))
+            flat["chars"].extend(chars)
+            flat["counts"].extend(counts)
+        for name, sums in (("char_sums", tree.char_sums), ("token_sums", tree.token_sums)):
+            for level in sums:
+                flat[name].extend(level)
+        for name, ends in self.ends.items():
+            ends.append(len(flat[name]))
+
+    def columns(self) -> dict[str, pa.Array]:
+        return {
+            name: pa.ListArray.from_arrays(pa.array(np.asarray(self.ends[name])), pa.array(np.asarray(self.flat[name]), kind))
+            for name, kind in _ARROW.items()
+        }
 
 
 def _with(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatch:
@@ -277,15 +302,15 @@ def _with(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatch
 
 def _followed(batch: pa.RecordBatch, edits: dict[int, list[Edit]], counter: Counter) -> pa.RecordBatch:
     """The rows of the batch that have edits, with their renewed trees."""
-    texts, rows, renewed = [], [], []
+    texts, rows, renewed = [], _Rows(), []
     for i, found in edits.items():
         tree = CountTree.read({name: batch.column(name)[i].as_py() for name in _ARROW})
         text, n = follow(tree, batch.column("text")[i].as_py() or "", found, counter)
         texts.append(text)
-        rows.append(tree.row())
+        rows.add(tree)
         renewed.append(n)
     tallies = {"n_edits": pa.array(map(len, edits.values()), pa.int64()), "n_renewed": pa.array(renewed, pa.int64())}
-    return _with(batch.take(pa.array(edits)), {"text": pa.array(texts, pa.string())} | _tree_columns(rows) | tallies)
+    return _with(batch.take(pa.array(edits)), {"text": pa.array(texts, pa.string())} | rows.columns() | tallies)
 
 
 def edited(trees: DataFrame, ranks_path: str, edits: DataFrame | Callable[[str], list[Edit]]) -> DataFrame:
@@ -311,22 +336,26 @@ def edited(trees: DataFrame, ranks_path: str, edits: DataFrame | Callable[[str],
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(vocabulary.value)
-        for batch in batches:
-            plain, still, found, size = batch.select(names), [], {}, 0
-            for i, text in enumerate(batch.column("text")):
-                said = text.as_py() or ""
-                here = by_text(said) if by_text else _usable(batch.column("_edits")[i].as_py(), len(said))
-                still.append(not here)
-                if here:
-                    found[i] = here
-                    size += len(said)
-                if size >= BATCH_CHARS:
-                    yield _followed(plain, found, counter)
-                    found, size = {}, 0
-            if found:
+        for whole in batches:
+            for at in range(0, whole.num_rows, BATCH_ROWS):
+                yield from per_part(whole.slice(at, BATCH_ROWS), counter)
+
+    def per_part(batch: pa.RecordBatch, counter: Counter) -> Iterator[pa.RecordBatch]:
+        plain, still, found, size = batch.select(names), [], {}, 0
+        for i, text in enumerate(batch.column("text")):
+            said = text.as_py() or ""
+            here = by_text(said) if by_text else _usable(batch.column("_edits")[i].as_py(), len(said))
+            still.append(not here)
+            if here:
+                found[i] = here
+                size += len(said)
+            if size >= BATCH_CHARS:
                 yield _followed(plain, found, counter)
-            rest = plain.filter(pa.array(still, pa.bool_()))
-            yield _with(rest, {t: pa.array([0] * rest.num_rows, pa.int64()) for t in _TALLY})
+                found, size = {}, 0
+        if found:
+            yield _followed(plain, found, counter)
+        rest = plain.filter(pa.array(still, pa.bool_()))
+        yield _with(rest, {t: pa.array([0] * rest.num_rows, pa.int64()) for t in _TALLY})
 
     return trees.mapInArrow(per_batch, schema)
 
@@ -339,13 +368,10 @@ def total() -> Column:
 def edit_counts(documents: DataFrame, ranks_path: str, rules: tuple[tuple[str, str], ...] = REDACTIONS) -> DataFrame:
     """One row per row: doc_id, n_tokens (whole text), n_edits, n_tokens_after, n_renewed (pre-tokens encoded anew).
 
-    The trees of all texts are stored; each rule (pattern, replacement) is a round of edits to the trees that the round before
-    left. A null or empty text has no tokens and no edits. Repeated rows each give a row; an empty table gives no rows; further
-    columns are ignored.
+    The trees of all texts are stored, and the edits of the rules (pattern, replacement) are applied to the stored trees. A null
+    or empty text has no tokens and no edits. Repeated rows each give a row; an empty table gives no rows; further columns are
+    ignored.
     """
     trees = store(plant(documents, ranks_path), compression="zstd").withColumn("n_tokens", total())
-    for i, rule in enumerate(rules):
-        rounds = {t: f"{t}_{i}" for t in _TALLY}
-        trees = edited(trees, ranks_path, partial(redactions, rules=(rule,))).withColumnsRenamed(rounds)
-    n_edits, n_renewed = (sum((F.col(f"{t}_{i}") for i in range(len(rules))), F.lit(0).cast("long")) for t in _TALLY)
-    return trees.select("doc_id", "n_tokens", n_edits.alias("n_edits"), total().alias("n_tokens_after"), n_renewed.alias("n_renewed"))
+    after = edited(trees, ranks_path, partial(redactions, rules=rules))
+    return after.select("doc_id", "n_tokens", "n_edits", total().alias("n_tokens_after"), "n_renewed")
