@@ -72,11 +72,59 @@ _KEY_BESIDE = _KEY_NAME + "$"
 _ASSIGNED = "[=:]\\s*[\"']?"
 
 
+_PASSWORD_NAME = "(password|passwd|passphrase|pwd)"
+_GIVEN_TO = f"{_PASSWORD_NAME}[\"']?\\s{{0,4}}[:=]\\s{{0,4}}[\"']?"
+_IN_URL = r"://[^\s:/@]{1,64}:"
+#: A value given to a name for passwords, or the password of an address: any characters but blanks and quotes, 6 at least.
+GIVEN = f"(?i)({_GIVEN_TO}[^\\s\"'`]{{5,}}[^\\s\"'`.,;:!?)\\]}}]|{_IN_URL}[^\\s/@]{{6,}}(?=@))"
+
+
 def candidates(documents: DataFrame) -> DataFrame:
     """One row per candidate: key of its text, ``value``, ``start`` (character offset), ``name`` (of an assignment), ``left`` and
     ``right`` (the text beside it), ``in_key`` (a line of a private key's body or a part of a signed web token). Null texts have
-    none."""
+    none. A run of ``RUN`` that lies inside a value of ``GIVEN`` is no candidate of its own."""
     docs = pick(documents, doc_id="doc_id", text="text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    both = _runs(docs).withColumn("wide", F.lit(False)).unionByName(_given(docs).withColumn("wide", F.lit(True)))
+    stop = F.col("start") + F.length("value")
+    along = Window.partitionBy(*KEY).orderBy("start", F.col("wide").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    covered = F.max(F.when(F.col("wide"), stop)).over(along)
+    rows = both.withColumn("covered", F.coalesce(covered, F.lit(0).cast("long")))
+    return rows.filter(F.col("wide") | (stop > F.col("covered"))).select(*KEY, "start", "value", "name", "left", "right", "in_key")
+
+
+def _given(docs: DataFrame) -> DataFrame:
+    """Candidates by what stands before them, of any characters."""
+    said = F.lower("text")
+    may = said.contains("passw") | said.contains("pwd") | said.contains("passphrase") | said.contains("://")
+    docs = docs.filter(may & F.col("text").rlike(GIVEN)).select("doc_id", *row_key(F.col("text")), "text").distinct()
+    found = docs.select(*KEY, F.regexp_extract_all("text", F.lit(GIVEN), F.lit(0)).alias("found"), F.split("text", GIVEN, -1).alias("between"))
+    size = lambda i: F.length(F.get("between", i)) + F.length(F.coalesce(F.get("found", i - 1), F.lit("")))
+    # Where each match starts: the gaps and matches before it.
+    starts = F.aggregate(
+        F.sequence(F.lit(0), F.size("found") - 1),
+        F.array().cast("array<long>"),
+        lambda done, i: F.array_append(done, F.coalesce(F.element_at(F.when(F.size(done) > 0, done), -1), F.lit(0).cast("long")) + size(i)),
+    )
+    found = found.withColumn("starts", starts)
+    at = F.posexplode("found").alias("at", "whole")
+    rows = found.select(*KEY, "starts", "between", "found", at)
+    value = F.regexp_replace("whole", f"(?i)^({_GIVEN_TO}|{_IN_URL})", "")
+    head = F.length("whole") - F.length("value")
+    rows = rows.withColumn("value", value)
+    before = F.concat(F.get("between", F.col("at")), F.substr("whole", F.lit(1), head))
+    return rows.select(
+        *KEY,
+        (F.get("starts", F.col("at")) + head).cast("long").alias("start"),
+        "value",
+        F.lit("").alias("name"),
+        F.right(before, F.lit(_BESIDE)).alias("left"),
+        F.left(F.get("between", F.col("at") + 1), F.lit(_BESIDE)).alias("right"),
+        F.lit(False).alias("in_key"),
+    )
+
+
+def _runs(docs: DataFrame) -> DataFrame:
+    """Candidates by their shape: runs of the characters that keys and tokens are made of."""
     docs = docs.select("doc_id", *row_key(F.col("text")), "text").filter(F.col("text").rlike(RUN))
     runs = docs.select(*KEY, F.regexp_extract_all("text", F.lit(RUN), F.lit(0)).alias("runs"), "text")
     runs = runs.filter(F.exists("runs", lambda r: r.rlike(_SIGN)) | F.col("text").rlike(f"(?i)({_KEY_NAME}|{_ASSIGNED}){RUN}"))
@@ -104,7 +152,7 @@ def candidates(documents: DataFrame) -> DataFrame:
     return rows.filter((F.length("value") >= 12) & (F.col("value").rlike(_SIGN) | given)).select(*KEY, "start", "value", "name", "left", "right", "in_key")
 
 
-_PASSWORD = "(password|passwd|passphrase|pwd)[\"']?\\s*[:=]\\s*[\"']?$"
+_PASSWORD = _PASSWORD_NAME + "[\"']?\\s*[:=]\\s*[\"']?$"
 
 
 def _said() -> Column:
@@ -150,28 +198,44 @@ def known_format() -> Column:
     """The label of a candidate whose format settles it, null for all others.
 
     1: keys and tokens of public services, signed web tokens, bodies of private keys, long random values beside a word or name
-    for secrets, and shorter ones given to a name for passwords. 0, unless such a word stands beside: values without a letter,
-    UUIDs, values beside words for harmless look-alikes, paths, plain words, also in CamelCase.
+    for secrets, and shorter ones given to a name for passwords or standing as the password of an address. 0: calls,
+    placeholders and short words in small letters, and, unless a word for secrets stands beside, values without a letter, UUIDs,
+    values beside words for harmless look-alikes, paths, plain words, also in CamelCase.
     """
     said, value = _said(), F.col("value")
     beside = said.rlike(_KEY_BESIDE)
     random = value.rlike("[A-Za-z]") & value.rlike(_SIGN)
     given = beside & (F.length("value") >= 16) & random
     password = F.concat(said, F.when(F.col("name") != "", F.lit("=")).otherwise("")).rlike(_PASSWORD + "|" + _PASSWORD[:-1] + "\\s$") & random
+    in_url = F.col("left").rlike(f"{_IN_URL}$") & F.startswith("right", F.lit("@")) & random
     path = value.contains("/") & (F.col("left").rlike(r"[/\\.:]$") | F.col("right").rlike(r"^[/\\]|^\.[a-z]") | value.rlike("^/"))
     plain = ~value.rlike(_SIGN) | ~value.rlike("[A-Za-z]") | value.rlike("^[A-Z]?[a-z]{2,}([A-Z][a-z]{2,})+$")
     uuid = value.rlike("(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$")
     harmless = said.rlike(f"\\b({_any_of(PLAIN_WORDS)})\\b")
-    return F.when(_settled_format() | given | password, 1.0).when(~beside & (plain | uuid | harmless | path), 0.0)
+    settled = _settled_format() | given | ((password | in_url) & ~_placeholder())
+    return F.when(settled, 1.0).when(_placeholder(), 0.0).when(~beside & (plain | uuid | harmless | path), 0.0)
+
+
+def _placeholder() -> Column:
+    """Short words in small letters, calls, and names that stand for a value to be put in."""
+    return F.col("value").rlike(r"^[a-z_-]{1,11}$|^[A-Za-z_.]+[\[(]|^([$%]|\{\{|[$]?\{|<)|^[*x.]+$")
 
 
 def train(labelled: DataFrame, how: SecretScan = SecretScan()) -> RandomForestClassificationModel | None:
     """A forest from candidates with a ``label`` (1: secret, 0: not); None unless both labels occur.
 
-    The sample is the candidates with the smallest digests of each label; it is bounded by ``2 * sample`` rows.
+    The sample is the candidates with the smallest digests of each label; it is bounded by ``2 * sample`` rows. Before they are
+    ranked, digests are cut where about four times the sample is left, so what meets on a label does not grow with the table.
     """
+    sizes = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
+    if len(sizes) < 2:
+        return None
+    digest = F.xxhash64("value", "left", "start")
+    low = digest / F.lit(2.0**64) + 0.5
+    few = [(F.col("label") == label) & (low <= min(1.0, 4 * how.sample / n)) for label, n in sorted(sizes.items())]
+    labelled = labelled.filter(few[0] | few[1])
     seen = labelled.select(*(c.alias(n) for n, c in features().items()), "label", "value", "left", "start")
-    along = Window.partitionBy("label").orderBy(F.xxhash64("value", "left", "start"), "value", "left", "start")
+    along = Window.partitionBy("label").orderBy(digest, "value", "left", "start")
     chosen = seen.withColumn("n", F.row_number().over(along)).filter(F.col("n") <= how.sample)
     names = list(features())
     # In one order, so that the trees are the same in every run.
@@ -184,14 +248,14 @@ def train(labelled: DataFrame, how: SecretScan = SecretScan()) -> RandomForestCl
 
 
 def classify(found: DataFrame, model: RandomForestClassificationModel | None) -> DataFrame:
-    """Candidates with ``chance`` of being a secret: 1 where the format settles that, else what the forest says; without a model
-    the known formats decide alone."""
+    """Candidates with ``chance`` of being a secret: 1 where the format settles that, 0 for placeholders, else what the forest
+    says; without a model the known formats decide alone."""
     if model is None:
         return found.withColumn("chance", F.coalesce(known_format(), F.lit(0.0)))
     names = list(features())
     seen = VectorAssembler(inputCols=names, outputCol="_seen").transform(found.withColumns(features()))
     scored = model.setFeaturesCol("_seen").transform(seen)
-    chance = F.when(known_format() == 1, 1.0).otherwise(F.element_at(vector_to_array("probability"), 2))
+    chance = F.when(known_format() == 1, 1.0).when(_placeholder(), 0.0).otherwise(F.element_at(vector_to_array("probability"), 2))
     return scored.withColumn("chance", chance).select(*found.columns, "chance")
 
 

@@ -59,3 +59,30 @@ def test_values_without_digits_are_candidates(spark):
     clean = {r.doc_id: r.text for r in redacted(docs, findings(docs)).collect()}
     assert clean[0] == "my password: [secret] yes" and clean[2] == "api_key = [secret]"
     assert all(clean[i] == t for i, t in enumerate(texts) if i >= 4)
+
+
+SHORT = {
+    "password=Tr0ub4dor3": "password=[secret]",
+    "db_password: s3cr3t!pass#word9, then": "db_password: [secret], then",
+    "postgres://user:Zk39xQpL77@db.host/x": "postgres://user:[secret]@db.host/x",
+    "passwd = 'a.b@c:d9#' and more": "passwd = '[secret]' and more",
+    "one pwd=q1w2e3 two PASSWORD=\"Z9!z8?y7\" end": "one pwd=[secret] two PASSWORD=\"[secret]\" end",
+}
+NO_VALUES = ["password: please", "password = get_password()", "pwd=${DB_PWD}", "http://host:8080/a@b", "password: <your-password>", "the password is short"]
+
+
+def test_short_values_and_their_places(spark):
+    texts = [f"é😀 {t}" for t in SHORT] + NO_VALUES * 3 + [""]
+    docs = spark.createDataFrame([*enumerate(texts), (99, None)], SCHEMA)
+    seen = findings(docs).collect()
+    assert all(texts[r.doc_id][r.start : r.start + len(r.value)] == r.value for r in seen)
+    assert len({(r.doc_id, r.start) for r in seen}) == len(seen)
+    clean = {r.doc_id: r.text for r in redacted(docs, findings(docs)).collect()}
+    assert [clean[i] for i in range(len(SHORT))] == [f"é😀 {t}" for t in SHORT.values()]
+    assert all(clean[i] == t for i, t in enumerate(texts) if i >= len(SHORT))
+
+
+def test_runs_inside_a_given_value_are_no_candidates_of_their_own(spark):
+    token = "abcdefghijkl9" + "!xyzxyzxyzxyz7"
+    docs = spark.createDataFrame([(1, f"password: {token} and token={HEX} end")] * 2, SCHEMA)
+    assert sorted(r.value for r in candidates(docs).collect()) == sorted([token, HEX])
