@@ -319,20 +319,25 @@ def mix(documents: DataFrame, how: Mixing = Mixing()) -> DataFrame:
 def margins(mixed: DataFrame, how: Mixing = Mixing()) -> DataFrame:
     """margin, value, tokens, target, achieved, drawn: the shares that the targets ask for, that the probabilities of a result
     of ``mix`` give and that its kept rows have."""
-    out = []
-    for margin in MARGINS:
-        sums = mixed.groupBy(F.col(margin).alias("value")).agg(
-            F.sum("n_tokens").cast("double").alias("tokens"),
-            F.sum(F.col("n_tokens") * F.col("probability")).alias("achieved"),
-            F.sum(F.when(F.col("kept"), F.col("n_tokens")).otherwise(0)).cast("double").alias("drawn"),
-        ).filter("tokens > 0")
-        given = how.targets.get(margin)
-        if given:
-            named = mixed.sparkSession.createDataFrame([(v, float(x)) for v, x in given.items()], "value string, target double")
-            sums = sums.join(named, "value", "left").fillna(0.0, ["target"])
-        else:
-            sums = sums.withColumn("target", F.pow("tokens", F.lit(how.flatten)))
-        wholes = sums.agg(*(F.sum(c).alias(f"all_{c}") for c in ("target", "achieved", "drawn")))
-        shares = [(F.col(c) / F.nullif(F.col(f"all_{c}"), F.lit(0.0))).alias(c) for c in ("target", "achieved", "drawn")]
-        out.append(sums.crossJoin(wholes).select(F.lit(margin).alias("margin"), "value", F.col("tokens").cast("long"), *shares))
-    return out[0].union(out[1]).union(out[2])
+    sides = F.explode(F.array(*(F.struct(F.lit(m).alias("margin"), F.col(m).alias("value")) for m in MARGINS))).alias("side")
+    sums = mixed.select(sides, "n_tokens", "probability", "kept").groupBy("side.margin", "side.value").agg(
+        F.sum("n_tokens").cast("double").alias("tokens"),
+        F.sum(F.col("n_tokens") * F.col("probability")).alias("achieved"),
+        F.sum(F.when(F.col("kept"), F.col("n_tokens")).otherwise(0)).cast("double").alias("drawn"),
+    )
+    named = [(m, v, float(x)) for m, given in how.targets.items() for v, x in given.items()]
+    named = mixed.sparkSession.createDataFrame(named, "margin string, value string, target double")
+    named_margins = [m for m, given in how.targets.items() if given]
+    target = F.when(F.col("margin").isin(named_margins), F.coalesce("target", F.lit(0.0))).otherwise(F.pow("tokens", F.lit(how.flatten)))
+    sums = store(sums.filter("tokens > 0").join(named, ["margin", "value"], "left").withColumn("target", target))
+    parts = ("target", "achieved", "drawn")
+    # At most one row per margin.
+    wholes = {r["margin"]: r for r in sums.groupBy("margin").agg(*(F.sum(c).alias(c) for c in parts)).collect()}
+
+    def share(part: str) -> Column:
+        whole = F.lit(None).cast("double")
+        for margin, row in wholes.items():
+            whole = F.when(F.col("margin") == margin, F.lit(row[part])).otherwise(whole)
+        return (F.col(part) / F.nullif(whole, F.lit(0.0))).alias(part)
+
+    return sums.select("margin", "value", F.col("tokens").cast("long"), *map(share, parts))

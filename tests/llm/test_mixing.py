@@ -1,7 +1,10 @@
 """The mixture against its targets where cells or values cannot give what the targets ask for."""
 
+import hashlib
+import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from rankloom.llm.mixing import Mixing, calibrate, margins, mix
@@ -77,3 +80,45 @@ def test_tables_of_cells_are_raked_as_in_the_driver(spark, given):
     assert seen[0].keys() == seen[1].keys() and len(seen[0]) == 122
     for key, row in seen[0].items():
         assert seen[1][key] == pytest.approx(row, rel=1e-6, abs=1e-9)
+
+
+def test_the_whole_draw_equals_a_second_writing(spark):
+    signs = [("legal", r"licen[sc]ed? under|all rights reserved|general public license"), ("table", r"\|[^|\n]*\|"), ("contact", r"@[\w-]+\.")]
+    tails = ["", " | a | b |", " ask me@there.org", " All rights reserved | x |"]
+    rows = [(i if i % 17 else None, f"text {i}" + " of words" * (i * i % 23) + tails[i * 7 % 11 % 4], ["en", "de", None][i % 5 % 3], "abcd"[i * i % 7 % 4]) for i in range(400)]
+    rows += [(1000, None, "en", "a"), (1001, "", "de", "b"), rows[3], rows[3]]
+    how = Mixing(share=0.1, least_share=0.05, rounds=500)
+    cells, seen = defaultdict(int), []
+    for i, text, lang, source in rows:
+        kind = next((k for k, sign in signs if re.search(sign, text or "", re.IGNORECASE)), "prose")
+        cell, n = (source or "(none)", lang or "(none)", kind), len(re.findall("[^\\x20\\x09-\\x0D]+", text or ""))
+        cells[cell] += n
+        name = str(i) if i is not None else hashlib.md5(text.encode()).hexdigest()
+        seen.append((i, cell, n, int(hashlib.md5(f"mix:{name}".encode()).hexdigest()[:12], 16) / 2**48))
+    axes = [sorted({c[k] for c in cells}) for k in range(3)]
+    now = np.zeros([len(a) for a in axes])
+    for cell, n in cells.items():
+        now[tuple(a.index(v) for a, v in zip(axes, cell, strict=True))] = n
+    now /= now.sum()
+    raked = now.copy()
+    for _ in range(2000):
+        for k in range(3):
+            others = tuple(j for j in range(3) if j != k)
+            wanted = np.sqrt(now.sum(axis=others))
+            step = wanted / wanted.sum() / raked.sum(axis=others)
+            raked *= np.expand_dims(step, others)
+    weight = np.divide(raked, now, out=np.ones_like(now), where=now > 0)
+    assert weight.max() * 0.1 < 1
+    wanted = []
+    for i, cell, n, draw in seen:
+        w = weight[tuple(a.index(v) for a, v in zip(axes, cell, strict=True))]
+        wanted.append((str(i), *cell, n, pytest.approx(w, rel=1e-6), pytest.approx(w * 0.1, rel=1e-6), bool(draw < w * 0.1)))
+    out = mix(spark.createDataFrame(rows, SCHEMA), how).collect()
+    got = [(str(r.doc_id), r.source, r.lang, r.topic, r.n_tokens, r.weight, r.probability, r.kept) for r in out]
+    order = lambda r: (r[:5], r[7])
+    assert len(got) == len(wanted) and sorted(got, key=order) == sorted(wanted, key=order)
+    assert 5 < sum(r[7] for r in got) < 100
+
+
+def test_margins_of_nothing(spark):
+    assert margins(mix(spark.createDataFrame([], SCHEMA))).collect() == []
