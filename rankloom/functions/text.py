@@ -25,6 +25,12 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def single(value: Column) -> Column:
+    """``value`` as a generated column, evaluated once per row: a filter on it stays above it, where one on a plain column is
+    pushed below and evaluates the whole expression again."""
+    return F.explode(F.array(value))
+
+
 def first_filled(*values: Column, default: Column | None = None) -> Column:
     """First value that is neither NULL nor empty (``a or b or default``)."""
     filled = [F.nullif(v, F.lit("")) for v in values]
@@ -80,4 +86,4 @@ def anchor_text(raw_json: Column, keys: Sequence[str], no_anchor: str, unknown:
 
 def joined(values: Column, separator: str) -> Column:
     """Sorted array of distinct strings as one text."""
-    return F.array_join(F.array_sort(F.array_distinct(values)), separator)
+    return F.array_join(F.sort_array(F.array_distinct(values)), separator)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rankloom.functions.text import strip
+from rankloom.functions.text import bind, strip
 
 SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
 AUTHORITY = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)"
@@ -17,6 +17,11 @@ PATH = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)"
 QUERY = r"^[^?#]*\?([^#]*)"
 
 
+def _replaced(text: Column, hint: str, pattern: str, by: str = "") -> Column:
+    """``regexp_replace`` for a pattern that needs ``hint``: a plain search spares most texts the slower pattern."""
+    return bind(text, lambda t: F.when(F.contains(t, F.lit(hint)), F.regexp_replace(t, pattern, by)).otherwise(t))
+
+
 def scheme(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, SCHEME, 1))
 
@@ -27,16 +32,16 @@ def authority(url: Column) -> Column:
 
 def path(url: Column) -> Column:
     """Path without query, fragment and the parameters (``;x``) of its last part."""
-    return F.regexp_replace(F.regexp_extract(url, PATH, 1), r";[^/]*$", "")
+    return _replaced(F.regexp_extract(url, PATH, 1), ";", r";[^/]*$")
 
 
 def query(url: Column) -> Column:
-    return F.regexp_extract(url, QUERY, 1)
+    return F.when(F.contains(url, F.lit("?")), F.regexp_extract(url, QUERY, 1)).when(url.isNotNull(), "")
 
 
 def site_host(url: Column) -> Column:
     """Authority as written, one leading ``www.`` dropped."""
-    return F.regexp_replace(authority(url), r"^www\.", "")
+    return _replaced(authority(url), "www.", r"^www\.")
 
 
 def any_www_host(url: Column) -> Column:
@@ -46,44 +51,62 @@ def any_www_host(url: Column) -> Column:
 
 def _bare_host(authority_text: Column) -> Column:
     """Authority without user info and port, lower-cased."""
-    host = F.regexp_replace(authority_text, r"^.*@", "")
-    return F.lower(F.regexp_replace(host, r":.*$", ""))
+    return F.lower(_replaced(_replaced(authority_text, "@", r"^.*@"), ":", r":.*$"))
 
 
 def hostname(url: Column) -> Column:
     """Lower-cased host without port, dots at the ends and leading ``www.``; the scheme may be missing."""
-    text = strip(F.coalesce(url, F.lit("")))
-    full = F.when(text == "", text).when(F.contains(text, F.lit("://")), text).otherwise(
-        F.concat(F.lit("https://"), text)
-    )
-    return F.regexp_replace(F.btrim(_bare_host(authority(full)), F.lit(".")), r"^www\.", "")
+
+    def of(text: Column) -> Column:
+        full = F.when(text == "", text).when(F.contains(text, F.lit("://")), text).otherwise(
+            F.concat(F.lit("https://"), text)
+        )
+        return _replaced(F.btrim(_bare_host(authority(full)), F.lit(".")), "www.", r"^www\.")
+
+    return bind(strip(F.coalesce(url, F.lit(""))), of)
+
+
+def _port(authority_text: Column) -> Column:
+    """Port of an authority as written, empty when it has none."""
+    return F.when(
+        F.contains(authority_text, F.lit(":")), F.regexp_extract(F.regexp_replace(authority_text, r"^.*@", ""), r":(.*)$", 1)
+    ).otherwise("")
 
 
 def _without_last_slash(path_text: Column) -> Column:
     """One trailing slash removed unless the path is the root."""
-    return F.regexp_replace(path_text, "(.)/$", "$1")
+    # The end of a line counts as the end, and it may have two characters.
+    ends = lambda t: F.contains(F.substring(t, -3, 3), F.lit("/"))
+    return bind(path_text, lambda t: F.when(ends(t), F.regexp_replace(t, "(.)/$", "$1")).otherwise(t))
 
 
 def canonical_url(url: Column) -> Column:
-    """Duplicate protection: scheme (https if none), host without ``www.``, port, path, query; no fragment."""
-    text = strip(F.coalesce(url, F.lit("")))
-    where = authority(text)
-    raw_port = F.regexp_extract(F.regexp_replace(where, r"^.*@", ""), r":(.*)$", 1)
-    port = raw_port.try_cast("int")
-    bad_port = (raw_port != "") & (~raw_port.rlike(r"^\d+$") | port.isNull() | (port > 65535))
-    host = F.regexp_replace(_bare_host(where), r"^www\.", "")
-    found = path(text)
-    tail = F.when(found == "", F.lit("/")).otherwise(_without_last_slash(found))
-    asked = query(text)
-    built = F.concat(
-        F.coalesce(F.nullif(scheme(text), F.lit("")), F.lit("https")),
-        F.lit("://"),
-        host,
-        F.when(port > 0, F.concat(F.lit(":"), port.cast("string"))).otherwise(""),
-        tail,
-        F.when(asked != "", F.concat(F.lit("?"), asked)).otherwise(""),
-    )
-    return F.when(text == "", text).when(bad_port, F.lower(text)).otherwise(built)
+    """Duplicate protection: scheme (https if none), host without ``www.``, port, path, query; no fragment.
+
+    Each part is cut once and bound, because several others are built from it.
+    """
+
+    def built(text: Column, where: Column, raw_port: Column, found: Column, asked: Column) -> Column:
+        port = raw_port.try_cast("int")
+        bad_port = (raw_port != "") & (~raw_port.rlike(r"^\d+$") | port.isNull() | (port > 65535))
+        whole = F.concat(
+            F.coalesce(F.nullif(scheme(text), F.lit("")), F.lit("https")),
+            F.lit("://"),
+            _replaced(_bare_host(where), "www.", r"^www\."),
+            F.when(port > 0, F.concat(F.lit(":"), port.cast("string"))).otherwise(""),
+            F.when(found == "", F.lit("/")).otherwise(_without_last_slash(found)),
+            F.when(asked != "", F.concat(F.lit("?"), asked)).otherwise(""),
+        )
+        return F.when(bad_port, F.lower(text)).otherwise(whole)
+
+    def from_parts(text: Column) -> Column:
+        parts = F.struct(authority(text).alias("where"), path(text).alias("path"), query(text).alias("query"))
+        return bind(
+            parts,
+            lambda p: bind(_port(p["where"]), lambda port: built(text, p["where"], port, p["path"], p["query"])),
+        )
+
+    return bind(strip(F.coalesce(url, F.lit(""))), lambda text: F.when(text == "", text).otherwise(from_parts(text)))
 
 
 def percent_decode(text: Column) -> Column:
@@ -126,9 +149,9 @@ def sitemap_url(site: Column) -> Column:
 def slug_phrase(url: Column) -> Column:
     """Keyword phrase held in the last part of a URL path, NULL when there is none worth keeping."""
     last = F.regexp_extract(_without_last_slash(path(url)), r"([^/]*)$", 1)
-    bare = F.regexp_replace(last, r"(?i)\.(html|htm|php|aspx|asp)$", "")
-    phrase = strip(F.regexp_replace(F.regexp_replace(bare, r"[-_]+", " "), r"\s+", " "))
-    return F.when((F.length(phrase) > 3) & ~phrase.rlike(r"^\p{Nd}+$"), F.lower(phrase))
+    bare = _replaced(last, ".", r"(?i)\.(html|htm|php|aspx|asp)$")
+    words = strip(F.regexp_replace(bare, r"[-_\s]+", " "))
+    return bind(words, lambda phrase: F.when((F.length(phrase) > 3) & ~phrase.rlike(r"^\p{Nd}+$"), F.lower(phrase)))
 
 
 def first_directory(url: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.functions.text import joined
+from rankloom.functions.text import joined, single
 from rankloom.functions.urls import any_www_host, page_url, slug_phrase
 from rankloom.operators.ranking import top_per_group
 
@@ -56,7 +56,7 @@ def slug_keywords(pages: DataFrame, sites: DataFrame) -> DataFrame:
     """Pages per keyword phrase and site domain; pages of an unlisted site belong to ``Unknown``."""
     named = sites.select("site_id", any_www_host(F.col("url")).alias("domain"))
     return (
-        pages.select("site_id", "page_url", slug_phrase(F.col("page_url")).alias("keyword"))
+        pages.select("site_id", "page_url", single(slug_phrase(F.col("page_url"))).alias("keyword"))
         .filter(F.col("keyword").isNotNull())
         .join(named, "site_id", "left")
         .select("keyword", F.coalesce("domain", F.lit("Unknown")).alias("domain"), "page_url")
@@ -74,7 +74,7 @@ def slug_overlap(pages: DataFrame, sites: DataFrame, links_per_site: int = 2) ->
     samples = (
         top_per_group(found, pair, ["page_url"], links_per_site)
         .groupBy(*pair)
-        .agg(F.array_sort(F.collect_list(F.format_string("[%s] %s", c("domain"), c("page_url")))).alias("links"))
+        .agg(F.sort_array(F.collect_list(F.concat(F.lit("["), "domain", F.lit("] "), "page_url"))).alias("links"))
     )
     n_sites = sites.agg(F.count(F.lit(1))).scalar()
     return (
@@ -82,7 +82,7 @@ def slug_overlap(pages: DataFrame, sites: DataFrame, links_per_site: int = 2) ->
         .agg(
             F.count(F.lit(1)).alias("alpha"),
             joined(F.collect_list("domain"), ", ").alias("shared_by"),
-            F.array_join(F.array_sort(F.flatten(F.collect_list("links"))), "\n").alias("links"),
+            F.array_join(F.sort_array(F.flatten(F.collect_list("links"))), "\n").alias("links"),
         )
         .filter((c("alpha") >= 2) | (n_sites < 2))
         .orderBy(F.desc("alpha"), "keyword")
