@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions import rules
 from rankloom.functions.numbers import ratio
+from rankloom.functions.text import bind, single
 from rankloom.functions.urls import canonical_url, hostname
 
 
@@ -49,9 +50,11 @@ def competitor_of_files(rows: DataFrame, target: str = "target_url", least_share
 
 def judged(rows: DataFrame, source: Column) -> DataFrame:
     """Add ``reject_reason`` (NULL: accepted) and ``rejected``: a link needs a source URL, and that URL a host."""
-    url = canonical_url(source)
-    reason = F.when(url == "", "no source URL").when(hostname(url) == "", "no host in the source URL")
-    return rows.withColumn("reject_reason", reason).withColumn("rejected", F.col("reject_reason").isNotNull())
+
+    def reason(url: Column) -> Column:
+        return F.when(url == "", "no source URL").when(hostname(url) == "", "no host in the source URL")
+
+    return rows.select("*", single(bind(canonical_url(source), reason)).alias("reject_reason")).withColumn("rejected", F.col("reject_reason").isNotNull())
 
 
 def rejects(rows: DataFrame, source: str) -> DataFrame:
