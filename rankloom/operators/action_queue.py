@@ -12,7 +12,7 @@ from rankloom.functions.classify import mask_words, pattern_masks, under_domain
 from rankloom.functions.ladders import enrichment_status, priority_label, priority_rank
 from rankloom.functions.numbers import rounded
 from rankloom.functions.scores import blend_or_machine, machine_breakdown, machine_score, written_score
-from rankloom.operators.link_intel import EVIDENCE_WORDS, domain_examples, domain_measures, domain_rollup, mask_columns
+from rankloom.operators.link_intel import EVIDENCE_WORDS, domain_evidence, domain_examples, domain_measures, domain_rollup, mask_columns
 from rankloom.operators.link_queue import with_handoff
 from rankloom.operators.ranking import with_batches
 
@@ -41,7 +41,9 @@ def drop_reasons() -> dict[str, Column]:
     }
 
 
-def drop_evidence(rollup: DataFrame) -> DataFrame:
+def drop_evidence(measures: DataFrame, links: DataFrame) -> DataFrame:
+    """Add what the texts of a domain's links hold, and the reasons to drop it, to its measures."""
+    rollup = measures.join(domain_evidence(links), "domain")
     found = [F.when(test, F.lit(rules.DROP_REASONS[name])) for name, test in drop_reasons().items()]
     return rollup.withColumn("drop_reasons", F.concat_ws(rules.EVIDENCE_JOIN, *found)).withColumn(
         "is_drop", F.col("drop_reasons") != ""
@@ -50,7 +52,7 @@ def drop_evidence(rollup: DataFrame) -> DataFrame:
 
 def drop_detection(links: DataFrame) -> DataFrame:
     """Domains that cannot be acted on, with the reasons."""
-    return drop_evidence(domain_rollup(links)).select("domain", "backlinks", "assets", "technicals", "is_drop", "drop_reasons")
+    return drop_evidence(domain_rollup(links), links).select("domain", "backlinks", "assets", "technicals", "is_drop", "drop_reasons")
 
 
 def _words(name: str, limit: int) -> Column:
@@ -126,7 +128,7 @@ def classified(measures: DataFrame, brand: str = "our product") -> DataFrame:
 
 def action_path(links: DataFrame, brand: str = "our product") -> DataFrame:
     """Acquisition path of every referring domain."""
-    rollup = drop_evidence(domain_rollup(links))
+    rollup = drop_evidence(domain_rollup(links), links)
     return classified(rollup, brand).select(
         "domain", "path", "priority", "confidence", "machine_method", "action_suggested", "evidence"
     )
@@ -156,7 +158,7 @@ def with_enrichment(measures: DataFrame, enrichment: DataFrame) -> DataFrame:
 def scored_domains(links: DataFrame, enrichment: DataFrame, brand: str = "our product") -> DataFrame:
     """Every referring domain with its summary, path and machine score (at most 25 for dropped ones)."""
     c = F.col
-    summary = with_enrichment(drop_evidence(domain_measures(links)), enrichment)
+    summary = with_enrichment(drop_evidence(domain_measures(links), links), enrichment)
     scored = classified(summary, brand).withColumns(
         {"raw_score": machine_score(), "score_breakdown": machine_breakdown()}
     )

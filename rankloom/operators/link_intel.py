@@ -163,7 +163,7 @@ def mask_columns(name: str) -> list[str]:
 
 
 def row_evidence(links: DataFrame) -> DataFrame:
-    """Per-link signals of the acquisition path, as flags and pattern masks.
+    """Signals of the acquisition path that a link's texts hold, as flags and pattern masks.
 
     Text and path are columns of their own because each is read by several signals.
     """
@@ -174,13 +174,37 @@ def row_evidence(links: DataFrame) -> DataFrame:
             **{column: mask for name, words in EVIDENCE_WORDS.items() for column, mask in zip(mask_columns(name), pattern_masks(c("_text"), words))},
             "asset": asset_path(c("_path")),
             "technical": technical_path(c("_path")),
-            "own_site": F.lower("ref_domain") == F.lower("competitor_domain"),
         }
     )
 
 
+def referring_domain() -> Column:
+    return F.lower(F.trim("ref_domain"))
+
+
+def domain_evidence(links: DataFrame) -> DataFrame:
+    """Pattern masks, static files and technical pages per referring domain.
+
+    Equal texts of a domain are folded first, so some two hundred patterns are sought once in each different text and not in
+    every link; the folded rows meet on all their texts, which spreads a domain with very many links.
+    """
+    texts = ["source_title", "source_url", "anchor"]
+    folded = (
+        links.select(referring_domain().alias("domain"), *texts)
+        .filter(F.col("domain") != "")
+        .groupBy("domain", *texts)
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    none = F.lit(0).cast("bigint")
+    return row_evidence(folded).groupBy("domain").agg(
+        F.sum(F.when(F.col("asset"), F.col("n")).otherwise(none)).alias("assets"),
+        F.sum(F.when(F.col("technical"), F.col("n")).otherwise(none)).alias("technicals"),
+        *[F.bit_or(m).alias(m) for name in EVIDENCE_WORDS for m in mask_columns(name)],
+    )
+
+
 def domain_rollup(links: DataFrame) -> DataFrame:
-    """Additive measures per referring domain; every ratio and class below is read from this one table.
+    """Additive measures per referring domain; every ratio below is read from this one table.
 
     Links are folded per domain and competitor and then per domain, all with constant-size states, so a
     domain holding a large part of the links never gathers them. Measures a query does not use are pruned.
@@ -200,28 +224,22 @@ def domain_rollup(links: DataFrame) -> DataFrame:
         "external": F.sum("external_links"),
         "authority": _authority_sum(F.lit(True)),
         "live_authority": _authority_sum(live),
-        "assets": _count(c("asset")),
-        "technicals": _count(c("technical")),
-        "own": _count(c("own_site")),
+        "own": _count(F.lower("ref_domain") == F.lower("competitor_domain")),
         **{name: _count(kind == label) for label, name in TYPE_COLUMNS.items()},
     }
-    masks = [column for name in EVIDENCE_WORDS for column in mask_columns(name)]
     per_pair = (
-        row_evidence(links)
-        .withColumn("domain", F.lower(F.trim("ref_domain")))
+        links.withColumn("domain", referring_domain())
         .filter(c("domain") != "")
         .groupBy("domain", "competitor_domain")
         .agg(
             *[value.alias(name) for name, value in additive.items()],
             F.max("page_ascore").alias("max_page_as"),
-            *[F.bit_or(m).alias(m) for m in masks],
         )
     )
     return per_pair.groupBy("domain").agg(
         F.count(F.lit(1)).alias("alpha"),
         *[F.sum(name).alias(name) for name in additive],
         F.max("max_page_as").alias("max_page_as"),
-        *[F.bit_or(m).alias(m) for m in masks],
         joined(F.collect_list("competitor_domain"), ", ").alias("competitors"),
         joined(F.collect_list(F.format_string("%s:%d", c("competitor_domain"), c("backlinks"))), ", ").alias(
             "per_competitor"
@@ -291,10 +309,7 @@ def domain_measures(links: DataFrame) -> DataFrame:
         "earliest_first_seen",
         "latest_last_seen",
         type_mix().alias("type_mix"),
-        "assets",
-        "technicals",
         "own",
-        *[m for name in EVIDENCE_WORDS for m in mask_columns(name)],
     )
 
 

@@ -616,12 +616,12 @@ def enrichment_merge(spark, d):
 
 @query
 def drop_detection(spark, d):
-    return action_queue.drop_detection(links_b(spark, d))
+    return action_queue.drop_detection(stored_b(spark, d))
 
 
 @query
 def action_path(spark, d):
-    return action_queue.action_path(links_b(spark, d), BRAND)
+    return action_queue.action_path(stored_b(spark, d), BRAND)
 
 
 @query
