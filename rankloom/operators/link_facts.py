@@ -22,10 +22,13 @@ def vendor_a_facts(links: DataFrame) -> DataFrame:
 
 
 def vendor_b_facts(links: DataFrame) -> DataFrame:
-    """One row per competitor and link fingerprint."""
-    return first_wins(
-        links.withColumn("link_fingerprint", fingerprint()), ["competitor_domain", "link_fingerprint"]
-    )
+    """One row per competitor and link fingerprint.
+
+    Every row is exchanged and sorted by the fingerprint, so until then it is 20 bytes and not 40 digits.
+    """
+    keyed = links.withColumn("link_fingerprint", F.unhex(fingerprint()))
+    kept = first_wins(keyed, ["competitor_domain", "link_fingerprint"])
+    return kept.withColumn("link_fingerprint", F.lower(F.hex("link_fingerprint")))
 
 
 def keyword_facts(keywords: DataFrame) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.functions import dates, flags, numbers, rules, scores, text, urls
@@ -73,9 +73,23 @@ def enrichment(spark: SparkSession, d: str) -> DataFrame:
     return action_queue.merge_enrichment(views.enrichment_rows(spark, d))
 
 
-def stored_b(spark: SparkSession, d: str) -> DataFrame:
-    """Vendor B facts as a stored table, for queries that read them more than once."""
-    return store(links_b(spark, d).drop("raw_json", "ref_url", "src_ord", "src_file"))
+#: Columns of a link that its derived columns are read from.
+STATE_COLUMNS = (
+    "is_lost", "is_nofollow", "is_sponsored", "is_ugc", "is_image", "is_form", "is_frame", "is_text", "page_ascore",
+)
+#: Columns of a link that the summary of its referring domain is read from.
+SUMMARY_COLUMNS = (
+    "competitor_domain", "ref_domain", "source_url", "target_url", *STATE_COLUMNS, "is_sitewide", "external_links", "first_seen",
+    "last_seen",
+)
+#: The same with the texts that examples and evidence need.
+DOMAIN_COLUMNS = (*SUMMARY_COLUMNS, "source_title", "anchor")
+
+
+def stored_b(spark: SparkSession, d: str, columns: Sequence[str | Column] = DOMAIN_COLUMNS) -> DataFrame:
+    """Vendor B facts as a stored table, for queries that read them more than once. Only the named columns go through the
+    exchange that finds the first row of each link, and into the table."""
+    return store(links_b(spark, d).select(*columns))
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
@@ -559,7 +573,7 @@ def cumulative_cohorts_b(spark, d):
 
 @query
 def domain_intel_b(spark, d):
-    return rounded(link_intel.domain_intel(stored_b(spark, d)))
+    return rounded(link_intel.domain_intel(stored_b(spark, d, SUMMARY_COLUMNS)))
 
 
 @query
@@ -569,7 +583,7 @@ def domain_examples_topn(spark, d):
 
 @query
 def intel_payload(spark, d):
-    payload = link_intel.intel_payload(stored_b(spark, d))
+    payload = link_intel.intel_payload(stored_b(spark, d, (*SUMMARY_COLUMNS, "anchor")))
     return payload.withColumns(
         {"competitors": F.array_join("competitors", ", "), "examples": F.array_join("examples", "\n")}
     )
@@ -577,15 +591,18 @@ def intel_payload(spark, d):
 
 @query
 def link_details_b(spark, d):
-    return link_intel.link_details(stored_b(spark, d)).select(
-        "competitor_domain", "ref_domain", "source_url", "alpha", "state", "follow", "link_type", "authority_band", "link_fingerprint"
+    digest = F.unhex("link_fingerprint").alias("digest")
+    facts = stored_b(spark, d, ("competitor_domain", "ref_domain", "source_url", digest, *STATE_COLUMNS))
+    return link_intel.link_details(facts).select(
+        "competitor_domain", "ref_domain", "source_url", "alpha", "state", "follow", "link_type", "authority_band",
+        F.lower(F.hex("digest")).alias("link_fingerprint"),
     )
 
 
 @query
 def link_details_raw_b(spark, d):
     """Vendor B links with derived columns and the original ones read back from the raw row."""
-    facts = store(links_b(spark, d).drop("ref_url", "src_ord", "src_file"))
+    facts = stored_b(spark, d, ("competitor_domain", "ref_domain", "raw_json", *STATE_COLUMNS))
     return jobs.link_details_raw_b(link_intel.link_details(facts), ["Link anchor", "Anchor", "Missing"])
 
 
@@ -626,7 +643,7 @@ def action_path(spark, d):
 
 @query
 def action_queue_summary(spark, d):
-    measures = link_intel.domain_measures(stored_b(spark, d)).select(
+    measures = link_intel.domain_measures(stored_b(spark, d, SUMMARY_COLUMNS)).select(
         "domain", "alpha", "per_competitor", "backlinks", "live_backlinks", "live_rate", "high_page_as_rate"
     )
     return rounded(action_queue.with_enrichment(measures, enrichment(spark, d)))

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankloom.functions import urls
-from rankloom.operators import action_queue, imports, link_intel, snapshots
+from rankloom.operators import action_queue, imports, link_facts, link_intel, snapshots
+from rankloom.plans import views
 
 
 def plan(df):
@@ -64,3 +65,30 @@ def test_guarded_patterns_equal_the_bare_ones(one, text):
         [text],
     )
     assert guarded == bare
+
+
+def test_fingerprint_is_exchanged_as_bytes(spark, links_b_rows):
+    facts = link_facts.vendor_b_facts(links_b_rows)
+    window = next(line for line in plan(facts).splitlines() if "Window" in line)
+    assert "unhex" in plan(facts).lower() and "sha1" not in window
+    expected = links_b_rows.select(link_facts.fingerprint().alias("f")).distinct().collect()
+    assert sorted(r.link_fingerprint for r in facts.collect()) == sorted(r.f for r in expected)
+    assert all(len(r.f) == 40 for r in expected) and facts.schema["link_fingerprint"].dataType.simpleString() == "string"
+
+
+@pytest.fixture
+def links_b_rows(link_rows):
+    return link_rows.withColumn("src_ord", F.monotonically_increasing_id()).unionByName(
+        link_rows.withColumn("anchor", F.lit("other")).withColumn("src_ord", F.lit(9).cast("bigint"))
+    )
+
+
+def test_line_items_are_dealt_by_their_number_for_the_join(spark, monkeypatch):
+    monkeypatch.setattr(views, "ROWS_PER_TASK", 100)
+    rows = spark.range(5000).withColumnRenamed("id", "k")
+    dealt = views.dealt_by(rows, "k")
+    assert dealt.rdd.getNumPartitions() == 50
+    keys = spark.range(5000).withColumnRenamed("id", "k").hint("merge")
+    joined = dealt.join(keys, "k")
+    exchanges = joined._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert joined.count() == 5000 and exchanges == 2
