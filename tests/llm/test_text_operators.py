@@ -251,6 +251,44 @@ def test_pieces_equal_the_library(spark):
         assert rows[i].ids == library.encode(text or "") and rows[i].decoded == (text or "").replace("▁", " ")
 
 
+def test_pieces_words_end_where_no_piece_goes_on():
+    encoder = pieces.Encoder(pieces.read_model(PIECE_MODEL))
+    rng, kept, ends = random.Random(6), {}, ["", ",", ".", ";", ".\n", ".\nword"]
+    stems = ["".join(rng.choices("abcdehilnorstu", k=7)) for _ in range(200)]
+    texts = [" ".join(stem + end for stem in stems) for end in ends]
+    got = pieces.encode_texts(texts, encoder, kept)
+    for text, ids in zip(texts, got, strict=True):
+        words = pieces._WORD.findall(pieces.marked(text, encoder.model))
+        assert ids.tolist() == [i for w in words for i in encoder._ids(encoder.merged(w))]
+    assert len(kept) < 1.1 * len(stems)
+
+
+def test_pieces_borders_equal_the_merges(monkeypatch):
+    encoder = pieces.Encoder(pieces.read_model(PIECE_MODEL))
+    rng, all_pieces = random.Random(7), sorted(encoder.ids)
+    pairs = [(rng.choice(all_pieces), rng.choice(all_pieces)) for _ in range(2000)]
+    for word in rng.sample(all_pieces, 2000):
+        parts = encoder.merged(word + rng.choice(all_pieces)[:3])
+        pairs += [(a[rng.randrange(len(a)) :], b) for a, b in zip(parts, parts[1:])]  # noqa: B905
+    pairs = [(a, b) for a, b in pairs if a in encoder.ids and "▁▁" not in a + b]
+    want = [encoder.merged(a + b) == [a, b] for a, b in pairs]
+    assert len(set(want)) == 2
+    assert [encoder.together(a, b) for a, b in pairs] == want
+    # A border is judged by the pieces at it; the two sides are not merged anew for each pair.
+    calls, plain = [], encoder.merged
+    monkeypatch.setattr(encoder, "merged", lambda *a: calls.append(a) or plain(*a))
+    assert [encoder.together(a, b) for a, b in pairs] == want and not calls
+
+
+def test_decoded_columns_equal_single_rows(spark):
+    model, rng = pieces.read_model(PIECE_MODEL), random.Random(8)
+    rows = [None if i % 9 == 0 else [rng.randrange(len(model.pieces)) for _ in range(i % 7)] for i in range(300)]
+    rows += [[], [model.byte_ids[b] for b in "▁".encode()], [model.byte_ids[b] for b in " ".encode()] * 2, [model.byte_ids[255]]]
+    table_of_ids = spark.createDataFrame(list(enumerate(rows)), "n int, ids array<int>")
+    for row in pieces.decode_ids(table_of_ids, PIECE_MODEL).collect():
+        assert row.decoded == (None if row.ids is None else pieces.decode(row.ids, model))
+
+
 def test_unigram_forward_pass_finds_the_best_sum():
     pieces_of = ("<unk>", "▁", "a", "b", "c", "ab", "bc", "abc", "▁a", "▁ab")
     scores = (0.0, -2.0, -2.1, -2.2, -2.3, -3.0, -2.9, -5.5, -3.9, -5.2)
