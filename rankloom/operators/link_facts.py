@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.operators.ranking import first_wins
+from rankloom.operators.ranking import first_wins, first_wins_apart
 
 FINGERPRINT_FLAGS = ("is_nofollow", "is_sponsored", "is_ugc", "is_text", "is_frame", "is_form", "is_image")
 
@@ -21,18 +23,31 @@ def vendor_a_facts(links: DataFrame) -> DataFrame:
     return first_wins(links, ["competitor_domain", "ref_domain"])
 
 
-def vendor_b_facts(links: DataFrame) -> DataFrame:
-    """One row per competitor and link fingerprint.
+#: What the fingerprint is read from.
+FINGERPRINT_COLUMNS = ("source_url", "target_url", "anchor", *FINGERPRINT_FLAGS)
+
+
+def _needed(rows: DataFrame, columns: Sequence[str] | None, *keys: str) -> DataFrame:
+    """The named columns (all without names) and those that the key and the order of arrival are read from."""
+    return rows.select(*dict.fromkeys([*keys, *columns, "src_ord"])) if columns else rows
 
-    Every row is exchanged and sorted by the fingerprint, so until then it is 20 bytes and not 40 digits.
+
+def vendor_b_facts(links: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """One row per competitor and link fingerprint; ``columns`` are those of the links that the caller reads.
+
+    The rows are stored without the fingerprint, which does not compress; where it is exchanged it is 20 bytes and not 40 digits.
     """
-    keyed = links.withColumn("link_fingerprint", F.unhex(fingerprint()))
-    kept = first_wins(keyed, ["competitor_domain", "link_fingerprint"])
+    rows = _needed(links, columns, "competitor_domain", *FINGERPRINT_COLUMNS)
+    kept = first_wins_apart(
+        rows, ["competitor_domain", "link_fingerprint"], derived={"link_fingerprint": F.unhex(fingerprint())}
+    )
     return kept.withColumn("link_fingerprint", F.lower(F.hex("link_fingerprint")))
 
 
-def keyword_facts(keywords: DataFrame) -> DataFrame:
-    return first_wins(keywords, ["competitor_domain", "keyword", "country"])
+def keyword_facts(keywords: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """One row per competitor, keyword and country; ``columns`` are those that the caller reads."""
+    key = ["competitor_domain", "keyword", "country"]
+    return first_wins_apart(_needed(keywords, columns, *key), key)
 
 
 def page_facts(pages: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from rankloom.functions.ladders import AUTHORITY_BANDS, LINK_KINDS, authority_ba
 from rankloom.functions.numbers import exact, half_up, ratio, whole_even
 from rankloom.functions.text import joined
 from rankloom.functions.urls import path
-from rankloom.operators.ranking import running_totals, top_per_group, yearly_grid
+from rankloom.operators.ranking import running_totals, set_apart, top_per_group, yearly_grid
 
 EVIDENCE_WORDS: Mapping[str, Sequence[str]] = {
     "self_serve": rules.SELF_SERVE,
@@ -348,33 +348,38 @@ def link_example(authority_label: str = "AS") -> Column:
         F.when(c("is_ugc"), "UGC"),
         F.when(c("is_sitewide"), "Sitewide"),
     )
-    return F.format_string(
-        f"[%s] [%s] {authority_label} %s | %s --[%s]--> %s (%s)",
-        c("competitor_domain"),
-        F.when(c("is_lost"), "LOST").otherwise("LIVE"),
-        whole_even(c("page_ascore")),
-        c("source_url"),
+    known = lambda value: F.coalesce(value, F.lit("null"))
+    return F.concat(
+        F.lit("["),
+        known(c("competitor_domain")),
+        F.when(c("is_lost"), f"] [LOST] {authority_label} ").otherwise(f"] [LIVE] {authority_label} "),
+        known(whole_even(c("page_ascore"))),
+        F.lit(" | "),
+        known(c("source_url")),
+        F.lit(" --["),
         F.coalesce(F.nullif("anchor", F.lit("")), F.lit(rules.NO_ANCHOR)),
-        c("target_url"),
+        F.lit("]--> "),
+        known(c("target_url")),
+        F.lit(" ("),
         F.when(marks == "", "No special attribute").otherwise(marks),
+        F.lit(")"),
     )
 
 
 def example_rows(links: DataFrame, n: int, authority_label: str = "AS") -> DataFrame:
     """The ``n`` best distinct link examples of every referring domain: live first, then by authority.
 
-    Equal examples are folded first; after that no map task sends more than ``n`` rows per domain.
+    Examples that may occur again are folded first; after that no map task sends more than ``n`` rows per domain. All others are
+    never exchanged as a whole. ``links`` are read three times: give a stored table.
     """
     c = F.col
     order = F.struct(c("is_lost").alias("lost"), (-c("page_ascore")).alias("minus"), c("source_url").alias("url"))
-    distinct = (
-        links.select(
-            F.lower(F.trim("ref_domain")).alias("domain"), link_example(authority_label).alias("example"), order.alias("o")
-        )
-        .groupBy("domain", "example")
-        .agg(F.min("o").alias("o"))
+    rows = links.select(
+        F.lower(F.trim("ref_domain")).alias("domain"), link_example(authority_label).alias("example"), order.alias("o")
     )
-    return top_per_group(distinct, ["domain"], ["o", "example"], n)
+    once, again = set_apart(rows.withColumn("_digest", F.xxhash64("domain", "example")), "_digest")
+    folded = again.groupBy("domain", "example").agg(F.min("o").alias("o"))
+    return top_per_group(once.drop("_digest").unionByName(folded), ["domain"], ["o", "example"], n)
 
 
 def domain_examples(links: DataFrame, n: int = 20, authority_label: str = "AS", separator: str = "\n") -> DataFrame:

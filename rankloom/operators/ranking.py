@@ -6,7 +6,7 @@ aggregate has already reduced to a bounded number of rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,6 +29,51 @@ def first_wins(df: DataFrame, keys: Sequence[str], order_by: Sequence[Column | s
     return top_per_group(df, keys, order_by, 1)
 
 
+#: Bits in which repeated keys leave a mark. They are kept 64 to a row, so the table of marks has at most 1,048,576 rows whatever the
+#: number of keys, which is what bounds its broadcast. With very many repeated keys other rows share their marks.
+MARK_BITS = 1 << 26
+
+
+def _mark(digest: Column) -> tuple[Column, Column]:
+    """The row of the table of marks that a digest belongs to, and its bit there."""
+    word = F.shiftright(digest.bitwiseAND(F.lit(MARK_BITS - 1).cast("bigint")), 6)
+    return word, F.call_function("shiftleft", F.lit(1).cast("bigint"), digest.bitwiseAND(F.lit(63).cast("bigint")).cast("int"))
+
+
+def set_apart(rows: DataFrame, digest: str) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key no other row has, and those whose key others may have.
+
+    ``digest`` is a 64-bit hash of the key, so equal keys are always on the same side, and only the other side has to be exchanged
+    with all its columns. ``rows`` are read three times: give a stored table. The counts of the digests are folded map-side, so a
+    hot key is one row per task.
+    """
+    c = F.col
+    word, bit = _mark(c(digest))
+    several = rows.groupBy(digest).agg(F.count(F.lit(1)).alias("_n")).filter(c("_n") > 1)
+    marks = store(several.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_marks")))
+    marked = rows.withColumn("_word", word).join(F.broadcast(marks), "_word", "left")
+    again = F.coalesce(c("_marks").bitwiseAND(bit) != 0, F.lit(False))
+    return marked.filter(~again).select(*rows.columns), marked.filter(again).select(*rows.columns)
+
+
+def first_wins_apart(
+    df: DataFrame,
+    keys: Sequence[str],
+    order_by: Sequence[Column | str] = ("src_ord",),
+    derived: Mapping[str, Column] | None = None,
+) -> DataFrame:
+    """:func:`first_wins` for wide rows most of whose keys occur once, such as the rows of exports.
+
+    The rows are stored with a digest of their key, and only those whose key may occur again go through the exchange that finds
+    the first one. ``derived`` are columns of the result that may be part of the key; they are read from the stored ones.
+    """
+    derived = dict(derived or {})
+    parts = [derived.get(k, F.col(k)) for k in keys]
+    rows = store(df.withColumn("_digest", F.xxhash64(*parts)))
+    once, again = (part.drop("_digest").withColumns(derived) for part in set_apart(rows, "_digest"))
+    return once.unionByName(first_wins(again, keys, order_by))
+
+
 def highest_per_key(df: DataFrame, keys: Sequence[str], measure: str, tie: Sequence[Column | str]) -> DataFrame:
     """One row per key: the one with the highest measure."""
     return top_per_group(df, keys, [F.col(measure).desc(), *tie], 1)

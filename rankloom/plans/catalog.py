@@ -48,12 +48,12 @@ def links_a(spark: SparkSession, d: str) -> DataFrame:
     return link_facts.vendor_a_facts(views.links(spark, d))
 
 
-def links_b(spark: SparkSession, d: str) -> DataFrame:
-    return link_facts.vendor_b_facts(views.links(spark, d))
+def links_b(spark: SparkSession, d: str, columns: Sequence[str] | None = None) -> DataFrame:
+    return link_facts.vendor_b_facts(views.links(spark, d), columns)
 
 
-def keyword_facts(spark: SparkSession, d: str) -> DataFrame:
-    return link_facts.keyword_facts(views.keywords(spark, d))
+def keyword_facts(spark: SparkSession, d: str, columns: Sequence[str] | None = None) -> DataFrame:
+    return link_facts.keyword_facts(views.keywords(spark, d), columns)
 
 
 def page_facts(spark: SparkSession, d: str) -> DataFrame:
@@ -86,10 +86,22 @@ SUMMARY_COLUMNS = (
 DOMAIN_COLUMNS = (*SUMMARY_COLUMNS, "source_title", "anchor")
 
 
-def stored_b(spark: SparkSession, d: str, columns: Sequence[str | Column] = DOMAIN_COLUMNS) -> DataFrame:
-    """Vendor B facts as a stored table, for queries that read them more than once. Only the named columns go through the
-    exchange that finds the first row of each link, and into the table."""
-    return store(links_b(spark, d).select(*columns))
+#: Columns of a link that its example is read from.
+EXAMPLE_COLUMNS = (
+    "competitor_domain", "ref_domain", "source_url", "target_url", "anchor", "is_lost", "page_ascore", "is_nofollow",
+    "is_sponsored", "is_ugc", "is_sitewide",
+)
+#: Columns of a link that the profile of its competitor is read from.
+PROFILE_COLUMNS = (
+    "competitor_domain", "ref_domain", "target_url", "is_lost", "is_new", "is_nofollow", "is_sponsored", "is_ugc", "is_sitewide",
+    "page_ascore",
+)
+COHORT_COLUMNS = ("competitor_domain", "ref_domain", "first_seen", "is_lost")
+
+
+def stored_b(spark: SparkSession, d: str, columns: Sequence[str] = DOMAIN_COLUMNS) -> DataFrame:
+    """Vendor B facts as a stored table, for queries that read them more than once. Only the named columns are stored."""
+    return store(links_b(spark, d, columns).select(*columns))
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
@@ -478,7 +490,8 @@ def registrable_rules(spark, d):
 
 @query
 def link_fingerprint_dedupe(spark, d):
-    return links_b(spark, d).select("competitor_domain", "link_fingerprint", "source_url", "anchor", "src_ord.o", "src_ord.l")
+    facts = links_b(spark, d, ("competitor_domain", "source_url", "anchor"))
+    return facts.select("competitor_domain", "link_fingerprint", "source_url", "anchor", "src_ord.o", "src_ord.l")
 
 
 @query
@@ -547,28 +560,27 @@ def heat_tiers(spark, d):
 
 @query
 def link_profile_b(spark, d):
-    return rounded(link_intel.competitor_profile(links_b(spark, d)))
+    return rounded(link_intel.competitor_profile(links_b(spark, d, PROFILE_COLUMNS)))
 
 
 @query
 def authority_bands_b(spark, d):
-    return link_intel.authority_bands(links_b(spark, d))
+    return link_intel.authority_bands(links_b(spark, d, ("competitor_domain", "page_ascore", "is_lost")))
 
 
 @query
 def link_types_b(spark, d):
-    return link_intel.link_types(links_b(spark, d))
+    return link_intel.link_types(links_b(spark, d, ("competitor_domain", "is_lost")))
 
 
 @query
 def cohorts_b(spark, d):
-    return link_intel.cohorts(links_b(spark, d))
+    return link_intel.cohorts(links_b(spark, d, COHORT_COLUMNS))
 
 
 @query
 def cumulative_cohorts_b(spark, d):
-    dated = links_b(spark, d).select("competitor_domain", "ref_domain", "first_seen", "is_lost")
-    return link_intel.cumulative_cohorts(store(dated))
+    return link_intel.cumulative_cohorts(stored_b(spark, d, COHORT_COLUMNS))
 
 
 @query
@@ -623,7 +635,7 @@ def link_detail_columns(spark, d):
 
 @query
 def diagnostic_levels(spark, d):
-    return rounded(link_intel.diagnostics(link_intel.competitor_profile(links_b(spark, d))))
+    return rounded(link_intel.diagnostics(link_intel.competitor_profile(links_b(spark, d, PROFILE_COLUMNS))))
 
 
 @query
@@ -706,7 +718,7 @@ def file_competitors(spark, d):
 @query
 def import_audit(spark, d):
     rows = imports.judged(views.written_links(spark, d), F.col("written_source"))
-    kept = link_facts.vendor_b_facts(rows.filter(~F.col("rejected")))
+    kept = link_facts.vendor_b_facts(rows.filter(~F.col("rejected")), ("src_file",))
     return imports.audit(rows, kept, {"backlinks-A.csv": ["Anchor", "UGC", "First seen"]})
 
 
