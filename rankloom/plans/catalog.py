@@ -603,8 +603,8 @@ def intel_payload(spark, d):
 
 @query
 def link_details_b(spark, d):
-    digest = F.unhex("link_fingerprint").alias("digest")
-    facts = stored_b(spark, d, ("competitor_domain", "ref_domain", "source_url", digest, *STATE_COLUMNS))
+    facts = stored_b(spark, d, ("competitor_domain", "ref_domain", "source_url", "target_url", "anchor", *STATE_COLUMNS))
+    facts = facts.withColumn("digest", F.unhex(link_facts.fingerprint()))
     return link_intel.link_details(facts).select(
         "competitor_domain", "ref_domain", "source_url", "alpha", "state", "follow", "link_type", "authority_band",
         F.lower(F.hex("digest")).alias("link_fingerprint"),
