@@ -241,21 +241,29 @@ def final_score_blend(spark, d):
 
 # --- keywords -------------------------------------------------------------------------------------------
 
+#: Columns of a ranking that the tables of the keywords are read from.
+INTENT_COLUMNS = ("is_informational", "is_commercial", "is_transactional")
+OVERLAP_COLUMNS = ("is_branded", "current_traffic", "volume", "kd", "cpc", *INTENT_COLUMNS)
+TASK_COLUMNS = (*OVERLAP_COLUMNS, "is_navigational")
+BENCHMARK_COLUMNS = ("is_branded", "current_traffic", "url")
+TERM_COLUMNS = ("is_branded", "current_traffic", "current_position", "volume", "kd", "cpc", "url")
+KEYWORD_PROFILE_COLUMNS = (*TASK_COLUMNS, "current_position")
+
 
 @query
 def keyword_profile(spark, d):
-    return keywords.keyword_profile(keyword_facts(spark, d))
+    return keywords.keyword_profile(keyword_facts(spark, d, KEYWORD_PROFILE_COLUMNS))
 
 
 @query
 def keyword_shares(spark, d):
-    return keywords.keyword_shares(keywords.keyword_profile(keyword_facts(spark, d)))
+    return keywords.keyword_shares(keywords.keyword_profile(keyword_facts(spark, d, KEYWORD_PROFILE_COLUMNS)))
 
 
 @query
 def keyword_country_top5(spark, d):
-    facts = keyword_facts(spark, d).select("competitor_domain", "country", "current_traffic")
-    return keywords.top_countries(store(facts), 5)
+    columns = ("competitor_domain", "country", "current_traffic")
+    return keywords.top_countries(store(keyword_facts(spark, d, columns).select(*columns)), 5)
 
 
 @query
@@ -266,7 +274,7 @@ def keyword_page_top10(spark, d):
 
 @query
 def keyword_terms_top10(spark, d):
-    return rounded(keywords.top_terms(keyword_facts(spark, d), 10))
+    return rounded(keywords.top_terms(keyword_facts(spark, d, TERM_COLUMNS), 10))
 
 
 @query
@@ -300,7 +308,7 @@ def keyword_tasks(spark, d):
 
 @query
 def keyword_benchmarks(spark, d):
-    return keywords.ranked_benchmarks(keywords.keyword_benchmarks(keyword_facts(spark, d)))
+    return keywords.ranked_benchmarks(keywords.keyword_benchmarks(keyword_facts(spark, d, BENCHMARK_COLUMNS)))
 
 
 @query

@@ -5,6 +5,8 @@ Every view uses whole tables. ``VIEW_SQL`` in :mod:`rankloom.plans.sql_views` st
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -207,31 +209,41 @@ def written_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keyword rows: every line item is a ranking of one competitor in one country."""
+    """Keyword rows: every line item is a ranking of one competitor in one country.
+
+    The customer is joined to the order, so no line item is exchanged by it, and what the line items take on from both is numbers:
+    texts would make the exchange by part half as wide again.
+    """
     c = F.col
-    order = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
-    country = table(spark, sf_dir, "customer").join(
-        table(spark, sf_dir, "nation"), c("c_nationkey") == c("n_nationkey")
-    ).select("c_custkey", "n_name")
-    ranked = (
-        dealt_by(table(spark, sf_dir, "lineitem"), "l_orderkey")
-        .join(order, c("l_orderkey") == c("o_orderkey"))
-        .join(country, c("o_custkey") == c("c_custkey"))
+    words = lambda *found: c("o_orderpriority").isin(*found)
+    intents = (
+        words("1-URGENT"),
+        words("2-HIGH", "3-MEDIUM", "1-URGENT"),
+        words("3-MEDIUM"),
+        words("4-NOT SPECIFIED", "3-MEDIUM"),
+    )
+    order = (
+        table(spark, sf_dir, "orders")
+        .select("o_orderkey", "o_custkey", reduce(Column.__add__, [i.cast("int") * 2**n for n, i in enumerate(intents)]).alias("intents"))
+        .join(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), c("o_custkey") == c("c_custkey"))
+        .select("o_orderkey", (c("c_custkey") % 5).alias("buyer"), "c_nationkey", "intents")
     )
-    rows = with_sites(ranked, "l_partkey", spark, sf_dir)
-    intent = lambda *words: c("o_orderpriority").isin(*words)
+    ranked = dealt_by(table(spark, sf_dir, "lineitem"), "l_orderkey").join(order, c("l_orderkey") == c("o_orderkey"))
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    rows = with_sites(ranked, "l_partkey", spark, sf_dir).join(nation, c("c_nationkey") == c("n_nationkey"))
+    intent = lambda n: c("intents").bitwiseAND(2**n) != 0
     return rows.select(
-        F.concat(F.lit("k"), _text(F.least(c("c_custkey") % 5, c("l_partkey") % 5))).alias("competitor_domain"),
+        F.concat(F.lit("k"), _text(F.least(c("buyer"), c("l_partkey") % 5))).alias("competitor_domain"),
         F.concat(
             c("p_name"), F.lit(" "), F.lower("p_type"), F.lit(" "), _text(c("p_partkey")),
             _pick(KEYWORD_TAILS, c("p_size") % len(KEYWORD_TAILS)),
         ).alias("keyword"),
         c("n_name").alias("country"),
         (c("p_brand") == "Brand#1").alias("is_branded"),
-        intent("1-URGENT").alias("is_navigational"),
-        intent("2-HIGH", "3-MEDIUM", "1-URGENT").alias("is_informational"),
-        intent("3-MEDIUM").alias("is_commercial"),
-        intent("4-NOT SPECIFIED", "3-MEDIUM").alias("is_transactional"),
+        intent(0).alias("is_navigational"),
+        intent(1).alias("is_informational"),
+        intent(2).alias("is_commercial"),
+        intent(3).alias("is_transactional"),
         (c("p_size") * c("l_linenumber") * c("l_linenumber") * 6).cast("bigint").alias("volume"),
         F.floor(2 * c("l_quantity") * (1 + c("l_partkey") % 4) / 4).cast("bigint").alias("kd"),
         (F.abs("l_discount") * 20).alias("cpc"),

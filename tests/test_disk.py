@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from rankloom import session
 from rankloom.operators import link_facts, link_intel, ranking
+from rankloom.plans import views
 
 EXAMPLE = (
     "competitor_domain string, ref_domain string, source_url string, target_url string, anchor string, is_lost boolean, "
@@ -72,6 +73,12 @@ def test_only_repeated_links_are_exchanged_as_a_whole(spark):
     assert sorted(r.src_ord for r in facts.collect()) == [0, 2, *range(4, 200)]
 
 
+def test_facts_hold_the_columns_that_are_read(spark):
+    keyed = spark.createDataFrame([("c", "k", "de", 1, 5.0, "u")], "competitor_domain string, keyword string, country string, src_ord int, cpc double, url string")
+    assert link_facts.keyword_facts(keyed, ("url",)).columns == ["competitor_domain", "keyword", "country", "url", "src_ord"]
+    assert link_facts.keyword_facts(keyed).columns == keyed.columns
+
+
 def test_examples_equal_a_plain_fold(spark):
     """Links whose authority differs behind the point have the same example, which counts once."""
     rng = random.Random(4)
@@ -107,6 +114,19 @@ def test_examples_that_occur_once_are_cut_before_the_shuffle(spark):
     assert "WindowGroupLimit" in cut and "Union" in cut
 
 
+def test_line_items_are_not_exchanged_by_customer(spark):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = executed(views.keywords(spark, "/root/testdata/sf0.001"))
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    moved = below(plan, "Exchange hashpartitioning(o_custkey")
+    assert "orders.parquet" in moved and "lineitem.parquet" not in moved
+
+
 def test_stored_tables_have_files_of_few_rows(spark, monkeypatch):
     monkeypatch.setattr(session, "ROWS_PER_FILE", 10)
     stored = session.store(spark.range(0, 100, 1, 2))
