@@ -598,7 +598,7 @@ def domain_intel_b(spark, d):
 
 @query
 def domain_examples_topn(spark, d):
-    return link_intel.domain_examples(links_b(spark, d), 20)
+    return link_intel.domain_examples(stored_b(spark, d, EXAMPLE_COLUMNS), 20)
 
 
 @query
