@@ -268,8 +268,8 @@ def keyword_country_top5(spark, d):
 
 @query
 def keyword_page_top10(spark, d):
-    facts = keyword_facts(spark, d).select("competitor_domain", "url", "keyword", "current_traffic")
-    return keywords.top_landing_pages(store(facts), 10)
+    columns = ("competitor_domain", "url", "keyword", "current_traffic")
+    return keywords.top_landing_pages(store(keyword_facts(spark, d, columns).select(*columns)), 10)
 
 
 @query
