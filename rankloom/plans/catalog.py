@@ -303,7 +303,7 @@ def keyword_queue(spark, d):
 
 @query
 def keyword_tasks(spark, d):
-    return rounded(keywords.keyword_tasks(keyword_facts(spark, d), BRAND, "2024-03-01"))
+    return rounded(keywords.keyword_tasks(keyword_facts(spark, d, TASK_COLUMNS), BRAND, "2024-03-01"))
 
 
 @query
