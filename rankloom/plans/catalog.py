@@ -628,7 +628,7 @@ def link_details_raw_b(spark, d):
 
 @query
 def ordered_facts_b(spark, d):
-    return link_intel.ordered_facts(links_b(spark, d)).select(
+    return link_intel.ordered_facts(links_b(spark, d, ("competitor_domain", "ref_domain", "source_url", "first_seen", "is_lost"))).select(
         "competitor_domain", "ref_domain", "source_url", "link_fingerprint", "first_seen", "is_lost"
     )
 
