@@ -298,7 +298,7 @@ def keyword_score(spark, d):
 
 @query
 def keyword_queue(spark, d):
-    return rounded(keywords.keyword_queue(keywords.keyword_overlap(keyword_facts(spark, d))))
+    return rounded(keywords.keyword_queue(keywords.keyword_overlap(keyword_facts(spark, d, OVERLAP_COLUMNS))))
 
 
 @query
