@@ -284,7 +284,7 @@ def keyword_overlap(spark, d):
 
 @query
 def keyword_matrix(spark, d):
-    return rounded(keywords.keyword_matrix(keywords.keyword_overlap(keyword_facts(spark, d))))
+    return rounded(keywords.keyword_matrix(keywords.keyword_overlap(keyword_facts(spark, d, OVERLAP_COLUMNS))))
 
 
 @query
