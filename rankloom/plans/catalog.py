@@ -279,7 +279,7 @@ def keyword_terms_top10(spark, d):
 
 @query
 def keyword_overlap(spark, d):
-    return rounded(keywords.keyword_overlap(keyword_facts(spark, d)))
+    return rounded(keywords.keyword_overlap(keyword_facts(spark, d, OVERLAP_COLUMNS)))
 
 
 @query
