@@ -290,7 +290,7 @@ def keyword_matrix(spark, d):
 @query
 def keyword_score(spark, d):
     return rounded(
-        keywords.keyword_scores(keywords.keyword_overlap(keyword_facts(spark, d))).select(
+        keywords.keyword_scores(keywords.keyword_overlap(keyword_facts(spark, d, OVERLAP_COLUMNS))).select(
             "keyword", "alpha", "volume", "kd", "cpc", "traffic", "auto_score", "priority", "action"
         )
     )
